@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import MIX_SQL, mix_sources
 from .sharding import shard_by_bytes
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by weights 5, 2, 1 in turn."""
+    return mix_sources(table(spark, sf_dir, "documents")).drop("first_slot")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes."""
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
@@ -18,7 +24,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL}
