@@ -12,6 +12,12 @@ from .common import table
 from .mixing import MIX_SQL, mix_sources
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by classifiers learnt from confirmed toxic and unlabelled text."""
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +37,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
