@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters of a word's beginning that make a feature of their own.
-BEGINNING = 5
+#: Lengths of a word's beginnings that make features of their own.
+BEGINNINGS = (5, 6, 7, 8)
 #: Bounds of the training sample: confirmed toxic documents, unlabelled documents.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 #: Classifiers, each fitted to the sample without one part.
@@ -44,9 +44,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features_of(word: str) -> tuple[int, ...]:
-    """Hashes of a lower-case word and of its beginning."""
-    whole = crc32(word.encode())
-    return (whole, crc32(b"^" + word[:BEGINNING].encode())) if len(word) > BEGINNING else (whole,)
+    """Hashes of a lower-case word and of its beginnings."""
+    return (crc32(word.encode()), *(crc32(b"^" + word[:n].encode()) for n in BEGINNINGS if len(word) > n))
 
 
 def text_features(text: str | None) -> list[int]:
