@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import MIX_SQL, mix_sources
+from .sentencepieces import piece_digest
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
@@ -25,6 +26,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded to pieces and decoded again."""
+    return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by weights 5, 2, 1 in turn."""
     return mix_sources(table(spark, sf_dir, "documents")).drop("first_slot")
@@ -39,6 +45,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
+    "op3_sentencepiece": op3_sentencepiece,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
 }
