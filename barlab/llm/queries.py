@@ -12,6 +12,7 @@ from .common import table
 from .mixing import MIX_SQL, mix_sources
 from .sentencepieces import piece_digest
 from .sharding import shard_by_bytes
+from .syncmers import fingerprint_edits
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 
@@ -36,6 +37,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("first_slot")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes."""
     out = shard_by_bytes(table(spark, sf_dir, "documents"), 8)
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
     "op7_mixing": op7_mixing,
+    "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
 }
 
