@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import MIX_SQL, mix_sources
+from .neighbours import NEAREST_SQL, nearest
 from .sentencepieces import piece_digest
 from .sharding import shard_by_bytes
 from .syncmers import fingerprint_edits
@@ -32,6 +33,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, among all vectors."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by weights 5, 2, 1 in turn."""
     return mix_sources(table(spark, sf_dir, "documents")).drop("first_slot")
@@ -52,9 +58,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_nearest": op5_nearest,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
 }
 
-ORACLES: dict[str, str] = {"op7_mixing": MIX_SQL}
+ORACLES: dict[str, str] = {
+    "op5_nearest": NEAREST_SQL,
+    "op7_mixing": MIX_SQL,
+}
