@@ -16,6 +16,8 @@ from .sharding import shard_by_bytes
 from .syncmers import fingerprint_edits
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
+from .url_lists import URL_SQL, entries_from_pages, judge_captures, pages_as_captures
+from .warc import build_derivatives, responses_from_pages
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,17 +56,31 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    return build_derivatives(responses_from_pages(table(spark, sf_dir, "pages")), keep=("page_id",))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as captures, judged by list entries that were active when they were fetched."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_captures(pages_as_captures(pages), entries_from_pages(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_nearest": op5_nearest,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLES: dict[str, str] = {
     "op5_nearest": NEAREST_SQL,
     "op7_mixing": MIX_SQL,
+    "op10_url_filters": URL_SQL,
 }
