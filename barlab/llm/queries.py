@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .jaccard import linked_components
 from .mixing import MIX_SQL, mix_sources
 from .neighbours import NEAREST_SQL, nearest
 from .sentencepieces import piece_digest
@@ -35,6 +36,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by the similarity of their five-word shingles."""
+    return linked_components(table(spark, sf_dir, "documents"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every twentieth vector, among all vectors."""
     return nearest(table(spark, sf_dir, "embeddings"))
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_jaccard": op4_jaccard,
     "op5_nearest": op5_nearest,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
