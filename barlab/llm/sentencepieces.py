@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import pandas as pd
 import sentencepiece
@@ -21,7 +22,7 @@ from sentencepiece import sentencepiece_model_pb2
 #: Fixed value: the symbol for a space inside pieces.
 SPACE = "▁"
 #: Encoded words, and pairs of pieces with their verdict, that a Python worker remembers.
-REMEMBER_WORDS, REMEMBER_PAIRS = 1_000_000, 1_000_000
+REMEMBER_WORDS, REMEMBER_PAIRS = 500_000, 1_000_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
@@ -61,6 +62,18 @@ class Automaton:
                 found.append((self.piece[at], self.length[at]))
                 at = self.output[at]
             self.ends.append(tuple(found))
+        # Transitions with failures followed, filled in as texts need them.
+        self.moves: list[dict[str, int]] = [dict(g) for g in self.goto]
+
+    def move(self, node: int, c: str) -> int:
+        """The node after reading c; remembered where c is in any piece."""
+        at = node
+        while at and c not in self.goto[at]:
+            at = self.fail[at]
+        out = self.goto[at].get(c, 0)
+        if out:
+            self.moves[node][c] = out
+        return out
 
 
 class Pieces:
@@ -87,7 +100,7 @@ class Pieces:
         # Text falls apart into words where no piece can reach over: before each run of spaces.
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE of a short text: the best-scored adjacent pair first, leftmost of equals."""
@@ -103,52 +116,62 @@ class Pieces:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
     def stays(self, left: int, right: int) -> bool:
-        """Whether merging leaves the two pieces side by side (left -1: the right one alone)."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > REMEMBER_PAIRS:
-                self.pairs.clear()
-            alone = [self.names[right]]
-            known = self.merged(self.names[right]) == alone if left < 0 else self.merged(self.names[left] + self.names[right]) == [self.names[left], *alone]
-            self.pairs[left, right] = known
-        return known
+        """Whether merging leaves the two pieces side by side; after a character without a piece,
+        or at the start, whether it makes the right one alone."""
+        if len(self.pairs) > REMEMBER_PAIRS:
+            self.pairs.clear()
+        alone = [self.names[right]]
+        if left == len(self.names):
+            fits = self.merged(self.names[right]) == alone
+        else:
+            fits = self.merged(self.names[left] + self.names[right]) == [self.names[left], *alone]
+        self.pairs[left * (len(self.names) + 1) + right] = fits
+        return fits
 
     def spelled(self, c: str) -> tuple[int, ...]:
         """A character without a piece: its bytes, or the unknown piece."""
         return tuple(self.bytes[b] for b in c.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
 
-    def ways(self, word: str) -> list[tuple[int, int] | None]:
-        """For each position the (piece, length) of the best way's last step; piece -1 is a character without one."""
+    def steps(self, word: str) -> list[tuple[int, int]]:
+        """The (piece, length) steps of the best way through the word, last first; piece -1 is a
+        character without one."""
         a, node = self.automaton, 0
-        goto, fail, ends, scores, stays = a.goto, a.fail, a.ends, self.scores, self.stays
-        last: list[tuple[int, int] | None] = [(-1, 0)]
-        best = [0.0]
+        moves, ends, scores, pairs = a.moves, a.ends, self.scores, self.pairs
+        size, unigram = len(self.names) + 1, self.unigram
+        # Before the word stands the number size - 1; None marks a position that no way reaches.
+        last: list[int | None] = [size - 1]
+        length, best = [0], [0.0]
         for i, c in enumerate(word, 1):
-            while node and c not in goto[node]:
-                node = fail[node]
-            node = goto[node].get(c, 0)
-            step, top = None, 0.0
+            nxt = moves[node].get(c)
+            node = a.move(node, c) if nxt is None else nxt
+            step, far, top = None, 1, 0.0
             for piece, n in ends[node]:
                 before = last[i - n]
                 if before is None:
                     continue
-                if self.unigram:
+                if unigram:
                     score = best[i - n] + scores[piece]
                     if step is None or score > top:
-                        step, top = (piece, n), score
-                elif stays(-1, piece) if before[0] < 0 else stays(before[0], piece):
-                    step = (piece, n)
-                    break
+                        step, far, top = piece, n, score
+                else:
+                    fits = pairs.get(before * size + piece)
+                    if fits or fits is None and self.stays(before, piece):
+                        step, far = piece, n
+                        break
             if step is None and last[i - 1] is not None and c not in self.ids:
-                step, top = (-1, 1), best[i - 1] + self.lone
+                step, top = size - 1, best[i - 1] + self.lone
             last.append(step)
+            length.append(far)
             best.append(top)
-        return last
+        out, at = [], len(word)
+        while at:
+            out.append((-1 if last[at] == size - 1 else last[at], length[at]))
+            at -= length[at]
+        return out
 
     def encode_word(self, word: str) -> tuple[int, ...]:
-        last, at, out = self.ways(word), len(word), []
-        while at:
-            piece, n = last[at]
+        at, out = len(word), []
+        for piece, n in self.steps(word):
             out.append((piece,) if piece >= 0 else self.spelled(word[at - 1]))
             at -= n
         return tuple(x for step in reversed(out) for x in step)
@@ -228,6 +251,18 @@ def piece_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     Texts that hold the space symbol itself come back with a space in its place, as the library
     gives them, and are not exact. ids_sha256 is taken over the ids as comma-separated decimals.
     """
-    plain = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    both = decode_pieces(encode_pieces(plain, path, "_text", "_ids"), path, "_ids", "_back")
-    return both.select(F.col(id_col), F.size("_ids").cast("long").alias("n_pieces"), F.sha2(F.concat_ws(",", "_ids"), 256).alias("ids_sha256"), (F.col("_back") == F.col("_text")).alias("exact"))
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Ids are many times the texts' memory as Python objects: they live for one text only.
+        model = loaded(path)
+        for batch in batches:
+            rows = []
+            for text in batch["_text"].tolist():
+                ids = model.encode(text or "")
+                rows.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), model.decode(ids) == (text or "")))
+            out = pd.DataFrame(rows, columns=["n_pieces", "ids_sha256", "exact"])
+            out.insert(0, "id", batch["id"].to_numpy())
+            yield out
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInPandas(digest, f"id {kind}, n_pieces long, ids_sha256 string, exact boolean").withColumnRenamed("id", id_col)
