@@ -11,8 +11,9 @@ with m parts shares at least m - d signatures with every partner, and
 * of a set's shared signatures the need - 1 commonest can be left out (the same order for all).
 
 What remains gives candidates; every candidate pair that matters is checked on whole sets. Members
-of one signature are first compared with its best-connected member; pairs that this already joins
-into one component need no check of their own, the rest are checked one by one. Nothing is capped.
+of one signature are first compared with its best-connected member. Where this joins them into
+one component nothing more is needed; the others are checked pair by pair, or, where a signature
+has many members, block against block without giving out the pairs. Nothing is capped.
 Hashes have 64 bits; equal sets (by size and a 63-bit key) are one set from the start.
 """
 
@@ -33,8 +34,10 @@ SHINGLE = 5
 PART_ELEMENTS = 3.2
 #: Up to this size every element is a part by itself.
 SINGLE_ELEMENTS = 16
-#: Rounds of comparing with one member of each signature before all remaining pairs.
-STAR_ROUNDS = 2
+#: Sets of a signature up to which its unsettled members are checked pair by pair; beyond, block by block.
+SMALL = 24
+#: Sets of a block, and elements of a slice of the 0/1 matrix.
+BLOCK_SETS, SLICE_ELEMENTS = 512, 4096
 #: Candidate ids (8 bytes each) are broadcast to the second reading of the texts up to this many.
 BROADCAST_IDS = 1 << 20
 #: Set keys that a task remembers to skip the signatures of copies.
@@ -239,6 +242,51 @@ def set_elements(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return stored(found.select("key", "_text").mapInPandas(run, "key long, elements array<long>")).dropDuplicates(["key"])
 
 
+def block_links(members: DataFrame, elements: DataFrame) -> DataFrame:
+    """(a, b): links that join the sets of each group, computed block against block.
+
+    members: (group, key). The sets of a group fall into blocks of about BLOCK_SETS by hash; a task
+    gets two blocks, counts common elements as a product of 0/1 matrices, slice by slice of the
+    elements, and gives out no more links than join its sets into components.
+    """
+
+    def cell(sets: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.asarray(e, np.int64) for e in sets["elements"]]
+        keys, block = sets["key"].tolist(), sets["block"].to_numpy()
+        size = np.array([len(r) for r in rows])
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        names, column = np.unique(np.concatenate(rows), return_inverse=True)
+        row = np.repeat(np.arange(len(rows)), size)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(names), SLICE_ELEMENTS):
+            lo, hi = np.searchsorted(column, [at, at + SLICE_ELEMENTS])
+            held = np.zeros((len(rows), min(SLICE_ELEMENTS, len(names) - at)), np.float32)
+            held[row[lo:hi], column[lo:hi] - at] = 1
+            common += held[left] @ held[right].T
+        union = size[left][:, None] + size[right][None, :] - common
+        parent = list(range(len(rows)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        out = []
+        for i, j in zip(*np.nonzero(100 * common >= 80 * union), strict=True):
+            x, y = root(left[i]), root(right[j])
+            if x != y:
+                parent[x] = y
+                out.append((keys[left[i]], keys[right[j]]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    placed = members.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(elements, "key")
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return dealt.select("group", "low", "high", "key", "block", "elements").groupBy("group", "low", "high").applyInPandas(cell, "a long, b long")
+
+
 def links_between_sets(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame | None:
     """(key, label) of the sets that link with another one; None if there are none."""
     tokens = stored(candidate_signatures(sets))
@@ -247,35 +295,29 @@ def links_between_sets(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> Dat
         return None
     elements = stored(set_elements(docs, wanted))
     alike = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-    edges, tested, labels = None, None, None
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    member = lambda rows, x: rows.select("token", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
+    # Every member of a signature with its best-connected one.
     rows = tokens.withColumn("label", F.col("key"))
-    for turn in range(STAR_ROUNDS + 1):
-        if labels is not None:
-            rows = tokens.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-            mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-            rows = rows.join(mixed, "token")
-        left = rows.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-        right = rows.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        if turn < STAR_ROUNDS:
-            # In later rounds the centre comes from the labels that fewest members have got.
-            order = F.struct("lonely", "key") if turn == 0 else F.struct(F.xxhash64("label"), "lonely", "key")
-            centre = rows.groupBy("token").agg(F.min_by(F.struct(F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), order).alias("s")).select("token", "s.*")
-            pairs = right.join(centre, "token").filter(alike & (F.col("la") != F.col("lb")))
-        else:
-            pairs = right.join(left, "token").filter(alike & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.union(pairs)
-        new = stored(verified(pairs, elements))
-        if new.isEmpty():
-            continue
-        edges = new if edges is None else edges.union(new)
-        labels = components(edges)
-    return labels
+    centre = rows.groupBy("token").agg(F.min_by(F.struct(F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), F.struct("lonely", "key")).alias("s")).select("token", "s.*")
+    tested = stored(member(rows, "b").join(centre, "token").filter(alike).select(*pair).distinct())
+    edges = stored(verified(tested, elements))
+    labels = components(edges)
+    # Signatures whose members are not all in one component yet: small ones pair by pair.
+    rows = tokens.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).filter("low <> high").select("token", "c")
+    rows = stored(rows.join(mixed, "token"))
+    few = rows.filter(F.col("c") <= SMALL)
+    pairs = member(few, "a").join(member(few, "b"), "token").filter(alike & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
+    pairs = stored(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"))
+    edges = edges.union(stored(verified(pairs, elements)))
+    # Large ones: sets that such signatures connect form groups, compared block by block.
+    many = rows.filter(F.col("c") > SMALL)
+    if not many.isEmpty():
+        star = many.join(many.groupBy("token").agg(F.min("key").alias("a")), "token").filter(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
+        groups = components(star).select("key", F.col("label").alias("group"))
+        edges = edges.union(stored(block_links(groups, elements)))
+    return components(edges)
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
