@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import features
+
+QUERIES: dict = dict(features.Q)
+ORACLES: dict = dict(features.O)
 FLAGSHIP = "break_signal_summary"
