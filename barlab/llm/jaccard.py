@@ -40,6 +40,8 @@ SMALL = 24
 BLOCK_SETS, SLICE_ELEMENTS = 512, 4096
 #: Candidate ids (8 bytes each) are broadcast to the second reading of the texts up to this many.
 BROADCAST_IDS = 1 << 20
+#: Edges of which a task drops those that close a cycle among its own.
+TASK_EDGES = 200_000
 #: Set keys that a task remembers to skip the signatures of copies.
 REMEMBER = 500_000
 
@@ -214,9 +216,33 @@ def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("common") >= 80 * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges that join the same keys as the given stored ones, without cycles within a task's share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            out = []
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return edges.coalesce(max(1, -(-edges.count() // TASK_EDGES))).mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(key, label): the smallest key that edges lead to, for the keys in edges. Each round passes
     labels to neighbours and then jumps to the label's own label."""
+    edges = forest(edges)
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = stored(both.groupBy(F.col("a").alias("key")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
@@ -315,7 +341,7 @@ def links_between_sets(docs: DataFrame, sets: DataFrame, reps: DataFrame) -> Dat
     many = rows.filter(F.col("c") > SMALL)
     if not many.isEmpty():
         star = many.join(many.groupBy("token").agg(F.min("key").alias("a")), "token").filter(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct()
-        groups = components(star).select("key", F.col("label").alias("group"))
+        groups = components(stored(star)).select("key", F.col("label").alias("group"))
         edges = edges.union(stored(block_links(groups, elements)))
     return components(edges)
 
