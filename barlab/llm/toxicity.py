@@ -35,7 +35,7 @@ MIN_POSITIVE_DOCS = 4
 #: Least gain in log likelihood: by chance it is reached by about one feature in e ** 10.
 MIN_GAIN = 10.0
 #: Words that a Python worker remembers the features of.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -48,12 +48,12 @@ def features_of(word: str) -> tuple[int, ...]:
     return (crc32(word.encode()), *(crc32(b"^" + word[:n].encode()) for n in BEGINNINGS if len(word) > n))
 
 
-def text_features(text: str | None) -> list[int]:
-    """The distinct features of a whole text."""
+def text_features(text: str | None) -> np.ndarray:
+    """The distinct features of a whole text, sorted."""
     found: set[int] = set()
     for word in set(WORD.findall((text or "").lower())):
         found.update(features_of(word))
-    return sorted(found)
+    return np.sort(np.fromiter(found, np.int64, len(found)))
 
 
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 2000, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
@@ -163,19 +163,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model([], np.zeros((0, 1)))
     chosen = np.array(features)
 
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for f in part["_features"]:
-            f = np.asarray(f, np.int64)
+    @F.pandas_udf("array<int>")
+    def places(features: pd.Series) -> pd.Series:
+        out = []
+        for f in features:
             at = np.minimum(np.searchsorted(chosen, f), len(chosen) - 1)
-            rows.append(at[chosen[at] == f])
+            out.append(at[chosen[at] == f].astype(np.int32))
+        return pd.Series(out)
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        rows = [np.asarray(at) for at in part["_at"]]
         positive = part["_positive"].to_numpy()
         if not positive.any() or positive.all():
             return pd.DataFrame({"weights": []})
         return pd.DataFrame({"weights": [fit_nnpu(rows, positive, len(chosen), prior).tolist()]})
 
     # Each member learns from all parts but its own; the sample's size is bounded, so its groups are.
-    others = sample.withColumn("_member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1)))).filter("_member <> _part").drop("_part")
+    # Only the few selected features of a document are shuffled.
+    small = sample.select("_part", "_positive", places("_features").alias("_at"))
+    others = small.withColumn("_member", F.explode(F.sequence(F.lit(0), F.lit(MEMBERS - 1)))).filter("_member <> _part").drop("_part")
     fitted = others.withColumnRenamed("_member", "_part").groupBy("_part").applyInPandas(fit, "weights array<double>").collect()
     weights = np.array(sorted(r.weights for r in fitted)).reshape(len(fitted), -1)
     return Model(features, weights if len(fitted) else np.zeros((0, 1)))
