@@ -63,7 +63,7 @@ def retest_entries(trades: DataFrame, bars: DataFrame, n: int = 12, wait: int =
     b = with_index(bars).withColumn("exit", F.lead("close", n).over(by_time())).filter("exit IS NOT NULL")
     if suppressed is not None:
         b = b.join(suppressed.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
-    t = trades.select("symbol", F.col("bar_idx").alias("signal_idx"), "level_or_val", "dir").withColumn("bar_idx", F.explode(F.sequence(F.col("bar_idx") + 1, F.col("bar_idx") + wait - 1)))
+    t = trades.select("symbol", F.col("bar_idx").alias("signal_idx"), "level_or_val", "dir").withColumn("bar_idx", F.explode(F.sequence(F.col("signal_idx") + 1, F.col("signal_idx") + wait - 1)))
     j = t.join(b.select("symbol", "bar_idx", "close", "exit"), ["symbol", "bar_idx"]).filter(F.abs(F.col("close") - F.col("level_or_val")) <= touch)
     first = j.groupBy("symbol", "signal_idx", "level_or_val", "dir").agg(F.min_by(F.struct("bar_idx", "close", "exit"), "bar_idx").alias("e"))
     sign = F.when(F.col("dir") == "long", 1).otherwise(-1)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import features
+from . import analysis, features, models
 
-QUERIES: dict = dict(features.Q)
-ORACLES: dict = dict(features.O)
+QUERIES: dict = features.Q | analysis.Q | models.Q
+ORACLES: dict = features.O | analysis.O | models.O
 FLAGSHIP = "break_signal_summary"

