@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -21,8 +22,9 @@ from sentencepiece import sentencepiece_model_pb2
 
 #: Fixed value: the symbol for a space inside pieces.
 SPACE = "▁"
-#: Encoded words, and pairs of pieces with their verdict, that a Python worker remembers.
-REMEMBER_WORDS, REMEMBER_PAIRS = 500_000, 1_000_000
+#: Encoded words, and pairs of pieces with their verdict, that a Python worker remembers. A word is
+#: remembered when it comes a second time; SEEN marks (by hash) tell which words have come.
+REMEMBER_WORDS, REMEMBER_PAIRS, SEEN = 300_000, 600_000, 1 << 22
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
@@ -100,6 +102,7 @@ class Pieces:
         # Text falls apart into words where no piece can reach over: before each run of spaces.
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.words: dict[str, tuple[int, ...]] = {}
+        self.seen = bytearray(SEEN)
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -185,25 +188,31 @@ class Pieces:
         if not self.apart:
             return list(self.encode_word(plain))
         parts = plain.split(SPACE)
-        out: list[int] = list(self._word(parts[0])) if parts[0] else []
-        spaces = 0
+        out: list[int] = list(self.encode_word(parts[0])) if parts[0] else []
+        words, spaces = self.words, 0
         for part in parts[1:]:
-            spaces += 1
-            if part:
-                out += self._word(SPACE * spaces + part)
+            if part and not spaces:
+                known = words.get(part)  # the common case: one space before the word
+                out += self._word(part) if known is None else known
+            elif part:
+                out += self.encode_word(SPACE * (spaces + 1) + part)
                 spaces = 0
+            else:
+                spaces += 1
         if spaces:
-            out += self._word(SPACE * spaces)
+            out += self.encode_word(SPACE * spaces)
         return out
 
     def _word(self, word: str) -> tuple[int, ...]:
-        known = self.words.get(word)
-        if known is None:
-            known = self.encode_word(word)
-            if len(word) < 64:
-                if len(self.words) > REMEMBER_WORDS:
-                    self.words.clear()
-                self.words[word] = known
+        """Pieces of a word with one space before it; remembered from its second time on."""
+        known = self.encode_word(SPACE + word)
+        mark = hash(word) & (SEEN - 1)
+        if not self.seen[mark]:
+            self.seen[mark] = 1
+        elif len(word) < 64:
+            if len(self.words) > REMEMBER_WORDS:
+                self.words.clear()
+            self.words[word] = known
         return known
 
     def decode(self, ids: list[int]) -> str:
@@ -249,7 +258,7 @@ def piece_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(id_col, n_pieces, ids_sha256, exact): exact tells whether decoding gives back the whole text.
 
     Texts that hold the space symbol itself come back with a space in its place, as the library
-    gives them, and are not exact. ids_sha256 is taken over the ids as comma-separated decimals.
+    gives them, and are not exact. ids_sha256 is taken over the ids as little-endian 32-bit numbers.
     """
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Ids are many times the texts' memory as Python objects: they live for one text only.
@@ -258,7 +267,7 @@ def piece_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             rows = []
             for text in batch["_text"].tolist():
                 ids = model.encode(text or "")
-                rows.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), model.decode(ids) == (text or "")))
+                rows.append((len(ids), sha256(np.array(ids, "<i4").tobytes()).hexdigest(), model.decode(ids) == (text or "")))
             out = pd.DataFrame(rows, columns=["n_pieces", "ids_sha256", "exact"])
             out.insert(0, "id", batch["id"].to_numpy())
             yield out
