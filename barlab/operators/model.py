@@ -14,7 +14,7 @@ from . import evaluate as E
 from .features import feature_table
 from .labels import BreakConfig, break_labels, direction_labels
 from .levels import touched
-from .splits import purged_folds, time_groups
+from .splits import fold_bounds, fold_role, time_groups
 
 #: Model columns of the feature table.
 FEATURES = ("ret_1", "ret_4", "ret_8", "ret_12", "range_pct", "body_ratio", "wick_up_ratio", "wick_dn_ratio", "atr14_norm", "atr_ratio", "d_atr14", "rv_20", "z_close_20", "slope_short_6_v", "slope_long", "touch_density", "high_low_ratio_20", "hour_sin", "hour_cos", "sess_tokyo", "sess_london", "sess_ny", "reg_atr_low", "reg_atr_high", "ret_8_v_sq", "z_close_20_sq")
@@ -76,11 +76,12 @@ def out_of_fold(table: DataFrame, splits: int = 5, gap: int = 1, embargo: int =
     The table is cached: each fold reads it again. Folds without both classes in training are left
     out, keys stay with the rows. Platt scaling uses the newest part of the training rows.
     """
-    table = time_groups(table).cache()
+    table = time_groups(table.select("symbol", "ts", y, *features)).cache()
+    groups = (table.agg(F.max("grp")).first()[0] or 0) + 1
     out = None
-    for k in range(1, splits + 1):
-        fold = purged_folds(table, splits, gap, embargo).filter(F.col("fold") == k)
-        train, test = fold.filter("role = 'train'"), fold.filter("role = 'test'")
+    for k, bounds in enumerate(fold_bounds(groups, splits), 1):
+        role = fold_role(bounds, gap, embargo)
+        train, test = table.filter(role == "train"), table.filter(role == "test")
         classes = {r[y] for r in train.select(y).distinct().collect()}
         if not {0, 1} <= classes:
             continue

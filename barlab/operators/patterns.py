@@ -103,7 +103,7 @@ COLUMNS = "symbol string, type string, dir string, start_idx long, end_idx long,
 def _rows(symbol, base, kind, up, s, e, found, mu, bu, ml, bl, q, entry, stop, target) -> pd.DataFrame:
     """Rows with absolute bar numbers; intercepts refer to these."""
     return pd.DataFrame({
-        "symbol": symbol, "type": kind, "dir": np.where(up, "bull", "bear"), "start_idx": s + base, "end_idx": e + base, "breakout_idx": pd.Series(found + base, dtype="Int64").where(pd.Series(found >= 0)),
+        "symbol": np.full(len(e), symbol, object), "type": np.broadcast_to(kind, len(e)).astype(object), "dir": np.where(up, "bull", "bear").astype(object), "start_idx": s + base, "end_idx": e + base, "breakout_idx": np.where(found >= 0, (found + base).astype(object), None),
         "upper_slope": mu, "upper_intercept": bu - mu * base, "lower_slope": ml, "lower_intercept": bl - ml * base, "quality": q, "entry": entry, "stop": stop, "target": target,
     })
 
@@ -122,17 +122,17 @@ def _best_per_end(found: list[pd.DataFrame]) -> pd.DataFrame | None:
 
 
 def _empty() -> pd.DataFrame:
-    return pd.DataFrame({c.split()[0]: [] for c in COLUMNS.split(", ")})
+    return pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in COLUMNS.split(", ")})
 
 
-def triangles(bars: DataFrame, shortest: int = 12, longest: int = 40, step: int = 2, flat: float = 0.0012, converge: float = 0.20, width_atr: float = 3.5, r2_min: float = 0.20, parallel: float = 0.22, buffer: float = 0.25) -> DataFrame:
+def triangles(bars: DataFrame, shortest: int = 12, longest: int = 40, step: int = 2, flat: float = 0.0012, converge: float = 0.20, width_atr: float = 3.5, r2_min: float = 0.20, parallel: float = 0.22, buffer: float = 0.25, chunk: int = CHUNK) -> DataFrame:
     """Ascending, descending and symmetric triangles, the best per end bar."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         base, h, lo, c, atr = _arrays(p)
-        core = p["_chunk"].iloc[0] * CHUNK
+        core = p["_chunk"].iloc[0] * chunk
         ends = np.arange(len(c))
-        ends = ends[(ends + base >= core) & (ends + base < core + CHUNK) & (ends >= 14 + shortest) & ((ends + base) % step == 0)]
+        ends = ends[(ends + base >= core) & (ends + base < core + chunk) & (ends >= 14 + shortest) & ((ends + base) % step == 0)]
         tops, lows = strict_extremes(h), strict_extremes(-lo)
         mean = lambda x: np.concatenate(([0.0], np.cumsum(x)))
         ca, cc = mean(atr), mean(c)
@@ -177,17 +177,17 @@ def triangles(bars: DataFrame, shortest: int = 12, longest: int = 40, step: int
         best = _best_per_end(found)
         return _empty() if best is None else best
 
-    return chunked(bars.select("symbol", "ts", "high", "low", "close"), WARM + longest, 5).groupBy("symbol", "_chunk").applyInPandas(run, COLUMNS)
+    return chunked(bars.select("symbol", "ts", "high", "low", "close"), WARM + longest, 5, chunk).groupBy("symbol", "_chunk").applyInPandas(run, COLUMNS)
 
 
-def rectangles(bars: DataFrame, shortest: int = 10, longest: int = 48, flat: float = 0.0009, drift: float = 0.0007, width_atr: float = 3.5, unsteady: float = 0.28, touches: int = 3, touch_atr: float = 0.25, r2_min: float = 0.12, buffer: float = 0.30) -> DataFrame:
+def rectangles(bars: DataFrame, shortest: int = 10, longest: int = 48, flat: float = 0.0009, drift: float = 0.0007, width_atr: float = 3.5, unsteady: float = 0.28, touches: int = 3, touch_atr: float = 0.25, r2_min: float = 0.12, buffer: float = 0.30, chunk: int = CHUNK) -> DataFrame:
     """Rectangles: flat parallel sides with touches on both, the best per end bar."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         base, h, lo, c, atr = _arrays(p)
-        core = p["_chunk"].iloc[0] * CHUNK
+        core = p["_chunk"].iloc[0] * chunk
         ends = np.arange(len(c))
-        ends = ends[(ends + base >= core) & (ends + base < core + CHUNK) & (ends >= 14 + shortest)]
+        ends = ends[(ends + base >= core) & (ends + base < core + chunk) & (ends >= 14 + shortest)]
         tops, lows = strict_extremes(h), strict_extremes(-lo)
         cc = np.concatenate(([0.0], np.cumsum(c)))
         found = []
@@ -227,17 +227,17 @@ def rectangles(bars: DataFrame, shortest: int = 10, longest: int = 48, flat: flo
         best = _best_per_end(found)
         return _empty() if best is None else best
 
-    return chunked(bars.select("symbol", "ts", "high", "low", "close"), WARM + longest, 5).groupBy("symbol", "_chunk").applyInPandas(run, COLUMNS)
+    return chunked(bars.select("symbol", "ts", "high", "low", "close"), WARM + longest, 5, chunk).groupBy("symbol", "_chunk").applyInPandas(run, COLUMNS)
 
 
-def flags(bars: DataFrame, pole_bars: int = 20, pole_atr: float = 2.5, cons: int = 8, steepest: float = 0.004, parallel: float = 0.20, converge: float = 0.25, width_atr: float = 3.0, contraction: float = 0.75, buffer: float = 0.30, r2_min: float = 0.15, quality_min: float = 0.55) -> DataFrame:
+def flags(bars: DataFrame, pole_bars: int = 20, pole_atr: float = 2.5, cons: int = 8, steepest: float = 0.004, parallel: float = 0.20, converge: float = 0.25, width_atr: float = 3.0, contraction: float = 0.75, buffer: float = 0.30, r2_min: float = 0.15, quality_min: float = 0.55, chunk: int = CHUNK) -> DataFrame:
     """Flags and pennants: a pole, then `cons` bars of consolidation; one row per qualifying end bar (D3)."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         base, h, lo, c, atr = _arrays(p)
-        core = p["_chunk"].iloc[0] * CHUNK
+        core = p["_chunk"].iloc[0] * chunk
         e = np.arange(len(c))
-        e = e[(e + base >= core) & (e + base < core + CHUNK) & (e >= 14 + pole_bars + cons)]
+        e = e[(e + base >= core) & (e + base < core + chunk) & (e >= 14 + pole_bars + cons)]
         if not len(e):
             return _empty()
         tip = e - cons
@@ -273,21 +273,21 @@ def flags(bars: DataFrame, pole_bars: int = 20, pole_atr: float = 2.5, cons: int
         height = np.abs(c[tip] - c[np.maximum(pole_s, 0)])
         entry = np.where(bull, np.maximum(trigger, hi), np.minimum(trigger, low))
         rows = _rows(p["symbol"].iloc[0], base, kind, bull, s, e, at, mu, bu, ml, bl, np.clip(q, 0, 1), entry, np.where(bull, low - 0.25 * atr[e], hi + 0.25 * atr[e]), np.where(bull, entry + height, entry - height))
-        return rows[valid]
+        return rows[valid] if valid.any() else _empty()
 
-    return chunked(bars.select("symbol", "ts", "high", "low", "close"), WARM + pole_bars + cons, 5).groupBy("symbol", "_chunk").applyInPandas(run, COLUMNS)
+    return chunked(bars.select("symbol", "ts", "high", "low", "close"), WARM + pole_bars + cons, 5, chunk).groupBy("symbol", "_chunk").applyInPandas(run, COLUMNS)
 
 
-def exponential_atr(bars: DataFrame, n: int = 14) -> DataFrame:
+def exponential_atr(bars: DataFrame, n: int = 14, chunk: int = CHUNK) -> DataFrame:
     """(symbol, ts, bar_idx, ema_atr)."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("bar_idx")
         p["ema_atr"] = ema_atr(*(p[k].to_numpy(float) for k in ("high", "low", "close")), n)
-        core = p["_chunk"].iloc[0] * CHUNK
-        return p.loc[(p["bar_idx"] >= core) & (p["bar_idx"] < core + CHUNK), ["symbol", "ts", "bar_idx", "ema_atr"]]
+        core = p["_chunk"].iloc[0] * chunk
+        return p.loc[(p["bar_idx"] >= core) & (p["bar_idx"] < core + chunk), ["symbol", "ts", "bar_idx", "ema_atr"]]
 
-    return chunked(bars.select("symbol", "ts", "high", "low", "close"), WARM, 0).groupBy("symbol", "_chunk").applyInPandas(run, "symbol string, ts timestamp_ntz, bar_idx long, ema_atr double")
+    return chunked(bars.select("symbol", "ts", "high", "low", "close"), WARM, 0, chunk).groupBy("symbol", "_chunk").applyInPandas(run, "symbol string, ts timestamp_ntz, bar_idx long, ema_atr double")
 
 
 def band_flag(bars: DataFrame, push: int = 30, cons: int = 40, k: float = 1.0, pole_atr: float = 2.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import with_index
@@ -26,16 +26,26 @@ def time_groups(df: DataFrame, unit: str = "day") -> DataFrame:
     return df.withColumn("_day", day).join(F.broadcast(days), "_day").drop("_day")
 
 
+def fold_bounds(groups: int, splits: int) -> list[tuple[int, int]]:
+    """First and one past the last group of each fold; the first groups % splits are one longer."""
+    out, at = [], 0
+    for i in range(splits):
+        size = groups // splits + (i < groups % splits)
+        out.append((at, at + size))
+        at += size
+    return out
+
+
+def fold_role(bounds: tuple[int, int], gap: int = 1, embargo: int = 1) -> Column:
+    """Role of a row's group in a fold: test inside, dropped within the gap and embargo, else train."""
+    start, stop = bounds
+    g = F.col("grp")
+    return F.when((g >= start) & (g < stop), "test").when((g < start - gap) | (g >= stop + embargo), "train").otherwise("dropped")
+
+
 def purged_folds(df: DataFrame, splits: int = 5, gap: int = 1, embargo: int = 1) -> DataFrame:
-    """df with fold and role: groups in consecutive blocks, the first n % splits one longer; training
-    keeps groups before start - gap and from stop + embargo on, the future included (C3, J9)."""
+    """df with fold and role: groups in consecutive blocks; training keeps groups before start - gap
+    and from stop + embargo on, the future included (C3, J9)."""
     groups = (df.agg(F.max("grp")).first()[0] or 0) + 1
-    sizes = [groups // splits + (i < groups % splits) for i in range(splits)]
-    bounds, at = [], 0
-    for i, s in enumerate(sizes):
-        bounds.append((i + 1, at, at + s))
-        at += s
-    folds = F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(x).alias("_from"), F.lit(y).alias("_to")) for i, x, y in bounds])
-    j = df.withColumn("_f", F.explode(folds)).select(*df.columns, "_f.*")
-    role = F.when((F.col("grp") >= F.col("_from")) & (F.col("grp") < F.col("_to")), "test").when((F.col("grp") < F.col("_from") - gap) | (F.col("grp") >= F.col("_to") + embargo), "train").otherwise("dropped")
-    return j.withColumn("role", role).drop("_from", "_to")
+    roles = [F.struct(F.lit(k).alias("fold"), fold_role(b, gap, embargo).alias("role")) for k, b in enumerate(fold_bounds(groups, splits), 1)]
+    return df.withColumn("_f", F.explode(F.array(*roles))).select(*df.columns, "_f.*")

@@ -97,18 +97,23 @@ def test_features_know_no_future(spark):
     np.testing.assert_allclose(a.to_numpy(float), b.to_numpy(float), rtol=1e-9, atol=1e-12)
 
 
-@pytest.mark.parametrize("find", [lambda b: D.triangles(b, flat=0.02, width_atr=8), lambda b: D.rectangles(b, flat=0.02, drift=0.02, width_atr=8, touches=2), lambda b: D.flags(b, pole_atr=1, steepest=0.1, width_atr=8, contraction=1.3, quality_min=0.1), D.exponential_atr])
-def test_chunks_give_what_one_pass_gives(spark, monkeypatch, find):
-    bars = frame(spark, noise(700, 3))
-    key = "end_idx" if find is not D.exponential_atr else "bar_idx"
-    whole = find(bars).toPandas().sort_values(key).reset_index(drop=True)
-    assert len(whole)
-    monkeypatch.setattr(D, "CHUNK", 128)
-    monkeypatch.setattr(D.chunked, "__defaults__", (128,))
-    parts = find(bars).toPandas().sort_values(key).reset_index(drop=True)
+FINDS = {
+    "triangles": lambda b, n: D.triangles(b, flat=0.02, width_atr=8, chunk=n),
+    "rectangles": lambda b, n: D.rectangles(b, flat=0.02, drift=0.02, width_atr=8, touches=2, chunk=n),
+    "flags": lambda b, n: D.flags(b, pole_atr=1, steepest=0.1, width_atr=8, contraction=1.3, quality_min=0.1, chunk=n),
+    "atr": lambda b, n: D.exponential_atr(b, chunk=n),
+}
+
+
+@pytest.mark.parametrize("name", FINDS)
+def test_chunks_give_what_one_pass_gives(spark, name):
     import pandas as pd
 
-    pd.testing.assert_frame_equal(whole, parts, rtol=1e-8)
+    bars = frame(spark, noise(900, 3))
+    key = "bar_idx" if name == "atr" else "end_idx"
+    whole, parts = (FINDS[name](bars, n).toPandas().sort_values(key).reset_index(drop=True) for n in (2048, 128))
+    assert len(whole)
+    pd.testing.assert_frame_equal(whole, parts, rtol=1e-6, check_dtype=False)
 
 
 def test_splits_keep_train_and_test_apart(spark):
