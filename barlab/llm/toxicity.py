@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows = [np.asarray(at) for at in part["_at"]]
         positive = part["_positive"].to_numpy()
         if not positive.any() or positive.all():
-            return pd.DataFrame({"weights": []})
+            return pd.DataFrame({"weights": pd.Series([], dtype=object)})
         return pd.DataFrame({"weights": [fit_nnpu(rows, positive, len(chosen), prior).tolist()]})
 
     # Each member learns from all parts but its own; the sample's size is bounded, so its groups are.
