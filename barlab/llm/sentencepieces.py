@@ -24,7 +24,7 @@ from sentencepiece import sentencepiece_model_pb2
 SPACE = "▁"
 #: Encoded words, and pairs of pieces with their verdict, that a Python worker remembers. A word is
 #: remembered when it comes a second time; SEEN marks (by hash) tell which words have come.
-REMEMBER_WORDS, REMEMBER_PAIRS, SEEN = 300_000, 600_000, 1 << 22
+REMEMBER_WORDS, REMEMBER_PAIRS, SEEN = 100_000, 300_000, 1 << 21
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
@@ -64,17 +64,16 @@ class Automaton:
                 found.append((self.piece[at], self.length[at]))
                 at = self.output[at]
             self.ends.append(tuple(found))
-        # Transitions with failures followed, filled in as texts need them.
-        self.moves: list[dict[str, int]] = [dict(g) for g in self.goto]
+        # From here on transitions take up what following failures gives, as texts need it.
+        self.moves = self.goto
 
     def move(self, node: int, c: str) -> int:
-        """The node after reading c; remembered where c is in any piece."""
-        at = node
-        while at and c not in self.goto[at]:
-            at = self.fail[at]
-        out = self.goto[at].get(c, 0)
-        if out:
-            self.moves[node][c] = out
+        """The node after reading c; remembered where it is not the root."""
+        out = self.moves[node].get(c)
+        if out is None:
+            out = self.move(self.fail[node], c) if node else 0
+            if out:
+                self.moves[node][c] = out
         return out
 
 
@@ -237,7 +236,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str =
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = loaded(path)
         for batch in batches:
-            yield pd.Series([model.encode(t or "") for t in batch.tolist()])
+            yield pd.Series([np.array(model.encode(t or ""), np.int32) for t in batch.tolist()])
 
     return docs.withColumn(out, encode(F.col(text_col)))
 
