@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Java pattern of one run of the six ASCII white-space characters.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: What this Python worker keeps for its next tasks, under the name of its use.
+_kept: dict[Any, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +50,31 @@ def stored(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remembered(name: Any, make: Callable[[], Any]) -> Any:
+    """What make() gives, kept by the Python worker for its next tasks of the same name.
+
+    A worker serves one operator after another; it keeps one name at a time, so that the
+    memories of different operators never add up.
+    """
+    if name not in _kept:
+        forget()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def forget() -> None:
+    """Drop what this Python worker keeps from other operators' tasks."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return this Python worker's free memory to the machine, which its executor shares."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, give_back, stored
 
 SHINGLE = 5
 #: Elements a part holds on average in the largest sets of a band; bands double in size.
@@ -133,6 +133,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
     Copies within a task carry no signatures; the empty set has none and the key 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         seen: set[int] = set()
         none = np.zeros(0, np.int64)
         for batch in batches:
@@ -157,6 +158,8 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 after, need_after = signatures(elements, 2 * top, wide) if wide > top else (none, 0)
                 out.append((doc, n, key, need, need_after, len(own), own.view(np.int64), after.view(np.int64)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in SETS.split(", ")]).astype({"doc_id": "Int64"})
+        out, seen = [], set()
+        give_back()
 
     return docs.mapInPandas(run, SETS)
 
@@ -181,6 +184,7 @@ def shared_only(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(k[at])], names=["token", "k"])
         if held_shared:
             yield pa.RecordBatch.from_arrays([pa.array(held_t), pa.array(held_k)], names=["token", "k"])
+        give_back()
 
     return tokens.repartition("token").sortWithinPartitions("token", "k").mapInArrow(run, "token long, k long")
 
@@ -235,6 +239,8 @@ def forest(edges: DataFrame) -> DataFrame:
                     parent[max(x, y)] = min(x, y)
                     out.append((a, b))
             yield pd.DataFrame(out, columns=["a", "b"])
+        parent.clear()
+        give_back()
 
     return edges.coalesce(max(1, -(-edges.count() // TASK_EDGES))).mapInPandas(run, "a long, b long")
 
@@ -262,6 +268,7 @@ def set_elements(docs: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             with np.errstate(over="ignore"):
                 yield pd.DataFrame({"key": batch["key"], "elements": [shingle_set(t).view(np.int64) for t in batch["_text"].tolist()]})
+        give_back()
 
     few = reps.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     found = docs.join(F.broadcast(reps) if few else reps, F.col("_id") == F.col("rep"))

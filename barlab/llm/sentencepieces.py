@@ -10,7 +10,6 @@ is unique, so the same pass gives exactly the pieces that merging by rank gives.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -20,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from .common import give_back, remembered
+
 #: Fixed value: the symbol for a space inside pieces.
 SPACE = "▁"
 #: Encoded words, and pairs of pieces with their verdict, that a Python worker remembers. A word is
@@ -220,9 +221,9 @@ class Pieces:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> Pieces:
-    return Pieces(path)
+    """The model of the file at `path`, loaded once for a worker's tasks in a row."""
+    return remembered(("pieces", path), lambda: Pieces(path))
 
 
 def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str = "piece_ids") -> DataFrame:
@@ -237,6 +238,7 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str =
         model = loaded(path)
         for batch in batches:
             yield pd.Series([np.array(model.encode(t or ""), np.int32) for t in batch.tolist()])
+        give_back()
 
     return docs.withColumn(out, encode(F.col(text_col)))
 

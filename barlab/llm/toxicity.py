@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, give_back, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of a word's beginnings that make features of their own.
@@ -133,8 +133,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     @F.pandas_udf("array<long>")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for batch in batches:
             yield pd.Series([text_features(t) for t in batch.tolist()])
+        give_back()
 
     part = F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(MEMBERS)).cast("int")
     return stored(roles.select(part.alias("_part"), "_positive", extract("_text").alias("_features"))), prior
@@ -199,8 +201,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch.tolist()], dtype="float64")
+        model.words.clear()
+        give_back()
 
     out = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
