@@ -14,6 +14,7 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ SPACE = "▁"
 #: Encoded words, and pairs of pieces with their verdict, that a Python worker remembers. A word is
 #: remembered when it comes a second time; SEEN marks (by hash) tell which words have come.
 REMEMBER_WORDS, REMEMBER_PAIRS, SEEN = 100_000, 300_000, 1 << 21
+#: Texts whose ids a worker holds at a time; a batch's ids take several times its texts' memory.
+SLICE_ROWS = 128
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
@@ -233,11 +236,12 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str =
     column called like `out`, which is replaced.
     """
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = loaded(path)
         for batch in batches:
-            yield pd.Series([np.array(model.encode(t or ""), np.int32) for t in batch.tolist()])
+            for at in range(0, len(batch), SLICE_ROWS):
+                yield pa.array([model.encode(t or "") for t in batch.slice(at, SLICE_ROWS).to_pylist()], pa.list_(pa.int32()))
         give_back()
 
     return docs.withColumn(out, encode(F.col(text_col)))
@@ -246,11 +250,12 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str =
 def decode_pieces(encoded: DataFrame, path: str, ids_col: str = "piece_ids", out: str = "decoded") -> DataFrame:
     """Add the text of each array of piece ids (null: the empty text)."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = loaded(path)
         for batch in batches:
-            yield pd.Series([model.decode(ids.tolist()) if ids is not None else "" for ids in batch.tolist()])
+            for at in range(0, len(batch), SLICE_ROWS):
+                yield pa.array([model.decode(ids or []) for ids in batch.slice(at, SLICE_ROWS).to_pylist()], pa.string())
 
     return encoded.withColumn(out, decode(F.col(ids_col)))
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered
+
 #: White space as the tokenizer's pattern engine knows it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: Characters of text that are split and looked up together.
@@ -156,9 +157,9 @@ class WordBpe:
         return [found + sum(map(get, words)) for words, found in split]
 
 
-@lru_cache(maxsize=4)
 def loaded(path: str) -> WordBpe:
-    return WordBpe(path)
+    """The vocabulary of the file at `path`, loaded once for a worker's tasks in a row."""
+    return remembered(("word bpe", path), lambda: WordBpe(path))
 
 
 def chunked(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
