@@ -57,13 +57,14 @@ def closed_syncmers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: str) -> list[tuple[int, int]]:
-    """(hash, place) of the kept anchors, by hash. A text below K code points is one anchor, the empty text none."""
+    """(hash, place) of the kept anchors, by hash. A text without closed syncmers (below K code points, or
+    little longer) is one anchor, the empty text none."""
     if not text:
         return []
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(codes) < K:
+    at, h = closed_syncmers(codes) if len(codes) >= K else ((), None)
+    if not len(at):
         return [(int.from_bytes(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:4], "big"), 0)]
-    at, h = closed_syncmers(codes)
     short = (h >> np.uint64(32)).astype(np.int64)
     if len(short) > 16 * ANCHORS:  # repeated anchors are few: look for the smallest among the smallest
         bound = np.partition(short, 8 * ANCHORS)[8 * ANCHORS]

@@ -252,6 +252,18 @@ def test_fingerprints_of_edits(spark):
     assert syncmers.fingerprint_edits(odd(spark)).count() == len(ODD) + 2 and syncmers.fingerprint_edits(empty(spark)).count() == 0
 
 
+def test_texts_without_syncmers_are_told_apart(spark):
+    rng = random.Random(12)
+    texts = ["Withthesones |", "The esingor.", "Reouti anatha."] + ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in range(12, 19) for _ in range(40)]
+    bare = [t for t in texts if not len(syncmers.closed_syncmers(np.frombuffer(t.encode("utf-32-le"), np.uint32))[0])]
+    assert set(texts[:3]) <= set(bare) and len({*bare}) == len(bare) > 20
+    prints = [syncmers.sketch(t) for t in bare]
+    assert all(prints) and len({syncmers.written(p) for p in prints}) == len(bare)
+    assert all(syncmers.likeness(a, b) == (i == j) for i, a in enumerate(prints) for j, b in enumerate(prints)) and syncmers.likeness(prints[0], []) == 0
+    out = syncmers.fingerprint_edits(docs(spark, [bare[0], "", bare[1], bare[2]])).toPandas().set_index("doc_id")
+    assert out.near_next.to_dict() == {0: 0, 1: 0, 2: 0, 3: 0} and (out.fingerprint != "").to_dict() == {0: True, 1: False, 2: True, 3: True}
+
+
 def test_closed_syncmers_by_definition():
     codes = np.frombuffer("the quick brown fox jumps over the lazy dog again".encode("utf-32-le"), np.uint32)
     c = [int(x) for x in codes]
