@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: Days of a calendar cell.
 CELL_DAYS = 30
-#: Host labels below which no domain key is made, and path segments that make prefix keys.
-MIN_LABELS, PATH_SEGMENTS = 2, 2
+#: Host labels below which no domain key is made.
+MIN_LABELS = 2
 
 
 def url_host(url: Column) -> Column:
@@ -27,15 +27,27 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def url_keys(host: Column, path: Column) -> Column:
+def listed_pattern(pattern: Column) -> Column:
+    """A pattern with its host in lower case; paths keep their case, as in url_keys."""
+    host = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(host), F.substring(pattern, F.length(host) + 1, F.length(pattern)))
+
+
+def path_depths(entries: DataFrame) -> list[int]:
+    """The numbers of path segments that listed patterns have, without 0: at most as many as the longest has."""
+    depth = F.size(F.split("pattern", "/")) - 1
+    return sorted(r._depth for r in entries.select(depth.alias("_depth")).filter("_depth > 0").distinct().collect())
+
+
+def url_keys(host: Column, path: Column, depths: list[int]) -> Column:
     """Distinct patterns that can match: the host and its parent domains ("example.com"), and the
-    host with its first path segments ("example.com/a", "example.com/a/b")."""
+    host with its first path segments ("example.com/a/b" for the depth 2), for each of the depths."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     domains = F.when((host != "") & (n >= MIN_LABELS), F.transform(F.sequence(F.lit(1), n - MIN_LABELS + 1), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.when(host != "", F.array(host)).otherwise(F.array().cast("array<string>")))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    m = F.least(F.size(parts), F.lit(PATH_SEGMENTS))
-    prefixes = F.when((host != "") & (m >= 1), F.transform(F.sequence(F.lit(1), m), lambda i: F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    within = F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda i: i <= F.size(parts))
+    prefixes = F.when(host != "", F.transform(within, lambda i: F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(domains, prefixes))
 
 
@@ -45,11 +57,13 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     entries: (list_name, pattern, effective, action, category); action is "add" or "remove". An
     entry holds until the next one for the same list and pattern. Of entries for one day, a
     removal wins, then the smallest category. Entries with a null pattern, date or list are void.
+    Hosts are compared in lower case, so entries whose hosts differ in case only are one entry.
     """
     valid = entries.filter(F.col("pattern").isNotNull() & F.col("effective").isNotNull() & F.col("list_name").isNotNull() & F.col("action").isin("add", "remove"))
+    valid = valid.withColumn("pattern", listed_pattern(F.col("pattern")))
     daily = valid.groupBy("list_name", "pattern", "effective").agg(F.max("action").alias("action"), F.min(F.when(F.col("action") == "add", F.col("category"))).alias("category"))
     following = F.lead("effective").over(Window.partitionBy("list_name", "pattern").orderBy("effective"))
-    return daily.withColumn("valid_to", following).filter("action = 'add'").select("list_name", F.lower("pattern").alias("pattern"), "category", F.col("effective").alias("valid_from"), "valid_to")
+    return daily.withColumn("valid_to", following).filter("action = 'add'").select("list_name", "pattern", "category", F.col("effective").alias("valid_from"), "valid_to")
 
 
 def _cell(day: Column) -> Column:
@@ -67,7 +81,7 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     host = url_host(F.coalesce(F.col(url_col), F.lit("")))
     rows = captures.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(time_col).cast("date").alias("_day"), host.alias("_host"))
     rows = rows.groupBy("_id", "_url", "_day", "_host").agg(F.count("*").alias("_n"))
-    keyed = rows.withColumn("pattern", F.explode(url_keys(F.col("_host"), url_path(F.col("_url"))))).withColumn("_cell", _cell(F.col("_day")))
+    keyed = rows.withColumn("pattern", F.explode(url_keys(F.col("_host"), url_path(F.col("_url")), path_depths(entries)))).withColumn("_cell", _cell(F.col("_day")))
     spans = validity_intervals(entries)
     # Open intervals end with the last capture's day.
     last = rows.agg(F.max("_day")).first()[0]

@@ -300,6 +300,39 @@ def test_lists_hold_from_day_to_day(spark):
     assert url_lists.judge_captures(captures.limit(0), entries).count() == 0
 
 
+def test_lists_hold_at_any_depth_and_case(spark):
+    import datetime as dt
+    from urllib.parse import urlsplit
+
+    rng = random.Random(10)
+    path = lambda n: "".join("/" + rng.choice("aAbB") for _ in range(n))
+    day = lambda: dt.date(2023, rng.randint(1, 6), rng.randint(1, 28))
+    host = lambda: rng.choice(["Bad.example", "bad.example", "BAD.EXAMPLE", "ok.example", "www.ok.example"])
+    listed = [("l", host() + path(rng.choice([0, 1, 1, 2, 3, 3, 5, 8])), day(), rng.choice(["add", "add", "remove"]), "spam") for _ in range(60)]
+    listed += [("m", "Bad.example", dt.date(2023, 1, 1), "add", "spam"), ("m", "bad.example", dt.date(2023, 3, 1), "remove", None), ("m", "ok.example/A/b/C/d", dt.date(2023, 1, 1), "add", "adult")]
+    fetched = [(i, f"http://{host()}{path(rng.randint(0, 9))}?q", day()) for i in range(300)] + [(300, "http://OK.example/A/b/C/d/e", dt.date(2023, 2, 2)), (301, "http://ok.example/a/b/c/d", dt.date(2023, 2, 2))]
+    last: dict = {}
+    for name, pattern, when, action, _ in listed:
+        at, slash, rest = pattern.partition("/")
+        key = (name, at.lower() + slash + rest)
+        last.setdefault(key, {}).setdefault(when, set()).add(action)
+    want = {}
+    for i, url, when in fetched:
+        u = urlsplit(url)
+        whole = u.netloc.lower() + u.path
+        n = 0
+        for (_, pattern), days in last.items():
+            over = whole == pattern or whole.startswith(pattern + "/") or ("/" not in pattern and u.netloc.lower().endswith("." + pattern))
+            past = [d for d in days if d <= when]
+            n += over and bool(past) and "remove" not in days[max(past)]
+        want[i] = n
+    entries = spark.createDataFrame(listed, "list_name string, pattern string, effective date, action string, category string")
+    captures = spark.createDataFrame(fetched, "page_id long, url string, fetched date")
+    out = url_lists.judge_captures(captures, entries).toPandas().set_index("page_id")
+    assert out.n_active.to_dict() == want and 0 < sum(map(bool, want.values())) < len(want)
+    assert "ok.example/A/b/C/d" in set(out.pattern)
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline as p
 
