@@ -71,7 +71,7 @@ def slot_schedule(targets: DataFrame, n_slots: int) -> DataFrame:
     return slots.withColumn("_inner", inner).join(counts, ["_src", "_chunk"]).select("_src", (F.col("_base") + F.col("_inner")).alias("_r"), "slot")
 
 
-def _placed(records: DataFrame, max_epochs: int, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+def _placed(records: DataFrame, max_epochs: int, weights: tuple[int, ...], keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The records with their first word's place in their source's shuffled sequence; the targets."""
     targets = stored(source_targets(records.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, max_epochs))
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
@@ -79,23 +79,24 @@ def _placed(records: DataFrame, max_epochs: int, weights: tuple[int, ...]) -> tu
     named = records.join(F.broadcast(known) if few else known, F.col("_source").eqNullSafe(F.col("_named"))).drop("_named").withColumn("_group", F.substring("_key", 1, HEX_DIGITS))
     sums = named.groupBy("_src", "_group").agg(F.sum("size").alias("_words"))
     sums = sums.select("_src", "_group", F.coalesce(F.sum("_words").over(Window.partitionBy("_src").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_src", "_group").orderBy("_key", "_id", "size")
+    inside = Window.partitionBy("_src", "_group").orderBy("_key", "_id", "size", *keep)
     counted = named.withColumn("_row", F.row_number().over(inside)).withColumn("_upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return counted.join(sums, ["_src", "_group"]).withColumn("_start", F.col("_base") + F.col("_upto") - F.col("size")).drop("_base", "_upto"), targets
 
 
-def mix_pieces(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_pieces(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """The mix itself, piece by piece, and documents that it leaves out.
 
-    Returns (_id, _src, _group, _row, size, source_size, target, slot, from_word, words): words of
+    Returns (*keep, _id, _src, _group, _row, size, source_size, target, slot, from_word, words): words of
     the document from from_word on stand in that slot; documents (or repeats) outside the mix have
-    a null slot and no words. (_src, _group, _row) identifies the row of docs.
+    a null slot and no words. (_src, _group, _row) identifies the row of docs, whose columns keep are
+    carried along and settle the order of rows with equal ids and sizes.
     """
     text = F.col(text_col)
-    records = stored(docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), n_words(text).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_key")))
+    records = stored(docs.select(*keep, F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), n_words(text).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_key")))
     total = records.agg(F.sum("size")).first()[0] or 0
     block = max(MIN_BLOCK, -(-total // MAX_SLOTS))
-    placed, targets = _placed(records, max_epochs, weights)
+    placed, targets = _placed(records, max_epochs, weights, keep)
     placed = stored(placed)
     slots = slot_schedule(targets, total // block)
     epochs = placed.filter("size > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("_at", F.col("_epoch") * F.col("source_size") + F.col("_start"))
@@ -105,23 +106,23 @@ def mix_pieces(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs
     pieces = epochs.withColumn("_r", F.explode(F.sequence(first, last)))
     begin, end = F.greatest("_at", F.col("_r") * block), F.least(F.col("_at") + F.col("size"), (F.col("_r") + 1) * block)
     joined = pieces.withColumn("from_word", begin - F.col("_at")).withColumn("words", end - begin).join(slots, ["_src", "_r"], "left")
-    keep = ["_id", "_src", "_group", "_row", "size", "source_size", "target"]
-    used = joined.select(*keep, "slot", "from_word", F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0).cast("long").alias("words"))
-    empty = placed.filter("size = 0").select(*keep, F.lit(None).cast("long").alias("slot"), F.lit(0).cast("long").alias("from_word"), F.lit(0).cast("long").alias("words"))
+    columns = [*keep, "_id", "_src", "_group", "_row", "size", "source_size", "target"]
+    used = joined.select(*columns, "slot", "from_word", F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0).cast("long").alias("words"))
+    empty = placed.filter("size = 0").select(*columns, F.lit(None).cast("long").alias("slot"), F.lit(0).cast("long").alias("from_word"), F.lit(0).cast("long").alias("words"))
     return used.unionByName(empty)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: (id_col, size, source_size, target, taken, first_slot).
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: (*keep, id_col, size, source_size, target, taken, first_slot).
 
     size counts words (null text: 0), taken the document's words in the mix, repeats included
     (at most max_epochs * size), first_slot where it first stands. Sources with no words have the
     target 0; a null source is a source; repeated rows are documents of their own; rows with a
-    null id are kept. Other columns are ignored. An empty table gives an empty result.
+    null id are kept. Columns of docs not in keep are ignored. An empty table gives an empty result.
     """
-    pieces = mix_pieces(docs, weights, max_epochs, id_col, text_col, source_col)
-    out = pieces.groupBy("_src", "_group", "_row", "_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
+    pieces = mix_pieces(docs, weights, max_epochs, id_col, text_col, source_col, keep)
+    out = pieces.groupBy(*keep, "_src", "_group", "_row", "_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    return out.select(*keep, F.col("_id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
 
 
 #: The digest in DuckDB: the same schedule, with each document's share of its source's taken words.

@@ -189,13 +189,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(features, weights if len(fitted) else np.zeros((0, 1)))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: (id_col, held_out, score, predicted).
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: (id_col, *keep, held_out, score, predicted).
 
     labels: (id_col, toxic 0/1/null); rows held out, null labels and null ids teach nothing.
     Whole texts are scored, by their words alone; empty and null texts get the score of a text
     without any feature. Repeated rows get equal scores; an empty table gives an empty result;
-    other columns of either table are ignored.
+    other columns of either table are ignored, but for those of docs in keep.
     """
     model = train(docs, labels.select(id_col, "toxic"), id_col, text_col)
 
@@ -207,5 +207,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
         model.words.clear()
         give_back()
 
-    out = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score"))
+    out = docs.select(F.col(id_col), *keep, held_out(F.col(id_col)).alias("held_out"), score(F.col(text_col)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -24,42 +24,58 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 BROADCAST_IDS = 1 << 20
 
 
-def _joined(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs joined with a small-rowed table on doc_id: broadcast while it is small enough."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _doc, a 64-bit hash of the whole row: ids may be null or stand on several rows, and
+    rows that agree in all columns can stand for each other."""
+    return docs.select(*COLUMNS, F.xxhash64(*[x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]).alias("_doc"))
+
+
+def _joined(docs: DataFrame, ids: DataFrame, how: str, on: str = "_doc") -> DataFrame:
+    """docs joined with a small-rowed table: broadcast while it is small enough."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids, on, how)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic (rows without an id stay)."""
-    scores = toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    toxic = stored(scores.filter("predicted = 1").select("doc_id").distinct())
-    return _joined(docs, toxic, "left_anti").select(*COLUMNS)
+    """Documents that are not predicted toxic, each row by its own text."""
+    return toxicity_scores(docs, table(spark, sf_dir, "labels"), keep=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; repeated rows of it once.
+    """The document with the smallest id of each component (one without an id only where no member
+    has one); repeated rows of it once.
 
-    Documents without words are no duplicates and all stay; so do rows without an id.
+    Documents without words are no duplicates and all stay.
     """
-    found = linked_components(docs).filter(F.col("doc_id").isNotNull())
-    dropped = stored(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    repeated = stored(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    kept = _joined(docs, dropped, "left_anti").select(*COLUMNS)
-    if repeated.isEmpty():
-        return kept
-    return _joined(kept, repeated, "left_anti").unionByName(_joined(kept, repeated, "left_semi").dropDuplicates(["doc_id"])).select(*COLUMNS)
+    docs = _keyed(docs)
+    found = linked_components(docs, "_doc").filter("n_shingles > 0").groupBy("_doc").agg(F.count("*").alias("_n"), F.first("component_id").alias("component_id"))
+    found = stored(found.join(docs.select("_doc", "doc_id").dropDuplicates(["_doc"]), "_doc"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_doc"))
+    groups = stored(found.groupBy("component_id").agg(F.count("*").alias("_members"), F.min_by("_doc", order).alias("_kept")).filter("_members > 1").select("component_id", "_kept"))
+    dropped = stored(_joined(found, groups, "inner", "component_id").filter("_doc <> _kept").select("_doc"))
+    repeated = stored(found.filter("_n > 1").select("_doc"))
+    kept = _joined(docs, dropped, "left_anti")
+    if not repeated.isEmpty():
+        kept = _joined(kept, repeated, "left_anti").unionByName(_joined(kept, repeated, "left_semi").dropDuplicates(["_doc"]))
+    return kept.select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it (to the nearest whole number).
 
-    Documents without words weigh nothing and stay once; rows without an id are left out.
+    Documents without words weigh nothing and stay once.
     """
-    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    per_id = mix_sources(docs).filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(times).alias("_times"))
-    taken = stored(per_id.filter("_times > 0"))
-    return _joined(docs, taken, "inner").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
+    docs = _keyed(docs)
+    times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("long")
+    # Equal rows share what the mix takes of them; one of them stands for the rest of the division.
+    taken = mix_sources(docs, keep=("_doc",)).groupBy("_doc").agg(F.count("*").alias("_n"), F.sum(times).alias("_sum"))
+    taken = stored(taken.select("_doc", F.expr("_sum div _n").alias("_times"), (F.col("_sum") % F.col("_n")).alias("_rest")))
+    copies = lambda rows, n: rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*COLUMNS)
+    out = copies(_joined(docs, taken.filter("_times > 0").select("_doc", "_times"), "inner"), "_times")
+    rest = taken.filter("_rest > 0").select("_doc", "_rest")
+    if rest.isEmpty():
+        return out
+    return out.unionByName(copies(_joined(docs, rest, "inner").dropDuplicates(["_doc"]), "_rest"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -343,3 +343,52 @@ def test_pipeline_stages_keep_columns(spark):
             assert set(out.columns) == set(p.COLUMNS)
         d = out.limit(60) if name == "toxicity" else out
     assert "piece_ids" in d.columns and d.count() > 0
+
+
+def test_pipeline_is_the_brute_force_one(spark, tmp_path):
+    import corpus_pipeline as p
+    import duckdb
+
+    rng = random.Random(21)
+    texts, toxic = [], []
+    for i in range(700):
+        words = [rng.choice(WORDS) for _ in range(20 + i % 60)]
+        if i % 7 == 0:
+            words[rng.randrange(20)] = rng.choice(["vileword", "nastyword"])
+        texts.append(" ".join(words))
+        toxic.append(int(i % 7 == 0))
+    ids = [None if i % 3 == 0 else i - 1 if i % 10 == 1 else i for i in range(700)]  # a third without an id, some ids on two texts
+    for i in (0, 3, 7, 8, 10, 11, 12, 700, 700):  # copies of rows, and copies under other ids
+        texts.append(texts[i] if i < 700 else texts[-1])
+        ids.append([ids[i], None, 5][i % 3] if i < 700 else ids[-1])
+    texts += ["", " ", None, "", ""]
+    ids += [None, 900, 901, None, None]
+    rows = [(i, t, "en", f"s{k % 3}", len(t or "")) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += [rows[4], rows[4], rows[6]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, t) for i, t in zip(ids, toxic) if i is not None and i % 10], "doc_id long, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    out = p.run(spark, str(tmp_path)).select("doc_id", "text", "source").collect()
+
+    model = toxicity.train(d, labels)
+    clean = [r for r in rows if model.score(r[1]) < 0.7]
+    assert sum(r[0] is None for r in rows) - sum(r[0] is None for r in clean) > 20
+    root, sizes = brute_components([r[1] for r in clean])
+    best = {}
+    for k, r in enumerate(clean):
+        if sizes[k]:
+            mine = (r[0] is None, r[0] or 0, k)
+            best[root[k]] = min(best.get(root[k], mine), mine)
+    kept = [r for k, r in enumerate(clean) if not sizes[k] or best[root[k]][2] == k]
+    assert len(kept) < len(clean)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", kept)
+    words = lambda t: len((t or "").split())
+    want = Counter()
+    for doc_id, size, _, _, taken in con.execute(mixing.MIX_SQL).fetchall():
+        want[doc_id, size] += 1 if size == 0 else int(taken / size + 0.5)
+    assert Counter((r.doc_id, words(r.text)) for r in out) == +want
+    assert {(r.doc_id, r.text, r.source) for r in out} <= {(r[0], r[1], r[3]) for r in kept}
+    assert sum(n for (i, _), n in want.items() if i is None) > 100
