@@ -19,6 +19,8 @@ from barlab.llm import jaccard, mixing, neighbours, sentencepieces, sharding, sy
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, score double, _id string"
 WORDS = [f"w{i}" for i in range(300)]
+#: An id that no double can hold.
+BIG = 2**53 + 1
 ODD = ["", " \n\t ", None, "one", "Ünï 漢字 😀", "x" * 5000, "a b c d", "A B C D", "long " * 30000]
 
 
@@ -142,24 +144,53 @@ def test_pieces_are_the_librarys(spark):
     assert sentencepieces.piece_digest(empty(spark), path).count() == 0
 
 
-def test_viterbi_finds_the_best_sum():
+def unigram_model(folder, pieces):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
     m.trainer_spec.model_type = 1
-    for p, s, t in [("<unk>", 0, 2), ("▁", -1, 1), ("a", -2, 1), ("b", -2, 1), ("ab", -5, 1), ("ba", -1, 1), ("aba", -2.5, 1)]:
-        m.pieces.add(piece=p, score=s, type=t)
+    for p, score in [("<unk>", 0.0), *pieces]:
+        m.pieces.add(piece=p, score=score, type=2 if p == "<unk>" else 1)
     m.normalizer_spec.remove_extra_whitespaces = False
-    import tempfile
+    path = folder / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
 
-    with tempfile.NamedTemporaryFile(suffix=".model", delete=False) as f:
-        f.write(m.SerializeToString())
-    x = sentencepieces.Pieces(f.name)
+
+def test_viterbi_finds_the_best_sum(tmp_path):
+    path = unigram_model(tmp_path, [("▁", -1), ("a", -2), ("b", -2), ("ab", -5), ("ba", -1), ("aba", -2.5)])
+    x = sentencepieces.Pieces(path)
     # The sums: aba b -4.5, a ba b -5, ab ab -10.
     assert [x.names[i] for i in x.encode("abab")] == ["▁", "aba", "b"]
     assert x.decode(x.encode("abab")) == "abab"
 
 
+def test_viterbi_is_the_librarys_on_a_unigram_model(spark, tmp_path):
+    rng = random.Random(14)
+    names = {c: rng.uniform(-9, -6) for c in "▁abcdeé漢"}
+    while len(names) < 400:
+        names["".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))] = rng.uniform(-9, -3)
+        names["▁" + "".join(rng.choice("abcde") for _ in range(rng.randint(1, 5)))] = rng.uniform(-9, -3)
+    path = unigram_model(tmp_path, list(names.items()))
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["".join(rng.choice("aabbccdde   éx漢") for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["abcde" * 400, "x" * 100, "", None, " "]
+    out = sentencepieces.encode_pieces(docs(spark, texts), path).select("doc_id", "piece_ids").collect()
+    for r in out:  # of equal sums either may come: compare the sums as well
+        want, got = lib.encode(texts[r.doc_id] or ""), list(r.piece_ids)
+        assert got == want or sum(lib.get_score(i) for i in got) == pytest.approx(sum(lib.get_score(i) for i in want), abs=1e-3)
+    assert sum(list(r.piece_ids) == lib.encode(texts[r.doc_id] or "") for r in out) > 270
+
+
+def test_piece_digest_is_of_the_librarys_ids(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [*ODD, "word " * 3, "null id", "near", "nearer"]
+    ids = [*range(len(ODD)), 3, None, BIG, BIG + 2]
+    out = sentencepieces.piece_digest(docs(spark, texts, ids).coalesce(1), path).collect()
+    want = [(i, len(e := lib.encode(t or "")), hashlib.sha256(np.array(e, "<i4").tobytes()).hexdigest(), lib.decode(e) == (t or "")) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+
+
 def test_components_are_exact(spark):
     texts = [*near_copies(), *ODD, *ODD[:3]]
     want, sizes = brute_components(texts)
