@@ -1,10 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy source schedule.
 
-The mix is a sequence of slots of equally many words. Slot t takes its source from the t-th
+The mix is a sequence of slots of about equally many words. Slot t takes its source from the t-th
 van der Corput point, read against the cumulative targets, so every stretch of the mix is
-close to the targets. Each source's documents, in shuffled order and repeated up to
-max_epochs times, are cut into blocks of the slot's length; the r-th slot of a source is
-joined to the r-th block.
+close to the targets. Points below a bound form arithmetic progressions in t, so a slot's rank
+among its source's slots is a short sum, without sorting or bounding the slots. Each source's
+documents, in shuffled order and repeated up to max_epochs times, are cut into as many equal
+blocks as the source has slots; the r-th slot of a source is joined to the r-th block. A source
+that no point meets gets one slot, so no source is left out, however small its share.
 """
 
 from __future__ import annotations
@@ -16,12 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import n_words, stored
 
-#: The schedule has at most this many slots at any input size: blocks grow with the corpus.
-MAX_SLOTS = 1 << 20
-#: Smallest block in words.
-MIN_BLOCK = 32
-#: Shuffled documents of one source fall into this many (16 ** 3) groups, summed separately.
-HEX_DIGITS = 3
+#: Words of a slot. The number of slots grows with the corpus; they are made and joined in parallel.
+SLOT_WORDS = 64
+#: Shuffled documents of one source fall into this many (16 ** 4) groups, summed separately.
+HEX_DIGITS = 4
 #: The tables of sources are broadcast up to this many rows; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -51,85 +51,120 @@ def van_der_corput(t: Column, bits: int) -> Column:
     return reduce(lambda a, b: a + b, (F.shiftleft(F.shiftright(t, i).bitwiseAND(F.lit(1).cast("long")), bits - 1 - i) for i in range(bits)), F.lit(0).cast("long"))
 
 
-def slot_schedule(targets: DataFrame, n_slots: int) -> DataFrame:
-    """(_src, _r, slot): the slots 0 to n_slots - 1 with their source and their rank in it."""
+def _progressions(edge: Column, bits: int) -> Column:
+    """The slots whose points lie below the edge, as progressions first, first + 2 ** power, ...:
+    one for each bit of the edge, of the points that agree with it up to there."""
+    one = F.lit(1).cast("long")
+    turned = van_der_corput(edge, bits)
+    parts = F.transform(F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("shiftright", edge, F.lit(bits - 1) - i).bitwiseAND(one) == 1), lambda i: F.struct(turned.bitwiseAND(F.call_function("shiftleft", one, i) - 1).alias("first"), (i + 1).alias("power")))
+    return F.when(edge == 1 << bits, F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).alias("power")))).otherwise(parts)
+
+
+def _members_before(slot: Column, progressions: Column) -> Column:
+    """How many numbers of the progressions are below `slot`."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(progressions, F.lit(0).cast("long"), lambda n, p: n + F.call_function("shiftright", slot - p["first"] - 1 + F.call_function("shiftleft", one, p["power"]), p["power"]))
+
+
+def source_slots(targets: DataFrame, n_slots: int) -> DataFrame:
+    """targets with each source's words (the target as a whole number), its interval of points and
+    how many slots it has: at least 1, if it has words, and at most its words. One row a source."""
     bits = max(1, (n_slots - 1).bit_length())
-    whole, coarse = 1 << bits, min(10, bits)
     order = Window.orderBy("_src").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("target").over(order)
     total = F.sum("target").over(Window.partitionBy())
-    edge = lambda x: F.ceil(x / total * whole).cast("long")
     # A source's points are those at or above its lower edge and below its upper edge.
-    spans = targets.filter("target > 0").withColumn("_hi", edge(upto)).withColumn("_lo", F.coalesce(F.lag("_hi").over(Window.orderBy("_src")), F.lit(0))).filter("_hi > _lo").select("_src", "_lo", "_hi")
-    spans = spans.withColumn("_cell", F.explode(F.sequence(F.shiftright("_lo", bits - coarse), F.shiftright(F.col("_hi") - 1, bits - coarse))))
-    points = targets.sparkSession.range(n_slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias("_point")).withColumn("_cell", F.shiftright("_point", bits - coarse))
-    slots = points.join(spans, "_cell").filter("_point >= _lo and _point < _hi").select("_src", "slot", F.shiftright("slot", 10).alias("_chunk"))
-    # Rank in two steps, so that no task holds all slots of a large source.
-    counts = slots.groupBy("_src", "_chunk").agg(F.count("*").alias("_n"))
-    counts = counts.select("_src", "_chunk", F.coalesce(F.sum("_n").over(Window.partitionBy("_src").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    inner = F.row_number().over(Window.partitionBy("_src", "_chunk").orderBy("slot")) - 1
-    return slots.withColumn("_inner", inner).join(counts, ["_src", "_chunk"]).select("_src", (F.col("_base") + F.col("_inner")).alias("_r"), "slot")
-
-
-def _placed(records: DataFrame, max_epochs: int, weights: tuple[int, ...], keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The records with their first word's place in their source's shuffled sequence; the targets."""
-    targets = stored(source_targets(records.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, max_epochs))
+    upper = F.when(total > 0, F.ceil(F.sum("target").over(order) / total * (1 << bits))).otherwise(0).cast("long")
+    spans = targets.withColumn("_words", F.round("target").cast("long")).withColumn("_hi", F.least(upper, F.lit(1 << bits).cast("long"))).withColumn("_lo", F.coalesce(F.lag("_hi").over(Window.orderBy("_src")), F.lit(0).cast("long")))
+    spans = spans.withColumn("_below_hi", _progressions(F.col("_hi"), bits)).withColumn("_below_lo", _progressions(F.col("_lo"), bits))
+    met = _members_before(F.lit(n_slots).cast("long"), F.col("_below_hi")) - _members_before(F.lit(n_slots).cast("long"), F.col("_below_lo"))
+    return spans.withColumn("_met", met).withColumn("_slots", F.least(F.greatest("_met", F.lit(1)), "_words"))
+
+
+def slot_schedule(sources: DataFrame, n_slots: int) -> DataFrame:
+    """(_src, _r, slot): the slots 0 to n_slots - 1 with their source and their rank in it.
+
+    A source that no point meets (see source_slots) shares the slot whose point is at its interval.
+    """
+    bits = max(1, (n_slots - 1).bit_length())
+    coarse = min(10, bits)
+    spans = sources.filter("_words > 0")
+    cells = spans.filter("_met > 0").withColumn("_cell", F.explode(F.sequence(F.shiftright("_lo", bits - coarse), F.shiftright(F.col("_hi") - 1, bits - coarse))))
+    points = sources.sparkSession.range(n_slots).select(F.col("id").alias("slot"), van_der_corput(F.col("id"), bits).alias("_point")).withColumn("_cell", F.shiftright("_point", bits - coarse))
+    rank = _members_before(F.col("slot"), F.col("_below_hi")) - _members_before(F.col("slot"), F.col("_below_lo"))
+    slots = points.join(cells, "_cell").filter("_point >= _lo and _point < _hi").withColumn("_r", rank).filter("_r < _slots").select("_src", "_r", "slot")
+    nearest = van_der_corput(F.least(F.col("_lo"), F.lit((1 << bits) - 1)), bits) % F.lit(n_slots)
+    return slots.unionByName(spans.filter("_met = 0").select("_src", F.lit(0).cast("long").alias("_r"), nearest.alias("slot")))
+
+
+def _placed(records: DataFrame, targets: DataFrame, max_epochs: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The records with their first word's place in their source's shuffled sequence, and a row number in it.
+
+    Rows that agree in everything are placed as one and taken apart afterwards, so that any number
+    of copies of a row is one row of a window.
+    """
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    known = targets.withColumnRenamed("_source", "_named")
-    named = records.join(F.broadcast(known) if few else known, F.col("_source").eqNullSafe(F.col("_named"))).drop("_named").withColumn("_group", F.substring("_key", 1, HEX_DIGITS))
-    sums = named.groupBy("_src", "_group").agg(F.sum("size").alias("_words"))
-    sums = sums.select("_src", "_group", F.coalesce(F.sum("_words").over(Window.partitionBy("_src").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    known = targets.select(F.col("_source").alias("_named"), "_src", "source_size", "target", "_words", "_slots")
+    distinct = records.groupBy("_source", "_key", "_id", "size", *keep).agg(F.count("*").alias("_m"))
+    named = distinct.join(F.broadcast(known) if few else known, F.col("_source").eqNullSafe(F.col("_named"))).drop("_named").withColumn("_group", F.substring("_key", 1, HEX_DIGITS)).withColumn("_all", F.col("size") * F.col("_m"))
+    sums = named.groupBy("_src", "_group").agg(F.sum("_all").alias("_sum"))
+    sums = sums.select("_src", "_group", F.coalesce(F.sum("_sum").over(Window.partitionBy("_src").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_src", "_group").orderBy("_key", "_id", "size", *keep)
-    counted = named.withColumn("_row", F.row_number().over(inside)).withColumn("_upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    return counted.join(sums, ["_src", "_group"]).withColumn("_start", F.col("_base") + F.col("_upto") - F.col("size")).drop("_base", "_upto"), targets
+    counted = named.withColumn("_row", F.row_number().over(inside)).withColumn("_upto", F.sum("_all").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    apart = counted.join(sums, ["_src", "_group"]).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
+    return apart.withColumn("_start", F.col("_base") + F.col("_upto") - F.col("_all") + F.col("_copy") * F.col("size")).drop("_base", "_upto", "_all", "_m")
 
 
 def mix_pieces(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """The mix itself, piece by piece, and documents that it leaves out.
 
-    Returns (*keep, _id, _src, _group, _row, size, source_size, target, slot, from_word, words): words of
-    the document from from_word on stand in that slot; documents (or repeats) outside the mix have
-    a null slot and no words. (_src, _group, _row) identifies the row of docs, whose columns keep are
-    carried along and settle the order of rows with equal ids and sizes.
+    Returns (*keep, _id, _src, _group, _row, _copy, size, source_size, target, slot, from_word, words): words
+    of the document from from_word on stand in that slot; documents outside the mix have a null slot
+    and no words. (_src, _group, _row, _copy) identifies the row of docs, whose columns keep are
+    carried along and settle the order of rows with equal ids and texts.
     """
-    text = F.col(text_col)
-    records = stored(docs.select(*keep, F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), n_words(text).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_key")))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.md5(F.concat(name, F.lit("|"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).cast("binary"))
+    records = stored(docs.select(*keep, F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), n_words(F.col(text_col)).alias("size"), key.alias("_key")))
     total = records.agg(F.sum("size")).first()[0] or 0
-    block = max(MIN_BLOCK, -(-total // MAX_SLOTS))
-    placed, targets = _placed(records, max_epochs, weights, keep)
-    placed = stored(placed)
-    slots = slot_schedule(targets, total // block)
-    epochs = placed.filter("size > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("_at", F.col("_epoch") * F.col("source_size") + F.col("_start"))
-    # Repeats that start over a whole extra epoch beyond the target can't be reached; one epoch is spare.
-    epochs = epochs.filter((F.col("_epoch") == 0) | (F.col("_at") <= F.col("target") + F.col("source_size")))
-    first, last = F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.col("size") - 1) / block)
-    pieces = epochs.withColumn("_r", F.explode(F.sequence(first, last)))
-    begin, end = F.greatest("_at", F.col("_r") * block), F.least(F.col("_at") + F.col("size"), (F.col("_r") + 1) * block)
-    joined = pieces.withColumn("from_word", begin - F.col("_at")).withColumn("words", end - begin).join(slots, ["_src", "_r"], "left")
-    columns = [*keep, "_id", "_src", "_group", "_row", "size", "source_size", "target"]
+    n_slots = max(1, -(-total // SLOT_WORDS))
+    targets = stored(source_slots(source_targets(records.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, max_epochs), n_slots))
+    placed = stored(_placed(records, targets, max_epochs, keep))
+    # Blocks of a source have _words div _slots words, the first ones one more.
+    short, longer = F.expr("_words div _slots"), F.col("_words") % F.col("_slots")
+    begin_of = lambda r: r * short + F.least(r, longer)
+    block_of = lambda at: F.when(at < longer * (short + 1), F.floor(at / (short + 1))).otherwise(longer + F.floor((at - longer * (short + 1)) / short))
+    epochs = placed.filter("size > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1)))).withColumn("_at", F.col("_epoch") * F.col("source_size") + F.col("_start")).filter("_at < _words")
+    epochs = epochs.withColumn("_end", F.least(F.col("_at") + F.col("size"), "_words"))
+    pieces = epochs.withColumn("_r", F.explode(F.sequence(block_of(F.col("_at")), block_of(F.col("_end") - 1))))
+    begin, end = F.greatest(F.col("_at"), begin_of(F.col("_r"))), F.least(F.col("_end"), begin_of(F.col("_r") + 1))
+    columns = [*keep, "_id", "_src", "_group", "_row", "_copy", "size", "source_size", "target"]
+    pieces = pieces.select(*columns, "_r", (begin - F.col("_at")).alias("from_word"), (end - begin).alias("words"))
+    joined = pieces.join(slot_schedule(targets, n_slots), ["_src", "_r"], "left")
     used = joined.select(*columns, "slot", "from_word", F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0).cast("long").alias("words"))
-    empty = placed.filter("size = 0").select(*columns, F.lit(None).cast("long").alias("slot"), F.lit(0).cast("long").alias("from_word"), F.lit(0).cast("long").alias("words"))
-    return used.unionByName(empty)
+    unused = placed.filter("size = 0 or _start >= _words").select(*columns, F.lit(None).cast("long").alias("slot"), F.lit(0).cast("long").alias("from_word"), F.lit(0).cast("long").alias("words"))
+    return used.unionByName(unused)
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epochs: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: (*keep, id_col, size, source_size, target, taken, first_slot).
 
     size counts words (null text: 0), taken the document's words in the mix, repeats included
-    (at most max_epochs * size), first_slot where it first stands. Sources with no words have the
-    target 0; a null source is a source; repeated rows are documents of their own; rows with a
-    null id are kept. Columns of docs not in keep are ignored. An empty table gives an empty result.
+    (at most max_epochs * size), first_slot where it first stands. The words taken of a source are
+    its target, as a whole number. Sources with no words have the target 0; a null source is a
+    source; repeated rows (ties in every respect) are documents of their own; rows with a null id
+    are kept; a very long text spans many slots. Columns of docs not in keep are ignored. An empty
+    table gives an empty result.
     """
     pieces = mix_pieces(docs, weights, max_epochs, id_col, text_col, source_col, keep)
-    out = pieces.groupBy(*keep, "_src", "_group", "_row", "_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    out = pieces.groupBy(*keep, "_src", "_group", "_row", "_copy", "_id", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return out.select(*keep, F.col("_id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
 
 
-#: The digest in DuckDB: the same schedule, with each document's share of its source's taken words.
+#: The digest in DuckDB: the same targets, and each document's share of its source's words.
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS k
+         md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS src FROM s),
@@ -139,20 +174,10 @@ l AS (
          / sum(weight) OVER (ORDER BY cap / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
   FROM c),
 t AS (SELECT source, src, source_size, least(cap, max(lv) OVER () * weight) AS target FROM l),
-g AS (SELECT sum(size)::BIGINT AS total, greatest(32, (sum(size)::BIGINT + 1048575) // 1048576)::BIGINT AS block FROM d),
-n AS (SELECT total, block, total // block AS slots,
-             greatest(1, length(ltrim(bin(greatest(total // block - 1, 0)), '0')))::BIGINT AS bits FROM g),
-v AS (
-  SELECT i, list_sum(list_transform(range(bits), lambda b: ((i >> b) & 1) * (1::BIGINT << (bits - 1 - b))))::BIGINT AS point
-  FROM n, range((SELECT slots FROM n)) AS r(i)),
-e AS (SELECT src, ceil(sum(target) OVER (ORDER BY src ROWS UNBOUNDED PRECEDING) / (sum(target) OVER ()) * (SELECT 1::BIGINT << bits FROM n))::BIGINT AS hi
-      FROM t WHERE target > 0),
-sp AS (SELECT src, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo, hi FROM e),
-q AS (SELECT src, count(*)::BIGINT AS n FROM v JOIN sp ON point >= lo AND point < hi GROUP BY src),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, coalesce(q.n, 0) * (SELECT block FROM n) AS reach,
+  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS reach,
          sum(d.size) OVER (PARTITION BY t.src ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN q ON t.src = q.src)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
        list_sum(list_transform([0, 1, 2], lambda x: least(size, greatest(0, reach - x * source_size - start))))::BIGINT AS taken
 FROM p
