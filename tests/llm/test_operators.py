@@ -317,20 +317,78 @@ def test_mix_of_repeated_rows_and_odd_texts(spark, oracle):
     assert rows_of(["doc_id", "size", "source_size", "target", "taken"], out) == rows_of(want.columns, want.fetchall())
 
 
-def test_fingerprints_of_edits(spark):
+def brute_sketch(text):
+    """Anchors of a text, character by character."""
+    c = [ord(x) for x in text]
+    spread = lambda x: int(syncmers.mix(np.array([x % 2**64], np.uint64))[0])
+    h = [spread(sum(f * x for f, x in zip(syncmers.FACTORS, c[i : i + 5], strict=True))) for i in range(len(c) - 4)]
+    first = {}
+    n = 0
+    for i in range(len(c) - 11):
+        if min(h[i : i + 8]) in (h[i], h[i + 7]):
+            n += 1
+            first.setdefault(spread(h[i] * 3 + h[i + 4] * 5 + h[i + 7] * 7) >> 32, i)
+    if text and not n:
+        return {int(hashlib.sha256(text.encode()).hexdigest()[:8], 16): 0}
+    return dict(sorted(first.items())[: max(48, n // 128)])
+
+
+def brute_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    bound = min([max(x) for x in (a, b) if len(x) >= 48], default=2**32)
+    a, b = ({h: p for h, p in x.items() if h <= bound} for x in (a, b))
+    pairs = sorted((a[h], b[h]) for h in a if h in b)
+    best = []
+    for i, (_, y) in enumerate(pairs):
+        best.append(1 + max([best[j] for j in range(i) if pairs[j][1] <= y], default=0))
+    return max(best, default=0) / len(a.keys() | b.keys())
+
+
+def test_fingerprints_are_the_brute_force_ones(spark):
     rng = random.Random(6)
-    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 200))) for _ in range(40)] + ODD
-    out = syncmers.fingerprint_edits(docs(spark, texts)).toPandas().set_index("doc_id")
-    plain = [t or "" for t in texts]
-    for i, t in enumerate(plain):
-        following = plain[i - 1] if i else plain[-1]
-        edited = syncmers.edited_text(t, following)
-        assert out.edited_sha256[i] == hashlib.sha256(edited.encode()).hexdigest() and out.n_chars[i] == len(t)
-        assert out.fingerprint[i] == syncmers.written(syncmers.sketch(t))
-    assert syncmers.likeness(*[syncmers.read(out.fingerprint[0])] * 2) == 1
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, 120))) for _ in range(40)] + [t for t in ODD if len(t or "") < 9000] + ["copy of a row, met often"] * 9 + ["", "tie", None]
+    ids = [*range(len(texts) - 12 - 5), *[None] * 5, *[BIG] * 4, *[None] * 5, BIG, BIG, BIG + 2]
+    d = docs(spark, texts, ids)
+    out = syncmers.fingerprint_edits(d).collect()
+    hashes = {r.t: r.h for r in d.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS h").collect()}
+    rows = sorted(zip(ids, ((t or "") for t in texts), strict=True), key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + following[:half]
+        a, b, c = map(brute_sketch, (t, edited, following))
+        show = lambda s: "".join(f"{h:08x}{p:08x}" for h, p in s.items())
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), show(a), show(b), brute_likeness(a, b), brute_likeness(a, c)))
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
     assert syncmers.fingerprint_edits(odd(spark)).count() == len(ODD) + 2 and syncmers.fingerprint_edits(empty(spark)).count() == 0
 
 
+def test_ranges_of_neighbours_split_hot_ids(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "RANGE_ROWS", 4)
+    rng = random.Random(16)
+    texts = [f"text {rng.random()}" for _ in range(200)]
+    ids = [None] * 70 + [5] * 60 + [BIG + i for i in range(70)]
+    d = docs(spark, texts, ids)
+    out = syncmers.fingerprint_edits(d).collect()
+    hashes = {r.text: r.h for r in d.selectExpr("text", "xxhash64(text) AS h").collect()}
+    rows = sorted(zip(ids, texts, strict=True), key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = [(i, hashlib.sha256(syncmers.edited_text(t, rows[(k + 1) % 200][1]).encode()).hexdigest()) for k, (i, t) in enumerate(rows)]
+    assert sorted(((r.doc_id, r.edited_sha256) for r in out), key=str) == sorted(want, key=str)
+    order, _ = syncmers.with_neighbours(d, "doc_id", "text")
+    assert max(r["count"] for r in order.groupBy("_range").count().collect()) < 40
+
+
+def test_places_of_long_texts_are_exact():
+    rng = random.Random(17)
+    parts = ["".join(rng.choice("abcdefghij ") for _ in range(40_000)) for _ in range(16)]
+    turned = parts[:8] + parts[8:][::-1]
+    a, b = syncmers.sketch("".join(parts)), syncmers.sketch("".join(turned))
+    assert syncmers.likeness(a, syncmers.read(syncmers.written(a))) == 1 and syncmers.likeness(a, b) < 0.75
+    assert len(a) > 5 * syncmers.ANCHORS
+
+
 def test_texts_without_syncmers_are_told_apart(spark):
     rng = random.Random(12)
     texts = ["Withthesones |", "The esingor.", "Reouti anatha."] + ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in range(12, 19) for _ in range(40)]
