@@ -74,8 +74,8 @@ def judge_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     """One row per row of captures: (id_col, url_col, time_col, host, blocked, n_active, list_name, pattern, category, valid_from).
 
     captures: time_col is a date. blocked tells whether any entry was active on the day of the
-    fetch; the reported one is the most specific (longest pattern, then list, then pattern).
-    Null or host-less URLs and null dates match nothing; repeated rows are judged alike, each on
+    fetch; the reported one is the most specific (longest pattern, then list, then pattern; of
+    equal entries the earliest). URLs of any length are matched whole. Null or host-less URLs and null dates match nothing; repeated rows are judged alike, each on
     its own row; empty tables give empty results or unblocked rows. Extra columns are ignored.
     """
     host = url_host(F.coalesce(F.col(url_col), F.lit("")))
@@ -101,14 +101,19 @@ def pages_as_captures(pages: DataFrame) -> DataFrame:
 
 
 def entries_from_pages(pages: DataFrame) -> DataFrame:
-    """Dated list entries derived from the given pages: every host and first path that occurs in a
-    third of the pages enters a list by page number, and some leave it 90 days later."""
+    """Dated list entries derived from all given pages: hosts, and hosts with path prefixes of every
+    depth, whose hash begins with 0 to 5 enter a list by page number, and some leave it 90 days
+    later. Half of the patterns spell their host in capitals, as lists from many hands do."""
     host = url_host(F.coalesce(F.col("url"), F.lit("")))
-    first = F.regexp_extract(url_path(F.col("url")), "^/([^/]+)", 1)
-    known = pages.select("page_id", host.alias("host"), first.alias("first")).filter("host <> '' and page_id % 3 = 0")
-    domain = known.select("page_id", F.col("host").alias("pattern"), F.lit("domains").alias("list_name"))
-    path = known.filter("first <> ''").select("page_id", F.concat_ws("/", "host", "first").alias("pattern"), F.lit("paths").alias("list_name"))
-    seen = domain.unionByName(path).groupBy("list_name", "pattern").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
+    parts = F.filter(F.split(url_path(F.col("url")), "/"), lambda p: p != "")
+    known = pages.select("page_id", host.alias("host"), parts.alias("parts")).filter("host <> ''")
+    domain = known.select("page_id", F.lit("domains").alias("list_name"), "host", F.lit("").alias("rest"))
+    prefixes = F.when(F.size("parts") > 0, F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    path = known.select("page_id", F.lit("paths").alias("list_name"), "host", F.explode(prefixes).alias("rest"))
+    digest = F.md5(F.concat("host", "rest").cast("binary"))
+    shown = F.when(F.substring(digest, 2, 1) < "8", F.upper("host")).otherwise(F.col("host"))
+    listed = domain.unionByName(path).filter(F.substring(digest, 1, 1) < "6").select("page_id", "list_name", F.concat(shown, "rest").alias("pattern"))
+    seen = listed.groupBy("list_name", "pattern").agg(F.min("page_id").alias("low"), F.max("page_id").alias("high"))
     start = F.date_add(F.lit("2023-01-01").cast("date"), F.pmod(F.col("low") * 11, F.lit(300)).cast("int"))
     category = F.when(F.col("high") % 2 == 0, "adult").otherwise("spam")
     added = seen.select("list_name", "pattern", start.alias("effective"), F.lit("add").alias("action"), category.alias("category"))
@@ -125,23 +130,24 @@ WITH p AS (
          lower(regexp_replace(regexp_extract(coalesce(url, ''), '{_SCHEME}(?:[^/?#@]*@)?([^/?#:@]*)', 1), '\.$', '')) AS host,
          regexp_extract(coalesce(url, ''), '{_SCHEME}[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
-k AS (SELECT page_id, host, regexp_extract(path, '^/([^/]+)', 1) AS first FROM p WHERE host <> '' AND page_id % 3 = 0),
-u AS (SELECT 'domains' AS list_name, host AS pattern, page_id FROM k
-      UNION ALL SELECT 'paths', host || '/' || first, page_id FROM k WHERE first <> ''),
+h AS (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda z: z <> '') AS f FROM p),
+n AS (SELECT page_id, 'domains' AS list_name, host, '' AS rest FROM h WHERE host <> ''
+      UNION ALL SELECT page_id, 'paths', host, unnest(list_transform(range(1, len(f) + 1), lambda a: '/' || array_to_string(f[1:a], '/'))) FROM h WHERE host <> ''),
+u AS (SELECT page_id, list_name, if(substr(md5(host || rest), 2, 1) < '8', upper(host), host) || rest AS pattern FROM n WHERE substr(md5(host || rest), 1, 1) < '6'),
 s AS (SELECT list_name, pattern, max(page_id) AS high, DATE '2023-01-01' + ((min(page_id) * 11) % 300)::INT AS d FROM u GROUP BY ALL),
 e AS (SELECT list_name, pattern, d AS effective, 'add' AS action, if(high % 2 = 0, 'adult', 'spam') AS category FROM s
       UNION ALL SELECT list_name, pattern, d + 90, 'remove', NULL FROM s WHERE high % 4 < 2
       UNION ALL SELECT list_name, pattern, d + 200, 'add', if(high % 2 = 0, 'adult', 'spam') FROM s WHERE high % 8 = 0),
-i AS (SELECT list_name, lower(pattern) AS pattern, category, effective AS valid_from, action,
-             lead(effective) OVER (PARTITION BY list_name, pattern ORDER BY effective) AS valid_to FROM e),
+i AS (SELECT *, effective AS valid_from, lead(effective) OVER (PARTITION BY list_name, pattern ORDER BY effective) AS valid_to
+      FROM (SELECT list_name, lower(split_part(pattern, '/', 1)) || substr(pattern, length(split_part(pattern, '/', 1)) + 1) AS pattern, category, effective, action FROM e)),
 x AS (
   SELECT DISTINCT page_id, url, fetched, pattern FROM (
     SELECT page_id, url, fetched, unnest(
       CASE WHEN host = '' THEN [] WHEN len(l) < 2 THEN [host]
            ELSE list_transform(range(1, len(l)), lambda a: array_to_string(l[a:], '.')) END
-      || CASE WHEN host = '' THEN [] ELSE list_transform(range(1, least(len(f), 2) + 1), lambda a: host || '/' || array_to_string(f[1:a], '/')) END) AS pattern
-    FROM (SELECT *, string_split(host, '.') AS l, list_filter(string_split(path, '/'), lambda z: z <> '') AS f FROM p))),
-a AS (SELECT x.page_id, x.url, x.fetched, i.* FROM x JOIN i ON x.pattern = i.pattern AND i.action = 'add'
+      || CASE WHEN host = '' THEN [] ELSE list_transform(range(1, len(f) + 1), lambda a: host || '/' || array_to_string(f[1:a], '/')) END) AS pattern
+    FROM h)),
+a AS (SELECT x.page_id, x.url, x.fetched, i.list_name, i.pattern, i.category, i.valid_from FROM x JOIN i ON x.pattern = i.pattern AND i.action = 'add'
       AND x.fetched >= i.valid_from AND (i.valid_to IS NULL OR x.fetched < i.valid_to)),
 b AS (SELECT *, count(*) OVER (PARTITION BY page_id, url, fetched) AS n,
              row_number() OVER (PARTITION BY page_id, url, fetched ORDER BY length(pattern) DESC, list_name, pattern, valid_from) AS r FROM a)

@@ -427,7 +427,6 @@ def test_lists_hold_from_day_to_day(spark):
 
     day = lambda m, x: dt.date(2023, m, x)
     entries = spark.createDataFrame([("l", "Bad.example", day(1, 10), "add", "spam"), ("l", "bad.example", day(3, 1), "remove", None), ("l", "ok.example/a", day(1, 1), "add", "adult"), ("l", None, day(1, 1), "add", "x")], "list_name string, pattern string, effective date, action string, category string")
-    entries = entries.withColumn("pattern", url_lists.F.lower("pattern"))
     captures = spark.createDataFrame(
         [(1, "http://www.bad.example/x", day(1, 9)), (2, "http://www.bad.example/x", day(1, 10)), (3, "https://BAD.example:8/", day(2, 28)), (4, "http://bad.example", day(3, 1)), (5, "http://ok.example/a/b?q", day(5, 5)), (6, "http://ok.example/b", day(5, 5)), (7, None, day(1, 15)), (8, "junk", None), (2, "http://www.bad.example/x", day(1, 10))],
         "page_id long, url string, fetched date",
@@ -470,6 +469,18 @@ def test_lists_hold_at_any_depth_and_case(spark):
     assert "ok.example/A/b/C/d" in set(out.pattern)
 
 
+def test_lists_odd_captures(spark):
+    import datetime as dt
+
+    rows = [(1, "http://bad.example/" + "a/" * 20_000, dt.date(2023, 2, 1), "x"), (None, "http://bad.example/", dt.date(2023, 2, 1), "y"), (None, None, None, None), (1, "", None, "z")] * 2
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched date, pattern string")
+    entries = spark.createDataFrame([("l", "bad.example", dt.date(2023, 1, 1), "add", "spam", 1)] * 3, "list_name string, pattern string, effective date, action string, category string, _id int")
+    out = url_lists.judge_captures(captures, entries).toPandas()
+    assert len(out) == 8 and out.blocked.sum() == 4 and set(out[out.blocked].n_active) == {1}
+    assert not url_lists.judge_captures(captures, entries.limit(0)).filter("blocked").count()
+    assert url_lists.entries_from_pages(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline as p
 
