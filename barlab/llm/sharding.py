@@ -3,11 +3,14 @@
 Records are ordered by a hash of their text, so copies of a text stay together. A bounded,
 size-weighted sample of keys gives quantile splitters; the records are range-partitioned by
 them, ranges that turn out overfull are subdivided, and the exact byte counts of all ranges,
-laid end to end, are cut into shards of near equal bytes.
+laid end to end, are cut into shards of near equal bytes. Keys that would fill a range alone
+are dealt first: whole to a shard with room for them, else subdivided by row.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ SAMPLE = 4096
 RANGES_PER_SHARD = 16
 #: A range over this share of a shard is subdivided.
 OVERFULL = 1 / 64
+#: Rows (expected) of a part of a piece within which slots are numbered.
+NUMBERED_ROWS = 1 << 18
 
 
 def text_size(text: Column) -> Column:
@@ -26,28 +31,26 @@ def text_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def sample_splitters(records: DataFrame, total: int, n_ranges: int, sample: int = SAMPLE) -> tuple[list[int], list[int]]:
-    """Splitters at the quantiles of a size-weighted key sample, and the keys that fill a range alone.
+def sample_splitters(records: DataFrame, total: int, n_ranges: int, sample: int = SAMPLE) -> tuple[list[int], dict[int, int]]:
+    """Splitters at the quantiles of a size-weighted key sample; the keys that fill a range alone, with their size.
 
-    records: (_key, _tie, _size). A record is drawn floor(size * sample / total + u) times, u
-    uniform and a function of the record, so that the expected number of draws is `sample` and
-    reruns draw the same. Keys are aggregated before they are collected.
+    records: (_key, _size). Sizes are summed by key first; a key is drawn
+    floor(size * sample / total + u) times, u uniform and a function of the key, so that the expected
+    number of draws is `sample` and reruns draw the same.
     """
     if total <= 0:
-        return [], []
-    unit = F.pmod(F.xxhash64("_tie", "_key", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    draws = F.floor(F.col("_size") * F.lit(sample / total) + unit)
-    drawn = records.select("_key", draws.alias("_n")).filter("_n > 0").groupBy("_key").agg(F.sum("_n").alias("_n")).collect()
+        return [], {}
+    unit = F.pmod(F.xxhash64("_key", F.lit("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draws = F.floor(F.col("_all") * F.lit(sample / total) + unit)
+    drawn = records.groupBy("_key").agg(F.sum("_size").alias("_all")).withColumn("_n", draws).filter("_n > 0").collect()
     drawn.sort()
     n_drawn = sum(r._n for r in drawn)
-    splitters, heavy, seen = [], [], 0
+    splitters, seen = [], 0
     for r in drawn:
-        if r._n * n_ranges >= n_drawn:
-            heavy.append(r._key)
         if (seen * n_ranges) // n_drawn != ((seen + r._n) * n_ranges) // n_drawn:
             splitters.append(r._key)
         seen += r._n
-    return splitters, heavy
+    return splitters, {r._key: r._all for r in drawn if r._all * n_ranges >= total}
 
 
 def _count_below(key: Column, splitters: list[int]) -> Column:
@@ -66,38 +69,74 @@ def _count_below(key: Column, splitters: list[int]) -> Column:
     return out
 
 
+def place_heavy(heavy: dict[int, int], total: int, n_shards: int) -> dict[int, int]:
+    """The shard of each heavy key that fits whole into the emptiest one, largest first."""
+    room, out = [total / n_shards] * n_shards, {}
+    for key, size in sorted(heavy.items(), key=lambda x: (-x[1], x[0])):
+        best = max(range(n_shards), key=lambda i: room[i])
+        if size <= room[best]:
+            room[best] -= size
+            out[key] = best
+    return out
+
+
+def cut_into_shards(units: list[tuple[int, int]], whole: dict[int, int], total: int, n_shards: int) -> list[int]:
+    """The shard of each unit (range, bytes): ranges in `whole` go where that says; the others, end to end,
+    fill what room these leave, each unit by its middle."""
+    room = [total / n_shards] * n_shards
+    for rng, size in units:
+        if rng in whole:
+            room[whole[rng]] -= size
+    ends = [sum(room[: i + 1]) for i in range(n_shards)]
+    out, upto = [], 0
+    for rng, size in units:
+        if rng in whole:
+            out.append(whole[rng])
+            continue
+        out.append(min(n_shards - 1, bisect_right(ends, upto + size / 2)))
+        upto += size
+    return out
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Deal the rows of docs into n_shards shards of near equal bytes.
 
     Returns (id_col, size, text_crc32, shard, slot): size is UTF-8 bytes plus 1, slot is gapless
-    from 0 within a shard. Rows with equal texts go to one shard unless they alone overfill a
-    range; those are split by id. A null text has size 1 and the checksum of the empty text, a
-    null id is a value like any other, repeated rows each get a slot, an empty table gives an
-    empty result; columns other than the two named are ignored.
+    from 0 within a shard. Rows with equal texts go to one shard unless they don't fit into one;
+    those are split row by row, whatever their ids. A null text has size 1 and the checksum of the
+    empty text, a null id is a value like any other, repeated rows (ties in all columns) each get
+    a slot, a very long text is one row of its size (sizes are then near equal up to that row), an
+    empty table gives an empty result; columns other than the two named are ignored.
     """
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    # One pass over the texts; everything after it reads this table of a few numbers a row.
-    records = stored(docs.select(F.col(id_col).alias("_id"), text_size(F.col(text_col)).alias("_size"), crc.alias("_crc"), key.alias("_key")).withColumn("_tie", F.xxhash64("_id")))
-    total = records.agg(F.sum("_size")).first()[0] or 0
-    n_ranges = n_shards * RANGES_PER_SHARD
+    # One pass over the texts; everything after it reads this table of a few numbers a row. _row tells
+    # repeated rows apart; it is written, so it stays.
+    records = stored(docs.select(F.col(id_col).alias("_id"), text_size(F.col(text_col)).alias("_size"), crc.alias("_crc"), key.alias("_key"), F.monotonically_increasing_id().alias("_row")))
+    sums = records.agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")).first()
+    total, n_ranges = sums.bytes or 0, n_shards * RANGES_PER_SHARD
     splitters, heavy = sample_splitters(records, total, n_ranges, sample)
     # A heavy key is a range by itself: its own position and one after it.
-    ranged = records.withColumn("_range", _count_below(F.col("_key"), splitters) * 2 + (F.col("_key").isin(heavy).cast("int") if heavy else F.lit(0)))
+    place = lambda k: 2 * bisect_right(splitters, k) + 1
+    ranged = records.withColumn("_range", _count_below(F.col("_key"), splitters) * 2 + (F.col("_key").isin(list(heavy)).cast("int") if heavy else F.lit(0)))
+    whole = {place(k): shard for k, shard in place_heavy(heavy, total, n_shards).items()}
     limit = max(1, int(total * OVERFULL / n_shards))
-    # Pieces of overfull ranges: by key where copies can stay together, by id inside a heavy key.
-    spread = F.when(F.col("_range") % 2 == 1, F.col("_tie")).otherwise(F.xxhash64("_key", F.lit("piece")))
-    sums = ranged.groupBy("_range").agg(F.sum("_size").alias("_bytes"))
-    pieces = sums.select("_range", F.ceil(F.col("_bytes") / F.lit(limit)).cast("int").alias("_pieces"))
-    placed = ranged.join(F.broadcast(pieces), "_range").withColumn("_piece", F.pmod(spread, F.col("_pieces")).cast("int"))
-    # At most 2 * n_ranges ranges and total / limit pieces more: a bounded table, whatever the input.
-    units = placed.groupBy("_range", "_piece").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
-    before = Window.orderBy("_range", "_piece").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.coalesce(F.sum("_bytes").over(before), F.lit(0)) + F.col("_bytes") / 2
-    cut = F.least(F.floor(middle * n_shards / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int")
-    units = units.withColumn("shard", cut)
-    in_shard = Window.partitionBy("shard").orderBy("_range", "_piece").rowsBetween(Window.unboundedPreceding, -1)
-    units = units.select("_range", "_piece", "shard", F.coalesce(F.sum("_rows").over(in_shard), F.lit(0)).alias("_first"))
-    in_unit = Window.partitionBy("_range", "_piece").orderBy("_key", "_id", "_size", "_crc")
-    numbered = placed.withColumn("_row", F.row_number().over(in_unit)).join(F.broadcast(units), ["_range", "_piece"])
-    return numbered.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_first") + F.col("_row") - 1).cast("long").alias("slot"))
+    # At most 2 * n_ranges + 2 ranges, and total / limit pieces more: bounded lists, whatever the input.
+    size_of = {r._range: r._bytes for r in ranged.groupBy("_range").agg(F.sum("_size").alias("_bytes")).collect()}
+    pieces = [1 if i in whole else -(-size_of.get(i, 0) // limit) or 1 for i in range(2 * len(splitters) + 2)]
+    first = [sum(pieces[:i]) for i in range(len(pieces))]
+    at = lambda values, i: F.element_at(F.lit(values), i + 1)
+    # Pieces of overfull ranges: by key where copies can stay together, by row inside a heavy key.
+    spread = F.when(F.col("_range") % 2 == 1, F.xxhash64("_row")).otherwise(F.xxhash64("_key", F.lit("piece")))
+    unit = at(first, F.col("_range")) + F.pmod(spread, at(pieces, F.col("_range"))).cast("int")
+    part = F.pmod(F.xxhash64("_row", F.lit("part")), F.lit(max(1, sums.rows // (NUMBERED_ROWS * sum(pieces))))).cast("int")
+    placed = ranged.withColumn("_unit", unit).withColumn("_part", part)
+    counts = placed.groupBy("_unit", "_part").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
+    bytes_of = {r._unit: r._bytes for r in counts.groupBy("_unit").agg(F.sum("_bytes").alias("_bytes")).collect()}
+    units = [(i, bytes_of.get(first[i] + j, 0)) for i in range(len(pieces)) for j in range(pieces[i])]
+    shard = at(cut_into_shards(units, whole, total, n_shards), F.col("_unit"))
+    in_shard = Window.partitionBy("shard").orderBy("_unit", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("shard", shard).select("_unit", "_part", "shard", F.coalesce(F.sum("_rows").over(in_shard), F.lit(0)).alias("_first"))
+    in_part = Window.partitionBy("_unit", "_part").orderBy("_key", "_id", "_size", "_crc", "_row")
+    numbered = placed.withColumn("_number", F.row_number().over(in_part)).join(counts, ["_unit", "_part"])
+    return numbered.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_first") + F.col("_number") - 1).cast("long").alias("slot"))

@@ -422,6 +422,36 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.shard_by_bytes(odd(spark)).count() == len(ODD) + 2 and sharding.shard_by_bytes(empty(spark)).count() == 0
 
 
+def shards_of(out, n=8):
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+    return out.groupby("shard")["size"].sum().reindex(range(n), fill_value=0)
+
+
+def test_shards_hold_their_law_for_repeated_rows(spark):
+    # One text under null ids, under one id, or as wholly repeated rows: still near equal bytes.
+    for ids in ([None] * 4000, [7] * 4000, list(range(4000))):
+        out = sharding.shard_by_bytes(docs(spark, ["the same text of all rows"] * 4000, ids)).toPandas()
+        size = shards_of(out)
+        assert len(out) == 4000 and size.max() < 1.1 * size.mean() and size.min() > 0.9 * size.mean()
+
+
+def test_shards_keep_groups_whole_where_they_fit(spark):
+    rng = random.Random(18)
+    groups = {f"group {k} " * 9: n for k, n in enumerate([900, 700, 500, 300, 200, 90, 40])}
+    texts = [t for t, n in groups.items() for _ in range(n)] + [str(rng.random()) * rng.randint(1, 20) for _ in range(9000)]
+    out = sharding.shard_by_bytes(docs(spark, texts, [None if i % 3 else i for i in range(len(texts))])).toPandas()
+    size = shards_of(out)
+    assert size.max() < 1.06 * size.mean() and size.min() > 0.94 * size.mean()
+    assert (out.groupby("text_crc32")["shard"].nunique() == 1).all()
+
+
+def test_heavy_keys_are_placed_by_room():
+    assert sharding.place_heavy({1: 50, 2: 60, 3: 99, 4: 10}, 800, 8) == {3: 0, 2: 1, 1: 2, 4: 3}
+    assert sharding.place_heavy({1: 150}, 800, 8) == {}
+    assert sharding.cut_into_shards([(0, 40), (1, 60), (2, 60), (4, 40)], {1: 1}, 200, 2) == [0, 1, 0, 1]
+
+
 def test_lists_hold_from_day_to_day(spark):
     import datetime as dt
 
