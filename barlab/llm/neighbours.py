@@ -16,24 +16,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a query block and of a candidate block (expected; rows are dealt by hash), and of a tile.
-QUERY_ROWS, CANDIDATE_ROWS, TILE_ROWS = 1024, 16384, 2048
+#: Rows of a query block and of a candidate block (expected; rows are dealt by hash), and of a tile. Each
+#: candidate is copied once per query block: wide query blocks keep the shuffle small.
+QUERY_ROWS, CANDIDATE_ROWS, TILE_ROWS = 4096, 16384, 512
+#: Components whose integer products float32 sums exactly: 1024 * 127 * 127 < 2 ** 24.
+EXACT_WIDTH = 1024
 #: Queries whose lists are merged in one task group.
 MERGED_QUERIES = 16
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows as whole numbers in -127..127 (held in float32, which multiplies them exactly up to
-    about 1000 components), their scales, and the 1-norms of the rows as given."""
-    top = np.abs(x).max(axis=1)
-    scale = top / 127.0
+    """Rows as int8, their scales, and the 1-norms of the rows as given."""
+    scale = np.abs(x).max(axis=1) / 127.0
     whole = np.rint(x / np.where(scale > 0, scale, 1)[:, None])
-    return whole.astype(np.float32), scale, np.abs(x).sum(axis=1)
+    return np.clip(whole, -127, 127).astype(np.int8), scale, np.abs(x).sum(axis=1)
+
+
+def integer_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of int8 rows, exact: float32 multiplies tiles of at most EXACT_WIDTH components
+    without rounding, wider rows are summed over such tiles."""
+    out = np.zeros((len(q), len(c)))
+    for at in range(0, q.shape[1], EXACT_WIDTH):
+        out += q[:, at : at + EXACT_WIDTH].astype(np.float32) @ c[:, at : at + EXACT_WIDTH].astype(np.float32).T
+    return out
 
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Inner products of paired rows in double precision, components added in order."""
-    return np.cumsum(q * c, axis=1)[:, -1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.cumsum(q * c, axis=1)[:, -1]
 
 
 class Block:
@@ -47,24 +58,30 @@ class Block:
 def search_block(query_ids: np.ndarray, queries: np.ndarray, block: Block, k: int) -> list[list[tuple[float, int]]]:
     """For each query its k nearest of the block as a heap of (score, -id), the worst first."""
     whole, scale, norm = quantised(queries)
-    reach = scale * np.abs(whole).sum(axis=1)  # 1-norm of the quantised query
+    reach = scale * np.abs(whole.astype(np.int32)).sum(axis=1)  # 1-norm of the quantised query
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     worst = np.full(len(query_ids), -np.inf)
     for at in range(0, len(block.ids), TILE_ROWS):
         tile = slice(at, at + TILE_ROWS)
         ids = block.ids[tile]
-        near = (whole @ block.whole[tile].T) * (scale[:, None] * block.scale[tile][None, :])
-        # x.y = (a+e).(b+f) with |e| <= scale_x / 2, |f| <= scale_y / 2 in every component
-        error = 0.5 * (reach[:, None] * block.scale[tile][None, :] + scale[:, None] * block.norm[tile][None, :])
-        error = error * (1 + 1e-5) + 1e-6 * np.abs(near) + 1e-300
-        near[query_ids[:, None] == ids[None, :]] = -np.inf
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = integer_products(whole, block.whole[tile]) * (scale[:, None] * block.scale[tile][None, :])
+            # x.y = (a+e).(b+f) with |e| <= scale_x / 2, |f| <= scale_y / 2 in every component
+            error = 0.5 * (reach[:, None] * block.scale[tile][None, :] + scale[:, None] * block.norm[tile][None, :])
+            error = error * (1 + 1e-5) + 1e-6 * np.abs(near) + 1e-300
+            # Where products overflow, or scales underflow, nothing is known before the exact product.
+            vague = ~(np.isfinite(near) & np.isfinite(error)) | (scale < 1e-150)[:, None] | (block.scale[tile] < 1e-150)[None, :]
+            upper, lower = np.where(vague, np.inf, near + error), np.where(vague, -np.inf, near - error)
+        own = query_ids[:, None] == ids[None, :]
+        lower[own] = -np.inf
         floor = worst
         if len(ids) > k:  # k candidates of this tile are certain to reach their lower bounds
-            lower = near - error
             floor = np.maximum(worst, np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k])
-        rows, cols = np.nonzero((near + error >= floor[:, None]) & np.isfinite(near))
+        rows, cols = np.nonzero((upper >= floor[:, None]) & ~own)
         scores = products(queries[rows], block.vectors[tile][cols])
         for r, s, i in zip(rows.tolist(), scores.tolist(), ids[cols].tolist(), strict=True):
+            if s != s:  # an overflow of both signs is no number
+                continue
             heap, item = heaps[r], (s, -i)
             if len(heap) < k:
                 heapq.heappush(heap, item)
@@ -84,7 +101,8 @@ def usable(vector: str) -> Column:
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for rows with id divisible by `every`, their k nearest rows.
 
-    Nearest means the largest inner product; ties go to the smaller id. A query's own id is no
+    Nearest means the largest inner product; ties go to the smaller id. Products that overflow are
+    infinite and count as such; a sum of both infinities is no number and takes no part. A query's own id is no
     candidate. Rows with a null id or an unusable vector take no part; vectors of different lengths
     are not compared. Of repeated rows (equal ids) the one with the smallest vector takes part, so
     ids in a list are distinct. An empty table gives an empty result; other columns are ignored.

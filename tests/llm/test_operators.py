@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -242,6 +245,18 @@ def test_nearest_is_exact_with_ties_and_odd_vectors(spark):
     assert neighbours.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_of_huge_tiny_and_wide_vectors(spark):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=(60, 8)) * 1e200, rng.normal(size=(60, 8)) * 1e-160, rng.normal(size=(60, 3000)), rng.integers(-1, 2, size=(60, 1500)) * 127.0):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        out = neighbours.nearest(df).toPandas()
+        for q in (0, 20, 40):
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = {i: float(np.cumsum(x[q] * x[i])[-1]) for i in range(60) if i != q}
+            best = sorted((i for i in score if score[i] == score[i]), key=lambda i: (-score[i], i))[:20]
+            assert out[out.query_id == q].sort_values("rank").vec_id.tolist() == best
+
+
 def test_derivatives_link_and_round_trip(spark, tmp_path):
     page = '<html lang="en"><head><title>T &amp; U</title><script>no()</script></head><body><p>One&nbsp;<b>two</b></p><!-- x --><a href="/y">z</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a.example/", page), (2, None, None), (3, "http://b.example/", ""), (1, "http://a.example/", page)], "page_id long, url string, html string")
@@ -258,6 +273,82 @@ def test_derivatives_link_and_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back[key].values)) == sorted(map(tuple, records.toPandas()[key].values))
 
 
+class PageText(HTMLParser):
+    """The text, title, links and language of a page by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.parts, self.links, self.title, self.lang, self.hidden, self.inside = [], [], None, "", 0, False
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        attrs = dict(attrs)
+        self.hidden += tag in ("script", "style")
+        if tag == "a" and "href" in attrs:
+            self.links.append(attrs["href"])
+        if tag == "html":
+            self.lang = self.lang or attrs.get("lang", "").lower()
+        if tag == "title" and self.title is None:
+            self.title, self.inside = "", True
+        self.parts.append("\n" if tag in warc._BREAKS else " " if tag in ("td", "th") else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+        self.inside &= tag != "title"
+        self.parts.append("\n" if tag in warc._BREAKS else " " if tag in ("td", "th") else "")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.title += data
+        self.parts.append(" " if self.hidden else data)
+
+
+def test_derivatives_of_all_pages_are_the_parsers(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    records = warc.build_derivatives(warc.responses_from_pages(pages), keep=("page_id",)).collect()
+    of = {(r.page_id, r.record_type): r for r in records}
+    for page_id, url, source in pages.select("page_id", "url", "html").collect():
+        want = PageText(source or "")
+        lines = [" ".join(x.split()) for x in "".join(want.parts).split("\n")]
+        conv, meta = of[page_id, "conversion"], of[page_id, "metadata"]
+        assert [" ".join(x.split()) for x in conv.block.split("\n") if x] == [x for x in lines if x]
+        fields = [x.split(": ", 1) for x in meta.block.split("\r\n") if x]
+        assert dict(fields)["title"] == " ".join((want.title or "").split()) and dict(fields)["declaredLanguage"] == want.lang
+        assert [v for k, v in fields if k == "outlink"] == [" ".join(x.split()) for x in want.links if x.strip()]
+        assert conv.target_uri == meta.target_uri == url and conv.refers_to == meta.refers_to
+        assert conv.payload_digest == meta.payload_digest == "sha1:" + base64.b32encode(hashlib.sha1((source or "").encode()).digest()).decode()
+        assert conv.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(conv.block.encode()).digest()).decode()
+
+
+def test_hostile_pages_take_linear_time():
+    began = time.time()
+    for part in ("<a ", "<title>", "<script ", "<!-- ", "<p ", "<html ", "</title ", "<a href = ", "<svg>", "&lt", "< "):
+        for end in ("", ">", "<b>x</b>"):
+            page = part * 100_000 + end
+            warc.page_fields(page, warc.plain_text(page))
+    assert time.time() - began < 60
+
+
+def test_unclosed_parts_of_pages():
+    assert warc.plain_text("a<script>b > c") == "a" and warc.plain_text("a<!-- b <p> c") == "a"
+    assert warc.plain_text("a <b>c</b> < d > e <i") == "a c < d > e <i"
+    assert warc.page_fields("<title>never closed <a href=x>", "")[0] == ("title", "")
+
+
+def test_derivatives_of_odd_responses(spark, tmp_path):
+    schema = "record_id string, target_uri string, record_date string, source_headers string, payload string, block string, _keep_page_id int, page_id long"
+    rows = [("<r1>", "http://a/\r\nX: y", "d", "A: b | c\\n\r\nB: \n", "<p>x</p>" * 50_000, "z", 1, BIG), (None, None, None, None, None, None, None, None), ("<r3>", "", "", "", "", "", 3, 3)]
+    responses = spark.createDataFrame([*rows, rows[2]], schema)
+    out = warc.build_derivatives(responses, keep=("page_id",)).collect()
+    assert len(out) == 8 and Counter(r.page_id for r in out) == {BIG: 2, None: 2, 3: 4}
+    assert warc.build_derivatives(responses.limit(0)).count() == 0
+    records = warc.build_derivatives(responses)
+    warc.write_warc(records, str(tmp_path / "w"))
+    back = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    show = lambda r: (r.record_type, r.record_id, r.target_uri.replace("\r\n", "%0D%0A"), r.source_headers, r.block_digest, r.block)
+    assert sorted(map(show, back)) == sorted(map(show, records.collect()))
+
+
 def test_mix_meets_targets(spark):
     rng = random.Random(4)
     texts = [" ".join(["w"] * rng.randint(0, 60)) for _ in range(600)] + [None, "  "]
