@@ -20,8 +20,9 @@ from .common import n_words, stored
 
 #: Words of a slot. The number of slots grows with the corpus; they are made and joined in parallel.
 SLOT_WORDS = 64
-#: Shuffled documents of one source fall into this many (16 ** 4) groups, summed separately.
-HEX_DIGITS = 4
+#: Shuffled documents of one source fall into this many (16 ** 4) groups, summed separately; their sums
+#: are added up within 16 ** 2 parts first.
+HEX_DIGITS, COARSE_DIGITS = 4, 2
 #: The tables of sources are broadcast up to this many rows; beyond, they are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -107,7 +108,10 @@ def _placed(records: DataFrame, targets: DataFrame, max_epochs: int, keep: tuple
     distinct = records.groupBy("_source", "_key", "_id", "size", *keep).agg(F.count("*").alias("_m"))
     named = distinct.join(F.broadcast(known) if few else known, F.col("_source").eqNullSafe(F.col("_named"))).drop("_named").withColumn("_group", F.substring("_key", 1, HEX_DIGITS)).withColumn("_all", F.col("size") * F.col("_m"))
     sums = named.groupBy("_src", "_group").agg(F.sum("_all").alias("_sum"))
-    sums = sums.select("_src", "_group", F.coalesce(F.sum("_sum").over(Window.partitionBy("_src").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    sums = sums.withColumn("_part", F.substring("_group", 1, COARSE_DIGITS))
+    before = lambda keys, order: F.coalesce(F.sum("_sum").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = sums.groupBy("_src", "_part").agg(F.sum("_sum").alias("_sum")).select("_src", "_part", before(["_src"], "_part").alias("_far"))
+    sums = sums.withColumn("_near", before(["_src", "_part"], "_group")).join(coarse, ["_src", "_part"]).select("_src", "_group", (F.col("_near") + F.col("_far")).alias("_base"))
     inside = Window.partitionBy("_src", "_group").orderBy("_key", "_id", "size", *keep)
     counted = named.withColumn("_row", F.row_number().over(inside)).withColumn("_upto", F.sum("_all").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     apart = counted.join(sums, ["_src", "_group"]).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
