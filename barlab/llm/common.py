@@ -33,11 +33,13 @@ def n_words(text: Column) -> Column:
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the setting is absent (tests, notebooks in local mode) a temporary folder is
-    made and set once for the session.
+    Where the setting is absent, a temporary folder is made and set once for the session; only in
+    local mode (tests, notebooks), as on a cluster executors would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -52,6 +54,25 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Intermediate:
+    """Stored tables that one call needs for a while; clear() deletes them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = scratch(self.spark)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []
+
+
 def remembered(name: Any, make: Callable[[], Any]) -> Any:
     """What make() gives, kept by the Python worker for its next tasks of the same name.
 

@@ -23,7 +23,7 @@ RANGES_PER_SHARD = 16
 #: A range over this share of a shard is subdivided.
 OVERFULL = 1 / 64
 #: Rows (expected) of a part of a piece within which slots are numbered.
-NUMBERED_ROWS = 1 << 18
+NUMBERED_ROWS = 1 << 15
 
 
 def text_size(text: Column) -> Column:
@@ -113,8 +113,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     # One pass over the texts; everything after it reads this table of a few numbers a row. _row tells
     # repeated rows apart; it is written, so it stays.
     records = stored(docs.select(F.col(id_col).alias("_id"), text_size(F.col(text_col)).alias("_size"), crc.alias("_crc"), key.alias("_key"), F.monotonically_increasing_id().alias("_row")))
-    sums = records.agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows")).first()
-    total, n_ranges = sums.bytes or 0, n_shards * RANGES_PER_SHARD
+    total, n_ranges = records.agg(F.sum("_size")).first()[0] or 0, n_shards * RANGES_PER_SHARD
     splitters, heavy = sample_splitters(records, total, n_ranges, sample)
     # A heavy key is a range by itself: its own position and one after it.
     place = lambda k: 2 * bisect_right(splitters, k) + 1
@@ -122,14 +121,15 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     whole = {place(k): shard for k, shard in place_heavy(heavy, total, n_shards).items()}
     limit = max(1, int(total * OVERFULL / n_shards))
     # At most 2 * n_ranges + 2 ranges, and total / limit pieces more: bounded lists, whatever the input.
-    size_of = {r._range: r._bytes for r in ranged.groupBy("_range").agg(F.sum("_size").alias("_bytes")).collect()}
-    pieces = [1 if i in whole else -(-size_of.get(i, 0) // limit) or 1 for i in range(2 * len(splitters) + 2)]
+    held = {r._range: r for r in ranged.groupBy("_range").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows")).collect()}
+    pieces = [1 if i in whole or i not in held else -(-held[i]._bytes // limit) for i in range(2 * len(splitters) + 2)]
+    parts = [1 if i not in held else -(-held[i]._rows // (NUMBERED_ROWS * pieces[i])) for i in range(len(pieces))]
     first = [sum(pieces[:i]) for i in range(len(pieces))]
     at = lambda values, i: F.element_at(F.lit(values), i + 1)
     # Pieces of overfull ranges: by key where copies can stay together, by row inside a heavy key.
     spread = F.when(F.col("_range") % 2 == 1, F.xxhash64("_row")).otherwise(F.xxhash64("_key", F.lit("piece")))
     unit = at(first, F.col("_range")) + F.pmod(spread, at(pieces, F.col("_range"))).cast("int")
-    part = F.pmod(F.xxhash64("_row", F.lit("part")), F.lit(max(1, sums.rows // (NUMBERED_ROWS * sum(pieces))))).cast("int")
+    part = F.pmod(F.xxhash64("_row", F.lit("part")), at(parts, F.col("_range"))).cast("int")
     placed = ranged.withColumn("_unit", unit).withColumn("_part", part)
     counts = placed.groupBy("_unit", "_part").agg(F.sum("_size").alias("_bytes"), F.count("*").alias("_rows"))
     bytes_of = {r._unit: r._bytes for r in counts.groupBy("_unit").agg(F.sum("_bytes").alias("_bytes")).collect()}
