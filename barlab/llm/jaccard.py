@@ -1,24 +1,25 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 A document is the set of hashes of its five-word shingles. Sets are put into bands of like size.
-Two sets that link differ in at most d elements, d = floor((|r| + |s|) / 9). For a band the domain
-of hashes is partitioned into first-level parts, and each part into three second-level parts. Where
-two sets differ in at most one element within a first-level part, they agree in two of its three
-second-level parts; so a set's signatures are, part by part, all subsets of two second-level parts
-with exactly the elements that it has in them. Killing all signatures of a part takes two differences
-(one, if all its elements are in one second-level part), so a set needs no more first-level parts than
-d differences can kill, and signatures of no elements are not needed either: sets that link
-share at least one signature.
-
-Sets of up to 16 elements have each element as a part of its own (subsets of one); partners share
-at least m - d of m signatures. Of these sets' shared signatures the need - 1 commonest can be left out.
-
-Sets that share a signature are candidates; every candidate pair that matters is checked on whole
-sets. Members of one signature are first compared with one of them. Where this joins them into
-one component nothing more is needed; what is left is tried with other centres, and then checked
-pair by pair, or, where a signature has many members, block against block without giving out the
-pairs. Nothing is capped. Hashes have 64 bits; equal sets (by size and a 63-bit key) are one set from
-the start.
+For a band the domain of hashes is partitioned, and a set has one signature for each part that it
+meets: the part with exactly the elements in it. Two sets that link differ in at most d elements,
+d = floor((|r| + |s|) / 9), and so in at most d parts; all other parts of theirs agree. Hence a set
+with m parts shares at least m - d signatures with every partner, and
+
+* signatures that only one set has are dropped (most are),
+* sets that share fewer than they need have no partner,
+* of a set's shared signatures the need - 1 commonest can be left out (the same order for all).
+
+What remains gives candidates; every candidate pair that matters is checked on whole sets. Members
+of one signature are first compared with its best-connected member. Where this joins them into
+one component nothing more is needed; the others are checked pair by pair, or, where a signature
+has many members, block against block without giving out the pairs. Nothing is capped.
+
+The enumerated subsets of parts are the single parts. Subsets of two of three second-level parts, with
+one shared signature for each linked pair, were built and measured too (see README): at a similarity
+of 0.8 a signature then holds two to five elements and needs no second one, so that every common
+phrase makes candidates, whereas single parts can be counted and the commonest left out.
+Hashes have 64 bits; equal sets (by size and a 63-bit key) are one set from the start.
 """
 
 from __future__ import annotations
@@ -34,12 +35,10 @@ from pyspark.sql import functions as F
 from .common import Intermediate, forget, give_back, stored
 
 SHINGLE = 5
-#: First-level parts of a band by the differences that kill all of them, with a margin for empty parts.
-PARTS_PER_KILL = 0.58
+#: Elements a part holds on average in the largest sets of a band; bands double in size.
+PART_ELEMENTS = 3.2
 #: Up to this size every element is a part by itself.
 SINGLE_ELEMENTS = 16
-#: Rounds of comparing a signature's members with one of them.
-ROUNDS = 3
 #: Sets of a signature up to which its unsettled members are checked pair by pair; beyond, block by block.
 SMALL = 24
 #: Sets of a block, and elements of a slice of the 0/1 matrix.
@@ -118,34 +117,24 @@ def band_top(size: int) -> int:
     return 1 << (size - 1).bit_length()
 
 
-_PAIRS = np.array([[0, 1], [0, 2], [1, 2]])
-
-
 def signatures(elements: np.ndarray, top: int, reach: int) -> tuple[np.ndarray, int]:
     """Signatures of a set in the band that ends at `top`, and how many a partner of at most
-    `reach` elements must share; none where partners can only be equal."""
+    `reach` elements must share."""
     apart = most_apart(len(elements), reach)
-    if not apart:
+    if not apart:  # only an equal set could link
         return np.zeros(0, U), 0
     with np.errstate(over="ignore"):
         if top <= SINGLE_ELEMENTS:
             out = mix(elements + U(top) * U(0x9E3779B97F4A7C15))
-            need = len(out) - apart
-            return (out, need) if need > 0 else (np.append(out, mix(np.array([top], U))), 1)
-        parts = int(np.ceil(PARTS_PER_KILL * (most_apart(top, top * 5 // 4) + 1))) + 1
-        cell = (((elements >> U(32)) * U(3 * parts)) >> U(32)).astype(np.int64)  # rises with the sorted elements
-        first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        held, filled = np.zeros(3 * parts, U), np.zeros(3 * parts, bool)
-        held[cell[first]], filled[cell[first]] = np.add.reduceat(mix(elements), first), True
-        held, filled = held.reshape(parts, 3), filled.reshape(parts, 3)
-        kills = np.cumsum(np.minimum(filled.sum(axis=1), 2))
-        n = int(np.searchsorted(kills, apart, side="right")) + 1
-        names = (np.arange(3 * min(n, parts), dtype=U) + U(top << 32)).reshape(-1, 3) * U(0x9E3779B97F4A7C15)
-        tokens = mix(held[:n, _PAIRS].sum(axis=2) + names)
-        out = tokens[filled[:n, _PAIRS].any(axis=2)]
-        if n > parts:  # only two such sets could agree in nothing but empty parts
-            out = np.append(out, mix(np.array([top], U) ^ U(0x5851F42D4C957F2D)))
-    return out, 1
+        else:
+            n_parts = int(np.ceil(top / PART_ELEMENTS))
+            part = ((elements >> U(32)) * U(n_parts)) >> U(32)  # rises with the sorted elements
+            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            out = mix(np.add.reduceat(mix(elements), first) + part[first] * U(0x9E3779B97F4A7C15) + U(top))
+        need = len(out) - apart
+        if need < 1:  # only two such sets could agree in nothing but empty parts
+            out, need = np.append(out, mix(np.array([top], U) ^ U(0x5851F42D4C957F2D))), 1
+    return out, need
 
 
 SETS = "doc_id long, n long, key long, need_own int, need_next int, parts int, own array<long>, next array<long>"
@@ -203,12 +192,10 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
 
 def shared_only(tokens: DataFrame) -> DataFrame:
-    """(token, k, centre): the rows of (token, k) whose token another k has too, repeats once, with the
-    least k of the token."""
+    """Rows of (token, k), sorted within partitions, whose token another k has too; repeats once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The last row waits for the next batch, with its token's centre and whether it is shared.
-        held_t, held_k, held_c, held_shared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        held_t, held_k, held_shared = np.zeros(0, np.int64), np.zeros(0, np.int64), False
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -217,21 +204,18 @@ def shared_only(tokens: DataFrame) -> DataFrame:
             fresh = np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
             t, k = t[fresh], k[fresh]
             like = t[1:] == t[:-1]
-            begin = np.maximum.accumulate(np.where(np.concatenate(([True], ~like)), np.arange(len(t)), 0))
-            c = k[begin]
-            if len(held_c):
-                c[begin == 0] = held_c[0]
             keep = np.concatenate(([False], like))
             keep[:-1] |= like
             keep[0] |= held_shared
-            held_t, held_k, held_c, held_shared = t[-1:], k[-1:], c[-1:], bool(keep[-1])
+            # The last row waits for the next batch.
+            held_t, held_k, held_shared = t[-1:], k[-1:], bool(keep[-1])
             at = np.flatnonzero(keep[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (t, k, c)], names=["token", "k", "centre"])
+            yield pa.RecordBatch.from_arrays([pa.array(t[at]), pa.array(k[at])], names=["token", "k"])
         if held_shared:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held_t, held_k, held_c)], names=["token", "k", "centre"])
+            yield pa.RecordBatch.from_arrays([pa.array(held_t), pa.array(held_k)], names=["token", "k"])
         give_back()
 
-    return tokens.repartition("token").sortWithinPartitions("token", "k").mapInArrow(run, "token long, k long, centre long")
+    return tokens.repartition("token").sortWithinPartitions("token", "k").mapInArrow(run, "token long, k long")
 
 
 def set_of(k: Column) -> Column:
@@ -239,29 +223,22 @@ def set_of(k: Column) -> Column:
     return F.when(k % 2 == 0, k).otherwise(k - 1)
 
 
-def small_candidates(sets: DataFrame, tables: Intermediate) -> DataFrame:
-    """(token, key) of sets of single elements: the shared signatures that can bring a pair together."""
-    small = sets.filter((F.col("n") <= SINGLE_ELEMENTS) & (F.size("own") + F.size("next") > 0))
-    bands = (("own", "need_own", 0, SINGLE_ELEMENTS), ("next", "need_next", 1, SINGLE_ELEMENTS // 2))
-    rows = [small.filter(F.col("n") <= most).select(F.explode(c).alias("token"), (F.col("key") + odd).alias("k")) for c, _, odd, most in bands]
-    shared = tables.stored(shared_only(rows[0].unionByName(rows[1])).select("token", "k"))
-    facts = [small.filter((F.col("n") <= most) & (F.col(need) > 0)).select((F.col("key") + odd).alias("k"), F.col(need).alias("need")).distinct() for _, need, odd, most in bands]
-    alive = shared.groupBy("k").agg(F.count("*").alias("have")).join(facts[0].unionByName(facts[1]), "k").filter("have >= need")
+def candidate_signatures(sets: DataFrame, tables: Intermediate) -> DataFrame:
+    """(token, key, n, lonely): the shared signatures that can bring a pair together. lonely counts
+    a set's signatures that no other set has; sets with few are well connected."""
+    rows = [sets.select(F.explode(c).alias("token"), (F.col("key") + odd).alias("k")) for c, odd in (("own", 0), ("next", 1))]
+    shared = tables.stored(shared_only(rows[0].unionByName(rows[1])))
+    first = sets.filter(F.size("own") + F.size("next") > 0)
+    facts = [first.filter(F.col(c) > 0).select((F.col("key") + odd).alias("k"), F.col(c).alias("need"), "n", "parts").distinct() for c, odd in (("need_own", 0), ("need_next", 1))]
+    counts = shared.groupBy("k").agg(F.count("*").alias("have"))
+    alive = counts.join(facts[0].unionByName(facts[1]), "k").filter("have >= need")
     rows = shared.join(alive, "k")
     # Once more among the sets still there, then without the commonest signatures of each set.
     size = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    rows = rows.join(size, "token")
     rank = "row_number() OVER (PARTITION BY k ORDER BY c DESC, token DESC)"
-    return rows.join(size, "token").withColumn("place", F.expr(rank)).filter(F.col("place") >= F.col("need")).select("token", set_of(F.col("k")).alias("key")).distinct()
-
-
-def candidate_signatures(sets: DataFrame, tables: Intermediate) -> DataFrame:
-    """(token, key, centre): the sets of each shared signature, with the least of them."""
-    large = sets.filter(F.col("n") > SINGLE_ELEMENTS).select(F.explode("own").alias("token"), F.col("key").alias("k"))
-    after = sets.filter(F.col("n") > SINGLE_ELEMENTS // 2).select(F.explode("next").alias("token"), F.col("key").alias("k"))
-    shared = tables.stored(shared_only(large.unionByName(after))).withColumnRenamed("k", "key")
-    small = tables.stored(small_candidates(sets, tables))
-    least = small.groupBy("token").agg(F.min("key").alias("centre"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    return shared.unionByName(small.join(least, "token").select("token", "key", "centre"))
+    kept = rows.withColumn("place", F.expr(rank)).filter(F.col("place") >= F.col("need"))
+    return kept.select("token", set_of(F.col("k")).alias("key"), "n", (F.col("parts") - F.col("have")).alias("lonely"))
 
 
 def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -316,7 +293,7 @@ def components(edges: DataFrame, tables: Intermediate) -> DataFrame:
             return labels
 
 
-def set_elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def set_elements(docs: DataFrame, wanted: DataFrame, tables: Intermediate) -> DataFrame:
     """(key, elements) of the sets in wanted (key, rep), from the documents with their ids. Ids may be null
     or stand on several texts: every such text is read, and the wanted sets are told by their keys."""
 
@@ -332,7 +309,12 @@ def set_elements(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     found = docs.join(F.broadcast(ids) if few else ids, F.col("_id").eqNullSafe(F.col("rep")), "left_semi").select("_text").mapInArrow(run, "key long, elements array<long>")
     keys = wanted.select("key")
-    return found.join(F.broadcast(keys) if few else keys, "key", "left_semi").dropDuplicates(["key"])
+    found = tables.stored(found.join(F.broadcast(keys) if few else keys, "key", "left_semi"))
+    # Elements are shuffled only of sets that were read more than once.
+    twice = tables.stored(found.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    if twice.isEmpty():
+        return found
+    return found.join(twice, "key", "left_anti").unionByName(found.join(twice, "key", "left_semi").dropDuplicates(["key"]))
 
 
 def block_links(members: DataFrame, elements: DataFrame) -> DataFrame:
@@ -382,40 +364,28 @@ def block_links(members: DataFrame, elements: DataFrame) -> DataFrame:
 
 def links_between_sets(docs: DataFrame, sets: DataFrame, reps: DataFrame, tables: Intermediate) -> DataFrame | None:
     """(key, label) of the sets that link with another one; None if there are none."""
-    tokens = candidate_signatures(sets, tables)
+    tokens = tables.stored(candidate_signatures(sets, tables))
     wanted = tables.stored(tokens.select("key").distinct().join(reps, "key"))
     if wanted.isEmpty():
         return None
-    elements = tables.stored(set_elements(docs, wanted))
-    sizes = wanted.select("key", "n")
-    alike = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
-
-    def candidates(rows: DataFrame) -> DataFrame:
-        """The distinct pairs of (a, b) whose sizes allow a link."""
-        pairs = rows.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return pairs.join(sizes.withColumnsRenamed({"key": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"key": "b", "n": "nb"}), "b").filter(alike).select("a", "b")
-
-    edges = tested = labels = None
-    for _ in range(ROUNDS):
-        # Every member of a signature with one of them; from the second round on with the one in most signatures.
-        pairs = candidates(tokens.select(F.col("centre").alias("a"), F.col("key").alias("b")))
-        pairs = tables.stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = tables.stored(verified(pairs, elements))
-        tested, edges = (pairs, found) if tested is None else (tested.union(pairs), edges.union(found))
-        labels = components(edges, tables)
-        # Signatures whose members are not all in one component yet.
-        rows = tokens.select("token", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).filter("low <> high").select("token", "c")
-        rows = tables.stored(rows.join(mixed, "token"))
-        if rows.isEmpty():
-            return labels
-        known = rows.join(rows.groupBy("key").agg(F.count("*").alias("in")), "key")
-        centre = known.groupBy("token").agg(F.max_by("key", F.struct("in", "key")).alias("centre"))
-        tokens = rows.join(centre, "token").select("token", "key", "centre")
+    elements = set_elements(docs, wanted, tables)
+    alike = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+    pair = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    member = lambda rows, x: rows.select("token", F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
+    # Every member of a signature with its best-connected one.
+    rows = tokens.withColumn("label", F.col("key"))
+    centre = rows.groupBy("token").agg(F.min_by(F.struct(F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), F.struct("lonely", "key")).alias("s")).select("token", "s.*")
+    tested = tables.stored(member(rows, "b").join(centre, "token").filter(alike).select(*pair).distinct())
+    edges = tables.stored(verified(tested, elements))
+    labels = components(edges, tables)
+    # Signatures whose members are not all in one component yet: small ones pair by pair.
+    rows = tokens.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c")).filter("low <> high").select("token", "c")
+    rows = tables.stored(rows.join(mixed, "token"))
     few = rows.filter(F.col("c") <= SMALL)
-    side = lambda x: few.select("token", F.col("key").alias(x), F.col("label").alias(f"l{x}"))
-    pairs = candidates(side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))))
-    edges = edges.union(tables.stored(verified(tables.stored(pairs.join(tested, ["a", "b"], "left_anti")), elements)))
+    pairs = member(few, "a").join(member(few, "b"), "token").filter(alike & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")))
+    pairs = tables.stored(pairs.select(*pair).distinct().join(tested, ["a", "b"], "left_anti"))
+    edges = edges.union(tables.stored(verified(pairs, elements)))
     # Large ones: sets that such signatures connect form groups, compared block by block.
     many = rows.filter(F.col("c") > SMALL)
     if not many.isEmpty():
@@ -438,7 +408,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sets = stored(document_sets(rows))
     tables = Intermediate(docs.sparkSession)
-    reps = tables.stored(sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")))
+    reps = tables.stored(sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
     labels = links_between_sets(rows, sets, reps, tables)
     if labels is not None:
         named = reps.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))

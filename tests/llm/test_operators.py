@@ -222,16 +222,17 @@ def test_large_groups_go_block_by_block(spark, monkeypatch):
     assert out.component_id.to_dict() == dict(enumerate(want))
 
 
-def test_chained_group_is_one_component(spark):
+def test_chained_group_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 64)
     rng = random.Random(19)
     words = [rng.choice(WORDS) for _ in range(120)]
     texts = []
-    for i in range(1500):  # each a small step from the one before: far ones have nothing in common
+    for i in range(300):  # each a small step from the one before: far ones have nothing in common
         words = list(words)
         words[(7 * i) % 120] = f"new{i}"
         texts.append(" ".join(words))
     out = jaccard.linked_components(docs(spark, texts).repartition(8)).toPandas()
-    assert len(out) == 1500 and (out.component_id == 0).all()
+    assert len(out) == 300 and (out.component_id == 0).all()
 
 
 def test_component_ids_are_exact_and_null_ids_link(spark):
@@ -246,25 +247,6 @@ def test_component_ids_are_exact_and_null_ids_link(spark):
     assert {(r.doc_id, r.component_id) for r in out} == want and len(out) == 8
 
 
-def test_partenum_shares_a_signature(spark):
-    rng = np.random.default_rng(3)
-    for _ in range(4000):
-        n = int(rng.choice([4, 5, 7, 9, 12, 15, 16, 17, 20, 25, 31, 40, 65, 130, 300]))
-        r = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-        m = int(rng.integers(n, n * 5 // 4 + 1))
-        d = (n + m) // 9
-        gone = max(0, (d - (m - n)) // 2)
-        s = np.unique(np.concatenate((rng.permutation(r)[gone:], rng.integers(0, 2**64, m - n + gone, dtype=np.uint64))))
-        common = len(np.intersect1d(r, s))
-        if 100 * common < 80 * (len(r) + len(s) - common) or len(np.setxor1d(r, s)) == 0:
-            continue
-        r, s = sorted((r, s), key=len)
-        tops = jaccard.band_top(len(r)), jaccard.band_top(len(s))
-        mine, need = jaccard.signatures(r, tops[1], min(len(r) * 5 // 4, tops[1]))
-        theirs, _ = jaccard.signatures(s, tops[1], min(len(s) * 5 // 4, tops[1]))
-        assert need >= 1 and len(np.intersect1d(mine, theirs)) >= need
-
-
 def test_component_odd_inputs(spark):
     out = jaccard.linked_components(docs(spark, ["a b c d e f", "a b c d e f", "x"], [5, None, None])).toPandas()
     assert sorted(out.component_id.tolist(), key=str)[:2] == [5, 5]
