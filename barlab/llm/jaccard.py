@@ -42,7 +42,7 @@ SINGLE_ELEMENTS = 16
 #: Sets of a signature up to which its unsettled members are checked pair by pair; beyond, block by block.
 SMALL = 24
 #: Sets of a block, and elements of a slice of the 0/1 matrix.
-BLOCK_SETS, SLICE_ELEMENTS = 1024, 2048
+BLOCK_SETS, SLICE_ELEMENTS = 512, 2048
 #: Pairs of one set that one task of a check takes.
 PARTNERS = 512
 #: Candidate ids (8 bytes each) are broadcast to the second reading of the texts up to this many.
@@ -326,6 +326,7 @@ def block_links(members: DataFrame, elements: DataFrame) -> DataFrame:
     """
 
     def cell(sets: pd.DataFrame) -> pd.DataFrame:
+        forget()
         rows = [np.asarray(e, np.int64) for e in sets["elements"]]
         keys, block = sets["key"].tolist(), sets["block"].to_numpy()
         size = np.array([len(r) for r in rows])
@@ -335,11 +336,19 @@ def block_links(members: DataFrame, elements: DataFrame) -> DataFrame:
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         common = np.zeros((len(left), len(right)), np.float32)
-        for at in range(0, len(names), SLICE_ELEMENTS):
+
+        def held(side: np.ndarray, at: int) -> np.ndarray:
+            """The side's sets as rows of 0 and 1, for a slice of the elements."""
             lo, hi = np.searchsorted(column, [at, at + SLICE_ELEMENTS])
-            held = np.zeros((len(rows), min(SLICE_ELEMENTS, len(names) - at)), np.float32)
-            held[row[lo:hi], column[lo:hi] - at] = 1
-            common += held[left] @ held[right].T
+            place = np.full(len(rows), -1)
+            place[side] = np.arange(len(side))
+            mine = place[row[lo:hi]] >= 0
+            out = np.zeros((len(side), min(SLICE_ELEMENTS, len(names) - at)), np.float32)
+            out[place[row[lo:hi][mine]], column[lo:hi][mine] - at] = 1
+            return out
+
+        for at in range(0, len(names), SLICE_ELEMENTS):
+            common += held(left, at) @ held(right, at).T
         union = size[left][:, None] + size[right][None, :] - common
         parent = list(range(len(rows)))
 
@@ -354,6 +363,7 @@ def block_links(members: DataFrame, elements: DataFrame) -> DataFrame:
             if x != y:
                 parent[x] = y
                 out.append((keys[left[i]], keys[right[j]]))
+        give_back()
         return pd.DataFrame(out, columns=["a", "b"])
 
     blocks = members.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
