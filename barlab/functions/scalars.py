@@ -50,9 +50,10 @@ def expected_r(p: Column, win: float = 1.0, loss: float = 1.0, cost: float = 0.0
     return p * win - (1 - p) * loss - cost
 
 
-def wick_body(o: Column, h: Column, lo: Column, c: Column) -> Column:
-    """Both wicks over the body, the body at least 1e-9."""
-    return ((h - F.greatest(o, c)) + (F.least(o, c) - lo)) / F.greatest(F.abs(c - o), F.lit(EPS))
+def wick_ratios(o: Column, h: Column, lo: Column, c: Column) -> tuple[Column, Column]:
+    """Upper and lower wick over the body, the body at least 1e-9."""
+    body = F.greatest(F.abs(c - o), F.lit(EPS))
+    return F.greatest(h - F.greatest(o, c), F.lit(0.0)) / body, F.greatest(F.least(o, c) - lo, F.lit(0.0)) / body
 
 
 def regime(low: Column, mid: Column, high: Column) -> Column:
@@ -60,22 +61,52 @@ def regime(low: Column, mid: Column, high: Column) -> Column:
     return F.when(low > 0.5, "low").when(mid > 0.5, "mid").when(high > 0.5, "high")
 
 
-def effective_theta(theta: Column, reg: Column, soft_news: Column, bumps: dict[str, float], news_bump: float = 0.02) -> Column:
+#: What each regime adds to the threshold (fixed values).
+REGIME_BUMPS = {"low": 0.0, "mid": 0.02, "high": 0.03}
+
+
+def effective_theta(theta: Column, reg: Column, soft_news: Column, bumps: dict[str, float] | None = None, news_bump: float = 0.03) -> Column:
     """Threshold raised by regime and nearby news, kept in 0.50 to 0.99."""
     bump = F.lit(0.0)
-    for name, x in bumps.items():
+    for name, x in (REGIME_BUMPS if bumps is None else bumps).items():
         bump = F.when(reg == name, x).otherwise(bump)
     return F.greatest(F.lit(0.5), F.least(F.lit(0.99), theta + bump + F.when(soft_news, news_bump).otherwise(0.0)))
 
 
-def recommend(p: Column, theta: Column, ev: Column, ratio: Column, hard_news: Column, spread: Column, max_spread: float = 2.0, min_ev: float = 0.0, long_wick: float = 2.0) -> tuple[Column, Column]:
-    """Action (skip, limit_retest, market) and the reasons for it."""
-    reasons = F.array_compact(F.array(F.when(hard_news, "news"), F.when(spread > max_spread, "spread"), F.when(p < theta, "probability"), F.when(ev < min_ev, "expected value"), F.when(ratio >= long_wick, "long wick")))
-    skip = hard_news | (spread > max_spread) | (p < theta) | (ev < min_ev)
-    return F.when(skip, "skip").when(ratio >= long_wick, "limit_retest").otherwise("market"), reasons
+def recommend(p: Column, theta: Column, ev: Column, wick: Column, hard_news: Column, spread: Column, max_spread: float = 0.03, min_ev: float = 0.0, long_wick: float = 2.5, prefer_limit: bool = False) -> tuple[Column, Column, Column]:
+    """Action (skip, limit_retest, market), the reasons for it, and the expected value where it was asked for.
+
+    The first of news, spread, probability and expected value that fails is the reason to skip;
+    wick is the longer wick over the body.
+    """
+    gates = (("news", hard_news), ("spread", spread > max_spread), ("probability", p < theta), ("expected value", ev < min_ev))
+    skip = F.lit(None).cast("string")
+    for name, fails in reversed(gates):
+        skip = F.when(fails, name).otherwise(skip)
+    limit = (wick >= long_wick) | F.lit(prefer_limit)
+    reasons = F.when(skip.isNotNull(), F.array(skip)).otherwise(F.array_compact(F.array(F.when(wick >= long_wick, "long wick"), F.when(limit, "retest preferred"))))
+    action = F.when(skip.isNotNull(), "skip").when(limit, "limit_retest").otherwise("market")
+    return action, reasons, F.when(~F.coalesce(skip.isin("news", "spread", "probability"), F.lit(False)), ev)
+
+
+#: Price of one pip: of symbols that end in JPY, and of others (fixed values).
+PIP_JPY, PIP = 0.01, 0.0001
+
+
+def pip_size(symbol: Column, table: dict[str, float] | None = None) -> Column:
+    """Price of one pip of a symbol: by the table, else by its quote currency."""
+    out = F.when(F.upper(symbol).endswith("JPY"), PIP_JPY).otherwise(PIP)
+    for name, size in (table or {}).items():
+        out = F.when(symbol == name, size).otherwise(out)
+    return out
 
 
-def pips(exit_: Column, entry: Column, direction: Column, pip: float = 0.01, spread: float = 0.0) -> Column:
+def extra_cost(commission: float = 0.0, slippage: float = 0.0, gap: float = 0.0) -> float:
+    """Pips that a trade costs beside the spread."""
+    return commission + slippage + gap
+
+
+def pips(exit_: Column, entry: Column, direction: Column, pip: Column | float = 0.01, spread: float = 0.0) -> Column:
     """Move in pips in the trade's direction, less the spread."""
     return (exit_ - entry) * direction / pip - spread
 
@@ -93,8 +124,16 @@ def psi_severity(psi: Column) -> Column:
     return F.when(psi < 0.10, "OK").when(psi < 0.25, "WARN").otherwise("DRIFT")
 
 
-def measured_targets(kind: Column, upper: Column, lower: Column, height: Column) -> tuple[Column, Column]:
-    """Targets one pattern height beyond the boundaries; one-sided kinds have one."""
-    up = F.when(kind.isin("double_top", "hns_top"), None).otherwise(upper + height)
-    down = F.when(kind.isin("double_bottom", "hns_bottom"), None).otherwise(lower - height)
-    return up, down
+#: Kinds with two boundaries, and those with the neck alone, above or below (fixed values).
+TWO_SIDED = ("ascending_triangle", "descending_triangle", "symmetric_triangle", "rectangle", "flag_up", "flag_dn", "flag", "pennant")
+NECK_ABOVE, NECK_BELOW = ("double_bottom", "inverse_head_shoulders"), ("double_top", "head_shoulders")
+
+
+def pattern_boundaries(kind: Column, upper: Column, lower: Column, neck: Column) -> tuple[Column, Column]:
+    """The levels whose break a pattern waits for: both lines, or the neck on one side."""
+    return F.when(kind.isin(*TWO_SIDED), upper).when(kind.isin(*NECK_ABOVE), neck), F.when(kind.isin(*TWO_SIDED), lower).when(kind.isin(*NECK_BELOW), neck)
+
+
+def measured_move(kind: Column, height: Column, extreme: Column, neck: Column) -> Column:
+    """Size of the move that a pattern measures: its height (a flag's pole), or from extreme to neck."""
+    return F.coalesce(F.when(kind.isin(*TWO_SIDED), height).when(kind.isin(*NECK_ABOVE, *NECK_BELOW), F.abs(extreme - neck)), F.lit(0.0))

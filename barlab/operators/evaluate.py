@@ -53,6 +53,27 @@ def best_theta(swept: DataFrame, by: tuple[str, ...] = (), target: float = 0.05,
     return swept.withColumns({"_stage": stage, "_value": F.round(value, 9)}).withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*by, "theta", "trades", "coverage", "ev")
 
 
+def plain_best(swept: DataFrame, by: tuple[str, ...] = (), *least: float) -> DataFrame:
+    """The threshold of highest expected value among those that reach the first of the given coverages
+    that any reaches (A4: target, then minimum; A5: one minimum). The first of equals wins; where none
+    is reached the threshold is 0.5 without trades."""
+    stage = F.lit(None).cast("int")
+    for i, x in reversed(list(enumerate(least))):
+        stage = F.when((F.col("coverage") >= x) & F.col("ev").isNotNull(), i).otherwise(stage)
+    w = Window.partitionBy(*by).orderBy(F.col("_stage").asc_nulls_last(), F.desc("_value"), "i")
+    best = swept.withColumns({"_stage": stage, "_value": F.round("ev", 9)}).withColumn("_r", F.row_number().over(w)).filter("_r = 1")
+    found = F.col("_stage").isNotNull()
+    return best.select(*by, F.when(found, F.col("theta")).otherwise(0.5).alias("theta"), F.when(found, F.col("trades")).otherwise(0).alias("trades"), F.when(found, F.col("coverage")).otherwise(0.0).alias("coverage"), F.when(found, F.col("ev")).alias("ev"))
+
+
+#: Thresholds of the label sweep and of the direction models (fixed values).
+SWEEP_GRID = [float(x) for x in np.linspace(0.55, 0.98, 88)]
+DIRECTION_GRID = [float(x) for x in np.linspace(0.5, 0.99, 100)]
+#: Rows that a session needs for a threshold of its own; least and target coverage of Tokyo, and of the
+#: other sessions (fixed values).
+SESSION_ROWS, TOKYO_COVERAGE, COVERAGE = 200, (0.03, 0.07), (0.05, 0.12)
+
+
 def by_session(df: DataFrame) -> DataFrame:
     """Each row once for every session that it belongs to; 22 and 23 h are in two."""
     f = session_flags(F.col("ts"))
@@ -60,6 +81,21 @@ def by_session(df: DataFrame) -> DataFrame:
     return df.withColumn("session", F.explode(names))
 
 
+def session_thetas(df: DataFrame, grid: list[float], cost: float = 0.15) -> DataFrame:
+    """The threshold of each session with enough rows, by the session's coverages."""
+    swept = sweep(by_session(df), grid, ("session",), cost=cost).filter(F.col("n") >= SESSION_ROWS)
+    tokyo = F.col("session") == "Tokyo"
+    one = lambda rows, least, target: best_theta(rows, ("session",), target, least)
+    return one(swept.filter(tokyo), *TOKYO_COVERAGE).unionByName(one(swept.filter(~tokyo), *COVERAGE))
+
+
+def regime_thetas(df: DataFrame, grid: list[float], least: float = 0.22, target: float = 0.30, cost: float = 0.15) -> DataFrame:
+    """The threshold of each session and volatility regime with enough rows (A7). df has reg_atr_low, _mid, _high."""
+    reg = F.when(F.col("reg_atr_low") == 1, "low").when(F.col("reg_atr_mid") == 1, "mid").when(F.col("reg_atr_high") == 1, "high")
+    swept = sweep(by_session(df.withColumn("regime", reg).filter("regime IS NOT NULL")), grid, ("session", "regime"), cost=cost)
+    return best_theta(swept.filter(F.col("n") >= SESSION_ROWS), ("session", "regime"), target, least)
+
+
 def confusion(df: DataFrame, theta: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts at a threshold with precision, recall, F1, MCC, balanced accuracy, Brier."""
     hit, y = F.col("p") >= theta, F.col("y") == 1
@@ -86,12 +122,29 @@ def pr_curve(df: DataFrame) -> DataFrame:
     base = cells.select("_cell", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_bp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_bn"), F.sum("_p").over(Window.partitionBy()).alias("positives"))
     inside = Window.partitionBy("_cell").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     out = c.join(F.broadcast(base), "_cell").withColumn("tp", F.col("_bp") + F.sum("pos").over(inside)).withColumn("fp", F.col("_bn") + F.sum("n").over(inside) - F.col("tp"))
-    return out.select("p", "tp", "fp", "positives", "pos", "_cell")
+    return out.select("p", "tp", "fp", "positives", "pos", "n", "_cell")
 
 
 def average_precision(df: DataFrame) -> DataFrame:
-    """Average precision: precision at each distinct probability, weighted by its positives."""
-    return pr_curve(df).agg((F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("positives")).alias("average_precision"), F.max("positives").alias("positives"))
+    """Average precision: precision at each distinct probability, weighted by its positives (A11); NULL
+    without positives."""
+    return pr_curve(df).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), F.max("positives")).alias("average_precision"), F.max("positives").alias("positives"))
+
+
+def pr_auc(df: DataFrame) -> DataFrame:
+    """Area under the precision-recall curve by trapezoids, from recall 0 and precision 1 on (A11); NULL
+    without positives. The point before each one is its own without its rows, so no window is needed."""
+    tp, fp = F.col("tp"), F.col("fp")
+    before = F.coalesce(F.try_divide(tp - F.col("pos"), tp + fp - F.col("n")), F.lit(1.0))
+    area = F.sum(F.col("pos") * (tp / (tp + fp) + before) / 2)
+    return pr_curve(df).agg(F.try_divide(area, F.max("positives")).alias("pr_auc"))
+
+
+def minority_metrics(df: DataFrame, theta: float = 0.5) -> DataFrame:
+    """MCC, balanced accuracy, F1 of both classes, Brier, the rarer class, and PR-AUC of both classes (A10)."""
+    m = confusion(df, theta).select("mcc", "balanced_accuracy", "f1_neg", "f1_pos", "brier", "minority_class")
+    turned = df.select((1 - F.col("y")).alias("y"), (1 - F.col("p")).alias("p"))
+    return m.crossJoin(pr_auc(df).withColumnRenamed("pr_auc", "pr_auc_pos")).crossJoin(pr_auc(turned).withColumnRenamed("pr_auc", "pr_auc_neg"))  # one row each
 
 
 def quantile_edges(df: DataFrame, bins: int = 10, x: str = "p") -> list[float]:
@@ -151,23 +204,64 @@ def winsorized(df: DataFrame, columns: list[str], k: float = 5.0) -> DataFrame:
     return df.withColumns({c: F.when(F.col(c).isNotNull(), cut(c)) for c in columns if s[f"s_{c}"]})
 
 
+#: Cells into which values are cut to rank them; a cell is one task's work.
+RANK_CELLS = 256
+
+
+def global_rank(df: DataFrame, x: str, *then: str, name: str = "rank") -> DataFrame:
+    """df with the rank (from 1) of each row by x, ties by `then`: counts of cells of like values are added
+    up, and rows are ranked within their cell, so that no task sorts all rows."""
+    cuts = df.agg(F.approx_percentile(x, [i / RANK_CELLS for i in range(1, RANK_CELLS)], 10_000)).first()[0] or []
+    cuts = sorted(set(map(float, cuts)))
+    cell = F.size(F.filter(F.lit(cuts), lambda c: c < F.col(x))) if cuts else F.lit(0)
+    placed = df.withColumn("_cell", F.when(F.col(x).isNotNull(), cell))
+    counts = placed.groupBy("_cell").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(Window.orderBy(F.col("_cell").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(x, *then))
+    return placed.withColumn("_in", inside).join(before, F.col("_cell").eqNullSafe(F.col("_c"))).withColumn(name, F.col("_base") + F.col("_in")).drop("_cell", "_c", "_base", "_in")
+
+
+def quartiles_by_rank(df: DataFrame, x: str, *then: str, name: str = "quartile") -> DataFrame:
+    """df with Q1 to Q4 of the rank of x (first of equals first), cut at the interpolated quartiles of the ranks."""
+    n = df.filter(F.col(x).isNotNull()).count()
+    edges = [1 + q * (n - 1) for q in (0.25, 0.5, 0.75)]
+    ranked = global_rank(df, x, *then, name="_rank")
+    quartile = sum(((F.col("_rank") > e).cast("int") for e in edges), F.lit(1))
+    return ranked.withColumn(name, F.when(F.col(x).isNotNull(), F.concat(F.lit("Q"), quartile)).otherwise("Q?")).drop("_rank")
+
+
+def percent_rank_average(df: DataFrame, x: str, name: str = "pct_rank") -> DataFrame:
+    """df with the rank of x over the number of rows, equals at their mean rank (W20); distinct values are
+    counted and summed in cells first."""
+    values = df.filter(F.col(x).isNotNull()).groupBy(x).agg(F.count("*").alias("_ties"))
+    cuts = values.agg(F.approx_percentile(x, [i / RANK_CELLS for i in range(1, RANK_CELLS)], 10_000)).first()[0] or []
+    cuts = sorted(set(map(float, cuts)))
+    values = values.withColumn("_cell", F.size(F.filter(F.lit(cuts), lambda c: c < F.col(x))) if cuts else F.lit(0))
+    cells = values.groupBy("_cell").agg(F.sum("_ties").alias("_n"))
+    whole = F.sum("_n").over(Window.partitionBy())
+    cells = cells.select("_cell", F.coalesce(F.sum("_n").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), whole.alias("_all"))
+    upto = F.sum("_ties").over(Window.partitionBy("_cell").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    ranks = values.withColumn("_upto", upto).join(cells, "_cell")
+    ranks = ranks.select(F.col(x).alias("_x"), ((F.col("_base") + F.col("_upto") - (F.col("_ties") - 1) / 2) / F.col("_all")).alias(name))
+    return df.join(ranks, F.col(x) == F.col("_x"), "left").drop("_x")
+
+
 def stratified_sample(df: DataFrame, key: str, per_class: int = 120, mode: str = "random", seed: int = 7) -> DataFrame:
-    """For each class, equally many rows of every stratum of sessions and volatility quartile.
+    """For each class, equally many rows of every stratum of sessions and volatility quartile.
 
-    df: key, ts, y, p, vol. The share of a stratum is per_class over the
-    number of strata, at least 1. "random" takes the lowest hashes, "extreme" half from either end of p.
+    df: key, ts, y, p, vol. The share of a stratum is per_class over the number of strata, at least
+    1. "random" takes the lowest hashes of key and seed, "extreme" half (rounded down) from the low
+    end of p's ranks and the rest from the high end.
     """
     f = session_flags(F.col("ts"))
-    # Quartile edges are interpolated as ranks would be; percentile aggregates distinct values only.
-    q = df.agg(F.percentile("vol", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0] or []
-    quartile = sum(((F.col("vol") > x).cast("int") for x in q), F.lit(0))
-    strata = df.withColumn("stratum", F.concat_ws("_", f["sess_tokyo"], f["sess_london"], f["sess_ny"], quartile))
+    strata = quartiles_by_rank(df, "vol", "ts", key).withColumn("stratum", F.concat(f["sess_tokyo"], f["sess_london"], f["sess_ny"], F.lit("|"), "quartile")).drop("quartile")
     count = strata.select("y", "stratum").distinct().groupBy("y").agg(F.count("*").alias("_strata"))
-    strata = strata.join(F.broadcast(count), "y").withColumn("_k", F.greatest(F.lit(1), F.floor(F.lit(per_class) / F.col("_strata"))))
+    strata = strata.join(count, "y").withColumn("_k", F.greatest(F.lit(1), F.floor(F.lit(per_class) / F.col("_strata"))))
     w = Window.partitionBy("y", "stratum")
     if mode == "random":
-        pick = F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key)) <= F.col("_k")
-        return strata.withColumn("_p", pick).filter("_p").drop("_p", "_k", "_strata")
-    head, tail = F.row_number().over(w.orderBy(F.desc("p"), key)), F.row_number().over(w.orderBy("p", key))
-    half = F.ceil(F.col("_k") / 2)
+        mark = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+        return strata.withColumn("_p", F.row_number().over(w.orderBy(mark, key)) <= F.col("_k")).filter("_p").drop("_p", "_k", "_strata")
+    strata = percent_rank_average(strata, "p")
+    head, tail = F.row_number().over(w.orderBy("pct_rank", key)), F.row_number().over(w.orderBy(F.desc("pct_rank"), F.desc(key)))
+    half = F.floor(F.col("_k") / 2)
     return strata.withColumns({"_h": head, "_t": tail}).filter((F.col("_h") <= half) | (F.col("_t") <= F.col("_k") - half)).drop("_h", "_t", "_k", "_strata")

@@ -85,9 +85,9 @@ def volatility_features(df: DataFrame) -> DataFrame:
 
 
 def direction_features(df: DataFrame) -> DataFrame:
-    """Features signed by a direction that alternates from bar to bar."""
+    """Features signed by a direction that alternates from bar to bar (P9); without an rsi column its change is 0."""
     sign = F.when(F.col("bar_idx") % 2 == 0, 1).otherwise(-1)
-    return df.withColumns({"dir_sign": sign, "mid_dist_dir": (F.col("close") - (F.col("high") + F.col("low")) / 2) * sign, "d_atr_dir": (F.col("atr14") - F.lag("atr14").over(by_time())) * sign})
+    return df.withColumns({"dir_sign": sign, "mid_dist_dir": (F.col("close") - (F.col("high") + F.col("low")) / 2) * sign, "d_atr_dir": (F.col("atr14") - F.lag("atr14").over(by_time())) * sign, "rsi_div_dir": F.coalesce((F.col("rsi") - F.lag("rsi").over(by_time())) * sign, F.lit(0.0)) if "rsi" in df.columns else F.lit(0.0)})
 
 
 def regimes(df: DataFrame, x: str = "atr14") -> DataFrame:

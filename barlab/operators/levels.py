@@ -100,6 +100,12 @@ def level_scores(bars: DataFrame, levels: DataFrame, buffer: float = 0.05, weigh
     return df.withColumn("score", score).drop("close", "atr")
 
 
+def top_levels(scored: DataFrame, k: int = 15, by: str = "score") -> DataFrame:
+    """The k best levels of each symbol, the lower of equals first (O3)."""
+    w = Window.partitionBy("symbol").orderBy(F.desc(F.round(by, 9)), "level")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def touch_counts(bars: DataFrame, levels: DataFrame, n: int = 200, buffer: float = 0.05) -> DataFrame:
     """For each bar and level, touches in the last n bars."""
     j = bars.join(levels.select("symbol", "level"), "symbol").withColumn("_t", touched(buffer).cast("int"))
@@ -107,21 +113,22 @@ def touch_counts(bars: DataFrame, levels: DataFrame, n: int = 200, buffer: float
     return j.withColumn("touches", F.sum("_t").over(frame)).drop("_t")
 
 
-def _clusters(prices: np.ndarray, eps: float, k: int) -> list[float]:
-    """Means of the density clusters of sorted prices; border points go to the lower cluster."""
+def _clusters(prices: np.ndarray, seen: np.ndarray, eps: float, k: int) -> list[float]:
+    """Means of the density clusters of sorted prices; a border point within eps of two clusters goes to
+    the one whose core was seen first (seen: each price's place in the order of kind and time)."""
     lo, hi = np.searchsorted(prices, prices - eps, "left"), np.searchsorted(prices, prices + eps, "right")
     core = np.flatnonzero(hi - lo >= k)
     if not len(core):
         return []
     label = np.cumsum(np.concatenate(([0], np.diff(prices[core]) > eps)))
-    out = []
-    taken = -1
-    for c in range(label[-1] + 1):
-        own = core[label == c]
-        a, b = max(taken + 1, lo[own[0]]), hi[own[-1]]
-        out.append(float(prices[a:b].mean()))
-        taken = b - 1
-    return out
+    first = np.minimum.reduceat(seen[core], np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1]))))
+    after = np.searchsorted(core, np.arange(len(prices)))  # of the cores, the first at or above each price
+    above, below = np.minimum(after, len(core) - 1), np.maximum(after - 1, 0)
+    near_above = (after < len(core)) & (prices[core[above]] - prices <= eps)
+    near_below = (after > 0) & (prices - prices[core[below]] <= eps)
+    mine = np.where(near_above & near_below, np.where(first[label[below]] < first[label[above]], label[below], label[above]), np.where(near_above, label[above], np.where(near_below, label[below], -1)))
+    mine[core] = label
+    return [float(prices[mine == c].mean()) for c in range(label[-1] + 1)]
 
 
 def rolling_levels(pivots: DataFrame, look: int = 10, eps_share: float = 0.05, min_samples: int = 3, digits: int = 3) -> DataFrame:
@@ -132,12 +139,15 @@ def rolling_levels(pivots: DataFrame, look: int = 10, eps_share: float = 0.05, m
     """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("bar_idx")
-        out, prices, active = [], np.zeros(0), {}
-        for at, new in p.groupby(p["bar_idx"] + (look - 1) // 2, sort=True)["price"]:
-            prices = np.sort(np.append(prices, new.to_numpy()))
+        # The place of each pivot in the order of kind (highs first) and time.
+        p = p.sort_values(["kind", "bar_idx"]).assign(seen=np.arange(len(p))).sort_values("bar_idx")
+        out, prices, seen, active = [], np.zeros(0), np.zeros(0, int), {}
+        for at, new in p.groupby(p["bar_idx"] + (look - 1) // 2, sort=True):
+            more = new.sort_values("price")
+            place = np.searchsorted(prices, more["price"].to_numpy())
+            prices, seen = np.insert(prices, place, more["price"].to_numpy()), np.insert(seen, place, more["seen"].to_numpy())
             eps = prices.std() * eps_share
-            now = {round(x, digits) for x in _clusters(prices, eps, min_samples)} if eps > 0 else set()
+            now = {round(x, digits) for x in _clusters(prices, seen, eps, min_samples)} if eps > 0 else set()
             for x in sorted(set(active) - now):
                 out.append((x, active.pop(x), int(at)))
             active |= {x: int(at) for x in now if x not in active}

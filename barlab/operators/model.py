@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluate as E
-from .features import feature_table
+from .features import by_time, feature_table
 from .labels import BreakConfig, break_labels, direction_labels
 from .levels import touched
 from .splits import fold_bounds, fold_role, time_groups
@@ -35,10 +38,14 @@ def with_weights(df: DataFrame, y: str = "y") -> DataFrame:
 
 
 def fit_logistic(df: DataFrame, features: tuple[str, ...] = FEATURES, y: str = "y", c: float = 0.45, l1: float = 0.12) -> PipelineModel:
-    """Standardised elastic-net logistic regression with balanced classes (M1)."""
-    w = with_weights(df, y)
-    steps = [VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol=y, weightCol="_w", elasticNetParam=l1, regParam=1 / (c * max(1, df.count())), maxIter=40, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y")]
-    return Pipeline(stages=steps).fit(w)
+    """Standardised elastic-net logistic regression with balanced classes (M1). The rows are cached while it is fitted."""
+    held = df.select(*features, F.col(y)).cache()
+    rows = held.count()
+    w = with_weights(held.coalesce(max(1, -(-rows // FIT_ROWS))), y)
+    steps = [VectorAssembler(inputCols=list(features), outputCol="_x", handleInvalid="keep"), StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol=y, weightCol="_w", elasticNetParam=l1, regParam=1 / (c * max(1, rows)), maxIter=40, standardization=False, rawPredictionCol="_raw", probabilityCol="_p", predictionCol="_y")]
+    model = Pipeline(stages=steps).fit(w)
+    held.unpersist()
+    return model
 
 
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -64,62 +71,121 @@ def isotonic(train: DataFrame, df: DataFrame, y: str = "y") -> DataFrame:
     return fitted.transform(df).withColumn("p", F.col("_p")).drop("_p")
 
 
+def time_cuts(df: DataFrame, shares: list[float], y: str | None = None) -> dict:
+    """Times that split df (each class of y apart) into consecutive shares."""
+    u = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = df.groupBy(*([y] if y else [])).agg(F.percentile(u, F.array(*map(F.lit, shares))).alias("cuts")).collect()
+    return {(r[y] if y else None): r.cuts for r in rows}
+
+
 def recent_share(df: DataFrame, share: float) -> DataFrame:
     """The newest share of rows by time."""
-    cut = df.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("u")).agg(F.percentile("u", F.lit(1 - share))).first()[0]
-    return df.filter(F.unix_micros(F.col("ts").cast("timestamp")) >= F.lit(cut))
+    cuts = time_cuts(df, [1 - share]).get(None)
+    return df.filter(F.unix_micros(F.col("ts").cast("timestamp")) >= F.lit(cuts[0])) if cuts else df
+
+
+#: Shares of the newest training rows that calibration tries in turn, the rows it needs, and its folds
+#: (fixed values).
+SHARES, LEAST_ROWS, FOLDS = (0.3, 0.4, 0.5), 100, 3
+
+
+def calibrated(train: DataFrame, test: DataFrame, features: tuple[str, ...] = FEATURES, y: str = "y") -> DataFrame:
+    """test with p of calibrated models (M2).
+
+    Of the newest 30, else 40, else 50 % of the training rows, the first share that has 100 rows of two
+    classes is cut into three consecutive folds, class by class; per fold a model is fitted to the other
+    folds and its margin is scaled on the fold, which the model has not seen. p is the mean of the
+    three. If no share will do, one model of all training rows is left uncalibrated.
+    """
+    for share in SHARES:
+        recent = recent_share(train, share)
+        sizes = {r[y]: r["count"] for r in recent.groupBy(y).count().collect()}
+        if sum(sizes.values()) < LEAST_ROWS or len(sizes) < 2 or min(sizes.values()) < FOLDS:
+            continue
+        cuts = time_cuts(recent, [i / FOLDS for i in range(1, FOLDS)], y)
+        u = F.unix_micros(F.col("ts").cast("timestamp"))
+        fold = F.lit(0)
+        for k, at in cuts.items():
+            fold = F.when(F.col(y) == k, sum(((u > F.lit(c)).cast("int") for c in at), F.lit(0))).otherwise(fold)
+        folded = recent.withColumn("_fold", fold)
+        out = None
+        for i in range(FOLDS):
+            rest, held = folded.filter(F.col("_fold") != i), folded.filter(F.col("_fold") == i)
+            model = fit_logistic(rest, features, y)
+            scale = fit_platt(scored(model, held), y)
+            source = test if out is None else out
+            out = platt(scale, scored(model, source)).drop("margin").withColumnRenamed("p", f"_p{i}")
+        return out.withColumn("p", sum((F.col(f"_p{i}") for i in range(FOLDS)), F.lit(0.0)) / FOLDS).drop(*(f"_p{i}" for i in range(FOLDS)))
+    return scored(fit_logistic(train, features, y), test)
+
+
+def held_out_isotonic(train: DataFrame, test: DataFrame, features: tuple[str, ...] = FEATURES, y: str = "y") -> DataFrame:
+    """test with p of a model of the older 70 % of the training rows, calibrated by isotonic regression on
+    the newest 30 %, which it has not seen (M3); uncalibrated where either part lacks a class."""
+    cut = time_cuts(train, [0.7])[None][0]
+    u = F.unix_micros(F.col("ts").cast("timestamp"))
+    older, newer = train.filter(u < F.lit(cut)), train.filter(u >= F.lit(cut))
+    if older.select(y).distinct().count() < 2 or newer.select(y).distinct().count() < 2:
+        return scored(fit_logistic(train, features, y), test)
+    model = fit_logistic(older, features, y)
+    return isotonic(scored(model, newer), scored(model, test), y)
+
+
+CALIBRATIONS = {"platt": calibrated, "isotonic": held_out_isotonic, "none": lambda train, test, features, y: scored(fit_logistic(train, features, y), test)}
+#: Rows of a task in a fit.
+FIT_ROWS = 50_000
+#: Fits that the driver has under way at a time; each is a few small Spark jobs.
+PARALLEL_FITS = 8
 
 
 def out_of_fold(table: DataFrame, splits: int = 5, gap: int = 1, embargo: int = 1, calibration: str = "platt", y: str = "y", features: tuple[str, ...] = FEATURES) -> DataFrame:
     """(symbol, ts, fold, y, p): every row scored by a model that did not see its days (M4).
 
-    The table is cached: each fold reads it again. Folds without both classes in training are left
-    out, keys stay with the rows. Platt scaling uses the newest part of the training rows.
+    The table is cached while the folds are fitted, several at a time. Folds without both classes in
+    training are left out, keys stay with the rows.
     """
-    table = time_groups(table.select("symbol", "ts", y, *features)).cache()
-    groups = (table.agg(F.max("grp")).first()[0] or 0) + 1
-    out = None
-    for k, bounds in enumerate(fold_bounds(groups, splits), 1):
+    whole = time_groups(table.select("symbol", "ts", y, *features)).cache()
+    size = whole.agg(F.count("*").alias("rows"), F.max("grp").alias("last")).first()
+    groups = (size.last or 0) + 1
+    # Fits pass over the table many times: as many tasks as it has work for, no more.
+    table = whole.coalesce(max(1, -(-size.rows // FIT_ROWS)))
+
+    def one(k: int, bounds: tuple[int, int]) -> DataFrame | None:
         role = fold_role(bounds, gap, embargo)
         train, test = table.filter(role == "train"), table.filter(role == "test")
-        classes = {r[y] for r in train.select(y).distinct().collect()}
-        if not {0, 1} <= classes:
-            continue
-        model = fit_logistic(train, features, y)
-        result = scored(model, test)
-        if calibration == "isotonic":
-            result = isotonic(scored(model, train), result, y)
-        elif calibration == "platt":
-            recent = scored(model, recent_share(train, 0.4))
-            if recent.count() >= 100 and recent.select(y).distinct().count() == 2:
-                result = platt(fit_platt(recent, y), result)
-        part = result.select("symbol", "ts", F.lit(k).alias("fold"), y, "p")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        if {r[y] for r in train.select(y).distinct().collect()} < {0, 1}:
+            return None
+        return CALIBRATIONS[calibration](train, test, features, y).select("symbol", "ts", F.lit(k).alias("fold"), y, "p")
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        parts = [x for x in pool.map(one, range(1, splits + 1), fold_bounds(groups, splits)) if x is not None]
+    if not parts:
         return table.limit(0).select("symbol", "ts", F.lit(0).alias("fold"), y, F.lit(0.0).alias("p"))
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
-def level_rows(features: DataFrame, levels: DataFrame, last: int = 20, buffer: float = 0.05, sparse: bool = False) -> DataFrame:
-    """Feature rows of the newest bars for each level and direction (P10).
+def level_rows(features: DataFrame, levels: DataFrame, last: int | None = 20, buffer: float = 0.05, sparse: bool = False) -> DataFrame:
+    """Feature rows of the newest bars (None: of all) for each level and direction (P10).
 
-    Level-specific columns replace the bar's own: distance, touches, nearness, direction-signed
-    slopes. sparse keeps only these and sets the other model columns to 0.
+    Level-specific columns replace the bar's own: distance, touches of the last 201 bars, nearness, the
+    extremes of the last 11, slopes signed by direction. sparse keeps only these and sets the other
+    model columns to 0.
     """
-    from pyspark.sql import Window
-
-    n = Window.partitionBy("symbol").orderBy(F.desc("ts"))
-    j = features.join(levels.select("symbol", "level"), "symbol").withColumn("_t", touched(buffer).cast("int"))
-    j = j.withColumn("touches_200", F.sum("_t").over(Window.partitionBy("symbol", "level").orderBy("ts").rowsBetween(-199, 0))).drop("_t")
-    newest = features.select("symbol", "ts").withColumn("_r", F.row_number().over(n)).filter(F.col("_r") <= last).drop("_r")
-    j = j.join(newest, ["symbol", "ts"]).withColumn("dir_sign", F.explode(F.array(F.lit(1), F.lit(-1))))
-    j = j.withColumns({"dist_to_level": F.col("close") - F.col("level"), "near_level": 1 / (F.abs(F.col("close") - F.col("level")) + 1e-6), "above_level": (F.col("close") > F.col("level")).cast("int"), "atr_slope_dir": F.col("d_atr14") * F.col("dir_sign"), "dist_dir": (F.col("close") - F.col("level")) * F.col("dir_sign")})
+    recent = by_time().rowsBetween(-10, 0)
+    d_rsi = F.coalesce(F.col("rsi") - F.lag("rsi").over(by_time()), F.lit(0.0)) if "rsi" in features.columns else F.lit(0.0)
+    f = features.withColumns({"_rh": F.max("high").over(recent), "_rl": F.min("low").over(recent), "_da": F.coalesce(F.col("atr14") - F.lag("atr14").over(by_time()), F.lit(0.0)), "_dr": d_rsi})
+    if last is not None:
+        f = f.withColumn("_new", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts"))) <= last)
+    j = f.join(levels.select("symbol", "level"), "symbol").withColumn("_t", touched(buffer).cast("int"))
+    j = j.withColumn("touches", F.sum("_t").over(Window.partitionBy("symbol", "level").orderBy("ts").rowsBetween(-200, 0))).drop("_t")
+    j = (j if last is None else j.filter("_new").drop("_new")).withColumn("dir_sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+    sign, gap = F.col("dir_sign"), F.col("close") - F.col("level")
     if sparse:
         j = j.withColumns({c: F.lit(0.0) for c in FEATURES if not c.startswith(("sess_", "hour_"))})
-    return j
+    return j.withColumns({"dist_to_level": gap * sign, "near": 1 / (F.abs(gap) + 1e-6), "above_level": (gap > 0).cast("int"), "below_level": (gap < 0).cast("int"), "recent_high": F.col("_rh") * sign, "recent_low": F.col("_rl") * sign, "atr_slope_dir": F.col("_da") * sign, "rsi_div_dir": F.col("_dr") * sign, "atr_norm": F.coalesce("atr14", F.lit(0.0)) / F.greatest(F.lit(1e-6), "close")}).drop("_rh", "_rl", "_da", "_dr")
 
 
-LEVEL_FEATURES = (*FEATURES, "dist_dir", "near_level", "touches_200", "atr_slope_dir", "dir_sign")
+LEVEL_FEATURES = (*FEATURES, "dist_to_level", "near", "touches", "above_level", "recent_high", "recent_low", "atr_slope_dir", "dir_sign")
 
 
 def break_probabilities(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -133,29 +199,44 @@ def directions_differ(probabilities: DataFrame) -> bool:
     return not probabilities.filter(F.abs(F.col("p_up") - F.col("p_dn")) > 1e-12).isEmpty()
 
 
-def grid_sweep(bars: DataFrame, horizons: tuple[int, ...] = (8, 12), buffers: tuple[float, ...] = (0.15,), costs: tuple[float, ...] = (0.1, 0.15), splits: int = 3, lookback: int = 48) -> DataFrame:
-    """(h, buffer, cost, ap, brier, theta, coverage, ev) over the grid.
+#: The grid of the label sweep: horizons, buffers in ATR and costs.
+HORIZONS, BUFFERS, COSTS = (8, 10, 12, 16), (0.05, 0.1, 0.15), (0.02, 0.03)
 
-    Models depend on horizon and buffer only; costs are applied to the same scores.
-    """
+
+def grid_scores(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, buffers: tuple[float, ...] = BUFFERS, splits: int = 5, lookback: int = 48) -> DataFrame:
+    """(h, buffer, symbol, ts, fold, y, p): out-of-fold scores of every label set of the grid (M7). Settings
+    whose labels lack a class have no rows. Costs change no model, so they come later."""
+    from itertools import product
+
+    def one(setting: tuple[int, float]) -> DataFrame:
+        h, b = setting
+        table = training_table(bars, BreakConfig(horizon=h, lookback=lookback, buffer=b))
+        return out_of_fold(table, splits, calibration="isotonic").select(F.lit(h).alias("h"), F.lit(b).alias("buffer"), "symbol", "ts", "fold", "y", "p")
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, product(horizons, buffers)))
+
+
+def grid_table(scores: DataFrame, costs: tuple[float, ...] = COSTS, least: tuple[float, ...] = (0.30, 0.25)) -> DataFrame:
+    """(h, buffer, cost, ap, brier, theta, coverage, ev) of grid_scores (M7, A4, A8): one pass over the scores for
+    the metrics and one for each cost. ap is NULL for a setting without positives."""
+    by = ("h", "buffer")
+    at = scores.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    w = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = at.withColumns({"tp": F.sum("pos").over(w), "k": F.sum("n").over(w)})
+    ap = curve.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("ap"))
+    brier = scores.groupBy(*by).agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
     out = None
-    for h in horizons:
-        for b in buffers:
-            oof = out_of_fold(training_table(bars, BreakConfig(horizon=h, lookback=lookback, buffer=b)), splits).cache()
-            ap = E.average_precision(oof).select(F.col("average_precision").alias("ap"))
-            brier = oof.agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
-            for cost in costs:
-                best = E.best_theta(E.sweep(oof, E.theta_grid(cost=cost), cost=cost))
-                key: dict[str, Column] = {"h": F.lit(h), "buffer": F.lit(b), "cost": F.lit(cost)}
-                row = best.crossJoin(ap).crossJoin(brier).select(*[c.alias(k) for k, c in key.items()], "ap", "brier", "theta", "coverage", "ev")  # one row each
-                out = row if out is None else out.unionByName(row)
-    return out
-
-
-def direction_pipeline(bars: DataFrame, h: int = 12, band: float = 0.0005, splits: int = 3) -> DataFrame:
+    for cost in costs:
+        best = E.plain_best(E.sweep(scores, E.SWEEP_GRID, by, cost=cost), by, *least).withColumn("cost", F.lit(cost))
+        out = best if out is None else out.unionByName(best)
+    return out.join(ap, list(by)).join(brier, list(by)).select(*by, "cost", "ap", "brier", "theta", "trades", "coverage", "ev")
+
+
+def direction_pipeline(bars: DataFrame, h: int = 12, band: float = 0.0005, splits: int = 5) -> DataFrame:
     """Out-of-fold scores for upward and downward moves (M8): (target, symbol, ts, fold, y, p)."""
     table = direction_labels(feature_table(bars), h, band).filter("fwd_ret IS NOT NULL")
-    one = lambda t: out_of_fold(table.withColumn("y", F.col(t)), splits).withColumn("target", F.lit(t))
+    one = lambda t: out_of_fold(table.withColumn("y", F.col(t)), splits, calibration="isotonic").withColumn("target", F.lit(t))
     return one("y_up").unionByName(one("y_down"))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Minutes around an event by importance (fixed values).
 MINUTES = {5: 60, 4: 45, 3: 30}
-#: Event windows are broadcast up to this many rows; beyond, they are joined by hour cells.
-BROADCAST_WINDOWS = 100_000
+#: Seconds of the cells in which points and windows meet.
+CELL = 3600
 
 
 def event_windows(news: DataFrame, importance: int = 3, minutes: dict[int, int] | None = None) -> DataFrame:
@@ -40,20 +40,17 @@ def merged_windows(windows: DataFrame) -> DataFrame:
 
 def in_any_window(points: DataFrame, windows: DataFrame, key: list[str], flag: str = "in_window", past_only: bool = False) -> DataFrame:
     """points with a flag: whether ts lies in any closed window (J2); past_only: of an event not
-    later than ts (J5). Windows are broadcast while they are few, else both sides meet in hour cells."""
+    later than ts (J5). Points and windows meet in hour cells, an equi join at any number of windows;
+    of the windows of a cell that cover it whole, and have come, one is enough, so merged ones are used."""
     w = windows.select("start", "end", *(["event_ts"] if past_only else []))
     inside = (F.col("ts") >= F.col("start")) & (F.col("ts") <= F.col("end"))
     if past_only:
-        inside = inside & (F.col("event_ts") <= F.col("ts"))
-    else:
-        w = merged_windows(w)
+        # A window counts from its event on: its closed part after the event.
+        w = w.select(F.greatest("start", "event_ts").alias("start"), "end").filter("start <= end")
+    w = merged_windows(w)
     ids = points.select(*key, "ts") if "ts" not in key else points.select(*key)
-    if w.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        hit = ids.join(F.broadcast(w), inside, "left_semi")
-    else:
-        cell = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / 3600)
-        cells = w.withColumn("_cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))))
-        cells = cells.withColumnRenamed("_cell", "_w")
-        hit = ids.withColumn("_c", cell(F.col("ts"))).join(cells, (F.col("_c") == F.col("_w")) & inside, "left_semi").drop("_c")
+    cell = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / CELL)
+    cells = w.withColumn("_w", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))))
+    hit = ids.withColumn("_c", cell(F.col("ts"))).join(cells, (F.col("_c") == F.col("_w")) & inside, "left_semi").drop("_c")
     marked = hit.select(*key).distinct().withColumn(flag, F.lit(True))
     return points.join(marked, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))

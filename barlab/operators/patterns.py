@@ -308,7 +308,7 @@ def _context(bars: DataFrame, lookback: int) -> tuple[DataFrame, DataFrame]:
     """The last bars of each symbol with the slope before them, and the median ATR."""
     df = true_range(with_index(bars)).withColumn("slope_24", slope("close", 24))
     last = df.groupBy("symbol").agg(F.max("bar_idx").alias("_n"))
-    df = df.join(F.broadcast(last), "symbol").filter(F.col("bar_idx") > F.col("_n") - lookback).drop("_n")
+    df = df.join(last, "symbol").filter(F.col("bar_idx") > F.col("_n") - lookback).drop("_n")
     sub = df.withColumn("_atr", gated(F.avg, F.col("tr"), 14, 8)).withColumn("_atr", F.last("_atr", True).over(by_time()))
     return df, sub.groupBy("symbol").agg(F.median("_atr").alias("atr_med"))
 
@@ -385,6 +385,25 @@ def all_patterns(*tables: tuple[DataFrame, Column]) -> DataFrame:
     return out
 
 
+def with_boundaries(patterns: DataFrame) -> DataFrame:
+    """Patterns of any table in the columns that boundaries and targets need: (symbol, pid, kind, quality,
+    upper, lower, neck, extreme, height); those that a table lacks are NULL. Lines are read at the
+    pattern's end; a pattern with an entry and a target measures the distance between them."""
+    names = set(patterns.columns)
+    have = lambda c: F.col(c) if c in names else F.lit(None).cast("double")
+    kind = F.col("type") if "type" in names else F.col("kind")
+    at = next(c for c in ("start_idx", "ts") if c in names)
+    line = lambda side: F.col(f"{side}_slope") * F.col("end_idx") + F.col(f"{side}_intercept") if f"{side}_slope" in names else have(f"{side}_now")
+    height = F.abs(F.col("target") - F.col("entry")) if "target" in names else F.abs(have("pole"))
+    return patterns.select("symbol", F.concat_ws(":", kind, F.col(at).cast("string")).alias("pid"), kind.alias("kind"), "quality", line("upper").alias("upper"), line("lower").alias("lower"), have("neck").alias("neck"), have("extreme").alias("extreme"), height.alias("height"))
+
+
+def latest_pattern(patterns: DataFrame) -> DataFrame:
+    """The pattern of each symbol that ends last, the better of equals first."""
+    w = Window.partitionBy("symbol").orderBy(F.desc("end_idx"), F.desc(F.round("quality", 9)), "start_idx")
+    return patterns.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
 def best_patterns(patterns: DataFrame, k: int = 10, least: float = 0.0, order: str = "end_idx") -> DataFrame:
     """The best k of each symbol by quality, the later of equals first."""
     w = Window.partitionBy("symbol").orderBy(F.desc(F.round("quality", 9)), F.desc(order))

@@ -13,7 +13,7 @@ def walk_forward(bars: DataFrame, splits: int = 5, embargo: int = 12) -> DataFra
     all before it less the embargo; the remainder at the end is in no test fold (C1)."""
     df = with_index(bars).select("symbol", "ts", "bar_idx")
     n = df.groupBy("symbol").agg(F.count("*").alias("_n"))
-    df = df.join(F.broadcast(n), "symbol").withColumn("_s", F.floor(F.col("_n") / (splits + 1))).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(splits))))
+    df = df.join(n, "symbol").withColumn("_s", F.floor(F.col("_n") / (splits + 1))).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(splits))))
     start = F.col("fold") * F.col("_s")
     role = F.when((F.col("bar_idx") >= start) & (F.col("bar_idx") < start + F.col("_s")), "test").when(F.col("bar_idx") < start - embargo, "train")
     return df.withColumn("role", role).filter("role IS NOT NULL").drop("_n", "_s")
@@ -23,7 +23,7 @@ def time_groups(df: DataFrame, unit: str = "day") -> DataFrame:
     """df with grp, the 0-based number of its day (or week) among those that occur."""
     day = F.date_trunc(unit, "ts").cast("timestamp_ntz")
     days = df.select(day.alias("_day")).distinct().withColumn("grp", (F.dense_rank().over(Window.orderBy("_day")) - 1).cast("long"))
-    return df.withColumn("_day", day).join(F.broadcast(days), "_day").drop("_day")
+    return df.withColumn("_day", day).join(days, "_day").drop("_day")
 
 
 def fold_bounds(groups: int, splits: int) -> list[tuple[int, int]]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analysis, features, models
+from . import analysis, decisions, features, models
 
-QUERIES: dict = features.Q | analysis.Q | models.Q
-ORACLES: dict = features.O | analysis.O | models.O
+QUERIES: dict = features.Q | analysis.Q | decisions.Q | models.Q
+ORACLES: dict = features.O | analysis.O | decisions.O | models.O
 FLAGSHIP = "break_signal_summary"

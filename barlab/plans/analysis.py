@@ -163,7 +163,8 @@ SELECT e.symbol, si AS signal_idx, level AS level_or_val, dir, ei AS entry_idx,
 FROM en AS e JOIN x c ON c.symbol = e.symbol AND c.i = e.ei""")
 def retest_entries(spark, d):
     """Entries at the first close back at the level."""
-    return rounded(T.retest_entries(_trades(spark, d), bars(spark, d), 12, 10, 2.0, 0.01, 2.0))
+    e = T.retest_entries(_trades(spark, d), bars(spark, d), 12, 10, 2.0, 0.01, 2.0)
+    return rounded(e.select("symbol", "signal_idx", "level_or_val", "dir", "entry_idx", "entry", "exit", "ret_pips"))
 
 
 @query()
@@ -190,12 +191,6 @@ def trend_backtest(spark, d):
     return rounded(t.select("symbol", "ts", "bar_idx", "dir", F.round("level_or_val", 5).alias("level_or_val"), "entry", "exit", "ret_pips"))
 
 
-@query()
-def last_bar_alerts(spark, d):
-    """Alerts of the newest bars (B1)."""
-    return rounded(T.last_bar_alerts(bars(spark, d), _lv(spark, d)))
-
-
 @query(f"""WITH {BARS_SQL}, x AS (SELECT symbol, ts, coalesce(abs(close - lag(close) OVER ({WIN})) > 80, false) AS fired FROM b)
 SELECT symbol, ts, fired, fired AND coalesce(sum(fired::INT) OVER ({WIN} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) >= 4 AS blocked FROM x""")
 def throttled_alerts(spark, d):
@@ -351,13 +346,6 @@ def winsorized(spark, d):
     return rounded(E.winsorized(bars(spark, d).select("symbol", "ts", "close", "high"), ["close", "high"], 2.0))
 
 
-@query()
-def audit_sample(spark, d):
-    """Equally many rows of each stratum for review."""
-    s = _scored(spark, d).withColumn("vol", F.abs(F.col("p") - 0.5))
-    return rounded(E.stratified_sample(s, "id").select("id", "y", "stratum", "p"))
-
-
 @query(f"""WITH {BARS_SQL}, n AS (SELECT symbol, count(*) // 6 AS s FROM b GROUP BY 1), x AS (SELECT b.symbol, b.ts, b.i, k, s, CASE WHEN i >= k * s AND i < (k + 1) * s THEN 'test' WHEN i < k * s - 12 THEN 'train' END AS role FROM b JOIN n USING (symbol), range(1, 6) AS g(k))
 SELECT symbol, ts, i AS bar_idx, k::INT AS fold, role FROM x WHERE role IS NOT NULL""")
 def walk_forward_folds(spark, d):
@@ -391,23 +379,6 @@ def projection_path(spark, d):
     return rounded(projection(last, F.lit(0.6), F.lit(0.4), F.lit(10.0), F.lit(8.0), F.lit(2.0), 12))
 
 
-@query(f"""WITH {BARS_SQL}, {NEWS_SQL}, {_WINS}, x AS (SELECT symbol, ts, close / (close + 50) AS p, (high - greatest(open, close) + least(open, close) - low) / greatest(abs(close - open), 1e-9) AS ratio, EXISTS (SELECT 1 FROM wins WHERE importance >= 5 AND ts BETWEEN s AND e) AS hard FROM b),
-y AS (SELECT *, 2 * p - 1 - 0.15 AS ev FROM x) SELECT symbol, ts, CASE WHEN hard OR p < 0.55 OR ev < 0 THEN 'skip' WHEN ratio >= 2 THEN 'limit_retest' ELSE 'market' END AS action,
-array_to_string(list_filter([CASE WHEN hard THEN 'news' END, CASE WHEN p < 0.55 THEN 'probability' END, CASE WHEN ev < 0 THEN 'expected value' END, CASE WHEN ratio >= 2 THEN 'long wick' END], lambda z: z IS NOT NULL), ',') AS reasons, round(ev, 6) + 0.0 AS ev_r FROM y""")
-def recommendations(spark, d):
-    """Actions and reasons for each bar."""
-    b = J.in_any_window(bars(spark, d), J.event_windows(N.news_from_events(spark, d), 5), ["symbol", "ts"], "hard").withColumn("p", F.col("close") / (F.col("close") + 50))
-    ev = S.expected_r(F.col("p"), cost=0.15)
-    action, reasons = S.recommend(F.col("p"), F.lit(0.55), ev, S.wick_body(F.col("open"), F.col("high"), F.col("low"), F.col("close")), F.col("hard"), F.lit(0.5))
-    return rounded(b.select("symbol", "ts", action.alias("action"), F.concat_ws(",", reasons).alias("reasons"), ev.alias("ev_r")))
-
-
-@query()
-def exponential_atr(spark, d):
-    """Exponential ATR in chunks."""
-    return rounded(D.exponential_atr(bars(spark, d)))
-
-
 @query()
 def triangles(spark, d):
     """Triangles."""
@@ -426,24 +397,6 @@ def flags(spark, d):
     return rounded(D.flags(bars(spark, d), pole_atr=1.0, steepest=0.5, width_atr=8.0, contraction=1.2, quality_min=0.2))
 
 
-@query()
-def band_flags(spark, d):
-    """Flags of the newest window."""
-    return rounded(D.band_flag(bars(spark, d), pole_atr=0.2), 5)
-
-
-@query()
-def double_tops(spark, d):
-    """Double tops and bottoms."""
-    return rounded(D.double_tops(bars(spark, d)), 5)
-
-
-@query()
-def head_shoulders(spark, d):
-    """Head and shoulders."""
-    return rounded(D.head_shoulders(bars(spark, d)), 5)
-
-
 @query()
 def best_patterns(spark, d):
     """All patterns in one table, the best of each symbol."""

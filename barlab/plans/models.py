@@ -4,13 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..operators import backtest as T
+from ..operators import evaluate as E
 from ..operators import levels as V
 from ..operators import model as M
+from ..operators import patterns as D
 from ..operators.features import feature_table
+from .analysis import _trades
 from .common import BARS_SQL, rounded
+from .decisions import COST
 from .features import CONFIG, bars
 
 Q: dict = {}
@@ -31,46 +39,69 @@ def query(sql: str | None = None):
 
 @query()
 def out_of_fold_scores(spark, d):
-    """Out-of-fold break probabilities (M1, M2, M4)."""
-    return rounded(M.out_of_fold(M.training_table(bars(spark, d), CONFIG), 3))
+    """Out-of-fold break probabilities of calibrated models (M1, M2, M4)."""
+    return rounded(M.out_of_fold(M.training_table(bars(spark, d), CONFIG)))
 
 
 @query()
 def isotonic_scores(spark, d):
     """The same with isotonic calibration (M3), by fold."""
-    return rounded(M.fold_summary(M.out_of_fold(M.training_table(bars(spark, d), CONFIG), 3, calibration="isotonic")))
+    return rounded(M.fold_summary(M.out_of_fold(M.training_table(bars(spark, d), CONFIG), calibration="isotonic")))
 
 
-@query()
-def level_break_probabilities(spark, d):
-    """Break probability and expected value of each level."""
+def _level_model(spark, d):
+    """A model of all labelled bars at all levels of their symbol, and the level rows of the newest bars."""
     b = bars(spark, d)
     lv = V.horizontal_levels(V.centred_pivots(b), 0.02)
-    features = feature_table(b).withColumn("dir_sign", F.lit(1))
-    rows = M.level_rows(features, lv, 20, 0.5)
-    train = M.level_rows(features, lv, 100, 0.5).join(M.break_labels(b, CONFIG).select("symbol", "ts", "y", "side"), ["symbol", "ts"]).filter("y IS NOT NULL")
+    features = feature_table(b)
+    labels = M.break_labels(b, CONFIG).select("symbol", "ts", "y", "side").filter("y IS NOT NULL")
+    train = M.level_rows(features, lv, None, 0.5).join(labels, ["symbol", "ts"])
     train = train.withColumn("y", F.when((F.col("side") == "up") == (F.col("dir_sign") == 1), F.col("y")).otherwise(0))
-    return rounded(M.break_probabilities(M.fit_logistic(train, M.LEVEL_FEATURES), rows))
+    return M.fit_logistic(train, M.LEVEL_FEATURES), features, lv
+
+
+@query()
+def level_break_probabilities(spark, d):
+    """Break probability of each level in both directions, and the levels' ranking by expected value."""
+    model, features, lv = _level_model(spark, d)
+    p = M.break_probabilities(model, M.level_rows(features, lv, 20, 0.5))
+    wanted = lv.select("symbol", "level", F.explode(F.array(F.lit("long"), F.lit("short"))).alias("dir"))
+    return rounded(T.rank_levels(p, T.lookup_pips(wanted, *T.expected_pips(_trades(spark, d))), COST))
+
+
+@query()
+def pattern_decisions(spark, d):
+    """Patterns of all kinds by expected value, with the model's probability at their boundaries."""
+    model, features, _ = _level_model(spark, d)
+    b = bars(spark, d)
+    p = reduce(DataFrame.unionByName, [D.with_boundaries(x) for x in (D.double_tops(b), D.head_shoulders(b), D.band_flag(b, pole_atr=0.2), D.latest_pattern(D.triangles(b, flat=0.05, width_atr=6.0)), D.latest_pattern(D.rectangles(b, flat=0.05, drift=0.05, width_atr=6.0, touches=2)))])
+    upper, lower = S.pattern_boundaries(F.col("kind"), F.col("upper"), F.col("lower"), F.col("neck"))
+    ends = p.select("symbol", F.explode(F.array_compact(F.array(upper, lower))).alias("level")).distinct()
+    chance = M.break_probabilities(model, M.level_rows(features, ends, 1, 0.5))
+    at = p.withColumns({"_u": upper, "_l": lower}).join(chance.select("symbol", F.col("level").alias("_u"), "p_up"), ["symbol", "_u"], "left").join(chance.select("symbol", F.col("level").alias("_l"), "p_dn"), ["symbol", "_l"], "left")
+    last = b.groupBy("symbol").agg(F.max_by("close", "ts").alias("close"))
+    return rounded(T.pattern_values(at, *T.expected_pips(_trades(spark, d)), last, COST))
 
 
 @query()
 def label_grid_sweep(spark, d):
-    """Average precision and thresholds over a grid."""
-    return rounded(M.grid_sweep(bars(spark, d), (8,), (0.15,), (0.1, 0.15), 2, 8))
+    """Average precision, Brier score and thresholds of all 24 settings."""
+    return rounded(M.grid_table(M.grid_scores(bars(spark, d), lookback=8)))
 
 
 @query()
 def direction_scores(spark, d):
-    """Out-of-fold scores of both directions (M8)."""
-    oof = M.direction_pipeline(bars(spark, d), 12, 0.05, 2)
-    return rounded(oof.groupBy("target").agg(F.count("*").alias("n"), F.avg("p").alias("p_mean"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier")))
+    """Out-of-fold scores of both directions (M8), with the thresholds of both (A5)."""
+    oof = M.direction_pipeline(bars(spark, d), 12, 0.05)
+    best = E.plain_best(E.sweep(oof, E.DIRECTION_GRID, ("target",), cost=0.02), ("target",), 0.01).select("target", "theta", "coverage", "ev")
+    return rounded(oof.groupBy("target").agg(F.count("*").alias("n"), F.avg("p").alias("p_mean"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier")).join(best, "target"))
 
 
 @query()
 def run_meta(spark, d):
     """What a run records about itself."""
     b = bars(spark, d)
-    m = M.run_meta(b, M.out_of_fold(M.training_table(b, CONFIG), 2))
+    m = M.run_meta(b, M.out_of_fold(M.training_table(b, CONFIG)))
     return m.select("start_ts", "end_ts", "rows", "positives", F.to_json(F.struct("brier", "threshold", "theta_by_session")).alias("meta"))
 
 
@@ -79,7 +110,10 @@ def streamed_bars(spark, d):
     """Closed bars of a replayed event stream (T1): the batch answer for closed buckets."""
     from ..streaming.jobs import closed_bars
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
     source.write.parquet(f"{base}/in")

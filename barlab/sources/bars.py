@@ -13,7 +13,7 @@ PRICES = ("open", "high", "low", "close")
 REQUIRED = ("timestamp", *PRICES, "volume")
 
 #: Longest history by bar interval in minutes, in days (limits of a public data provider; fixed values).
-MAX_DAYS = {1: 7, 2: 60, 5: 60, 15: 60, 30: 60, 60: 730, 90: 60, 1440: 3650}
+MAX_DAYS = {1: 7, 2: 60, 5: 60, 15: 60, 30: 60, 60: 730, 90: 60}
 
 
 def require(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -89,7 +89,7 @@ def clamp_history(bars: DataFrame, interval_minutes: int, days: int) -> DataFram
     """The last `days` of each symbol, at most what the interval allows (IO8)."""
     keep = min(days, MAX_DAYS.get(interval_minutes, days))
     last = bars.groupBy("symbol").agg(F.max("ts").alias("_last"))
-    return bars.join(F.broadcast(last), "symbol").filter(F.col("ts") >= F.col("_last") - F.make_dt_interval(F.lit(keep))).drop("_last")
+    return bars.join(last, "symbol").filter(F.col("ts") >= F.col("_last") - F.make_dt_interval(F.lit(keep))).drop("_last")
 
 
 def bars_from_events(spark: SparkSession, sf_dir: str, minutes: int = 60) -> DataFrame:

@@ -10,43 +10,59 @@ from pyspark.sql import functions as F
 from .bars import any_timestamp
 
 # Header names by meaning, as compared after normalisation.
-SYNONYMS = {
-    "time": ("time", "datetime", "timestamp", "時刻", "日時"),
-    "date": ("date", "日付"),
-    "importance": ("importance", "impact", "重要度"),
-    "title": ("title", "event", "name", "指標", "イベント"),
-}
+TIME = ("time", "timestamp", "datetime", "date_time", "timejst", "datetimejst", "日時", "日付時刻", "発表時刻", "発表時間", "時刻", "時間", "date", "when")
+DATE_ONLY = ("date", "日付", "発表日")
+CLOCK_ONLY = ("time", "時刻", "発表時刻", "発表時間", "時間")
+IMPORTANCE = ("importance", "重要度", "impact", "rank", "priority", "優先度", "star", "stars")
+TITLE = ("title", "イベント", "指標名", "headline", "event", "name", "内容", "subject")
 
 
 def plain_header(name: str) -> str:
-    """Lower case without spaces, dashes, underscores, slashes and parentheses."""
-    return re.sub(r"[\s\-_/()]", "", name).lower()
+    """Lower case without spaces (also wide ones), dashes, underscores, slashes and parentheses."""
+    return re.sub(r"[\s\-_/()]", "", name.strip().replace("\u3000", " ").lower())
 
 
 def resolve_headers(columns: list[str]) -> dict[str, str]:
-    """Meaning -> column, for the meanings found."""
-    plain = {plain_header(c): c for c in reversed(columns)}
-    return {k: next(plain[n] for n in names if n in plain) for k, names in SYNONYMS.items() if any(n in plain for n in names)}
+    """Meaning (time, or date and clock; importance; title) -> the first column with a name of it, if any.
+
+    A column of dates alone is no time; with a column of clock times it makes one.
+    """
+    plain = [(plain_header(c), c) for c in columns]
+    first = lambda names: next((c for n, c in plain if n in set(map(plain_header, names))), None)
+    date, clock = first(DATE_ONLY), first(CLOCK_ONLY)
+    when = {"date": date, "clock": clock} if date and clock else {"time": first([n for n in TIME if n not in DATE_ONLY])}
+    found = when | {"importance": first(IMPORTANCE), "title": first(TITLE)}
+    return {k: c for k, c in found.items() if c is not None}
 
 
 def parse_news(raw: DataFrame) -> DataFrame:
     """(ts, importance, title) from a table of strings (IO5).
 
-    The time comes from the time column, from date and time joined, or else from the column with
-    most parseable values. A bad importance is 0; rows without a time are dropped.
+    The time comes from date and clock joined, from the time column, or else from the column with
+    most parseable times; the importance, where no header names it, from the other column with most
+    numbers, the title from the first column left. A bad or missing importance is 0; rows without a
+    time are dropped. Raises where no column has times.
     """
     found = resolve_headers(raw.columns)
-    col = lambda k: F.col(f"`{found[k]}`")
-    if "date" in found and "time" in found:
-        when = any_timestamp(F.concat_ws(" ", col("date"), col("time")))
-    elif "time" in found or "date" in found:
-        when = any_timestamp(col("time" if "time" in found else "date"))
-    else:
-        counts = raw.agg(*[F.count(any_timestamp(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(raw.columns)]).first()
-        when = any_timestamp(F.col(f"`{raw.columns[max(range(len(raw.columns)), key=lambda i: counts[i])]}`"))
-    importance = F.coalesce(F.floor(col("importance").try_cast("double")).cast("int"), F.lit(0)) if "importance" in found else F.lit(0)
-    title = F.coalesce(col("title"), F.lit("")) if "title" in found else F.lit("")
-    return raw.select(when.alias("ts"), importance.alias("importance"), title.alias("title")).filter("ts IS NOT NULL")
+    column = lambda c: F.col(f"`{c}`")
+    times, numbers = any_timestamp, lambda c: c.try_cast("double")
+    missing = [k for k in ("time", "importance") if k not in found and not (k == "time" and "date" in found)]
+    if missing:
+        tests = [f(column(c)).isNotNull().cast("int") for f in (times, numbers) for c in raw.columns]
+        counts = raw.agg(*[F.coalesce(F.sum(t), F.lit(0)).alias(str(i)) for i, t in enumerate(tests)]).first()
+        n = len(raw.columns)
+        for k, at in (("time", 0), ("importance", n)):
+            free = [i for i in range(n) if raw.columns[i] not in found.values() and counts[at + i]]
+            if k in missing:
+                if free:
+                    found[k] = raw.columns[max(free, key=lambda i: (counts[at + i], -i))]
+                elif k == "time":
+                    raise ValueError("no column of the news has times")
+    when = any_timestamp(F.concat_ws(" ", F.trim(column(found["date"])), F.trim(column(found["clock"])))) if "date" in found else any_timestamp(column(found["time"]))
+    left = [c for c in raw.columns if c not in found.values()]
+    title = found.get("title") or (left[0] if left else None)
+    importance = F.coalesce(F.floor(numbers(column(found["importance"]))).cast("int"), F.lit(0)) if "importance" in found else F.lit(0)
+    return raw.select(when.alias("ts"), importance.alias("importance"), (F.coalesce(column(title), F.lit("")) if title else F.lit("")).alias("title")).filter("ts IS NOT NULL")
 
 
 def read_news_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import news as J
 from ..operators.backtest import last_bar_alerts
 from ..operators.features import feature_table
+from ..operators.monitor import freshness
 
 #: Bars before a new one that all finite frames need.
 HALO_BARS = 210
@@ -32,7 +33,13 @@ def closed_bars(ticks: DataFrame, minutes: int = 60, late: str = "1 hour") -> Da
 def with_halo(bars: DataFrame, new: DataFrame, days: int) -> DataFrame:
     """The bars of the new bars' symbols from `days` before the first new one on."""
     first = new.groupBy("symbol").agg(F.min("ts").alias("_first"))
-    return bars.join(F.broadcast(first), "symbol").filter(F.col("ts") >= F.col("_first") - F.make_dt_interval(F.lit(days))).drop("_first")
+    return bars.join(first, "symbol").filter(F.col("ts") >= F.col("_first") - F.make_dt_interval(F.lit(days))).drop("_first")
+
+
+def recent_bars(spark: SparkSession, table: str, new: DataFrame, days: int) -> DataFrame:
+    """The table's bars from `days` before the first new one on, once each: older files are not read."""
+    first = new.agg(F.min("ts")).first()[0]
+    return spark.read.parquet(table).drop("epoch").filter(F.col("ts") >= F.lit(first) - F.make_dt_interval(F.lit(days))).dropDuplicates(["symbol", "ts"])
 
 
 def live_features(spark: SparkSession, stream: DataFrame, table: str, sink: Callable[[DataFrame, int], None], checkpoint: str, halo_days: int = 30) -> StreamingQuery:
@@ -46,27 +53,41 @@ def live_features(spark: SparkSession, stream: DataFrame, table: str, sink: Call
         if new.isEmpty():
             return
         new.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
-        bars = spark.read.parquet(table).drop("epoch").dropDuplicates(["symbol", "ts"])
+        bars = recent_bars(spark, table, new, halo_days)
         out = feature_table(with_halo(bars, new, halo_days)).join(new.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
         sink(out, epoch)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def live_alerts(spark: SparkSession, stream: DataFrame, table: str, levels: DataFrame, windows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def live_alerts(spark: SparkSession, stream: DataFrame, table: str, levels: DataFrame, windows: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, halo_days: int = 30) -> StreamingQuery:
     """Alerts at the newest bars outside event windows (T4)."""
 
     def step(new: DataFrame, epoch: int) -> None:
         if new.isEmpty():
             return
         new.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
-        bars = spark.read.parquet(table).drop("epoch").dropDuplicates(["symbol", "ts"])
+        bars = recent_bars(spark, table, new, halo_days)
         alerts = last_bar_alerts(bars.join(new.select("symbol").distinct(), "symbol", "left_semi"), levels)
         sink(J.in_any_window(alerts, windows, ["symbol", "ts"]).filter("NOT in_window"), epoch)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def live_freshness(stream: DataFrame, table: str, sink: Callable[[DataFrame, int], None], checkpoint: str, now: Callable[[], str] | None = None, limit: float = 5.0) -> StreamingQuery:
+    """Age of each symbol's newest bar after every micro-batch (T5). The table keeps one row a symbol."""
+
+    def step(new: DataFrame, epoch: int) -> None:
+        spark = new.sparkSession
+        newest = new.groupBy("symbol").agg(F.max("ts").alias("ts"))
+        if epoch > 0:
+            newest = newest.unionByName(spark.read.parquet(f"{table}/epoch={epoch - 1}")).groupBy("symbol").agg(F.max("ts").alias("ts"))
+        newest.write.mode("overwrite").parquet(f"{table}/epoch={epoch}")
+        sink(freshness(spark.read.parquet(f"{table}/epoch={epoch}"), now() if now else None, limit), epoch)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stability(values: np.ndarray, edges: np.ndarray, expected: np.ndarray, eps: float = 1e-6) -> float:
     """PSI of values over given edges against expected shares; values outside are left out."""
     counts, _ = np.histogram(values, edges)

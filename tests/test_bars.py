@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -229,3 +230,92 @@ def test_drift_buffer_state(spark, tmp_path):
     q.stop()
     r = spark.table("drift").first()
     assert r.n == 300 and abs(r.psi) < 0.01
+
+
+def test_news_headers_of_many_vendors(spark):
+    found = N.resolve_headers(["発表日", "発表時刻", "Priority", "指標名"])
+    assert found == {"date": "発表日", "clock": "発表時刻", "importance": "Priority", "title": "指標名"}
+    assert N.resolve_headers(["When", "Stars", "Head-Line"]) == {"time": "When", "importance": "Stars", "title": "Head-Line"}
+    raw = spark.createDataFrame([("2024-01-02 00:00:00", "x", "3"), ("no", "y", "z")], "a string, b string, c string")
+    assert [tuple(r) for r in N.parse_news(raw).select("importance", "title").collect()] == [(3, "x")]
+
+
+def test_newest_rolling_levels_are_the_static_ones(spark):
+    rng = random.Random(31)
+    rows = []
+    for s in "ab":
+        x = 100.0
+        for i in range(400):
+            x += rng.choice([-0.5, -0.25, 0.25, 0.5])
+            rows.append((s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), x, x + rng.choice([0.25, 0.5]), x - rng.choice([0.25, 0.5]), x, 1))
+    b = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume long")
+    piv = V.centred_pivots(b, 6)
+    known = V.rolling_levels(piv, 6, 0.05).filter("to_idx IS NULL")
+    want = {(r.symbol, r.level) for r in V.horizontal_levels(piv, 0.05).collect()}
+    assert {(r.symbol, r.level) for r in known.collect()} == want and len(want) > 2
+
+
+def test_border_points_join_the_cluster_seen_first():
+    prices = np.array([0.75, 0.875, 1.0, 1.25, 1.5, 1.625, 1.75])  # cores 1.0 and 1.5; 1.25 is near both
+    lower_first, upper_first = np.arange(7), np.arange(7)[::-1]
+    assert V._clusters(prices, lower_first, 0.25, 4) == [0.96875, 1.625]
+    assert V._clusters(prices, upper_first, 0.25, 4) == [0.875, 1.53125]
+
+
+def test_precision_recall_area_and_guards(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.4), (1, 0.3)]
+    df = spark.createDataFrame(rows, "y int, p double")
+    points = [(0, 1.0)]
+    for t in (0.9, 0.8, 0.4, 0.3):
+        hit = [y for y, p in rows if p >= t]
+        points.append((sum(hit) / 3, sum(hit) / len(hit)))
+    area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+    assert E.pr_auc(df).first()[0] == pytest.approx(area)
+    none = df.withColumn("y", F.lit(0))
+    assert E.pr_auc(none).first()[0] is None and E.average_precision(none).first()[0] is None
+    out = E.plain_best(E.sweep(df, [0.95, 0.99]), (), 0.3, 0.25).first()
+    assert (out.theta, out.trades, out.ev) == (0.5, 0, None)
+
+
+def test_patterns_wait_for_their_own_side(spark):
+    rows = [("x", "double_top:1", "double_top", 1.0, None, None, 9.0, 10.0, None, 0.5, 0.5), ("x", "rectangle:2", "rectangle", 1.0, 12.0, 8.0, None, None, 3.0, 0.6, None), ("y", "pennant:3", "pennant", 1.0, 12.0, 8.0, None, None, 3.0, 0.5, 0.5)]
+    p = spark.createDataFrame(rows, "symbol string, pid string, kind string, quality double, upper double, lower double, neck double, extreme double, height double, p_up double, p_dn double")
+    by_level = spark.createDataFrame([("x", 9.0, "short", 10.0, 9), ("x", 12.5, "long", 4.0, 2)], "symbol string, level double, dir string, avg_pips double, n long")
+    by_dir = spark.createDataFrame([("x", "short", 1.0), ("x", "long", 20.0)], "symbol string, dir string, dir_pips double")
+    last = spark.createDataFrame([("x", 11.0), ("y", 11.0)], "symbol string, close double")
+    out = {r.pid: r for r in T.pattern_values(p, by_level, by_dir, last, 2.0).collect()}
+    top, box, other = out["double_top:1"], out["rectangle:2"], out["pennant:3"]
+    assert (top.upper_level, top.lower_level, top.target_dn, top.ev_dn, top.action, top.ev) == (None, 9.0, 10.0, 4.0, "SELL", 4.0)
+    assert (box.ev_up, box.ev_dn, box.action, box.target_up) == (pytest.approx(10.8), None, "BUY", 14.0)  # too few trades at 12.5: the direction's mean
+    assert (other.ev_up, other.ev_dn, other.action, other.ev) == (None, None, "SELL", None)
+
+
+def test_ranks_in_cells_are_plain_ranks(spark):
+    rng = random.Random(32)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=rng.randint(0, 50)), rng.choice([0.1, 0.2, 0.2, rng.random()])) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, vol double")
+    got = {r.id: r.rank for r in E.global_rank(df, "vol", "ts", "id").collect()}
+    want = {i: k for k, (_, _, i) in enumerate(sorted((v, t, i) for i, t, v in rows), 1)}
+    assert got == want
+    values = sorted(v for _, _, v in rows)
+    pct = {r.id: r.pct_rank for r in E.percent_rank_average(df, "vol").collect()}
+    for i, _, v in rows:
+        below, ties = sum(x < v for x in values), values.count(v)
+        assert pct[i] == pytest.approx((below + (ties + 1) / 2) / 700)
+
+
+def test_calibration_has_folds_of_its_own(spark):
+    from barlab.operators import model as M
+
+    rng = random.Random(33)
+    rows = []
+    for i in range(420):
+        y = int(rng.random() < 0.4)
+        rows.append(("s", dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), y, y + rng.gauss(0, 1.0), rng.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, y int, a double, b double").coalesce(1)
+    oof = M.out_of_fold(df, 3, features=("a", "b")).toPandas()
+    assert len(oof) == 420 and oof.groupby("fold").size().min() > 100
+    high, low = oof[oof.p > oof.p.median()], oof[oof.p <= oof.p.median()]
+    assert high.y.mean() > low.y.mean() + 0.2 and abs(oof.p.mean() - oof.y.mean()) < 0.1
+    few = M.calibrated(df.limit(60), df, ("a", "b")).toPandas()  # under 100 rows: not calibrated
+    assert len(few) == 420 and few.p.between(0, 1).all()
