@@ -227,12 +227,12 @@ def test_chained_group_is_one_component(spark, monkeypatch):
     rng = random.Random(19)
     words = [rng.choice(WORDS) for _ in range(120)]
     texts = []
-    for i in range(300):  # each a small step from the one before: far ones have nothing in common
+    for i in range(150):  # each a small step from the one before: far ones have nothing in common
         words = list(words)
         words[(7 * i) % 120] = f"new{i}"
         texts.append(" ".join(words))
     out = jaccard.linked_components(docs(spark, texts).repartition(8)).toPandas()
-    assert len(out) == 300 and (out.component_id == 0).all()
+    assert len(out) == 150 and (out.component_id == 0).all()
 
 
 def test_component_ids_are_exact_and_null_ids_link(spark):
