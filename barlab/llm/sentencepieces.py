@@ -29,12 +29,12 @@ from .common import give_back, remembered
 SPACE = "▁"
 #: Encoded words that a Python worker remembers. A word is remembered when it comes in a second
 #: batch; SEEN marks (by hash) tell which words have come.
-REMEMBER_WORDS, SEEN = 150_000, 1 << 21
+REMEMBER_WORDS, SEEN = 100_000, 1 << 21
 #: Slots of the table of pairs of pieces with their verdict (9 bytes each); cleared when 3/5 full.
 PAIR_SLOTS = 1 << 20
 #: Characters of text that are encoded together (a longer text comes alone), and of a word that
 #: takes the pass by itself.
-CHUNK_CHARS, LONG_WORD = 1 << 20, 64
+CHUNK_CHARS, LONG_WORD = 1 << 19, 64
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
@@ -444,12 +444,13 @@ def encode_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str =
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # A batch's ids take several times its texts' memory: they are given out chunk by chunk.
         model = loaded(path)
         for batch in batches:
-            found = [model.encode_batch(texts) for texts in chunks(batch)]
-            parts = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)) for ids, ends in found]
-            yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
-        give_back()
+            for texts in chunks(batch):
+                ids, ends = model.encode_batch(texts)
+                yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            give_back()
 
     return docs.withColumn(out, encode(F.col(text_col)))
 
@@ -491,6 +492,6 @@ def piece_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 rows += [(int(hi - lo), sha256(plain[lo:hi].tobytes()).hexdigest(), t == b) for lo, hi, t, b in zip(ends[:-1], ends[1:], texts, back, strict=True)]
             columns = zip(*rows, strict=True) if rows else [[], [], []]
             yield pa.StructArray.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
-        give_back()
+            give_back()
 
     return docs.select(F.col(id_col), digest(F.col(text_col)).alias("_d")).select(id_col, "_d.n_pieces", "_d.ids_sha256", "_d.exact")
