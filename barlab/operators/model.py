@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -23,10 +24,11 @@ from .splits import fold_bounds, fold_role, time_groups
 FEATURES = ("ret_1", "ret_4", "ret_8", "ret_12", "range_pct", "body_ratio", "wick_up_ratio", "wick_dn_ratio", "atr14_norm", "atr_ratio", "d_atr14", "rv_20", "z_close_20", "slope_short_6_v", "slope_long", "touch_density", "high_low_ratio_20", "hour_sin", "hour_cos", "sess_tokyo", "sess_london", "sess_ny", "reg_atr_low", "reg_atr_high", "ret_8_v_sq", "z_close_20_sq")
 
 
-def training_table(bars: DataFrame, cfg: BreakConfig = BreakConfig()) -> DataFrame:
-    """Features joined with labels on (symbol, ts), unlabelled bars dropped, features winsorized."""
+def training_table(bars: DataFrame, cfg: BreakConfig = BreakConfig(), features: DataFrame | None = None) -> DataFrame:
+    """Features (those of the bars, if not given) joined with labels on (symbol, ts), unlabelled bars dropped,
+    features winsorized (L5)."""
     labels = break_labels(bars, cfg).select("symbol", "ts", "y").filter("y IS NOT NULL")
-    table = feature_table(bars).join(labels, ["symbol", "ts"])
+    table = (feature_table(bars) if features is None else features).join(labels, ["symbol", "ts"])
     return E.winsorized(table, [c for c in FEATURES if not c.startswith(("sess_", "reg_", "hour_"))])
 
 
@@ -206,11 +208,11 @@ HORIZONS, BUFFERS, COSTS = (8, 10, 12, 16), (0.05, 0.1, 0.15), (0.02, 0.03)
 def grid_scores(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, buffers: tuple[float, ...] = BUFFERS, splits: int = 5, lookback: int = 48) -> DataFrame:
     """(h, buffer, symbol, ts, fold, y, p): out-of-fold scores of every label set of the grid (M7). Settings
     whose labels lack a class have no rows. Costs change no model, so they come later."""
-    from itertools import product
+    features = feature_table(bars).select("symbol", "ts", *FEATURES).cache()  # the same for all settings
 
     def one(setting: tuple[int, float]) -> DataFrame:
         h, b = setting
-        table = training_table(bars, BreakConfig(horizon=h, lookback=lookback, buffer=b))
+        table = training_table(bars, BreakConfig(horizon=h, lookback=lookback, buffer=b), features)
         return out_of_fold(table, splits, calibration="isotonic").select(F.lit(h).alias("h"), F.lit(b).alias("buffer"), "symbol", "ts", "fold", "y", "p")
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:

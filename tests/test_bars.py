@@ -319,3 +319,22 @@ def test_calibration_has_folds_of_its_own(spark):
     assert high.y.mean() > low.y.mean() + 0.2 and abs(oof.p.mean() - oof.y.mean()) < 0.1
     few = M.calibrated(df.limit(60), df, ("a", "b")).toPandas()  # under 100 rows: not calibrated
     assert len(few) == 420 and few.p.between(0, 1).all()
+
+
+def test_live_alerts_and_freshness(spark, tmp_path):
+    from barlab.operators import news as J
+    from barlab.streaming import jobs
+
+    rows = [(10, 11, 9, 10)] * 60 + [(10, 14, 9, 13)]
+    bars = frame(spark, rows).unionByName(frame(spark, rows, "y"))
+    bars.coalesce(1).write.parquet(str(tmp_path / "in"))
+    levels = spark.createDataFrame([("x", 12.0), ("y", 12.0)], "symbol string, level double")
+    last = T0 + dt.timedelta(hours=60)
+    windows = J.event_windows(spark.createDataFrame([(last + dt.timedelta(hours=5), 5, "n")], "ts timestamp_ntz, importance int, title string"), 3)
+    seen = []
+    stream = lambda: spark.readStream.schema(bars.schema).parquet(str(tmp_path / "in"))
+    jobs.live_alerts(spark, stream(), str(tmp_path / "bars"), levels, windows, lambda df, _: seen.extend(df.collect()), str(tmp_path / "ck")).awaitTermination()
+    assert {(r.symbol, r["mode"], r.dir, r.ts) for r in seen if r["mode"] == "level"} == {("x", "level", "long", last), ("y", "level", "long", last)}
+    fresh = []
+    jobs.live_freshness(stream(), str(tmp_path / "newest"), lambda df, _: fresh.extend(df.collect()), str(tmp_path / "ck2"), lambda: "2024-01-03 12:10:00").awaitTermination()
+    assert {(r.symbol, r.age_minutes, r.status) for r in fresh} == {("x", 10.0, "STALE"), ("y", 10.0, "STALE")}
