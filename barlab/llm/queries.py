@@ -8,13 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
 from .common import table
 from .jaccard import linked_components
 from .mixing import MIX_SQL, mix_sources
 from .neighbours import NEAREST_SQL, nearest
+from .phrases import COLLOCATIONS_SQL, collocations
 from .sentencepieces import piece_digest
 from .sharding import shard_by_bytes
 from .syncmers import fingerprint_edits
+from .token_blocks import token_blocks
 from .token_counts import token_counts
 from .toxicity import toxicity_scores
 from .url_lists import URL_SQL, entries_from_pages, judge_captures, pages_as_captures
@@ -73,6 +76,21 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_captures(pages_as_captures(pages), entries_from_pages(pages))
 
 
+def op11_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to compressed blocks and read back."""
+    return token_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of each language."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens of a byte-level and of a piece vocabulary, aligned."""
+    return align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -84,10 +102,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_sharding": op9_sharding,
     "op10_url_filters": op10_url_filters,
+    "op11_token_blocks": op11_token_blocks,
+    "op12_phrases": op12_phrases,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
     "op5_nearest": NEAREST_SQL,
     "op7_mixing": MIX_SQL,
     "op10_url_filters": URL_SQL,
+    "op12_phrases": COLLOCATIONS_SQL,
 }
