@@ -26,7 +26,9 @@ from .common import Intermediate, give_back
 from .jaccard import _random, mix
 
 #: Rows of a chunk, bytes of text counted together within one, bytes of text for each hash partition.
-CHUNK_ROWS, COUNTED_BYTES, PARTITION_BYTES = 8192, 8 << 20, 16 << 20
+CHUNK_ROWS, COUNTED_BYTES, PARTITION_BYTES = 2048, 2 << 20, 16 << 20
+#: Counts that a task gathers before it sends them (a chunk of very long texts sends several times).
+GATHERED = 3_000_000
 #: Words of the longest phrase.
 LONGEST = 3
 #: Buckets of a language's candidates in the first step of the ranking.
@@ -172,26 +174,29 @@ def local_counts(texts: DataFrame, n_parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, int] = {}
-        keys, counts, at = np.zeros(0, U), np.zeros(0, np.int64), None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        at = None
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            keys, counts = added(*(np.concatenate(x) for x in zip(*held, strict=True))) if len(held) > 1 else held[0]
+            held.clear()
             part = (keys >> U(32)) % U(n_parts)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(n_parts + 1))
             rows = [(p, at, int(hi - lo), packed(keys[order[lo:hi]], counts[order[lo:hi]]), None, None) for p, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
         for chunk, lang, mine in _batches(batches):
-            if at is not None and chunk != at:
-                yield out()
-                keys, counts = np.zeros(0, U), np.zeros(0, np.int64)
+            if chunk != at or sum(len(k) for k, _ in held) > GATHERED:
+                yield from out()
             at = chunk
             s = Sequences(mine, lang)
             words[lang] = words.get(lang, 0) + len(s.word)
             new = np.concatenate([s.hashes(n)[1] & _WIDE for n in range(1, LONGEST + 1)])
-            keys, counts = added(np.concatenate((keys, new)), np.concatenate((counts, np.ones(len(new), np.int64))))
-        if at is not None:
-            yield out()
+            held.append(added(new, np.ones(len(new), np.int64)))
+        yield from out()
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (-1, None, None, None, k, v), strict=True)) for k, v in words.items()], schema=schema)
         give_back()
 
