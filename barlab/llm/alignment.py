@@ -71,7 +71,7 @@ def overlaps(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
 class Aligner:
     """Both tokenizers, and what is known of the pieces of text that came by."""
 
-    def __init__(self, path_a: str, path_b: str, lookup=None):
+    def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
@@ -85,7 +85,7 @@ class Aligner:
         self.space = self.b.piece_to_id(SPACE)
         # Pieces must not reach over the places where texts are cut.
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.lookup = lookup  # the counts of pairs, where they are known
+        self.lookup = self.table = None  # the counts of pairs, where they are known, and their name
         self._forget()
         self.words = Words()
 
@@ -94,6 +94,23 @@ class Aligner:
         self.fits, self.links = Ragged(np.bool_), Ragged(np.int64)
         self.strings: list[str] = []
 
+    def know(self, table: str, pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> None:
+        """Take up the counts of pairs; pieces that are known already get their sums."""
+        if table == self.table:
+            return
+
+        def lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not len(pair):  # links that are only in texts without tokens count nowhere
+                return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            at = np.minimum(np.searchsorted(pair, keys), len(pair) - 1)
+            there = pair[at] == keys
+            return n[at] * there, best[at] & there
+
+        self.lookup, self.table, self.best, self.sums = lookup, table, Ragged(np.int64), Ragged(np.int64)
+        for held, x in zip((self.sums, self.best), lookup(self.links.flat[: self.links.used]), strict=True):
+            upto = np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[self.links.ends[: self.links.n]]
+            held.add(np.diff(upto, prepend=0), np.ones(self.links.n, np.int64))
+
     def parts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.Array]]:
         """(places of texts, their pieces without the space before each), of " " + text."""
         odd = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False) if self.apart else np.ones(len(texts), bool)
@@ -238,16 +255,10 @@ def _measured(docs: DataFrame, path_a: str, path_b: str, known, links: bool) ->
     schema = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), *fields, ("links", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def lookup(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            pair, n, best = known.value
-            at = np.searchsorted(pair, keys)
-            return n[at], best[at]
-
-        model = remembered(("aligner", path_a, path_b, known is not None), lambda: Aligner(path_a, path_b))
-        if known is not None and getattr(model, "table", None) != known.id:  # counts of another table are of no use
-            model._forget()
-            model.words = Words()
-            model.lookup, model.table = lookup, known.id
+        # What a worker learnt when pairs were counted serves again.
+        model = remembered(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
+        if known is not None:
+            model.know(known.id, *known.value)
         for batch in batches:
             for first, texts in slices(batch.column(2)):
                 out = {c: np.zeros(len(texts), np.int64) for c in ALIGNED[:-1]}
@@ -257,7 +268,7 @@ def _measured(docs: DataFrame, path_a: str, path_b: str, known, links: bool) ->
                     ok = model.valid(which, count) & filled[places]
                     begin = np.cumsum(count) - count
                     for name, held in (("n_a", model.n_a), ("n_b", model.n_b), ("n_groups", model.n_groups), ("n_best", model.best), ("count_sum", model.sums)):
-                        if held.n:
+                        if known is not None or held not in (model.best, model.sums):
                             out[name][places] = np.add.reduceat(held.flat[which], begin) * ok
                     out["n_links"][places] = np.add.reduceat(model.links.lengths()[which], begin) * ok
                     numbers, strings = which.tolist(), model.strings

@@ -225,11 +225,15 @@ def aligned_by_hand(texts):
             continue
         ends_b = dict(spans[1])
         links = [(i, ends_b[at]) for at, i in spans[0] if at in ends_b]
-        cuts = [at for at, _ in spans[0] if at in ends_b]
-        groups, lo = [], 0
-        for hi in cuts:
-            groups.append("|".join(",".join(str(i) for at, i in side if lo < at <= hi) for side in spans))
-            lo = hi
+        sides = []
+        for side, other in ((spans[0], ends_b), (spans[1], dict(spans[0]))):
+            mine = [[]]
+            for at, i in side:
+                mine[-1].append(str(i))
+                if at in other:
+                    mine.append([])
+            sides.append([",".join(x) for x in mine if x])
+        groups = ["|".join(x) for x in zip(*sides, strict=True)]
         counts.update(links)
         found.append((len(ids[0]), len(ids[1]), links, groups))
     best = Counter()
