@@ -22,6 +22,8 @@ SAMPLE = 4096
 RANGES_PER_SHARD = 16
 #: A range over this share of a shard is subdivided.
 OVERFULL = 1 / 64
+#: The largest key there is.
+_TOP = (1 << 63) - 1
 #: Rows (expected) of a part of a piece within which slots are numbered.
 NUMBERED_ROWS = 1 << 15
 
@@ -54,19 +56,15 @@ def sample_splitters(records: DataFrame, total: int, n_ranges: int, sample: int
 
 
 def _count_below(key: Column, splitters: list[int]) -> Column:
-    """Number of splitters at or below the key: two levels, so that a row costs about 2 * sqrt(n) comparisons."""
+    """Number of splitters at or below the key: a binary search over one array literal, by halvings."""
     if not splitters:
         return F.lit(0)
-    width = max(1, int(len(splitters) ** 0.5))
-    blocks = [splitters[i : i + width] for i in range(0, len(splitters), width)]
-
-    def inside(block: list[int], base: int) -> Column:
-        return sum(((key >= F.lit(s)).cast("int") for s in block), F.lit(base))
-
-    out = inside(blocks[0], 0)
-    for i, block in enumerate(blocks[1:], 1):
-        out = F.when(key >= F.lit(block[0]), inside(block, i * width)).otherwise(out)
-    return out
+    # Padded to a power of 2 with what no key reaches, but for a key that is the largest number itself.
+    steps = len(splitters).bit_length()
+    held = F.lit(splitters + [_TOP] * ((1 << steps) - len(splitters)))
+    halves = F.lit([1 << i for i in reversed(range(steps))])
+    found = F.aggregate(halves, F.lit(0), lambda at, half: F.when(F.element_at(held, at + half) <= key, at + half).otherwise(at))
+    return F.least(found, F.lit(len(splitters)))
 
 
 def place_heavy(heavy: dict[int, int], total: int, n_shards: int) -> dict[int, int]:
