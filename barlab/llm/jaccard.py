@@ -335,7 +335,7 @@ def block_links(members: DataFrame, elements: DataFrame) -> DataFrame:
         row = np.repeat(np.arange(len(rows)), size)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
-        common = np.zeros((len(left), len(right)), np.float32)
+        common = np.zeros((len(left), len(right)), np.int64)
 
         def held(side: np.ndarray, at: int) -> np.ndarray:
             """The side's sets as rows of 0 and 1, for a slice of the elements."""
@@ -348,7 +348,8 @@ def block_links(members: DataFrame, elements: DataFrame) -> DataFrame:
             return out
 
         for at in range(0, len(names), SLICE_ELEMENTS):
-            common += held(left, at) @ held(right, at).T
+            # A slice's counts are small enough for float32; their sums are whole numbers of any size.
+            common += (held(left, at) @ held(right, at).T).astype(np.int64)
         union = size[left][:, None] + size[right][None, :] - common
         parent = list(range(len(rows)))
 
@@ -418,14 +419,16 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     sets = stored(document_sets(rows))
     tables = Intermediate(docs.sparkSession)
-    reps = tables.stored(sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    labels = links_between_sets(rows, sets, reps, tables)
-    if labels is not None:
-        named = reps.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-        reps = named.join(least, "label").select("key", F.col("component_id").alias("rep"))
-    reps = stored(reps.select("key", "rep"))
-    tables.clear()
+    try:
+        reps = tables.stored(sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep")))
+        labels = links_between_sets(rows, sets, reps, tables)
+        if labels is not None:
+            named = reps.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+            least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+            reps = named.join(least, "label").select("key", F.col("component_id").alias("rep"))
+        reps = stored(reps.select("key", "rep"))
+    finally:
+        tables.clear()
     plain = sets.select("doc_id", "n", "key")
     full = plain.filter("n > 0").join(reps, "key").select("doc_id", "n", F.col("rep").alias("component_id"))
     empty = plain.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
