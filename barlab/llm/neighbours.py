@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 QUERY_ROWS, CANDIDATE_ROWS, TILE_ROWS = 4096, 16384, 512
 #: Components whose integer products float32 sums exactly: 1024 * 127 * 127 < 2 ** 24.
 EXACT_WIDTH = 1024
-#: Queries whose lists are merged in one task group.
-MERGED_QUERIES = 16
+#: Queries whose lists are merged in one task group, and lists of each that meet there; merging goes on in levels.
+MERGED_QUERIES, MERGED_LISTS = 16, 64
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
 
     def cell(both: pd.DataFrame) -> pd.DataFrame:
         size = both["_x"].map(len)
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, float, int]] = []
         for width in sorted(set(size)):
             part = both[size == width]
             cand, quer = part[part["_role"] == 0], part[part["_role"] == 1]
@@ -127,20 +127,26 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
             tiles = Block(cand["_id"].to_numpy(), np.stack(cand["_x"].to_list()))
             ids = quer["_id"].to_numpy()
             for q, heap in zip(ids.tolist(), search_block(ids, np.stack(quer["_x"].to_list()), tiles, k), strict=True):
-                out += [(q, -minus, s) for s, minus in heap]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += [(q, -minus, s, int(both["_c"].iloc[0])) for s, minus in heap]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "_c"])
 
-    found = candidates.unionByName(queries).groupBy("_q", "_c").applyInPandas(cell, "query_id long, vec_id long, score double")
+    found = candidates.unionByName(queries).groupBy("_q", "_c").applyInPandas(cell, "query_id long, vec_id long, score double, _c int")
 
     def merge(lists: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int, float]] = []
+        out: list[tuple[int, int, int, float, int]] = []
         for q, own in lists.groupby("query_id", sort=False):
             best = heapq.nsmallest(k, zip((-own["score"]).tolist(), own["vec_id"].tolist(), strict=True))
-            out += [(int(q), r, i, -s) for r, (s, i) in enumerate(best, 1)]
-        return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score"])
-
-    group = F.xxhash64(F.floor(F.col("query_id") / (every * MERGED_QUERIES)))
-    return found.groupBy(group.alias("_g")).applyInPandas(merge, "query_id long, rank int, vec_id long, score double")
+            out += [(int(q), r, i, -s, int(own["_c"].iloc[0]) // MERGED_LISTS) for r, (s, i) in enumerate(best, 1)]
+        return pd.DataFrame(out, columns=["query_id", "rank", "vec_id", "score", "_c"])
+
+    # A query has k rows for each candidate block: at most MERGED_LISTS blocks' meet in a group, then what is left.
+    queries_of = F.xxhash64(F.floor(F.col("query_id") / (every * MERGED_QUERIES)))
+    blocks = n_cand
+    while True:
+        found = found.groupBy(queries_of.alias("_g"), F.floor(F.col("_c") / MERGED_LISTS).alias("_b")).applyInPandas(merge, "query_id long, rank int, vec_id long, score double, _c int")
+        blocks = -(-blocks // MERGED_LISTS)
+        if blocks == 1:
+            return found.drop("_c")
 
 
 #: The same search in DuckDB: all products of the stated queries, ranked.
