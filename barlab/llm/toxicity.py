@@ -25,8 +25,10 @@ from .common import forget, give_back, stored
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of a word's beginnings that make features of their own.
 BEGINNINGS = (5, 6, 7, 8)
-#: Bounds of the training sample: confirmed toxic documents, unlabelled documents.
+#: Bounds of the training sample in rows: confirmed toxic documents, unlabelled documents.
 MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
+#: Ids of confirmed toxic documents are broadcast (8 bytes each) up to this many.
+MAX_IDS = 1 << 20
 #: Classifiers, each fitted to the sample without one part.
 MEMBERS = 4
 #: Features kept: those that toxic documents have most surely more often than text at large.
@@ -116,20 +118,27 @@ class Model:
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, float]:
     """(_part, _positive, _features) of the bounded sample, and the class prior.
 
-    A document sampled both as toxic and as unlabelled text counts in both roles. The prior is
-    the toxic share of all labelled rows that may be learnt from.
+    A document sampled both as toxic and as unlabelled text counts in both roles. Rows that agree in id and
+    text count once; rows of one id with different texts count each, so an id on many rows is bounded as
+    any others are. The prior is the toxic share of all labelled ids that may be learnt from.
     """
     usable = labels.filter(~held_out(F.col(id_col)) & F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max("toxic").alias("_toxic"))
     share = usable.agg(F.avg("_toxic")).first()[0] or 0.0
     prior = min(0.5, max(0.01, float(share)))
-    order = F.xxhash64(F.col("_id"), F.lit("sample"))
-    toxic = usable.filter("_toxic = 1").select(F.col(id_col).alias("_id"), F.lit(True).alias("_known")).orderBy(order, "_id").limit(MAX_POSITIVE)
+    toxic = usable.filter("_toxic = 1").select(F.col(id_col).alias("_id"))
+    row = F.xxhash64("_id", "_text", F.lit("sample"))
     mine = docs.filter(~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    rate = min(1.0, MAX_UNLABELLED / max(1, mine.count()))
-    drawn = F.pmod(order, F.lit(1 << 30)) < int(rate * (1 << 30))
-    # At most MAX_POSITIVE ids are broadcast.
-    sample = mine.join(F.broadcast(toxic), "_id", "left").withColumn("_known", F.coalesce("_known", F.lit(False))).withColumn("_drawn", drawn).filter("_known or _drawn")
-    roles = sample.withColumn("_positive", F.explode(F.array_compact(F.array(F.when(F.col("_known"), True), F.when(F.col("_drawn"), False)))))
+    # Rows are counted by id and text, so that copies of a row cannot fill the sample: one of them stands for all.
+    # The rows drawn are those of the lowest hashes, as many as the bounds say.
+    copies = lambda rows: rows.groupBy("_id", row.alias("_row")).agg(F.first("_text").alias("_text"))
+    lowest = lambda rows, most: rows.orderBy("_row", "_id").limit(most)
+    few = toxic.limit(MAX_IDS + 1).count() <= MAX_IDS
+    known = lowest(copies(mine.join(F.broadcast(toxic) if few else toxic, "_id", "left_semi")), MAX_POSITIVE).withColumn("_positive", F.lit(True))
+    # A rate that leaves somewhat more than the bound saves sorting all rows.
+    rate = min(1.0, 1.5 * MAX_UNLABELLED / max(1, mine.count()) + 1e-9)
+    some = mine.filter(F.pmod(row, F.lit(1 << 30)) < int(rate * (1 << 30)))
+    drawn = lowest(copies(some), MAX_UNLABELLED).withColumn("_positive", F.lit(False))
+    roles = known.unionByName(drawn)
 
     @F.pandas_udf("array<long>")
     def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -138,7 +147,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             yield pd.Series([text_features(t) for t in batch.tolist()])
         give_back()
 
-    part = F.pmod(F.xxhash64("_id", F.lit("part")), F.lit(MEMBERS)).cast("int")
+    part = F.pmod(F.xxhash64("_row", F.lit("part")), F.lit(MEMBERS)).cast("int")
     return stored(roles.select(part.alias("_part"), "_positive", extract("_text").alias("_features"))), prior
 
 
@@ -193,7 +202,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     """One row per row of docs: (id_col, *keep, held_out, score, predicted).
 
     labels: (id_col, toxic 0/1/null); rows held out, null labels and null ids teach nothing.
-    Whole texts are scored, by their words alone; empty and null texts get the score of a text
+    Whole texts of any length are scored, by their words alone; empty and null texts get the score of a text
     without any feature. Repeated rows get equal scores; an empty table gives an empty result;
     other columns of either table are ignored, but for those of docs in keep.
     """
