@@ -164,7 +164,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_epoch
     return out.select(*keep, F.col("_id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
 
 
-#: The digest in DuckDB: the same targets, and each document's share of its source's words.
+#: The digest in DuckDB: the same targets, each document's share of its source's words, and the slot in which it
+#: first stands, from a schedule that ranks all points one by one.
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -178,11 +179,21 @@ l AS (
          / sum(weight) OVER (ORDER BY cap / weight, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
   FROM c),
 t AS (SELECT source, src, source_size, least(cap, max(lv) OVER () * weight) AS target FROM l),
+n AS (SELECT greatest(1, ceil(sum(source_size) / 64.0))::BIGINT AS n_slots FROM s),
+bt AS (SELECT n_slots, length(bin(n_slots - 1)) AS bits FROM n),
+h AS (SELECT t.*, round(target)::BIGINT AS words, n_slots, bits, least(ceil(sum(target) OVER (ORDER BY src) / sum(target) OVER () * (1 << bits)), 1 << bits)::BIGINT AS hi FROM t, bt),
+e AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY src), 0) AS lo FROM h),
+pt AS (SELECT t, list_sum(list_transform(range(bits), lambda i: ((t >> i) & 1) << (bits - 1 - i)))::BIGINT AS point FROM (SELECT unnest(range(n_slots)) AS t, bits FROM bt)),
+sl AS (SELECT src, t AS slot, row_number() OVER (PARTITION BY src ORDER BY t) - 1 AS r, count(*) OVER (PARTITION BY src) AS met FROM pt JOIN e ON point >= lo AND point < hi),
+m AS (SELECT e.*, least(greatest(coalesce(met, 0), 1), words) AS slots, list_sum(list_transform(range(bits), lambda i: ((least(lo, (1 << bits) - 1) >> i) & 1) << (bits - 1 - i)))::BIGINT % n_slots AS lone, met
+  FROM e LEFT JOIN (SELECT DISTINCT src, met FROM sl) USING (src)),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS reach,
-         sum(d.size) OVER (PARTITION BY t.src ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  SELECT d.doc_id, d.size, m.src, m.source_size, m.target, words AS reach, met, lone, words // nullif(slots, 0) AS short, words % nullif(slots, 0) AS longer,
+         sum(d.size) OVER (PARTITION BY m.src ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
+  FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source),
+q AS (SELECT *, CASE WHEN start < longer * (short + 1) THEN start // (short + 1) ELSE longer + (start - longer * (short + 1)) // short END AS r FROM p)
 SELECT doc_id, size, source_size, target,
-       list_sum(list_transform([0, 1, 2], lambda x: least(size, greatest(0, reach - x * source_size - start))))::BIGINT AS taken
-FROM p
+       list_sum(list_transform([0, 1, 2], lambda x: least(size, greatest(0, reach - x * source_size - start))))::BIGINT AS taken,
+       CASE WHEN size > 0 AND start < reach THEN CASE WHEN q.met IS NULL THEN lone ELSE slot END END AS first_slot
+FROM q LEFT JOIN sl ON sl.src = q.src AND sl.r = q.r
 """

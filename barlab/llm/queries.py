@@ -51,7 +51,7 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by weights 5, 2, 1 in turn."""
-    return mix_sources(table(spark, sf_dir, "documents")).drop("first_slot")
+    return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
