@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +42,17 @@ def first_barrier(high: Column, low: Column, up: Column, down: Column, left: Col
     return outcome, F.coalesce(F.least(tp, sl), left).cast("long")
 
 
+def with_ahead(bars: DataFrame, lookback: int, horizon: int, timeout: int) -> DataFrame:
+    """bars with their levels (of the previous `lookback` bars, unless they have some), atr, and the following
+    2 * horizon + timeout highs, lows and closes, and atr: what break labels up to that horizon look at."""
+    df = true_range(with_index(bars))
+    if "level_up" not in bars.columns:
+        df = df.withColumns({"level_up": gated(F.max, F.col("high"), lookback, shift=1), "level_dn": gated(F.min, F.col("low"), lookback, shift=1)})
+    df = df.withColumn("atr", gated(F.avg, F.col("tr"), 14)).withColumn("atr", F.last("atr", True).over(by_time()))
+    ahead = {f"_{c}": F.collect_list(c).over(by_time().rowsBetween(1, 2 * horizon + timeout)) for c in ("high", "low", "close")} | {"_atrs": F.collect_list(F.coalesce("atr", F.lit(float("nan")))).over(by_time().rowsBetween(1, 2 * horizon))}
+    return df.withColumns(ahead).withColumn("_left", F.size("_close"))
+
+
 def break_labels(bars: DataFrame, cfg: BreakConfig = BreakConfig(), excluded: Column | None = None) -> DataFrame:
     """Break, settle and triple-barrier label of every bar.
 
@@ -45,13 +60,74 @@ def break_labels(bars: DataFrame, cfg: BreakConfig = BreakConfig(), excluded: Co
     and order that all bar windows share; `excluded` marks bars inside event windows. Bars come
     with level_up and level_dn, or get the extremes of the previous `lookback` bars.
     """
-    df = true_range(with_index(bars))
-    if "level_up" not in bars.columns:
-        df = df.withColumns({"level_up": gated(F.max, F.col("high"), cfg.lookback, shift=1), "level_dn": gated(F.min, F.col("low"), cfg.lookback, shift=1)})
-    df = df.withColumn("atr", gated(F.avg, F.col("tr"), 14)).withColumn("atr", F.last("atr", True).over(by_time()))
-    h, reach = cfg.horizon, 2 * cfg.horizon + cfg.timeout
-    ahead = {f"_{c}": F.collect_list(c).over(by_time().rowsBetween(1, reach)) for c in ("high", "low", "close")} | {"_atrs": F.collect_list(F.coalesce("atr", F.lit(float("nan")))).over(by_time().rowsBetween(1, 2 * h))}
-    df = df.withColumns(ahead).withColumn("_left", F.size("_close"))
+    return judged(with_ahead(bars, cfg.lookback, cfg.horizon, cfg.timeout), cfg, excluded)
+
+
+def label_grid(bars: DataFrame, configs: list[BreakConfig]) -> DataFrame:
+    """(symbol, ts, y0, y1, ...): the labels of break_labels for each configuration; these share lookback and
+    timeout, so the bars are windowed once, and arrays of a batch of bars are judged for all of them (M7)."""
+    lookback, timeout = configs[0].lookback, configs[0].timeout
+    if any((c.lookback, c.timeout, c.buffer_mode) != (lookback, timeout, "atr") for c in configs):
+        raise ValueError("configurations of one grid share lookback and timeout, and have buffers in ATR")
+    reach = 2 * max(c.horizon for c in configs) + timeout
+    df = with_ahead(bars, lookback, max(c.horizon for c in configs), timeout)
+    rows = df.select("symbol", "ts", "level_up", "level_dn", "atr", *[F.col(c).alias(c[1:]) for c in ("_high", "_low", "_close", "_atrs")])
+
+    def padded(column: pa.Array, width: int) -> np.ndarray:
+        """Lists as rows of a matrix, NaN beyond their ends."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        out = np.full((len(size), width), np.nan)
+        out[np.arange(width) < size[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            up, dn, atr = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3, 4))
+            high, low, close, atrs = (padded(batch.column(i), reach) for i in (5, 6, 7, 8))
+            ys = [judge_rows(up, dn, atr, high, low, close, atrs, c) for c in configs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.maximum(y, 0), pa.int32(), mask=y < 0) for y in ys]], names=["symbol", "ts", *[f"y{i}" for i in range(len(ys))]])
+
+    ts = dict(rows.dtypes)["ts"]
+    return rows.mapInArrow(run, f"symbol string, ts {ts}, " + ", ".join(f"y{i} int" for i in range(len(configs))))
+
+
+def _place(hits: np.ndarray) -> np.ndarray:
+    """0-based place of the first hit in each row; the width where there is none."""
+    return np.where(hits.any(axis=1), hits.argmax(axis=1), hits.shape[1])
+
+
+def judge_rows(up: np.ndarray, dn: np.ndarray, atr: np.ndarray, high: np.ndarray, low: np.ndarray, close: np.ndarray, atrs: np.ndarray, cfg: BreakConfig) -> np.ndarray:
+    """Labels (0, 1, -1 for none) of bars from what follows them: the same as break_labels, on arrays."""
+    h, none, row = cfg.horizon, close.shape[1], np.arange(len(up))
+    with np.errstate(invalid="ignore"):
+        size = cfg.buffer * atr
+        above, below = _place(high[:, :h] >= (up + size)[:, None]), _place(low[:, :h] <= (dn - size)[:, None])
+        rises, breaks = (above < h) & (above <= below), (above < h) | (below < h)
+        at = np.where(rises, above, below)
+        # Closes beyond the settle line from the break on, settle_bars in a row, within the horizon.
+        line = np.where(rises, up + cfg.settle_atr * atr, dn - cfg.settle_atr * atr)
+        beyond = np.where(rises[:, None], close >= line[:, None], close <= line[:, None])
+        runs = np.zeros_like(beyond)
+        s = cfg.settle_bars
+        for j in range(s - 1, none):
+            runs[:, j] = beyond[:, j - s + 1 : j + 1].all(axis=1)
+        place = np.arange(none)
+        settle = _place(runs & (place >= (at + s - 1)[:, None]) & (place < (at + h)[:, None]))
+        settled = breaks & (settle < none)
+        here = np.minimum(settle, none - 1)
+        entry, now = close[row, here], atrs[row, here]
+        later = (place > here[:, None]) & (place <= (here + cfg.timeout)[:, None])
+        tp, sl = _place((high >= (entry + cfg.up_r * now)[:, None]) & later), _place((low <= (entry - cfg.down_r * now)[:, None]) & later)
+        won = settled & (tp < none) & (tp <= sl)
+        out = won.astype(np.int32)
+        left = (~np.isnan(close)).sum(axis=1)
+        return np.where((left <= h) | np.isnan(up) | np.isnan(dn) | (atr <= 0), -1, out)
+
+
+def judged(df: DataFrame, cfg: BreakConfig, excluded: Column | None = None) -> DataFrame:
+    """The labels of bars with what lies ahead of them."""
+    h = cfg.horizon
     size = {"atr": lambda level: F.lit(cfg.buffer) * F.col("atr"), "pct": lambda level: level * cfg.buffer, "abs": lambda level: F.lit(cfg.buffer)}[cfg.buffer_mode]
     up, dn = F.col("level_up"), F.col("level_dn")
     near = {k: F.slice(f"_{k}", 1, h) for k in ("high", "low")}

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from . import evaluate as E
 from .features import by_time, feature_table
-from .labels import BreakConfig, break_labels, direction_labels
+from .labels import BreakConfig, break_labels, direction_labels, label_grid
 from .levels import touched
+from .many_fits import LabelGrid
+from .shared import Tables
 from .splits import fold_bounds, fold_role, time_groups
 
 #: Model columns of the feature table.
@@ -203,20 +205,27 @@ def directions_differ(probabilities: DataFrame) -> bool:
 
 #: The grid of the label sweep: horizons, buffers in ATR and costs.
 HORIZONS, BUFFERS, COSTS = (8, 10, 12, 16), (0.05, 0.1, 0.15), (0.02, 0.03)
+#: Costs at which the best threshold's sensitivity is told (fixed values).
+SENSITIVITY = (0.02, 0.03, 0.04)
+#: Model columns that are not winsorized.
+PLAIN = tuple(c for c in FEATURES if c.startswith(("sess_", "reg_", "hour_")))
 
 
 def grid_scores(bars: DataFrame, horizons: tuple[int, ...] = HORIZONS, buffers: tuple[float, ...] = BUFFERS, splits: int = 5, lookback: int = 48) -> DataFrame:
-    """(h, buffer, symbol, ts, fold, y, p): out-of-fold scores of every label set of the grid (M7). Settings
-    whose labels lack a class have no rows. Costs change no model, so they come later."""
-    features = feature_table(bars).select("symbol", "ts", *FEATURES).cache()  # the same for all settings
-
-    def one(setting: tuple[int, float]) -> DataFrame:
-        h, b = setting
-        table = training_table(bars, BreakConfig(horizon=h, lookback=lookback, buffer=b), features)
-        return out_of_fold(table, splits, calibration="isotonic").select(F.lit(h).alias("h"), F.lit(b).alias("buffer"), "symbol", "ts", "fold", "y", "p")
-
-    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, product(horizons, buffers)))
+    """(h, buffer, symbol, ts, fold, y, p): out-of-fold scores of every label set of the grid (M7), all fitted in
+    the same passes over the rows. Folds whose training rows lack a class have no rows. Costs change no
+    model, so they come later. The scores are a written table."""
+    settings = list(product(horizons, buffers))
+    labels = label_grid(bars, [BreakConfig(horizon=h, lookback=lookback, buffer=b) for h, b in settings])
+    names = tuple(f"y{i}" for i in range(len(settings)))
+    grid = LabelGrid(feature_table(bars).select("symbol", "ts", *FEATURES).join(labels.select("symbol", "ts", *names), ["symbol", "ts"]), FEATURES, names, splits, kept=PLAIN)
+    try:
+        grid.fit()
+        at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("setting") + 1)
+        scores = grid.scores().select(at([h for h, _ in settings]).alias("h"), at([b for _, b in settings]).alias("buffer"), "symbol", "ts", "fold", "y", "p")
+        return Tables(bars.sparkSession).written(scores)
+    finally:
+        grid.tables.clear()
 
 
 def grid_table(scores: DataFrame, costs: tuple[float, ...] = COSTS, least: tuple[float, ...] = (0.30, 0.25)) -> DataFrame:

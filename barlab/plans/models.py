@@ -85,10 +85,17 @@ def pattern_decisions(spark, d):
 
 @query()
 def label_grid_sweep(spark, d):
-    """Average precision, Brier score and thresholds of all 24 settings."""
+    """Average precision, Brier score and thresholds of all 24 settings (M7, A4)."""
     return rounded(M.grid_table(M.grid_scores(bars(spark, d), lookback=8)))
 
 
+@query()
+def cost_sensitivity(spark, d):
+    """The best threshold of one run at each cost."""
+    oof = M.out_of_fold(M.training_table(bars(spark, d), CONFIG), calibration="isotonic").withColumns({"h": F.lit(CONFIG.horizon), "buffer": F.lit(CONFIG.buffer)})
+    return rounded(M.grid_table(oof, M.SENSITIVITY))
+
+
 @query()
 def direction_scores(spark, d):
     """Out-of-fold scores of both directions (M8), with the thresholds of both (A5)."""
