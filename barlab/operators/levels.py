@@ -35,18 +35,55 @@ def strict_pivots(bars: DataFrame, left: int = 3, right: int = 3) -> DataFrame:
     return one("_h", "high", "high").unionByName(one("_l", "low", "low"))
 
 
-def thinned(pivots: DataFrame, gap: int = 5) -> DataFrame:
-    """Pivots of a kind at least `gap` bars after the last one kept (W23); greedy, so per symbol and kind."""
+#: Bars of a chunk in which pivots are thinned.
+THIN_CHUNK = 4096
+
+
+def _walk(places: np.ndarray, free_from: int, gap: int) -> tuple[np.ndarray, int]:
+    """Which of the sorted places the greedy rule keeps, and from where on the next may be kept."""
+    kept = np.zeros(len(places), bool)
+    at = int(np.searchsorted(places, free_from))
+    while at < len(places):
+        kept[at] = True
+        free_from = int(places[at]) + gap
+        at = int(np.searchsorted(places, free_from))
+    return kept, free_from
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("bar_idx")
-        kept, last = [], -(10**18)
-        for i in p["bar_idx"].tolist():
-            kept.append(i - last >= gap)
-            last = i if kept[-1] else last
-        return p[kept]
 
-    return pivots.groupBy("symbol", "kind").applyInPandas(run, pivots.schema)
+def thinned(pivots: DataFrame, gap: int = 5, chunk: int = THIN_CHUNK) -> DataFrame:
+    """Pivots of a kind at least `gap` bars after the last one kept.
+
+    The greedy rule is a walk over jump pointers. What a chunk of bars does to it depends only on how
+    many of its first bars are still barred (0 to gap - 1): every chunk works out all these ways through,
+    the chunks' ways are composed one after another, and each chunk then takes the one that is true.
+    """
+    chunk, columns = max(chunk, gap), list(pivots.columns)
+    dealt = pivots.withColumn("_chunk", F.floor(F.col("bar_idx") / chunk).cast("long"))
+
+    def ways(p: pd.DataFrame) -> pd.DataFrame:
+        places, begin = np.sort(p["bar_idx"].to_numpy()), int(p["_chunk"].iloc[0]) * chunk
+        out = [max(0, _walk(places, begin + barred, gap)[1] - begin - chunk) for barred in range(gap)]
+        return p[["symbol", "kind", "_chunk"]].iloc[:1].assign(_out=[out])
+
+    def composed(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_chunk")
+        barred, last, entry = 0, None, []
+        for at, out in zip(p["_chunk"].tolist(), p["_out"], strict=True):
+            barred = barred if last is None or at == last + 1 else 0  # a chunk without pivots bars nothing further on
+            entry.append(barred)
+            barred, last = int(out[barred]), at
+        return p[["symbol", "kind", "_chunk"]].assign(_barred=np.array(entry, np.int32))
+
+    def keep(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("bar_idx")
+        kept, _ = _walk(p["bar_idx"].to_numpy(), int(p["_chunk"].iloc[0]) * chunk + int(p["_barred"].iloc[0]), gap)
+        return p.loc[kept, columns]
+
+    key = ("symbol", "kind", "_chunk")
+    schema = dict((f.name, f.dataType.simpleString()) for f in pivots.schema)
+    names = f"symbol {schema['symbol']}, kind {schema['kind']}, _chunk long"
+    entries = dealt.groupBy(*key).applyInPandas(ways, f"{names}, _out array<int>").groupBy("symbol", "kind").applyInPandas(composed, f"{names}, _barred int")
+    return dealt.join(entries, list(key)).groupBy(*key).applyInPandas(keep, pivots.schema)
 
 
 def horizontal_levels(pivots: DataFrame, eps_share: float = 0.05, eps: float = 0.0, min_samples: int = 3, digits: int | None = 3) -> DataFrame:

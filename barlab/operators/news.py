@@ -24,18 +24,40 @@ def uniform_windows(news: DataFrame, importance: int, minutes: int) -> DataFrame
     return news.filter(F.col("importance") >= importance).select((F.col("ts") - around).alias("start"), (F.col("ts") + around).alias("end"), F.col("ts").alias("event_ts"))
 
 
-def merged_windows(windows: DataFrame) -> DataFrame:
-    """Overlapping windows as one: (start, end). Islands are found within days' cells of the start
-    and then across them on the few that are left."""
+#: Cells of a block in a scan over cells.
+SCAN = 1024
+
+
+def carried(cells: DataFrame, value: str, agg, none, name: str) -> DataFrame:
+    """cells (_day, value, ...) with `name`: agg over the values of all cells before, `none` for the first.
 
-    def islands(df: DataFrame, *key: str) -> DataFrame:
-        w = Window.partitionBy(*key).orderBy("start", "end")
-        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        df = df.withColumn("_new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return df.groupBy(*key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    Cells are scanned within blocks of SCAN, and blocks by their totals, so that no task has all cells;
+    the last scan is over one row for each block (a block of days is close to three years).
+    """
+    inside = Window.partitionBy("_block").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_block", F.floor(F.col("_day") / SCAN))
+    totals = cells.groupBy("_block").agg(agg(value).alias("_total")).withColumn("_top", F.floor(F.col("_block") / SCAN))
+    over = Window.partitionBy("_top").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    far = totals.select("_block", agg("_total").over(over).alias("_far"))
+    both = (F.greatest if agg is F.max else lambda x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))(F.col("_near"), F.col("_far"))
+    return cells.withColumn("_near", agg(value).over(inside)).join(far, "_block").withColumn(name, F.coalesce(both, none)).drop("_near", "_far", "_block")
+
+
+def merged_windows(windows: DataFrame) -> DataFrame:
+    """Overlapping windows as one: (start, end).
 
-    daily = islands(windows.select("start", "end", F.to_date("start").alias("_day")), "_day").drop("_day")
-    return islands(daily)
+    A window begins an island if it starts after the ends of all before it. The windows of a day are one
+    task's; what reaches into a day from the days before, and how many islands began before, are
+    carried over the days, so that no task has all windows. Windows without both ends are left out.
+    """
+    w = windows.select("start", "end", F.unix_date(F.to_date("start")).alias("_day")).filter("start IS NOT NULL AND end IS NOT NULL")
+    reach = carried(w.groupBy("_day").agg(F.max("end").alias("_end")), "_end", F.max, F.lit(None), "_reach").select("_day", "_reach")
+    today = Window.partitionBy("_day").orderBy("start", "end")
+    before = F.greatest(F.max("end").over(today.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    new = w.join(reach, "_day").withColumn("_new", F.when(F.col("start") <= before, 0).otherwise(1))
+    begun = carried(new.groupBy("_day").agg(F.sum("_new").alias("_n")), "_n", F.sum, F.lit(0), "_begun").select("_day", "_begun")
+    island = F.col("_begun") + F.sum("_new").over(today.rowsBetween(Window.unboundedPreceding, 0))
+    return new.join(begun, "_day").withColumn("_island", island).groupBy("_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def in_any_window(points: DataFrame, windows: DataFrame, key: list[str], flag: str = "in_window", past_only: bool = False) -> DataFrame:

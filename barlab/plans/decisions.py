@@ -276,13 +276,19 @@ def recommendations(spark, d):
     return rounded(b.select(*key, theta.alias("theta_eff"), action.alias("action"), F.concat_ws(",", reasons).alias("reasons"), ev.alias("ev_r")))
 
 
-@query(f"""WITH {BARS_SQL}, {NEWS_SQL}, {SCORED_SQL}, g AS (SELECT avg(y) - (1 - avg(y)) - 0.15 AS run_ev FROM scored), x AS (SELECT symbol, ts, close / (close + 50) AS p, EXISTS (SELECT 1 FROM news n WHERE importance >= 5 AND b.ts BETWEEN n.ts - INTERVAL 60 MINUTE AND n.ts + INTERVAL 60 MINUTE) AS inn FROM b)
-SELECT symbol, ts, round(p, 6) AS p, p >= 0.585 AND NOT inn AND run_ev + 1 > 0 AS trade FROM x, g""")
+#: Session of a time (P5).
+_SESSION = "CASE WHEN hour(ts) >= 9 AND hour(ts) < 15 THEN 'Tokyo' WHEN hour(ts) >= 16 THEN 'London' WHEN hour(ts) < 5 THEN 'NY' ELSE 'Other' END"
+
+
+@query(f"""WITH {BARS_SQL}, {NEWS_SQL}, {SCORED_SQL}, g AS (SELECT {_SESSION} AS session, avg(y) * 2.0 - (1 - avg(y)) - 0.01 AS run_ev FROM scored GROUP BY 1),
+x AS (SELECT symbol, ts, {_SESSION} AS session, close / (close + 50) AS p, EXISTS (SELECT 1 FROM news n WHERE importance >= 5 AND b.ts BETWEEN n.ts - INTERVAL 60 MINUTE AND n.ts + INTERVAL 60 MINUTE) AS inn FROM b)
+SELECT symbol, ts, session, round(p, 6) AS p, round(run_ev, 6) + 0.0 AS run_ev, p >= 0.585 AND NOT inn AND coalesce(run_ev, 0.0) > 0 AS trade FROM x LEFT JOIN g USING (session)""")
 def trade_gate(spark, d):
-    """Rows with a signal, outside event windows, while the run's expected value is positive."""
-    run = _scored(spark, d).agg((S.expected_r(F.avg("y"), cost=0.15) + 1).alias("run_ev"))  # one row
-    b = J.in_any_window(bars(spark, d), J.event_windows(N.news_from_events(spark, d), 5), ["symbol", "ts"]).withColumn("p", F.col("close") / (F.col("close") + 50))
-    return rounded(b.crossJoin(run).select("symbol", "ts", "p", ((F.col("p") >= 0.585) & ~F.col("in_window") & (F.col("run_ev") > 0)).alias("trade")))
+    """Rows with a signal, outside event windows, in sessions whose expected value over the run is positive, at
+    twice the risk won and 0.01 of it in costs (B9)."""
+    run = _scored(spark, d).groupBy(S.session_name(F.col("ts")).alias("session")).agg(S.expected_r(F.avg("y"), 2.0, 1.0, 0.01).alias("run_ev"))
+    b = J.in_any_window(bars(spark, d), J.event_windows(N.news_from_events(spark, d), 5), ["symbol", "ts"]).withColumns({"p": F.col("close") / (F.col("close") + 50), "session": S.session_name(F.col("ts"))})
+    return rounded(T.trade_gate(b.withColumn("signal", F.col("p") >= 0.585), run).select("symbol", "ts", "session", "p", "run_ev", "trade"))
 
 
 @query(f"""WITH {BARS_SQL}, {_LEVELS}, f AS (SELECT *, {roll('avg', 'tr', 14)} AS atr14, max(high) OVER w AS rh, min(low) OVER w AS rl FROM b WINDOW w AS ({WIN} ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)), g AS (SELECT *, atr14 - lag(atr14) OVER ({WIN}) AS da, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM f),
