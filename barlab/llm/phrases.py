@@ -26,17 +26,18 @@ from .common import Intermediate, give_back
 from .jaccard import _random, mix
 
 #: Rows of a chunk, bytes of text counted together within one, bytes of text for each hash partition.
-CHUNK_ROWS, COUNTED_BYTES, PARTITION_BYTES = 2048, 2 << 20, 16 << 20
-#: Counts that a task gathers before it sends them (a chunk of very long texts sends several times).
-GATHERED = 3_000_000
+CHUNK_ROWS, COUNTED_BYTES, PARTITION_BYTES = 8192, 2 << 20, 16 << 20
+#: Counts that a task gathers before it sends them (a chunk sends several times), and phrases that it sums up.
+GATHERED, SUMMED = 3_000_000, 400_000
 #: Words of the longest phrase.
 LONGEST = 3
 #: Buckets of a language's candidates in the first step of the ranking.
 BUCKETS = 64
 
 U = np.uint64
-#: Hashes are 48 bits wide, so that sorted ones pack well.
-_WIDE = U((1 << 48) - 1)
+#: Bits of the hashes that are counted: as few as tell the corpus' sequences apart well, so that sorted ones pack
+#: small. They grow with the text; a collision only brings a sequence into the exact count.
+LEAST_BITS, MOST_BITS = 36, 60
 #: Bytes that end a piece, and those that part words.
 _STOPS, _BLANKS = [*b".,;:!?", *range(0x0A, 0x0E)], [0x20, 0x09]
 _KIND = np.zeros(256, np.uint8)
@@ -99,6 +100,11 @@ def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     return keys.astype(U), raw[8 * n :].reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) if len(raw) > 8 * n else np.zeros(0, np.int64)
 
 
+def hash_mask(text_bytes: int) -> U:
+    """The bits of hashes that are counted, for a corpus of so many bytes."""
+    return U((1 << min(MOST_BITS, LEAST_BITS + (text_bytes >> 24).bit_length())) - 1)
+
+
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, with the sums of their counts."""
     order = np.argsort(keys, kind="stable")
@@ -167,13 +173,11 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list
     yield from ((*key, texts) for key, texts in held.items())
 
 
-def local_counts(texts: DataFrame, n_parts: int) -> DataFrame:
-    """(part, chunk, n, data, lang, words): packed counts of each chunk for each hash partition; part -1 has
-    the words of a language. texts: (chunk, lang, text)."""
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("data", pa.binary()), ("lang", pa.string()), ("words", pa.int64())])
+def local_counts(texts: DataFrame, n_parts: int, mask: U) -> DataFrame:
+    """(part, chunk, n, data): packed counts of each chunk for each hash partition. texts: (chunk, lang, text)."""
+    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, int] = {}
         held: list[tuple[np.ndarray, np.ndarray]] = []
         at = None
 
@@ -182,10 +186,10 @@ def local_counts(texts: DataFrame, n_parts: int) -> DataFrame:
                 return
             keys, counts = added(*(np.concatenate(x) for x in zip(*held, strict=True))) if len(held) > 1 else held[0]
             held.clear()
-            part = (keys >> U(32)) % U(n_parts)
+            part = mix(keys) % U(n_parts)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(n_parts + 1))
-            rows = [(p, at, int(hi - lo), packed(keys[order[lo:hi]], counts[order[lo:hi]]), None, None) for p, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
+            rows = [(p, at, int(hi - lo), packed(keys[order[lo:hi]], counts[order[lo:hi]])) for p, (lo, hi) in enumerate(zip(cut, cut[1:])) if hi > lo]
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
         for chunk, lang, mine in _batches(batches):
@@ -193,14 +197,12 @@ def local_counts(texts: DataFrame, n_parts: int) -> DataFrame:
                 yield from out()
             at = chunk
             s = Sequences(mine, lang)
-            words[lang] = words.get(lang, 0) + len(s.word)
-            new = np.concatenate([s.hashes(n)[1] & _WIDE for n in range(1, LONGEST + 1)])
+            new = np.concatenate([s.hashes(n)[1] & mask for n in range(1, LONGEST + 1)])
             held.append(added(new, np.ones(len(new), np.int64)))
         yield from out()
-        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (-1, None, None, None, k, v), strict=True)) for k, v in words.items()], schema=schema)
         give_back()
 
-    return texts.mapInArrow(run, "part int, chunk long, n int, data binary, lang string, words long")
+    return texts.mapInArrow(run, "part int, chunk long, n int, data binary")
 
 
 def frequent_by_chunk(counts: DataFrame, n_parts: int, threshold: int) -> DataFrame:
@@ -228,12 +230,13 @@ def frequent_by_chunk(counts: DataFrame, n_parts: int, threshold: int) -> DataFr
             yield from settle(rows)
         give_back()
 
-    dealt = counts.filter("part >= 0").select("part", "chunk", "n", "data").repartition(n_parts, "part").sortWithinPartitions("part", "chunk")
+    dealt = counts.repartition(n_parts, "part").sortWithinPartitions("part", "chunk")
     return dealt.mapInArrow(run, "chunk long, n int, data binary")
 
 
-def named(texts: DataFrame, frequent: DataFrame, n_chunks: int) -> DataFrame:
-    """(lang, size, phrase, f): counts, chunk by chunk, of the sequences whose keys are frequent.
+def named(texts: DataFrame, frequent: DataFrame, n_chunks: int, mask: U) -> DataFrame:
+    """(lang, size, phrase, f): counts, chunk by chunk, of the sequences whose keys are frequent; and, with size 0
+    and no phrase, of all words.
 
     A chunk's keys come before its texts in one sorted stream, so that no chunk is held as a whole.
     """
@@ -253,21 +256,45 @@ def named(texts: DataFrame, frequent: DataFrame, n_chunks: int) -> DataFrame:
                     keys.setdefault(r["chunk"], []).append(unpacked(r["data"], r["n"])[0])
                 yield batch.filter(is_text).select(["chunk", "lang", "text"])
 
+        sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, list[bytes]]] = {}
+        at_chunk = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, n), (_, count, names) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array([n] * len(names), pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], schema=schema)
+            sums.clear()
+
         for chunk, lang, mine in _batches(texts_only()):
+            if chunk != at_chunk or sum(len(names) for *_, names in sums.values()) > SUMMED:
+                yield from out()
+            at_chunk = chunk
             if chunk not in sorted_keys:
                 sorted_keys.clear()
-                sorted_keys[chunk] = np.sort(np.concatenate(keys.pop(chunk, [np.zeros(0, U)])))
+                sorted_keys[chunk] = np.unique(np.concatenate(keys.pop(chunk, [np.zeros(0, U)])))
             wanted = sorted_keys[chunk]
+            s = Sequences(mine, lang)
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(s.word)], pa.int64())], schema=schema)
             if not len(wanted):
                 continue
-            s = Sequences(mine, lang)
             for n in range(1, LONGEST + 1):
                 at, h = s.hashes(n)
-                key = h & _WIDE
+                key = h & mask
                 found = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
-                _, first, count = np.unique(h[found], return_index=True, return_counts=True)
-                place = at[found][first].tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(place), pa.string()), pa.array([n] * len(place), pa.int32()), pa.array([s.phrase(i, n) for i in place], pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], schema=schema)
+                new, first, count = np.unique(h[found], return_index=True, return_counts=True)
+                held, total, names = sums.get((lang, n), (np.zeros(0, U), np.zeros(0, np.int64), []))
+                # held is sorted by hash, with the place of each one's sum and name.
+                both, place = np.unique(np.concatenate((held, new)), return_inverse=True)
+                summed = np.zeros(len(both), np.int64)
+                summed[place[: len(held)]] = total
+                summed[place[len(held) :]] += count
+                named_now = np.full(len(both), None, object)
+                named_now[place[: len(held)]] = np.array(names, object) if names else np.zeros(0, object)
+                fresh = np.flatnonzero(np.array([x is None for x in named_now[place[len(held) :]]], bool))
+                starts = at[found][first]
+                for i in fresh.tolist():
+                    named_now[place[len(held) + i]] = s.phrase(int(starts[i]), n)
+                sums[lang, n] = both, summed, named_now.tolist()
+        yield from out()
         give_back()
 
     return dealt.mapInArrow(run, "lang string, size int, phrase string, f long")
@@ -282,11 +309,11 @@ def frequent_phrases(docs: DataFrame, tables: Intermediate, threshold: int, lang
     texts = docs.select(chunk.cast("long").alias("chunk"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = tables.stored(texts)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_distinct("chunk").alias("chunks")).first()
-    n_parts = max(1, -(-size.bytes // PARTITION_BYTES))
-    counts = tables.stored(local_counts(texts, n_parts))
-    frequent = frequent_by_chunk(counts, n_parts, threshold)
-    found = named(texts, frequent, max(1, size.chunks)).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= threshold)
-    return tables.stored(found), tables.stored(counts.filter("part < 0").groupBy("lang").agg(F.sum("words").alias("n")))
+    n_parts, mask = max(1, -(-size.bytes // PARTITION_BYTES)), hash_mask(size.bytes)
+    frequent = frequent_by_chunk(local_counts(texts, n_parts, mask), n_parts, threshold)
+    found = named(texts, frequent, max(1, size.chunks), mask).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= threshold) | (F.col("size") == 0))
+    found = tables.stored(found)
+    return found.filter("size > 0"), found.filter("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def words_of(phrase: Column, start: int, length: int) -> Column:
