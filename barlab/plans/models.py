@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -16,6 +14,7 @@ from ..operators import levels as V
 from ..operators import model as M
 from ..operators import patterns as D
 from ..operators.features import feature_table
+from ..operators.shared import shared_folder
 from .analysis import _trades
 from .common import BARS_SQL, rounded
 from .decisions import COST
@@ -117,14 +116,32 @@ def streamed_bars(spark, d):
     """Closed bars of a replayed event stream (T1): the batch answer for closed buckets."""
     from ..streaming.jobs import closed_bars
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or tempfile.mkdtemp(prefix="spark-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     source = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
     source.write.parquet(f"{base}/in")
     stream = closed_bars(spark.readStream.schema(source.schema).parquet(f"{base}/in"))
     q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@query()
+def streamed_scores(spark, d):
+    """All bars replayed as a stream: probability, threshold and gate of each from keyed state (T2), by a model of
+    the labelled bars, thresholds of the sessions, and windows of the calendar."""
+    from ..operators import news as J
+    from ..sources import news as N
+    from ..streaming.scoring import Score, linear_model, live_scores
+
+    b = bars(spark, d)
+    features = feature_table(b)
+    cuts = features.groupBy("symbol").agg(F.percentile("atr14", F.array(F.lit(0.33), F.lit(0.66), F.lit(0.5))).alias("q"))
+    calendar = N.news_from_events(spark, d)
+    windows = lambda w: tuple((r.start, r.end) for r in J.merged_windows(w).collect())  # noqa: E731  a calendar's
+    weights, intercept = linear_model(M.fit_logistic(M.training_table(b, CONFIG, features)))
+    score = Score(weights, intercept, {"": 0.585, "NY": 0.755, "London": 0.665, "Tokyo": 0.74}, {r.symbol: tuple(x or 0.0 for x in r.q or (0.0,) * 3) for r in cuts.collect()}, hard=windows(J.event_windows(calendar, 5)), soft=windows(J.uniform_windows(calendar, 4, 10)))
+    base = shared_folder(spark, "stream")
+    b.write.parquet(f"{base}/in")
+    stream = live_scores(spark.readStream.schema(b.schema).parquet(f"{base}/in"), score)
+    stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/check").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.parquet(f"{base}/out"))
