@@ -68,6 +68,21 @@ def overlaps(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return left, np.repeat(first - (upto - n), n) + np.arange(len(left))
 
 
+def given_back(texts: list[bytes], raw: Ragged, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the joined bytes of each text's ids (n of them, all end to end) are the text."""
+    data, size = raw.rows(ids)
+    upto = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.diff(upto) == length
+    # Texts of the right length lie byte by byte against each other.
+    want = np.frombuffer(b"".join([t for t, x in zip(texts, out.tolist(), strict=True) if x]), np.uint8)
+    have = data[np.repeat(out, np.diff(upto))]
+    wrong = np.concatenate(([0], np.cumsum(want != have)))
+    ends = np.cumsum(length[out])
+    out[out] = wrong[ends] == wrong[ends - length[out]]
+    return out
+
+
 class Aligner:
     """Both tokenizers, and what is known of the pieces of text that came by."""
 
@@ -82,6 +97,11 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.raw_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(x) for x in raw]) for raw in (self.raw_a, self.raw_b))
+        # Bytes of all ids, and their numbers in digits with room for what stands after, as ragged rows.
+        self.bytes_a, self.bytes_b, self.digits = Ragged(np.uint8), Ragged(np.uint8), Ragged(np.uint8)
+        marks = [f"{i};".encode() for i in range(max(len(self.raw_a), len(self.raw_b)))]
+        for held, rows in ((self.bytes_a, self.raw_a), (self.bytes_b, self.raw_b), (self.digits, marks)):
+            held.add(np.frombuffer(b"".join(rows), np.uint8), np.array([len(x) for x in rows]))
         self.space = self.b.piece_to_id(SPACE)
         # Pieces must not reach over the places where texts are cut.
         self.apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
@@ -92,7 +112,7 @@ class Aligner:
     def _forget(self) -> None:
         self.n_a, self.n_b, self.n_groups, self.best, self.sums = (Ragged(np.int64) for _ in range(5))
         self.fits, self.links = Ragged(np.bool_), Ragged(np.int64)
-        self.strings: list[str] = []
+        self.strings: list[bytes] = []
 
     def know(self, table: str, pair: np.ndarray, n: np.ndarray, best: np.ndarray) -> None:
         """Take up the counts of pairs; pieces that are known already get their sums."""
@@ -144,10 +164,7 @@ class Aligner:
         """Align new pieces. One whose joined bytes differ from the text fits not and has no tokens."""
         ids_a, n_a, ids_b, n_b = self.encoded(pieces)
         text = [(" " + p).encode() for p in pieces]
-        end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
-        list_a, list_b = ids_a.tolist(), ids_b.tolist()
-        same = [b"".join([self.raw_a[i] for i in list_a[a - k : a]]) == t == b"".join([self.raw_b[i] for i in list_b[b - m : b]]) for t, a, k, b, m in zip(text, end_a.tolist(), n_a.tolist(), end_b.tolist(), n_b.tolist(), strict=True)]
-        fits = np.array(same, bool)
+        fits = given_back(text, self.bytes_a, ids_a, n_a) & given_back(text, self.bytes_b, ids_b, n_b)
         piece_a, piece_b = np.repeat(np.arange(len(pieces)), n_a), np.repeat(np.arange(len(pieces)), n_b)
         in_a, in_b = fits[piece_a], fits[piece_b]
         # The pieces that fit lie one after another: each token takes the bytes after the one before.
@@ -181,14 +198,15 @@ class Aligner:
         kind = np.repeat([0, 1], [len(group_a), len(group_b)])
         order = np.lexsort((np.arange(len(group)), kind, group))
         group, kind = group[order], kind[order]
-        after = np.full(len(group), ",")
-        after[:-1][kind[:-1] < kind[1:]] = "|"
-        after[:-1][group[:-1] < group[1:]] = ";"
-        if len(after):
-            after[-1] = ";"
-        marks = [f"{i}{c}" for i, c in zip(np.concatenate((a.ids, b.ids))[order].tolist(), after.tolist(), strict=True)]
-        cut = np.cumsum(per(piece_a) + per(piece_b)).tolist()
-        self.strings += ["".join(marks[lo:hi])[:-1] for lo, hi in zip([0, *cut], cut)]
+        data, size = self.digits.rows(np.concatenate((a.ids, b.ids))[order])
+        upto = np.cumsum(size)
+        data[upto[:-1][kind[:-1] < kind[1:]] - 1] = ord("|")
+        same = (kind[:-1] == kind[1:]) & (group[:-1] == group[1:])
+        data[upto[:-1][same] - 1] = ord(",")
+        whole = data.tobytes()
+        tokens_upto = np.cumsum(per(piece_a) + per(piece_b))
+        cut = np.concatenate(([0], upto))[tokens_upto].tolist()
+        self.strings += [whole[lo : max(lo, hi - 1)] for lo, hi in zip([0, *cut], cut)]
 
     def seen(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
         """(places of texts, numbers of their pieces end to end, how many each has, whether numbers began afresh)."""
@@ -275,7 +293,7 @@ def _measured(docs: DataFrame, path_a: str, path_b: str, known, links: bool) ->
                     for j in np.flatnonzero(ok).tolist():
                         lo = int(begin[j])
                         mine = numbers[lo : lo + int(count[j])]
-                        digest[places[j]] = sha256(";".join([strings[i] for i in mine]).encode()).hexdigest()
+                        digest[places[j]] = sha256(b";".join([strings[i] for i in mine])).hexdigest()
                         if links:
                             found[places[j]] = model.links.rows(np.array(mine))[0]
                 yield _rows(out | {"_id": batch.column(0).slice(first, len(texts)), "_row": batch.column(1).slice(first, len(texts)), "groups_sha256": digest.tolist(), "links": found if links else [None] * len(texts)}, schema)
@@ -343,7 +361,7 @@ def aligned_groups(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc
                         if not texts[int(places[j])].as_py():
                             continue
                         at = 0
-                        groups = ";".join([model.strings[i] for i in which[begin[j] : begin[j] + count[j]].tolist()])
+                        groups = b";".join([model.strings[i] for i in which[begin[j] : begin[j] + count[j]].tolist()]).decode()
                         for no, group in enumerate(groups.split(";")):
                             a, b = ([int(i) for i in side.split(",")] for side in group.split("|"))
                             raw = b"".join(model.raw_a[i] for i in a)
