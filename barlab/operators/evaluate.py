@@ -96,11 +96,20 @@ def regime_thetas(df: DataFrame, grid: list[float], least: float = 0.22, target:
     return best_theta(swept.filter(F.col("n") >= SESSION_ROWS), ("session", "regime"), target, least)
 
 
-def confusion(df: DataFrame, theta: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts at a threshold with precision, recall, F1, MCC, balanced accuracy, Brier."""
+def average_precision_by(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by..., ap): average precision of each group, NULL without positives."""
+    at = df.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
+    w = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    curve = at.withColumns({"tp": F.sum("pos").over(w), "k": F.sum("n").over(w)})
+    return curve.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("ap"))
+
+
+def confusion(df: DataFrame, theta: float, by: tuple[str, ...] = (), win: float = 1.0, loss: float = 1.0, cost: float = 0.15) -> DataFrame:
+    """Counts at a threshold with precision, recall, F1, MCC, balanced accuracy, Brier, and the expected value
+    of a trade there, -infinity without trades (A9, A10)."""
     hit, y = F.col("p") >= theta, F.col("y") == 1
     one = lambda c: F.sum(c.cast("long"))
-    a = df.groupBy(*by).agg(one(hit & y).alias("tp"), one(hit & ~y).alias("fp"), one(~hit & y).alias("fn"), one(~hit & ~y).alias("tn"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
+    a = df.groupBy(*by).agg(one(hit & y).alias("tp"), one(hit & ~y).alias("fp"), one(~hit & y).alias("fn"), one(~hit & ~y).alias("tn"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"), F.coalesce(expected_r(F.avg(F.when(hit, F.col("p"))), win, loss, cost), F.lit(float("-inf"))).alias("ev"))
     div = lambda x, z: F.when(z == 0, F.lit(0.0)).otherwise(x / z)
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     mcc = div(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
@@ -191,9 +200,10 @@ def exceed_rate(df: DataFrame, theta: float) -> DataFrame:
 
 
 def top_correlations(df: DataFrame, features: list[str], k: int = 10) -> DataFrame:
-    """Features by absolute correlation with y (A15), from one aggregate row."""
-    row = df.agg(*[F.corr(c, "y").alias(c) for c in features])
-    long = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr")) for c in features])).alias("x")).select("x.*")
+    """Features by absolute correlation with y, beside the share of positives and the rows (A15), from one
+    aggregate row."""
+    row = df.agg(F.avg(F.col("y").cast("double")).alias("positive_ratio"), F.count("y").alias("rows"), *[F.corr(c, "y").alias(f"_{c}") for c in features])
+    long = row.select("positive_ratio", "rows", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{c}").alias("corr")) for c in features])).alias("x")).select("x.*", "positive_ratio", "rows")
     return long.filter("corr IS NOT NULL AND NOT isnan(corr)").orderBy(F.desc(F.abs("corr")), "feature").limit(k)
 
 

@@ -232,10 +232,7 @@ def grid_table(scores: DataFrame, costs: tuple[float, ...] = COSTS, least: tuple
     """(h, buffer, cost, ap, brier, theta, coverage, ev) of grid_scores (M7, A4, A8): one pass over the scores for
     the metrics and one for each cost. ap is NULL for a setting without positives."""
     by = ("h", "buffer")
-    at = scores.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.count("*").alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = at.withColumns({"tp": F.sum("pos").over(w), "k": F.sum("n").over(w)})
-    ap = curve.groupBy(*by).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("ap"))
+    ap = E.average_precision_by(scores, by)
     brier = scores.groupBy(*by).agg(F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
     out = None
     for cost in costs:
@@ -251,17 +248,39 @@ def direction_pipeline(bars: DataFrame, h: int = 12, band: float = 0.0005, split
     return one("y_up").unionByName(one("y_down"))
 
 
-def fold_summary(oof: DataFrame, theta: float = 0.5) -> DataFrame:
-    """Metrics of each fold and their mean."""
-    folds = E.confusion(oof, theta, ("fold",)).select(F.col("fold").cast("string").alias("fold"), "mcc", "balanced_accuracy", "f1_pos", "f1_neg", "brier")
-    return folds.unionByName(folds.agg(F.lit("mean").alias("fold"), *[F.avg(c).alias(c) for c in folds.columns[1:]]))
+#: Statistics of fold metrics (fixed names).
+DESCRIBED = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
 
 
-def run_meta(bars: DataFrame, oof: DataFrame, cost: float = 0.15) -> DataFrame:
-    """One row that tells about a run: span, rows, class balance, metrics, thresholds by session."""
+def fold_summary(oof: DataFrame, theta: float = 0.5) -> DataFrame:
+    """Metrics of each fold, then their count, mean, deviation, least, quartiles and greatest; a metric that a fold
+    lacks is passed over (A16). Folds are few."""
+    folds = E.confusion(oof, theta, ("fold",)).join(E.average_precision_by(oof, ("fold",)), "fold").select(F.col("fold").cast("string").alias("fold"), "ap", "brier", "mcc", "balanced_accuracy", "f1_pos", "f1_neg")
+    metrics = folds.columns[1:]
+    figures = {"count": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max} | {f"{int(100 * q)}%": (lambda q: lambda c: F.percentile(c, F.lit(q)))(q) for q in (0.25, 0.5, 0.75)}
+    one = folds.agg(*[figures[d](c).alias(f"{d} {c}") for d in DESCRIBED for c in metrics])
+    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("fold"), *[F.col(f"{d} {c}").alias(c) for c in metrics]) for d in DESCRIBED])).alias("x")
+    return folds.unionByName(one.select(rows).select("x.*"))
+
+
+def run_meta(bars: DataFrame, oof: DataFrame, features: tuple[str, ...] = FEATURES, win: float = 1.0, loss: float = 1.0, cost: float = 0.15, splits: int = 5, embargo: int = 1) -> DataFrame:
+    """One row that tells about a run (A22): span, rows, class balance, mean metrics of the folds, the threshold
+    with its coverage and expected values, the settings, cost sensitivity, and thresholds by session and by
+    session and regime. oof is a written table, as every figure reads it; a few figures of each are joined."""
     span = bars.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-    rows = oof.agg(F.count("*").alias("rows"), F.sum("y").alias("positives"), F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
-    best = E.best_theta(E.sweep(oof, E.theta_grid(cost=cost), cost=cost)).select(F.struct("theta", "coverage", "ev").alias("threshold"))
-    by = E.best_theta(E.sweep(E.by_session(oof), E.theta_grid(cost=cost), ("session",), cost=cost), ("session",))
-    sessions = by.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("session", "theta")))).alias("theta_by_session"))
-    return span.crossJoin(rows).crossJoin(best).crossJoin(sessions)  # one row each
+    rows = oof.agg(F.count("*").alias("rows"), F.struct(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).alias("class_balance"))
+    macro = fold_summary(oof).filter("fold = 'mean'").select(F.struct(F.col("ap").alias("ap_macro"), F.col("brier").alias("brier_macro")).alias("oof"))
+    best = E.best_theta(E.sweep(oof, E.theta_grid(cost=cost), win=win, loss=loss, cost=cost)).select(F.struct("theta", "coverage", "ev").alias("threshold"))
+    mapped = lambda df, key, value, name: df.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key.alias("k"), value.alias("v"))))).alias(name))  # noqa: E731  a few rows
+    costs = mapped(grid_table(oof.withColumns({"h": F.lit(0), "buffer": F.lit(0.0)}), SENSITIVITY), F.col("cost").cast("string"), F.struct("theta", "coverage", "ev", "trades"), "ev_cost_sensitivity")
+    by_session = E.by_session(oof)
+    grid = E.theta_grid(cost=cost)
+    sessions = mapped(E.best_theta(E.sweep(by_session, grid, ("session",), cost=cost), ("session",)), F.col("session"), F.col("theta"), "theta_by_session")
+    known = feature_table(bars).select("symbol", "ts", "reg_atr_low", "reg_atr_mid", "reg_atr_high")
+    both = E.regime_thetas(oof.join(known, ["symbol", "ts"]), grid, cost=cost)
+    regimes = mapped(both, F.concat_ws("|", "session", "regime"), F.col("theta"), "theta_by_session_regime")
+    out = span
+    for one in (rows, macro, best, costs, sessions, regimes):
+        out = out.crossJoin(one)  # one row each
+    settings = {"ev_cfg": F.struct(F.lit(win).alias("win"), F.lit(loss).alias("loss"), F.lit(cost).alias("cost")), "features": F.array(*map(F.lit, features)), "cv": F.struct(F.lit("purged").alias("kind"), F.lit(splits).alias("n_splits"), F.lit(embargo).alias("embargo"))}
+    return out.withColumns(settings)

@@ -277,8 +277,14 @@ def best_theta_by_session(spark, d):
     return b.select("session", "theta", "trades", F.round("coverage", 6).alias("coverage"), F.round("ev", 6).alias("ev"))
 
 
-@query(f"""WITH {SCORED_SQL}, c AS (SELECT sum((p >= 0.6 AND y = 1)::INT) AS tp, sum((p >= 0.6 AND y = 0)::INT) AS fp, sum((p < 0.6 AND y = 1)::INT) AS fn, sum((p < 0.6 AND y = 0)::INT) AS tn, avg((p - y) ** 2) AS brier FROM scored)
-SELECT tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round(brier, 6) AS brier, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1_pos, round(2 * tn / (2 * tn + fp + fn), 6) AS f1_neg,
+@query(f"WITH {SCORED_SQL}, a AS (SELECT count(*) AS n, count(*) FILTER (p >= 0.7) AS k, avg(p) FILTER (p >= 0.7) AS m FROM scored) SELECT k::BIGINT AS trades, round(k / n, 6) AS coverage, round(m, 6) AS p_mean, round(m * 1.5 - (1 - m) - 0.15, 6) + 0.0 AS ev FROM a")
+def value_at_threshold(spark, d):
+    """Trades, coverage and expected value at one threshold (A1)."""
+    return rounded(E.ev_at(_scored(spark, d), 0.7, 1.5))
+
+
+@query(f"""WITH {SCORED_SQL}, c AS (SELECT sum((p >= 0.6 AND y = 1)::INT) AS tp, sum((p >= 0.6 AND y = 0)::INT) AS fp, sum((p < 0.6 AND y = 1)::INT) AS fn, sum((p < 0.6 AND y = 0)::INT) AS tn, avg((p - y) ** 2) AS brier, avg(p) FILTER (p >= 0.6) AS ph FROM scored)
+SELECT round(ph - (1 - ph) - 0.15, 6) + 0.0 AS ev, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round(brier, 6) AS brier, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1_pos, round(2 * tn / (2 * tn + fp + fn), 6) AS f1_neg,
 round((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy, CASE WHEN tp + fn <= fp + tn THEN 1 ELSE 0 END AS minority_class FROM c""")
 def confusion_metrics(spark, d):
     """Metrics at a threshold."""
@@ -330,7 +336,7 @@ def session_coverage(spark, d):
 
 
 @query(f"""WITH {BARS_SQL}, f AS (SELECT symbol, close, volume, high - low AS rng, (lead(close) OVER ({WIN}) > close)::INT AS y FROM b), s AS (SELECT avg(close) AS m, stddev_pop(close) AS s FROM f)
-SELECT feature, round(c, 6) AS corr FROM (SELECT unnest(['close', 'volume', 'rng']) AS feature, unnest([corr(close, y), corr(volume, y), corr(rng, y)]) AS c FROM f)""")
+SELECT feature, round(c, 6) AS corr, round(pr, 6) AS positive_ratio, n::BIGINT AS rows FROM (SELECT unnest(['close', 'volume', 'rng']) AS feature, unnest([corr(close, y), corr(volume, y), corr(rng, y)]) AS c, avg(y) AS pr, count(y) AS n FROM f)""")
 def feature_correlations(spark, d):
     """Correlations with the label."""
     from ..operators.features import by_time

@@ -88,11 +88,15 @@ def label_grid_sweep(spark, d):
     return rounded(M.grid_table(M.grid_scores(bars(spark, d), lookback=8)))
 
 
+def _run(b):
+    """The out-of-fold scores of one setting, as a written table."""
+    return M.grid_scores(b, (CONFIG.horizon,), (CONFIG.buffer,), lookback=CONFIG.lookback)
+
+
 @query()
 def cost_sensitivity(spark, d):
     """The best threshold of one run at each cost."""
-    oof = M.out_of_fold(M.training_table(bars(spark, d), CONFIG), calibration="isotonic").withColumns({"h": F.lit(CONFIG.horizon), "buffer": F.lit(CONFIG.buffer)})
-    return rounded(M.grid_table(oof, M.SENSITIVITY))
+    return rounded(M.grid_table(_run(bars(spark, d)), M.SENSITIVITY))
 
 
 @query()
@@ -107,8 +111,9 @@ def direction_scores(spark, d):
 def run_meta(spark, d):
     """What a run records about itself."""
     b = bars(spark, d)
-    m = M.run_meta(b, M.out_of_fold(M.training_table(b, CONFIG)))
-    return m.select("start_ts", "end_ts", "rows", "positives", F.to_json(F.struct("brier", "threshold", "theta_by_session")).alias("meta"))
+    m = M.run_meta(b, _run(b))
+    told = ("class_balance", "oof", "threshold", "ev_cfg", "features", "cv", "ev_cost_sensitivity", "theta_by_session", "theta_by_session_regime")
+    return m.select("start_ts", "end_ts", "rows", F.to_json(F.struct(*told)).alias("meta"))
 
 
 @query(f"WITH {BARS_SQL} SELECT symbol, ts, open, high, low, close, volume FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")

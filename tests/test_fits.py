@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.regression import IsotonicRegression
@@ -98,3 +99,13 @@ def test_pool_is_isotonic_regression():
     parts = [b for i in range(10) for b in Y.pool(np.array([p, p])[:, (p * 10).astype(int) == i], y[(p * 10).astype(int) == i], np.ones(int(((p * 10).astype(int) == i).sum())))]
     lo, hi, s, n = (np.array(v) for v in zip(*parts))
     assert np.allclose(Y.pool(np.array([lo, hi]), s, n), blocks)
+
+
+def test_fold_summary_is_describe(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f, int(rng.random() < 0.4), float(round(rng.random(), 2))) for f in (1, 2, 3, 4) for _ in range(60)] + [(5, 0, 0.3)] * 10
+    got = {r.fold: r for r in M.fold_summary(spark.createDataFrame(rows, "fold int, y int, p double")).collect()}
+    assert set(got) == {*map(str, range(1, 6)), *M.DESCRIBED} and got["5"].ap is None and got["count"].ap == 4
+    for metric in ("ap", "brier", "mcc", "balanced_accuracy", "f1_pos", "f1_neg"):
+        want = pd.Series([got[str(f)][metric] for f in range(1, 6)], dtype=float).describe()
+        assert np.allclose([got[d][metric] for d in M.DESCRIBED], want[list(M.DESCRIBED)].to_numpy())
