@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -150,47 +153,182 @@ def touch_counts(bars: DataFrame, levels: DataFrame, n: int = 200, buffer: float
     return j.withColumn("touches", F.sum("_t").over(frame)).drop("_t")
 
 
-def _clusters(prices: np.ndarray, seen: np.ndarray, eps: float, k: int) -> list[float]:
-    """Means of the density clusters of sorted prices; a border point within eps of two clusters goes to
-    the one whose core was seen first (seen: each price's place in the order of kind and time)."""
-    lo, hi = np.searchsorted(prices, prices - eps, "left"), np.searchsorted(prices, prices + eps, "right")
-    core = np.flatnonzero(hi - lo >= k)
-    if not len(core):
-        return []
-    label = np.cumsum(np.concatenate(([0], np.diff(prices[core]) > eps)))
-    first = np.minimum.reduceat(seen[core], np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1]))))
-    after = np.searchsorted(core, np.arange(len(prices)))  # of the cores, the first at or above each price
-    above, below = np.minimum(after, len(core) - 1), np.maximum(after - 1, 0)
-    near_above = (after < len(core)) & (prices[core[above]] - prices <= eps)
-    near_below = (after > 0) & (prices - prices[core[below]] <= eps)
-    mine = np.where(near_above & near_below, np.where(first[label[below]] < first[label[above]], label[below], label[above]), np.where(near_above, label[above], np.where(near_below, label[below], -1)))
-    mine[core] = label
-    return [float(prices[mine == c].mean()) for c in range(label[-1] + 1)]
-
-
-def rolling_levels(pivots: DataFrame, look: int = 10, eps_share: float = 0.05, min_samples: int = 3, digits: int = 3) -> DataFrame:
+#: Prices are added up as whole numbers of 2 ** -UNIT, so that sums do not depend on order or chunks.
+UNIT = 60
+#: Bars of a chunk in which rolling levels are worked out.
+LEVEL_CHUNK = 32_768
+#: Cells of a width whose folded prices are carried through the chunks by one task.
+CELL_BLOCK = 64
+
+
+def _whole(price: float) -> int:
+    return int(math.ldexp(price, UNIT))
+
+
+def _deviation(n: int, s1: int, s2: int, of: int | None = None) -> float:
+    """Population deviation by exact moments; with `of`, the least it can be once there are `of` prices."""
+    return math.sqrt((n * s2 - s1 * s1) / (n * (of or n) << 2 * UNIT)) if n else 0.0
+
+
+def _width(least_eps: float) -> float:
+    """The power of two below eps that prices are folded by; 0 folds equal prices only."""
+    return 2.0 ** math.floor(math.log2(least_eps * 0.999)) if least_eps > 0 else 0.0
+
+
+@dataclass
+class _Prices:
+    """Sorted prices; each stands for `count` pivots that sum up to `total`, the first of them seen at `seen`."""
+
+    price: np.ndarray
+    seen: np.ndarray
+    total: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def of(cls, price, seen, total, count) -> _Prices:
+        price, total = np.asarray(price, float), np.array([int(t) for t in total], object)
+        order = np.argsort(price, kind="stable")
+        return cls(price[order], np.asarray(seen, np.int64)[order], total[order], np.asarray(count, np.int64)[order])
+
+    def __add__(self, more: _Prices) -> _Prices:
+        both = ((getattr(self, f), getattr(more, f)) for f in ("price", "seen", "total", "count"))
+        return _Prices.of(*map(np.concatenate, both))
+
+    def insert(self, price: float, seen: int) -> None:
+        at = int(np.searchsorted(self.price, price))
+        self.price, self.seen = np.insert(self.price, at, price), np.insert(self.seen, at, seen)
+        self.total, self.count = np.insert(self.total, at, _whole(price)), np.insert(self.count, at, 1)
+
+    def folded(self, width: float, keep: int) -> _Prices:
+        """Of each cell of `width` the `keep` lowest and highest prices; those between go to the one below.
+
+        Where something lies between, the cell holds more than 2 * keep pivots. With width <= eps and
+        keep >= min_samples - 1 they are all cores of one cluster, and no price outside sees a change.
+        """
+        if not len(self.price):
+            return self
+        cell = np.floor(self.price / width) if width > 0 else self.price
+        start = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+        size = np.diff(np.append(start, len(cell)))
+        place = np.arange(len(cell)) - np.repeat(start, size)
+        at = np.flatnonzero((place < keep) | (np.repeat(size, size) - place <= keep))
+        return _Prices(self.price[at], np.minimum.reduceat(self.seen, at), np.add.reduceat(self.total, at), np.add.reduceat(self.count, at))
+
+    def clusters(self, eps: float, k: int, digits: int) -> set[float]:
+        """Rounded means of the density clusters; a border point within eps of two clusters goes to the
+        one whose core was seen first."""
+        if not eps > 0 or not len(self.price):
+            return set()
+        p = self.price
+        core = np.flatnonzero(np.searchsorted(p, p + eps, "right") - np.searchsorted(p, p - eps, "left") >= k)
+        if not len(core):
+            return set()
+        label = np.cumsum(np.concatenate(([0], np.diff(p[core]) > eps)))
+        first = np.minimum.reduceat(self.seen[core], np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1]))))
+        after = np.searchsorted(core, np.arange(len(p)))  # of the cores, the first at or above each price
+        above, below = np.minimum(after, len(core) - 1), np.maximum(after - 1, 0)
+        near_above = (after < len(core)) & (p[core[above]] - p <= eps)
+        near_below = (after > 0) & (p - p[core[below]] <= eps)
+        mine = np.where(near_above & near_below, np.where(first[label[below]] < first[label[above]], label[below], label[above]), np.where(near_above, label[above], np.where(near_below, label[below], -1)))
+        mine[core] = label
+        inside = np.flatnonzero(mine >= 0)
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(mine[inside]) != 0)))
+        totals, counts = np.add.reduceat(self.total[inside], starts), np.add.reduceat(self.count[inside], starts)
+        return {round(t / (int(c) << UNIT), digits) for t, c in zip(totals, counts, strict=True)}
+
+
+def rolling_levels(pivots: DataFrame, look: int = 10, eps_share: float = 0.05, min_samples: int = 3, digits: int = 3, chunk: int = LEVEL_CHUNK) -> DataFrame:
     """(symbol, level, from_idx, to_idx): levels by the pivots visible so far (V3).
 
     A pivot is visible (look - 1) // 2 bars after it. Clusters change only when a pivot appears, so
-    levels come as half-open bar intervals (to_idx NULL: still valid); one pass per symbol.
-    """
+    levels come as half-open bar intervals (to_idx NULL: still valid). Pivots without a symbol or a
+    finite price take no part; a symbol whose prices are all the same has no levels.
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        # The place of each pivot in the order of kind (highs first) and time.
-        p = p.sort_values(["kind", "bar_idx"]).assign(seen=np.arange(len(p))).sort_values("bar_idx")
-        out, prices, seen, active = [], np.zeros(0), np.zeros(0, int), {}
-        for at, new in p.groupby(p["bar_idx"] + (look - 1) // 2, sort=True):
-            more = new.sort_values("price")
-            place = np.searchsorted(prices, more["price"].to_numpy())
-            prices, seen = np.insert(prices, place, more["price"].to_numpy()), np.insert(seen, place, more["seen"].to_numpy())
-            eps = prices.std() * eps_share
-            now = {round(x, digits) for x in _clusters(prices, seen, eps, min_samples)} if eps > 0 else set()
-            for x in sorted(set(active) - now):
-                out.append((x, active.pop(x), int(at)))
-            active |= {x: int(at) for x in now if x not in active}
-        out += [(x, at, None) for x, at in sorted(active.items())]
-        frame = pd.DataFrame(out, columns=["level", "from_idx", "to_idx"]).astype({"to_idx": "Int64"})
+    Each chunk of a symbol's bars is a task of its own. It begins with all earlier prices, folded into
+    cells no wider than any eps of the chunk: what lies deep inside a cell counts by number and sum
+    only. So a task holds some prices per cell and its own pivots, however long the series. Widths are
+    powers of two; an earlier chunk is folded once for each width that later ones use.
+    """
+    keep, late = max(min_samples - 1, 1), (look - 1) // 2
+    kind = pivots.schema["symbol"].dataType.simpleString()
+    key, price = ("symbol", "_chunk"), F.col("price").cast("double")
+    seen = F.col("bar_idx") + F.when(F.col("kind") == "high", 0).otherwise(1 << 40)  # in the order of kind and time
+    at = F.col("bar_idx") + late
+    dealt = pivots.filter(F.col("symbol").isNotNull() & price.isNotNull() & (F.abs(price) < float("inf"))).select("symbol", price.alias("price"), seen.cast("long").alias("seen"), at.cast("long").alias("at"), F.floor(at / chunk).cast("long").alias("_chunk"))
+
+    def moments(p: pd.DataFrame) -> pd.DataFrame:
+        x = [_whole(v) for v in p["price"]]
+        return p[["symbol", "_chunk"]].iloc[:1].assign(n=len(x), s1=str(sum(x)), s2=str(sum(v * v for v in x)))
+
+    def before(p: pd.DataFrame) -> pd.DataFrame:
+        p, n, s1, s2, out = p.sort_values("_chunk"), 0, 0, 0, []
+        for m, t1, t2 in zip(p["n"].tolist(), p["s1"], p["s2"], strict=True):
+            out.append((n, str(s1), str(s2), _width(eps_share * _deviation(n, s1, s2, n + m))))
+            n, s1, s2 = n + m, s1 + int(t1), s2 + int(t2)
+        return pd.concat([p[["symbol", "_chunk"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "s1", "s2", "width"])], axis=1)
+
+    def fold(p: pd.DataFrame) -> pd.DataFrame:
+        own, frames = _Prices.of(p["price"], p["seen"], map(_whole, p["price"]), np.ones(len(p))), []
+        for width in p["widths"].iloc[0]:
+            f = own.folded(width, keep)
+            cell = np.floor(f.price / width) if width > 0 else f.price
+            frames.append(pd.DataFrame({"width": width, "block": np.floor(cell / CELL_BLOCK), "price": f.price, "seen": f.seen, "total": [str(t) for t in f.total], "count": f.count}))
+        out = pd.concat(frames)
+        return out.assign(symbol=p["symbol"].iloc[0], _chunk=p["_chunk"].iloc[0])
+
+    def carry(p: pd.DataFrame) -> pd.DataFrame:
+        """The block's prices before each chunk that uses the width."""
+        uses, held, frames = p["uses"].iloc[0], _Prices.of([], [], [], []), []
+        width, of_chunk = p["width"].iloc[0], dict(list(p.groupby("_chunk")))
+        waiting = sorted(of_chunk)
+        for chunk_id in sorted(uses):
+            while waiting and waiting[0] < chunk_id:
+                more = of_chunk[waiting.pop(0)]
+                held = (held + _Prices.of(more["price"], more["seen"], more["total"], more["count"])).folded(width, keep)
+            frames.append(pd.DataFrame({"_chunk": chunk_id, "price": held.price, "seen": held.seen, "total": [str(t) for t in held.total], "count": held.count}))
+        return pd.concat(frames).assign(symbol=p["symbol"].iloc[0])
+
+    def replay(p: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
+        if p.empty:
+            return pd.DataFrame(columns=["symbol", "level", "at", "begins"])
+        p = p.sort_values(["at", "price", "seen"])
+        n, s1, s2 = int(p["n"].iloc[0]), int(p["s1"].iloc[0]), int(p["s2"].iloc[0])
+        base = _Prices.of(earlier["price"], earlier["seen"], earlier["total"], earlier["count"])
+        held, active = replace(base), base.clusters(eps_share * _deviation(n, s1, s2), min_samples, digits)
+        price, seen, out = p["price"].to_numpy(), p["seen"].to_numpy(), []
+        steps, starts = np.unique(p["at"].to_numpy(), return_index=True)
+        until = width = room = 0
+        for step, i, j in zip(steps.tolist(), starts, np.append(starts[1:], len(p)), strict=True):
+            for x, s in zip(price[i:j].tolist(), seen[i:j].tolist(), strict=True):
+                held.insert(x, s)
+                v = _whole(x)
+                n, s1, s2 = n + 1, s1 + v, s2 + v * v
+            if n > until:  # a width holds until the number of prices has doubled; the next one starts from all of them
+                until = 2 * n
+                width = _width(eps_share * _deviation(n, s1, s2, until))
+                held = (base + _Prices.of(price[:j], seen[:j], map(_whole, price[:j]), np.ones(j))).folded(width, keep)
+                room = 2 * len(held.price) + 64
+            elif len(held.price) > room:
+                held = held.folded(width, keep)
+                room = 2 * len(held.price) + 64
+            now = held.clusters(eps_share * _deviation(n, s1, s2), min_samples, digits)
+            out += [(x, step, True) for x in now - active] + [(x, step, False) for x in active - now]
+            active = now
+        frame = pd.DataFrame(out, columns=["level", "at", "begins"])
         frame.insert(0, "symbol", p["symbol"].iloc[0])
         return frame
 
-    return pivots.groupBy("symbol").applyInPandas(run, "symbol string, level double, from_idx long, to_idx long")
+    names = f"symbol {kind}, _chunk long"
+    plan = dealt.groupBy(*key).applyInPandas(moments, f"{names}, n long, s1 string, s2 string").groupBy("symbol").applyInPandas(before, f"{names}, n long, s1 string, s2 string, width double")
+    # One row a symbol and width: the chunks that use it. One row a chunk: the widths that later chunks use.
+    uses = plan.filter("n > 0").groupBy("symbol", "width").agg(F.collect_list("_chunk").alias("uses"))
+    spans = uses.groupBy("symbol").agg(F.collect_list(F.struct("width", F.array_max("uses").alias("last"))).alias("_w"))
+    later = F.expr("transform(filter(_w, w -> w.last > _chunk), w -> w.width)")
+    own = dealt.join(spans, "symbol").withColumn("widths", later).drop("_w").filter("size(widths) > 0")
+    kept = own.groupBy(*key).applyInPandas(fold, f"{names}, width double, block double, price double, seen long, total string, count long")
+    seeds = kept.join(uses, ["symbol", "width"]).groupBy("symbol", "width", "block").applyInPandas(carry, f"{names}, price double, seen long, total string, count long")
+    # A named number of partitions, as adaptive execution would put chunks, small but slow, into one task.
+    parts = int(pivots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = dealt.join(plan.drop("width"), list(key)).repartition(parts, *key).groupBy(*key).cogroup(seeds.groupBy(*key)).applyInPandas(replay, f"symbol {kind}, level double, at long, begins boolean")
+    over = Window.partitionBy("symbol", "level").orderBy("at")
+    return turns.withColumn("to_idx", F.lead("at").over(over)).filter("begins").select("symbol", "level", F.col("at").alias("from_idx"), "to_idx")
