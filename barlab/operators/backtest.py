@@ -130,13 +130,13 @@ def lookup_pips(wanted: DataFrame, by_level: DataFrame, by_dir: DataFrame, least
 def nearest_pips(wanted: DataFrame, by_level: DataFrame, by_dir: DataFrame, key: list[str], least: int = 5) -> DataFrame:
     """As lookup_pips, with the nearest level of the symbol and direction to x (J8), the lower of two.
 
-    Levels and wanted prices are sorted together within cells of one unit of price; the last level below
-    and the first above are carried over cells that have none, so no price meets all levels.
+    x stays a column where it is part of the key. Levels and wanted prices are sorted together within cells
+    of one unit of price; the last level below and the first above are carried over cells that have none, so no price meets all levels.
     """
     side, cell = ["symbol", "dir"], F.floor("x").alias("_cell")
     known = F.struct("level", "avg_pips", "n")
     levels = by_level.select(*side, F.col("level").alias("x"), known.alias("_at"), F.floor("level").alias("_cell"))
-    rows = wanted.select(*dict.fromkeys([*key, *side]), "x", cell).unionByName(levels, allowMissingColumns=True)
+    rows = wanted.select(*dict.fromkeys([*key, *side, "x"]), cell).unionByName(levels, allowMissingColumns=True)
     ends = rows.groupBy(*side, "_cell").agg(F.max_by("_at", F.when(F.col("_at").isNotNull(), F.col("x"))).alias("_top"), F.min_by("_at", F.when(F.col("_at").isNotNull(), F.col("x"))).alias("_bottom"))
     cells = Window.partitionBy(*side).orderBy("_cell")
     ends = ends.select(*side, "_cell", F.last("_top", True).over(cells.rowsBetween(Window.unboundedPreceding, -1)).alias("_far_below"), F.first("_bottom", True).over(cells.rowsBetween(1, Window.unboundedFollowing)).alias("_far_above"))
@@ -146,7 +146,7 @@ def nearest_pips(wanted: DataFrame, by_level: DataFrame, by_dir: DataFrame, key:
     away = lambda level: F.when(level.isNotNull(), F.struct(F.abs(F.col("x") - level["level"]).alias("d"), level["level"].alias("level"), level.alias("at")))
     best = F.least(away(F.coalesce("_below", "_far_below")), away(F.coalesce("_above", "_far_above")))["at"]
     out = near.withColumn("b", best).drop("_at", "_below", "_above", "_far_below", "_far_above", "_cell").join(by_dir, side, "left")
-    return out.withColumn("exp_pips", F.coalesce(F.when(F.col("b.n") >= least, F.col("b.avg_pips")), F.col("dir_pips"), F.lit(0.0))).drop("b", "dir_pips", "x")
+    return out.withColumn("exp_pips", F.coalesce(F.when(F.col("b.n") >= least, F.col("b.avg_pips")), F.col("dir_pips"), F.lit(0.0))).drop("b", "dir_pips", *({"x"} - set(key)))
 
 
 def trade_gate(signals: DataFrame, run: DataFrame, by: tuple[str, ...] = ("session",)) -> DataFrame:

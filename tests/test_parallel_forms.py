@@ -68,6 +68,14 @@ def test_nearest_level_by_brute_force(spark):
         assert got[s, i, d] == (near[2] if near and near[3] >= 5 else average.get((s, d), 0.0))
 
 
+def test_nearest_level_of_a_price_in_the_key(spark):
+    by_level = spark.createDataFrame([("A", 10.0, "long", 1.0, 5), ("A", 12.0, "long", 2.0, 5), ("A", 30.0, "long", 3.0, 4)], "symbol string, level double, dir string, avg_pips double, n long")
+    by_dir = spark.createDataFrame([("A", "long", 0.5)], "symbol string, dir string, dir_pips double")
+    frame = spark.createDataFrame([("A", 10.9, "long"), ("A", 11.0, "long"), ("A", 11.1, "long"), ("A", 29.0, "long"), ("B", 10.0, "long")], "symbol string, x double, dir string")
+    got = T.nearest_pips(frame, by_level, by_dir, ["symbol", "x"]).select("symbol", "x", "dir", "exp_pips").collect()
+    assert sorted(map(tuple, got)) == [("A", 10.9, "long", 1.0), ("A", 11.0, "long", 1.0), ("A", 11.1, "long", 2.0), ("A", 29.0, "long", 0.5), ("B", 10.0, "long", 0.0)]
+
+
 def test_trade_gate_opens_and_closes(spark):
     signals = spark.createDataFrame([("a", "NY", True, False), ("b", "NY", False, False), ("c", "NY", True, True), ("d", "Tokyo", True, False), ("e", "Other", True, False)], "id string, session string, signal boolean, in_window boolean")
     run = spark.createDataFrame([("NY", 0.1), ("Tokyo", -0.1)], "session string, run_ev double")
