@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Intermediate, forget, give_back, stored
@@ -231,18 +231,23 @@ def candidate_signatures(sets: DataFrame, tables: Intermediate) -> DataFrame:
     first = sets.filter(F.size("own") + F.size("next") > 0)
     facts = [first.filter(F.col(c) > 0).select((F.col("key") + odd).alias("k"), F.col(c).alias("need"), "n", "parts").distinct() for c, odd in (("need_own", 0), ("need_next", 1))]
     counts = shared.groupBy("k").agg(F.count("*").alias("have"))
-    alive = counts.join(facts[0].unionByName(facts[1]), "k").filter("have >= need")
-    rows = shared.join(alive, "k")
-    # Once more among the sets still there, then without the commonest signatures of each set.
-    size = rows.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
-    rows = rows.join(size, "token")
+    alive = tables.stored(counts.join(facts[0].unionByName(facts[1]), "k").filter("have >= need"))
+    # Once more among the sets still there, then without the commonest signatures of each set. Rows travel bare;
+    # what is known of their sets joins them where the sets meet.
+    of_token = Window.partitionBy("token")
+    rows = shared.join(alive.select("k"), "k", "left_semi").withColumn("c", F.count("*").over(of_token)).filter("c > 1")
     rank = "row_number() OVER (PARTITION BY k ORDER BY c DESC, token DESC)"
-    kept = rows.withColumn("place", F.expr(rank)).filter(F.col("place") >= F.col("need"))
-    return kept.select("token", set_of(F.col("k")).alias("key"), "n", (F.col("parts") - F.col("have")).alias("lonely"))
+    kept = rows.withColumn("place", F.expr(rank)).select("token", "k", "place").join(alive, "k").filter(F.col("place") >= F.col("need"))
+    kept = kept.select("token", set_of(F.col("k")).alias("key"), "n", (F.col("parts") - F.col("have")).alias("lonely"))
+    # Most of what is left has lost its partners by now and brings no pair together.
+    return kept.withColumn("c", F.count("*").over(of_token)).filter("c > 1").drop("c")
 
 
 def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link. The pairs of a set with many are dealt over several tasks."""
+    """The stored pairs (a, b) whose sets link. The pairs of a set with many are dealt over several tasks."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    few = pairs.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2
+    elements = elements.join(F.broadcast(keys) if few else keys, "key", "left_semi")
     left = elements.select(F.col("key").alias("a"), F.col("elements").alias("x"))
     right = elements.select(F.col("key").alias("b"), F.col("elements").alias("y"))
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("shares"))

@@ -110,3 +110,24 @@ def test_splitters_are_counted_like_bisect(spark):
         keys = [-(2**63), -301, -300, -1, 0, 5, 6, 7, 8, 2**50, 2**63 - 2, 2**63 - 1]
         got = {r.k: r.n for r in spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding._count_below(F.col("k"), splitters).alias("n")).collect()}
         assert got == {k: bisect_right(splitters, k) for k in keys}
+
+
+def test_signatures_without_a_second_set_are_left_out(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    common = [" ".join(rng.choice(WORDS, 30)) for _ in range(6)]
+    # Texts share passages, few are near copies: sets lose partners when the commonest signatures are left out.
+    texts = [" ".join([*(common[j] for j in rng.choice(6, 3, replace=False)), *(f"w{i}x{j}" for j in range(40))]) for i in range(120)]
+    texts += [t + " more" for t in texts[:5]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_id long, _text string")
+    tables = jaccard.Intermediate(spark)
+    try:
+        rows = jaccard.candidate_signatures(tables.stored(jaccard.document_sets(docs)), tables).collect()
+    finally:
+        tables.clear()
+    members = {}
+    for r in rows:
+        members.setdefault(r.token, set()).add(r.key)
+    assert rows and min(map(len, members.values())) > 1
+    keys = [jaccard.set_key(jaccard.shingle_set(t)) for t in texts]
+    for i in range(5):
+        assert any({keys[i], keys[120 + i]} <= m for m in members.values())
