@@ -32,7 +32,9 @@ from .common import give_back, remembered, scratch
 from .words import Ragged, Words, slices, tokens_of_words
 
 #: Ids of a block, blocks coded side by side, and ids of the alphabet times blocks at most (2 bytes each).
-BLOCK_IDS, LANES, CELLS = 8192, 768, 40_000_000
+BLOCK_IDS, LANES, CELLS = 8192, 512, 40_000_000
+#: Distinct words that a worker remembers.
+REMEMBER = 400_000
 #: Bytes of text of a file.
 FILE_BYTES = 28 << 20
 #: The id after each document.
@@ -285,7 +287,7 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.alphabet = self.tokenizer.get_vocab_size(True)
-        self.words, self.ids = Words(), Ragged(np.int32)
+        self.words, self.ids = Words(REMEMBER), Ragged(np.int32)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts (no nulls) end to end, without special tokens, and how many each has."""

@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 REMEMBER = 700_000
 #: Words longer than this (in characters) are not remembered.
 LONG = 256
+#: Groups of words that the tokenizer has at a time.
+GROUPS = 64
 
 
 class Ragged:
@@ -88,7 +90,9 @@ def tokens_of_words(tokenizer, words: list[str], lead: str = "", together: int =
     """
     groups = [words[i : i + together] for i in range(0, len(words), together)]
     flat, lengths = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for group, e in zip(groups, tokenizer.encode_batch([lead + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
+    # What the tokenizer gives out is many times as large as the words, so it has a few groups at a time.
+    found = (e for i in range(0, len(groups), GROUPS) for e in tokenizer.encode_batch([lead + " ".join(g) for g in groups[i : i + GROUPS]], add_special_tokens=False))
+    for group, e in zip(groups, found, strict=True):
         size = np.fromiter(map(len, group), np.int64, len(group)) + 1
         begin = np.cumsum(size) - size
         places = np.fromiter((at for at, _ in e.offsets), np.int64, len(e.ids))

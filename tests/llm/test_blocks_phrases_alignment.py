@@ -291,3 +291,24 @@ def test_coalescing_and_overlaps_by_brute_force():
         pairs = {(i, j) for i in range(len(a.ids)) for j in range(len(b.ids)) if a.start[i] < b.end[j] and b.start[j] < a.end[i]}
         assert set(zip(*(x.tolist() for x in alignment.overlaps(a, b)))) == pairs
         assert all(ga[i] == gb[j] for i, j in pairs)
+
+
+def test_tokenizer_has_few_words_at_a_time():
+    class Watched:
+        """The tokenizer, with the most groups that it was given at once."""
+
+        def __init__(self, path):
+            self.inner, self.most = Tokenizer.from_file(path), 0
+
+        def encode_batch(self, texts, **options):
+            self.most = max(self.most, len(texts))
+            return self.inner.encode_batch(texts, **options)
+
+    watched = Watched(public_tokenizers.path("word_bpe_49k.json"))
+    made = [f"word{i}s" for i in range(3 * words.GROUPS * 64 + 5)]
+    flat, lengths = words.tokens_of_words(watched, made)
+    assert watched.most == words.GROUPS
+    sample = [0, 63, 64, words.GROUPS * 64 - 1, words.GROUPS * 64, len(made) - 1]
+    ends = lengths.cumsum()
+    for i in sample:
+        assert flat[ends[i] - lengths[i] : ends[i]].tolist() == watched.inner.encode(made[i], add_special_tokens=False).ids
