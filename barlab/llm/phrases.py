@@ -4,8 +4,10 @@ Texts fall into chunks. Every chunk counts its own word sequences (one to three
 sends the counts, sorted and packed, to hash partitions. A partition merges them into a Misra-Gries
 summary whose capacity exceeds the partition's mass divided by the threshold, so that no frequent
 sequence can drop out, and counts the survivors exactly in a second pass over the packed counts. The
-hashes that are frequent go back to the chunks they came from, which then name them; phrases are
-summed up by their words, so that a collision of hashes costs time but changes no count.
+hashes that are frequent go back to the chunks they came from; the first chunk of each names it. All
+chunks add up a second hash of every occurrence: where the sum is not the names' second hashes times
+their counts, other sequences share a hash, and the phrases concerned are named by all chunks and
+summed up by their words. So a collision of hashes costs time but changes no count.
 
 Nothing grows but the number of chunks and partitions: a task holds one chunk's batch of texts, or
 one partition's packed counts.
@@ -14,6 +16,7 @@ one partition's packed counts.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,21 +34,24 @@ CHUNK_ROWS, COUNTED_BYTES, PARTITION_BYTES = 8192, 2 << 20, 16 << 20
 GATHERED, SUMMED = 3_000_000, 400_000
 #: Words of the longest phrase.
 LONGEST = 3
-#: Buckets of a language's candidates in the first step of the ranking.
-BUCKETS = 64
+#: Buckets of a language's candidates in the first step of the ranking; groups of hashes with a sum of their own.
+BUCKETS, GROUPS = 64, 256
 
 U = np.uint64
 #: Bits of the hashes that are counted: as few as tell the corpus' sequences apart well, so that sorted ones pack
-#: small. They grow with the text; a collision only brings a sequence into the exact count.
-LEAST_BITS, MOST_BITS = 36, 60
+#: small. They grow with the text; a collision only means that a group of phrases is summed up by its words.
+LEAST_BITS, MOST_BITS = 46, 62
 #: Bytes that end a piece, and those that part words.
 _STOPS, _BLANKS = [*b".,;:!?", *range(0x0A, 0x0E)], [0x20, 0x09]
 _KIND = np.zeros(256, np.uint8)
 _KIND[_STOPS], _KIND[_BLANKS] = 2, 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_PLACE = _random(1024, 3)
 _WORD = _random(LONGEST + 1, 4)
+#: Random numbers of the two hashes: of places in words, and of words in sequences.
+_PLACES, _WORDS = {k: _random(1024, k) for k in (3, 5)}, {3: _WORD, 5: _random(LONGEST + 1, 6)}
+#: Sizes of the rows that hold sums of second hashes (the lower and the upper 32 bits), and of those that count words.
+LOWER, UPPER, ALL_WORDS = -1, -2, 0
 
 
 class Sequences:
@@ -60,26 +66,39 @@ class Sequences:
         self.start, self.end = edge[::2], edge[1::2]
         stops = np.cumsum(kind == 2)
         self.piece = stops[self.start]
-        with np.errstate(over="ignore"):
-            seed = mix(np.array([int.from_bytes(lang.encode()[:8].ljust(8), "little")], U) + U(len(lang)))[0]
+        self.inside, self.lang, self.word = inside, lang, {}
+
+    def words(self, hashed: int) -> np.ndarray:
+        """Hashes of all words; `hashed` names one of the two hashes (3 or 5)."""
+        if hashed not in self.word:
             size = self.end - self.start
             upto = np.cumsum(size)
             within = np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - size, size)
-            factors = _PLACE if not len(size) or size.max() <= len(_PLACE) else _random(int(size.max()), 3)
-            value = (data[inside].astype(U) + U(1)) * factors[within]
-            self.word = mix(np.add.reduceat(value, upto - size) + seed) if len(size) else np.zeros(0, U)
+            factors = _PLACES[hashed] if not len(size) or size.max() <= 1024 else _random(int(size.max()), hashed)
+            seed = U(int.from_bytes(blake2b(self.lang.encode(), digest_size=8, salt=bytes([hashed])).digest(), "little"))
+            with np.errstate(over="ignore"):
+                value = (self.data[self.inside].astype(U) + U(1)) * factors[within]
+                self.word[hashed] = mix(np.add.reduceat(value, upto - size) + seed) if len(size) else np.zeros(0, U)
+        return self.word[hashed]
+
+    def places(self, n: int) -> np.ndarray:
+        """Where sequences of n words begin."""
+        last = len(self.start) - n + 1
+        return np.flatnonzero(self.piece[:last] == self.piece[n - 1 :]) if last > 0 else np.zeros(0, np.int64)
+
+    def hashes_at(self, at: np.ndarray, n: int, hashed: int = 3) -> np.ndarray:
+        """The 64-bit hashes of the sequences of n words that begin there."""
+        word, factors = self.words(hashed), _WORDS[hashed]
+        with np.errstate(over="ignore"):
+            h = np.full(len(at), factors[n])
+            for j in range(n):
+                h = mix(h * factors[j] + word[at + j])
+        return h
 
     def hashes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The places where sequences of n words begin, and the sequences' 64-bit hashes."""
-        last = len(self.word) - n + 1
-        if last <= 0:
-            return np.zeros(0, np.int64), np.zeros(0, U)
-        at = np.flatnonzero(self.piece[:last] == self.piece[n - 1 :])
-        with np.errstate(over="ignore"):
-            h = np.full(len(at), _WORD[n])
-            for j in range(n):
-                h = mix(h * _WORD[j] + self.word[at + j])
-        return at, h
+        at = self.places(n)
+        return at, self.hashes_at(at, n)
 
     def phrase(self, at: int, n: int) -> bytes:
         return b" ".join(self.data[self.start[i] : self.end[i]].tobytes() for i in range(at, at + n))
@@ -89,7 +108,8 @@ def packed(keys: np.ndarray, counts: np.ndarray | None = None) -> bytes:
     """Sorted keys, as their differences, and their counts: bytes of like weight stand together."""
     planes = [np.diff(keys, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()]
     if counts is not None:
-        planes.append(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+        width = 8 if len(counts) and counts.max() >> 32 else 4
+        planes.append(counts.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -97,7 +117,8 @@ def unpacked(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The n keys, and their counts where they have been packed."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     keys = np.cumsum(raw[: 8 * n].reshape(8, -1).T.copy().view("<u8").ravel())
-    return keys.astype(U), raw[8 * n :].reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) if len(raw) > 8 * n else np.zeros(0, np.int64)
+    width = len(raw) // n - 8
+    return keys.astype(U), raw[8 * n :].reshape(width, -1).T.copy().view(f"<u{width}").ravel().astype(np.int64) if width else np.zeros(0, np.int64)
 
 
 def hash_mask(text_bytes: int) -> U:
@@ -136,6 +157,11 @@ class MisraGries:
 
 def frequent_keys(parts: list[tuple[int, bytes]], threshold: int) -> np.ndarray:
     """The keys whose counts in the packed parts (number of keys, data) come to the threshold, sorted."""
+    return frequent_counts(parts, threshold)[0]
+
+
+def frequent_counts(parts: list[tuple[int, bytes]], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys whose counts in the packed parts come to the threshold, sorted, and their counts."""
     mass = sum(int(unpacked(data, n)[1].sum()) for n, data in parts)
     summary = MisraGries(mass // threshold + 1)
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -156,7 +182,12 @@ def frequent_keys(parts: list[tuple[int, bytes]], threshold: int) -> np.ndarray:
         at = np.minimum(np.searchsorted(keys, mine), max(0, len(keys) - 1))
         hit = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
         counts[at[hit]] += c[hit]  # keys of one part are distinct
-    return keys[counts >= threshold]
+    return keys[counts >= threshold], counts[counts >= threshold]
+
+
+def group_of(keys: np.ndarray) -> np.ndarray:
+    """The groups of keys with a sum of their own."""
+    return (mix(keys ^ _WORD[1]) % U(GROUPS)).astype(np.int64)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, list[bytes]]]:
@@ -206,17 +237,23 @@ def local_counts(texts: DataFrame, n_parts: int, mask: U) -> DataFrame:
 
 
 def frequent_by_chunk(counts: DataFrame, n_parts: int, threshold: int) -> DataFrame:
-    """(chunk, n, data): the frequent keys of each hash partition, packed, for every chunk that has some."""
+    """(chunk, n, data): the frequent keys of each hash partition, packed, for every chunk that has some; with the
+    key's count in the first chunk that has it, else with 0."""
     schema = pa.schema([("chunk", pa.int64()), ("n", pa.int32()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settle(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-            found = frequent_keys([(n, data) for _, n, data in rows], threshold)
+            found, total = frequent_counts([(n, data) for _, n, data in rows], threshold)
+            if not len(found):
+                return
             for chunk, n, data in rows:
                 mine = unpacked(data, n)[0]
-                mine = mine[np.isin(mine, found, assume_unique=True)]
+                at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
+                at = at[found[at] == mine]
+                mine, count = found[at], total[at]
+                total[at] = 0
                 if len(mine):
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(mine)], pa.int32()), pa.array([packed(mine)], pa.binary())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(mine)], pa.int32()), pa.array([packed(mine, count)], pa.binary())], schema=schema)
 
         part, rows = None, []
         for batch in batches:
@@ -234,28 +271,111 @@ def frequent_by_chunk(counts: DataFrame, n_parts: int, threshold: int) -> DataFr
     return dealt.mapInArrow(run, "chunk long, n int, data binary")
 
 
-def named(texts: DataFrame, frequent: DataFrame, n_chunks: int, mask: U) -> DataFrame:
-    """(lang, size, phrase, f): counts, chunk by chunk, of the sequences whose keys are frequent; and, with size 0
-    and no phrase, of all words.
+class Keys:
+    """Distinct sorted keys of some bits, with their places."""
 
-    A chunk's keys come before its texts in one sorted stream, so that no chunk is held as a whole.
-    """
+    def __init__(self, keys: np.ndarray, mask: U):
+        self.keys = np.append(keys, ~U(0))
+        bits = int(mask).bit_length()
+        used = min(bits, max(1, len(keys).bit_length()))
+        self.shift = U(bits - used)
+        self.begin = np.searchsorted(keys, np.arange(1 << used, dtype=U) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are there, and the places of those."""
+        at = self.begin[keys >> self.shift]
+        todo = np.flatnonzero(self.keys[at] < keys)
+        while len(todo):
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < keys[todo]]
+        found = np.flatnonzero(self.keys[at] == keys)
+        return found, at[found]
+
+
+def _by_chunk(texts: DataFrame, frequent: DataFrame, n_chunks: int) -> DataFrame:
+    """A chunk's keys before its texts in one sorted stream, so that no chunk is held as a whole."""
     kind = lambda df, k: df.withColumn("kind", F.lit(k))
     both = kind(frequent, 0).unionByName(kind(texts, 1), allowMissingColumns=True).select("chunk", "kind", "n", "data", "lang", "text")
-    dealt = both.repartition(n_chunks, "chunk").sortWithinPartitions("chunk", "kind")
-    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+    return both.repartition(n_chunks, "chunk").sortWithinPartitions("chunk", "kind")
+
+
+def _after_keys(batches: Iterator[pa.RecordBatch], keys: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """The texts of a stream; keys and counts before them go to `keys` by chunk."""
+    for batch in batches:
+        is_text = pc.equal(batch.column(1), 1)
+        for r in batch.filter(pc.invert(is_text)).select(["chunk", "n", "data"]).to_pylist():
+            keys.setdefault(r["chunk"], []).append(unpacked(r["data"], r["n"]))
+        yield batch.filter(is_text).select(["chunk", "lang", "text"])
+
+
+def _keys_of(chunk: int, keys: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's distinct keys, sorted, and their counts; `keys` gives them up."""
+    held = keys.pop(chunk, [])
+    return added(*(np.concatenate(x) for x in zip(*held, strict=True))) if held else (np.zeros(0, U), np.zeros(0, np.int64))
+
+
+def named(texts: DataFrame, frequent: DataFrame, n_chunks: int, mask: U) -> DataFrame:
+    """(lang, size, phrase, f, group): the sequences of frequent keys, each named by the chunk that has the key's count.
+
+    Rows of size ALL_WORDS have numbers of words. Those of sizes LOWER and UPPER have, for each group of keys, 32 bits of
+    a sum modulo 2 ** 64: second hashes of all occurrences less those of the named sequences times f. Over all
+    chunks it is 0 where each key is of one sequence.
+    """
+    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64()), ("group", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[int, list[np.ndarray]] = {}
-        sorted_keys: dict[int, np.ndarray] = {}
+        keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        rows: list[tuple[str, int, bytes, int, int]] = []
+        n_words: dict[str, int] = {}
+        sums = np.zeros(GROUPS, U)
+        at_chunk = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if rows:
+                lang, size, phrase, f, group = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(f, pa.int64()), pa.array(group, pa.int32())], schema=schema)
+            rows.clear()
+
+        for chunk, lang, mine in _batches(_after_keys(batches, keys)):
+            if len(rows) > SUMMED:
+                yield from out()
+            if chunk != at_chunk:
+                at_chunk = chunk
+                wanted, to_name = _keys_of(chunk, keys)
+                index, group = Keys(wanted, mask), group_of(wanted)
+            s = Sequences(mine, lang)
+            n_words[lang] = n_words.get(lang, 0) + len(s.start)
+            if not len(wanted):
+                continue
+            for n in range(1, LONGEST + 1):
+                at, h = s.hashes(n)
+                found, key = index.find(h & mask)
+                at = at[found]
+                second = s.hashes_at(at, n, 5)
+                np.add.at(sums, group[key], second)
+                fresh = np.flatnonzero(to_name[key])
+                new, first = np.unique(key[fresh], return_index=True)
+                first = fresh[first]
+                f = to_name[new]
+                to_name[new] = 0
+                with np.errstate(over="ignore"):
+                    np.subtract.at(sums, group[new], second[first] * f.astype(U))
+                rows.extend((lang, n, s.phrase(place, n), count, g) for place, count, g in zip(at[first].tolist(), f.tolist(), group[new].tolist(), strict=True))
+        rows.extend((lang, ALL_WORDS, b"", n, 0) for lang, n in n_words.items())
+        for g in np.flatnonzero(sums).tolist():
+            rows += [("", LOWER, b"", int(sums[g]) & 0xFFFFFFFF, g), ("", UPPER, b"", int(sums[g]) >> 32, g)]
+        yield from out()
+        give_back()
+
+    return _by_chunk(texts, frequent, n_chunks).mapInArrow(run, "lang string, size int, phrase string, f long, group int")
 
-        def texts_only() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                is_text = pc.equal(batch.column(1), 1)
-                for r in batch.filter(pc.invert(is_text)).select(["chunk", "n", "data"]).to_pylist():
-                    keys.setdefault(r["chunk"], []).append(unpacked(r["data"], r["n"])[0])
-                yield batch.filter(is_text).select(["chunk", "lang", "text"])
 
+def named_by_words(texts: DataFrame, frequent: DataFrame, n_chunks: int, mask: U, groups: list[int]) -> DataFrame:
+    """(lang, size, phrase, f): counts, chunk by chunk, of the sequences whose keys are frequent and in these groups."""
+    schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray, list[bytes]]] = {}
         at_chunk = None
 
@@ -264,23 +384,18 @@ def named(texts: DataFrame, frequent: DataFrame, n_chunks: int, mask: U) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array([n] * len(names), pa.int32()), pa.array(names, pa.binary()).cast(pa.string()), pa.array(count, pa.int64())], schema=schema)
             sums.clear()
 
-        for chunk, lang, mine in _batches(texts_only()):
+        for chunk, lang, mine in _batches(_after_keys(batches, keys)):
             if chunk != at_chunk or sum(len(names) for *_, names in sums.values()) > SUMMED:
                 yield from out()
-            at_chunk = chunk
-            if chunk not in sorted_keys:
-                sorted_keys.clear()
-                sorted_keys[chunk] = np.unique(np.concatenate(keys.pop(chunk, [np.zeros(0, U)])))
-            wanted = sorted_keys[chunk]
+            if chunk != at_chunk:
+                at_chunk = chunk
+                wanted = _keys_of(chunk, keys)[0]
+                index = Keys(wanted[np.isin(group_of(wanted), groups)], mask)
             s = Sequences(mine, lang)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array([len(s.word)], pa.int64())], schema=schema)
-            if not len(wanted):
-                continue
             for n in range(1, LONGEST + 1):
                 at, h = s.hashes(n)
-                key = h & mask
-                found = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
-                new, first, count = np.unique(h[found], return_index=True, return_counts=True)
+                found = index.find(h & mask)[0]
+                new, first, count = np.unique(s.hashes_at(at[found], n, 5), return_index=True, return_counts=True)
                 held, total, names = sums.get((lang, n), (np.zeros(0, U), np.zeros(0, np.int64), []))
                 # held is sorted by hash, with the place of each one's sum and name.
                 both, place = np.unique(np.concatenate((held, new)), return_inverse=True)
@@ -297,7 +412,7 @@ def named(texts: DataFrame, frequent: DataFrame, n_chunks: int, mask: U) -> Data
         yield from out()
         give_back()
 
-    return dealt.mapInArrow(run, "lang string, size int, phrase string, f long")
+    return _by_chunk(texts, frequent, n_chunks).mapInArrow(run, "lang string, size int, phrase string, f long")
 
 
 def frequent_phrases(docs: DataFrame, tables: Intermediate, threshold: int, lang_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -310,10 +425,15 @@ def frequent_phrases(docs: DataFrame, tables: Intermediate, threshold: int, lang
     texts = tables.stored(texts)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_distinct("chunk").alias("chunks")).first()
     n_parts, mask = max(1, -(-size.bytes // PARTITION_BYTES)), hash_mask(size.bytes)
-    frequent = frequent_by_chunk(local_counts(texts, n_parts, mask), n_parts, threshold)
-    found = named(texts, frequent, max(1, size.chunks), mask).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= threshold) | (F.col("size") == 0))
-    found = tables.stored(found)
-    return found.filter("size > 0"), found.filter("size = 0").select("lang", F.col("f").alias("n"))
+    frequent, n_chunks = frequent_by_chunk(local_counts(texts, n_parts, mask), n_parts, threshold), max(1, size.chunks)
+    once = tables.stored(named(texts, frequent, n_chunks, mask))
+    sums = once.filter("size < 0").groupBy("group").agg(*(F.coalesce(F.sum(F.when(F.col("size") == k, F.col("f"))), F.lit(0)) for k in (LOWER, UPPER)))
+    shared = [g for g, lower, upper in sums.collect() if (lower + (upper << 32)) % (1 << 64)]  # GROUPS rows at most
+    found = once.filter("size > 0").select("lang", "size", "phrase", "f", "group")
+    if shared:
+        counted = named_by_words(texts, frequent, n_chunks, mask, shared).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= threshold)
+        found = found.filter(~F.col("group").isin(shared)).drop("group").unionByName(tables.stored(counted))
+    return found.select("lang", "size", "phrase", "f"), once.filter(F.col("size") == ALL_WORDS).groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def words_of(phrase: Column, start: int, length: int) -> Column:

@@ -159,6 +159,31 @@ def test_phrases_of_odd_texts(spark):
     assert phrases.collocations(frame.limit(0)).collect() == []
 
 
+def phrase_rows():
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(40)]
+    return [(i, rng.choice(["en", "language one", "language two", None]), " ".join(rng.choices(vocabulary, weights=range(1, 41), k=60))) for i in range(300)]
+
+
+@pytest.mark.parametrize("bits", [3, 9, 60])
+def test_each_phrase_is_named_once_and_shared_hashes_change_no_count(spark, monkeypatch, bits):
+    made, named = [], phrases.named
+    monkeypatch.setattr(phrases, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(phrases, "hash_mask", lambda size: np.uint64((1 << bits) - 1))
+    monkeypatch.setattr(phrases, "named", lambda *x: made.append(named(*x).cache()) or made[0])
+    rows = phrase_rows()
+    got = phrases.collocations(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3))
+    assert rows_of(got.columns, got.collect()) == phrases_by_sql(rows)
+    phrase_rows_made = made[0].filter("size > 0")
+    assert phrase_rows_made.count() == phrase_rows_made.select("lang", "size", "phrase").distinct().count() > 0
+
+
+def test_counts_beyond_32_bits_are_packed():
+    keys, counts = np.array([1, 9, 2**61], np.uint64), np.array([3, 2**40 + 1, 0])
+    back = phrases.unpacked(phrases.packed(keys, counts), 3)
+    assert np.array_equal(back[0], keys) and np.array_equal(back[1], counts)
+
+
 def test_misra_gries_keeps_every_frequent_key():
     rng = np.random.default_rng(1)
     keys = np.concatenate((rng.integers(0, 50_000, 40_000), np.repeat(np.arange(100, 140), 10), np.repeat([7], 5000))).astype(np.uint64)
