@@ -119,6 +119,25 @@ def test_crc_of_parts():
     assert token_blocks.joined_crc(parts) == zlib.crc32(data.tobytes())
 
 
+def test_pieces_of_texts_have_the_library_s_tokens():
+    import pyarrow as pa
+
+    atoms = ["'", "''", "'s", "'t", "'VE", "s", "ll", "d", "1", "23", "Ab", "J", ".", "!?", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "<", ">", "-", "_", "é", "Σ", "K", "İ", "中", "ſ", "½", "١"]
+    atoms += ["\u030c", "\u0301", "\u0338", "\u0308", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2003"]
+    rng = random.Random(4)
+    texts = [*TRICKY, *["".join(rng.choices(atoms, k=rng.randint(0, 14))) for _ in range(5000)]]
+    model, t = token_blocks.WordTokens(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    assert model.parted
+    array = pa.array(["left out", *texts])[1:]
+    flat, count = model.encode(array)
+    ends = np.cumsum(count)
+    for text, lo, hi in zip(texts, ends - count, ends):
+        assert flat[lo:hi].tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    got = token_blocks.pieces_of(pa.array(["New york, NEW York!", "", "don't stop"]), model.whole).to_pylist()
+    assert got == [["new", "york", ",", "new", "york", "!"], [], ["don", "'t", "stop"]]
+    assert token_blocks.pieces_of(pa.array([], pa.string()), model.whole).to_pylist() == []
+
+
 def test_words_begin_afresh_when_memory_is_full():
     import pyarrow as pa
     import pyarrow.compute as pc
