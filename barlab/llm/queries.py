@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .alignment import align
 from .common import table
 from .jaccard import linked_components
-from .mixing import MIX_SQL, mix_sources
+from .mixing import SCHEDULE_SQL, mix_sources
 from .neighbours import NEAREST_SQL, nearest
 from .phrases import COLLOCATIONS_SQL, collocations
 from .sentencepieces import piece_digest
@@ -109,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_nearest": NEAREST_SQL,
-    "op7_mixing": MIX_SQL,
+    "op7_mixing": SCHEDULE_SQL,
     "op10_url_filters": URL_SQL,
     "op12_phrases": COLLOCATIONS_SQL,
 }

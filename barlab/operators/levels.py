@@ -214,15 +214,15 @@ class _Prices:
         at = np.flatnonzero((place < keep) | (np.repeat(size, size) - place <= keep))
         return _Prices(self.price[at], np.minimum.reduceat(self.seen, at), np.add.reduceat(self.total, at), np.add.reduceat(self.count, at))
 
-    def clusters(self, eps: float, k: int, digits: int) -> set[float]:
-        """Rounded means of the density clusters; a border point within eps of two clusters goes to the
+    def means(self, eps: float, k: int) -> list[float]:
+        """Means of the density clusters, in order; a border point within eps of two clusters goes to the
         one whose core was seen first."""
         if not eps > 0 or not len(self.price):
-            return set()
+            return []
         p = self.price
         core = np.flatnonzero(np.searchsorted(p, p + eps, "right") - np.searchsorted(p, p - eps, "left") >= k)
         if not len(core):
-            return set()
+            return []
         label = np.cumsum(np.concatenate(([0], np.diff(p[core]) > eps)))
         first = np.minimum.reduceat(self.seen[core], np.flatnonzero(np.concatenate(([True], label[1:] != label[:-1]))))
         after = np.searchsorted(core, np.arange(len(p)))  # of the cores, the first at or above each price
@@ -234,7 +234,16 @@ class _Prices:
         inside = np.flatnonzero(mine >= 0)
         starts = np.flatnonzero(np.concatenate(([True], np.diff(mine[inside]) != 0)))
         totals, counts = np.add.reduceat(self.total[inside], starts), np.add.reduceat(self.count[inside], starts)
-        return {round(t / (int(c) << UNIT), digits) for t, c in zip(totals, counts, strict=True)}
+        return [t / (int(c) << UNIT) for t, c in zip(totals, counts, strict=True)]
+
+    def clusters(self, eps: float, k: int, digits: int) -> set[float]:
+        """The rounded means of the density clusters."""
+        return {round(x, digits) for x in self.means(eps, k)}
+
+
+def _clusters(prices: np.ndarray, seen: np.ndarray, eps: float, k: int) -> list[float]:
+    """Means of the density clusters of single prices; seen: each price's place in the order of kind and time."""
+    return _Prices.of(prices, seen, map(_whole, prices), np.ones(len(prices))).means(eps, k)
 
 
 def rolling_levels(pivots: DataFrame, look: int = 10, eps_share: float = 0.05, min_samples: int = 3, digits: int = 3, chunk: int = LEVEL_CHUNK) -> DataFrame:
