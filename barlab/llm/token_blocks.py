@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import give_back, remembered, scratch
-from .words import Ragged, Words, slices, tokens_of_words
+from .words import GROUPS, Ragged, Words, slices, tokens_of_words
 
-#: Ids of a block, blocks coded side by side, and ids of the alphabet times blocks at most (2 bytes each).
-BLOCK_IDS, LANES, CELLS = 8192, 512, 40_000_000
+#: Ids of a block, and blocks coded side by side (up to half as many more, so that no few are left over).
+BLOCK_IDS, LANES = 8192, 640
 #: Distinct words that a worker remembers.
 REMEMBER = 400_000
 #: Bytes of text of a file.
@@ -54,26 +54,31 @@ U = np.uint64
 #: The coder's reach has 62 bits and is kept above _LEAST; a digit has 16 bits.
 _LEAST, _FULL = 1 << 46, (1 << 62) - 1
 _FIELD = 20  # bits of a weight in a packed context
+#: The least and the highest confidence of orders 1 and 2 where they stand in a table.
+_ONE = np.array([[1 << 1], [1 << 4]], np.int32)
+_TOP = TOP * _ONE
 
 
 class _Models:
     """The adaptive state of many blocks; coder and decoder keep it alike."""
 
-    def __init__(self, n: int, alphabet: int):
-        self.n = n
+    def __init__(self, n: int, alphabet: int, search: bool = False):
+        self.n, self.search = n, search
         lane = np.arange(n)
         rng = np.random.default_rng(alphabet)  # fixed hashes of ids
         self.hash1, self.hash2, self.hash3 = (rng.integers(0, 1 << SLOT_BITS, alphabet) for _ in range(3))
-        self.base, self.base_mix = lane << SLOT_BITS, lane << 7
-        self.table1, self.table2 = np.zeros(n << SLOT_BITS, np.int32), np.zeros(n << SLOT_BITS, np.int32)
+        self.base_mix = lane << 7
+        # The tables of order 1 and of order 2, each with a part for each block. An id in them stands above 7 bits, of
+        # which order 1 has its confidence in bits 1 to 3, order 2 in bits 4 to 6.
+        self.base = (lane << SLOT_BITS) + np.array([[0], [n << SLOT_BITS]])
+        self.table = np.zeros(2 * n << SLOT_BITS, np.int32)
         # A context of the mixture: confidences of orders 2 and 1, and whether they agree. It packs the weights of
         # order 2, order 1 and order 0; an order that cannot be right has none.
         at = np.arange(128)
         sure2, sure1, agree = (at >> 4) > 0, ((at >> 1) & 7) > 0, (at & 1) > 0
         self.mix = np.tile(np.where(sure2, CHANCE << 2 * _FIELD, 0) + np.where(sure1 & ~(sure2 & agree), CHANCE << _FIELD, 0) + CHANCE, n)
         self.older = np.zeros(n, np.int64)
-        self.i1 = self.base + self.hash1[0]
-        self.i2 = self.base + (self.hash2[0] ^ self.hash3[0])
+        self.i = self.base + np.array([[self.hash1[0]], [self.hash2[0] ^ self.hash3[0]]])
         # Order 0: a row of counts for the distinct ids of each block, in order of appearance, after one for new ids.
         # Cells not in use count 1, so that a new id finds its cell ready.
         self.room, self.used, self.done, self.next = 4 * RENEWAL, np.ones(n, np.int64), 0, 0
@@ -86,21 +91,23 @@ class _Models:
             if (need := int(self.used.max()) + self.next - self.done + 1) > self.room:
                 more, self.room = 2 * need - self.room, 2 * need
                 self.count, self.names = (np.pad(x, ((0, 0), (0, more)), constant_values=fill) for x, fill in ((self.count, 1), (self.names, 0)))
-            # Blocks lie one after another in one running sum, for searches over all of them.
+            # Blocks lie one after another in one running sum.
             self.upto = np.zeros(self.n * self.room + 1, np.int32)
             np.cumsum(self.count, dtype=np.int32, out=self.upto[1:])
             self.row = np.arange(self.n) * self.room
             self.begin = self.upto[self.row].astype(np.int64)
             self.total = self.upto[self.row + self.used] - self.begin
             self.flat_count, self.flat_names = self.count.reshape(-1), self.names.reshape(-1)
+            if self.search:  # the cell at each place of the running sum
+                self.cell_at = np.repeat(np.arange(len(self.flat_count), dtype=np.int32), self.flat_count)
         self.done += 1
 
     def predict(self, m: int) -> None:
         """What the contexts of the first m blocks say."""
-        self.e1, self.e2 = self.table1.take(self.i1[:m]), self.table2.take(self.i2[:m])
-        self.sure1, self.sure2 = self.e1 & TOP, self.e2 & TOP
-        self.p1, self.p2 = self.e1 >> 3, self.e2 >> 3
-        self.at = self.base_mix[:m] + ((self.sure2 << 4) + (self.sure1 << 1) + (self.p1 == self.p2))
+        self.e = self.table.take(self.i[:, :m])
+        self.e1, self.e2 = self.e
+        both = self.e1 ^ self.e2
+        self.at = self.base_mix[:m] + ((both & 126) + (both < 128))
         packed = self.mix.take(self.at)
         self.f2, self.f1, self.f0 = packed >> 2 * _FIELD, (packed >> _FIELD) & ((1 << _FIELD) - 1), packed & ((1 << _FIELD) - 1)
         self.f21 = self.f2 + self.f1
@@ -109,32 +116,48 @@ class _Models:
         """Take in one id of each block. right2, right1, missed: whether order 2, order 1 or neither had it; cell: its place in order 0, or
         that of new ids where it is one of `fresh`."""
         self.mix[self.at] += STEP << (_FIELD * (right1 + 2 * right2))
-        new = (ids << 3) + 1
-        for table, i, e, p, sure in ((self.table1, self.i1[:m], self.e1, self.p1, self.sure1), (self.table2, self.i2[:m], self.e2, self.p2, self.sure2)):
-            table[i] = np.where(p == ids, e + (sure < TOP), np.where(sure > 1, e - 1, new))
+        name, e = (ids << 7).astype(np.int32), self.e
+        sure = e & _TOP
+        self.table[self.i[:, :m]] = np.where((e ^ name) < 128, np.minimum(sure + _ONE, _TOP) + name, np.where(sure > _ONE, e - _ONE, name + _ONE))
         self.flat_count[cell] += missed
         if len(fresh):
             self.flat_names[self.row[fresh] + self.used[fresh]] = ids[fresh]
             self.total[fresh] += 1
             self.used[fresh] += 1
-        self.i1[:m] = self.base[:m] + self.hash1.take(ids)
-        self.i2[:m] = self.base[:m] + (self.hash2.take(ids) ^ self.hash3.take(self.older[:m]))
+        self.i[0, :m] = self.base[0, :m] + self.hash1.take(ids)
+        self.i[1, :m] = self.base[1, :m] + (self.hash2.take(ids) ^ self.hash3.take(self.older[:m]))
         self.older[:m] = ids
 
 
+def _cells(block: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """The places of a block's ids in order 0 when all that came before are known, 0 for new ones. `where` is room for
+    an integer for each id of the alphabet."""
+    at = np.arange(len(block))
+    where[block[::-1]] = at[::-1]
+    first = where[block]
+    fresh = first == at
+    return np.where(fresh, 0, np.cumsum(fresh)[first])
+
+
+def passes(n: int, lanes: int) -> Iterator[slice]:
+    """n blocks in even shares, of about as many as go side by side."""
+    share = -(-n // max(1, round(n / lanes))) if n else 1
+    return (slice(at, min(n, at + share)) for at in range(0, n, share))
+
+
 def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     """Each block of ids (at least one, below `alphabet`) as bytes."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n, longest = len(blocks), len(blocks[order[0]])
     lengths = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((longest, n), np.int32)
+    ids, cells = np.zeros((longest, n), np.int32), np.zeros((longest, n), np.int32)
+    where = np.zeros(alphabet, np.int64)
     for lane, i in enumerate(order):
         ids[: len(blocks[i]), lane] = blocks[i]
+        cells[: len(blocks[i]), lane] = _cells(blocks[i], where)
     models = _Models(n, alphabet)
-    known = np.zeros(n * alphabet, np.uint16)  # the cells of ids in order 0, 0 for new ones
-    base0 = np.arange(n) * alphabet
     low, reach = np.zeros(n, np.int64), np.full(n, _FULL)
-    digits = np.zeros((3 * longest + 8, n), np.int32)
+    digits = np.zeros((longest + 64, n), np.int32)
     flat, at = digits.reshape(-1), np.arange(n)
 
     def give(lanes: np.ndarray) -> None:
@@ -151,15 +174,19 @@ def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")
     for t in range(longest):
         m = int(active[t])
+        if t % 8 == 0 and int(at.max()) + 48 * n > len(flat):  # an id has 5 digits at most
+            digits = np.concatenate((digits, np.zeros((longest // 2 + 64, n), np.int32)))
+            flat = digits.reshape(-1)
         models.renew()
         x = ids[t, :m]
         models.predict(m)
         total, row = models.total[:m], models.row[:m]
-        right2 = (models.p2 == x) & (models.sure2 > 0)
-        right1 = (models.p1 == x) & (models.sure1 > 0) & ~right2
+        name = x << 7  # an entry without confidence is 0
+        off2, off1 = models.e2 ^ name, models.e1 ^ name
+        right2 = (off2 < 128) & (off2 > 0)
+        right1 = (off1 < 128) & (off1 > 0) & ~right2
         missed = ~(right1 | right2)
-        name = base0[:m] + x
-        cell = known.take(name) + row
+        cell = cells[t, :m] + row
         bottom = models.upto.take(cell)
         width = np.where(missed, models.upto.take(cell + 1) - bottom, total)
         bottom = np.where(missed, bottom - models.begin[:m], 0)
@@ -174,7 +201,6 @@ def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
             reach[fresh] //= alphabet
             low[fresh] += reach[fresh] * x[fresh]
             give(fresh[reach[fresh] < _LEAST])
-            known[name[fresh]] = models.used[fresh]
         models.learn(m, x, right2, right1, missed, cell, fresh)
     for shift in (46, 30, 14):
         flat[at] = (low >> shift) & (0x1FFFF if shift == 46 else 0xFFFF)
@@ -222,7 +248,7 @@ def _decoded(coded: list[bytes], sizes: list[int], alphabet: int) -> list[np.nda
     digits = np.zeros((most, n), np.uint16)
     for lane_no, d in enumerate(data):
         digits[: len(d), lane_no] = d
-    models = _Models(n, alphabet)
+    models = _Models(n, alphabet, search=True)
     # The value lags the digits by 2 bits, as the reach has 62 of 64.
     first = digits[:4].astype(np.int64)
     value = (first[0] << 46) | (first[1] << 30) | (first[2] << 14) | (first[3] >> 2)
@@ -257,18 +283,18 @@ def _decoded(coded: list[bytes], sizes: list[int], alphabet: int) -> list[np.nda
             before = np.where(right2, 0, np.where(right1, models.f2, models.f21))
             # Whole numbers below 2 ** 40: the quotient in double precision is exact when cut off.
             inner = ((v - before * total) / weight).astype(np.int32) * missed
-            cell = models.upto.searchsorted(inner + models.begin[:m].astype(np.int32), side="right") - 1
+            cell = models.cell_at.take(inner + models.begin[:m])
             bottom = models.upto.take(cell)
             width = np.where(missed, models.upto.take(cell + 1) - bottom, total)
             bottom = np.where(missed, bottom - models.begin[:m], 0)
             value[:m] -= part * (before * total + weight * bottom)
             reach[:m] = part * (weight * width)
             take(np.flatnonzero(reach[:m] < _LEAST))
-            x = np.where(right2, models.p2, np.where(right1, models.p1, models.flat_names.take(cell)))
+            x = np.where(right2, models.e2 >> 7, np.where(right1, models.e1 >> 7, models.flat_names.take(cell)))
             fresh = np.flatnonzero(missed & (cell == row))
             if len(fresh):
                 reach[fresh] //= alphabet
-                x[fresh] = np.clip(value[fresh] // reach[fresh], 0, alphabet - 1)
+                x[fresh] = np.minimum(np.maximum(value[fresh] // reach[fresh], 0), alphabet - 1)
                 value[fresh] -= reach[fresh] * x[fresh]
                 take(fresh[reach[fresh] < _LEAST])
             ids[t, :m] = x
@@ -317,6 +343,10 @@ def pieces_of(texts: pa.Array, whole: re.Pattern | None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pieces)
 
 
+#: Words of letters that normal forms and lower case leave single letters: one pre-token each, whose last token ends a word.
+_SINGLE = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+
+
 class WordTokens:
     """Ids of texts as the tokenizer file at `path` gives them, one distinct word at a time.
 
@@ -329,17 +359,38 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.alphabet = self.tokenizer.get_vocab_size(True)
         self.words, self.ids = Words(REMEMBER), Ragged(np.int32)
-        steps = (json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
-        self.parted = (steps[0].get("pattern"), steps[0].get("invert"), steps[0].get("behavior")) == ({"Regex": PARTED}, True, "Removed") and {"type": "Lowercase"} in (json.loads(self.tokenizer.to_str())["normalizer"] or {}).get("normalizers", [])
+        file = json.loads(self.tokenizer.to_str())
+        step, suffix = ((file["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0], file["model"].get("end_of_word_suffix")
+        lower = {"type": "Lowercase"} in (file["normalizer"] or {}).get("normalizers", [])
+        self.parted = bool(lower and suffix) and (step.get("pattern"), step.get("invert"), step.get("behavior")) == ({"Regex": PARTED}, True, "Removed")
+        self.last = np.zeros(self.alphabet, bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab(False).items() if suffix and t.endswith(suffix)]] = True
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile(b"|".join(map(re.escape, added))) if added else None
 
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word end to end, and how many each has. Single pre-tokens are told apart by their last tokens, others by places."""
+        single = np.fromiter((self.parted and _SINGLE.fullmatch(w) is not None for w in words), bool, len(words))
+        some, rest = ([w for w, x in zip(words, single.tolist(), strict=True) if x is kind] for kind in (True, False))
+        groups = [" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]
+        found = (e.ids for i in range(0, len(groups), GROUPS) for e in self.tokenizer.encode_batch_fast(groups[i : i + GROUPS], add_special_tokens=False))
+        flat = np.array([i for ids in found for i in ids], np.int32)
+        lengths = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
+        if len(lengths) != len(some) or lengths.sum() != len(flat):
+            raise ValueError("the tokenizer parts words of letters")
+        more, more_lengths = tokens_of_words(self.tokenizer, rest)
+        length = np.zeros(len(words), np.int64)
+        length[single], length[~single] = lengths, more_lengths
+        mine, out = np.repeat(single, length), np.zeros(len(flat) + len(more), np.int32)
+        out[mine], out[~mine] = flat, more
+        return out, length
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts (no nulls) end to end, without special tokens, and how many each has."""
         which, count, new, afresh = self.words.of(pieces_of(texts, self.whole) if self.parted else pc.split_pattern(texts, " "))
         if afresh:
             self.ids = Ragged(np.int32)
-        self.ids.add(*tokens_of_words(self.tokenizer, new))
+        self.ids.add(*self.tokens(new))
         flat, length = self.ids.rows(which)
         upto = np.concatenate(([0], np.cumsum(length)))[np.concatenate(([0], np.cumsum(count)))]
         return flat, np.diff(upto)
@@ -368,21 +419,20 @@ def write_token_blocks(docs: DataFrame, path: str, out: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = remembered(("token blocks", path), lambda: WordTokens(path))
-        side_by_side = max(1, min(lanes, CELLS // model.alphabet))
         file = pyspark.TaskContext.get().partitionId()
         held, held_docs, held_counts = [np.zeros(0, np.int32)], [], []
         done = {"block": 0, "first": 0, "doc": 0, "opens": False}
 
         def blocks(all_of_it: bool) -> Iterator[pa.RecordBatch]:
-            """Code the ids held, as many whole blocks as go side by side, or all."""
+            """Code the ids held: as many whole blocks as go side by side, but for a quarter of that; or all."""
             nonlocal held, held_docs, held_counts
             ids = np.concatenate(held)
-            whole = len(ids) if all_of_it else len(ids) - len(ids) % (block_ids * side_by_side)
+            whole = len(ids) if all_of_it else (4 * len(ids) // (block_ids * lanes) - 1) // 4 * block_ids * lanes
             counts = np.array(held_counts, np.int64)
             ends = np.cumsum(counts)
             begins = ends - counts
-            for at in range(0, whole, block_ids * side_by_side):
-                cuts = [ids[i : min(i + block_ids, whole)] for i in range(at, min(at + block_ids * side_by_side, whole), block_ids)]
+            for some in passes(-(-whole // block_ids), lanes):
+                cuts = [ids[i * block_ids : min((i + 1) * block_ids, whole)] for i in range(some.start, some.stop)]
                 table: list[tuple] = []
                 for ids_in, data in zip(cuts, encode_blocks(cuts, model.alphabet), strict=True):
                     lo = done["first"]
@@ -417,7 +467,7 @@ def write_token_blocks(docs: DataFrame, path: str, out: str, id_col: str = "doc_
                 held.append(with_end)
                 held_docs += batch.column(0).slice(at, len(count)).to_pylist()
                 held_counts += (count + 1).tolist()
-                if sum(map(len, held)) >= block_ids * side_by_side:
+                if 4 * sum(map(len, held)) >= 5 * block_ids * lanes:
                     yield from blocks(False)
                     offset, base_doc = done["first"], done["doc"]
         if sum(map(len, held)):
@@ -435,8 +485,8 @@ def _read(blocks: DataFrame, schema: str, row, kinds: list[tuple[str, pa.DataTyp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, lanes):
-                part = batch.slice(at, lanes).to_pylist()
+            for some in passes(batch.num_rows, lanes):
+                part = batch.slice(some.start, some.stop - some.start).to_pylist()
                 out = []
                 for b, ids in zip(part, decode_blocks([b["data"] for b in part]), strict=True):
                     lo = 0
@@ -449,7 +499,7 @@ def _read(blocks: DataFrame, schema: str, row, kinds: list[tuple[str, pa.DataTyp
     return blocks.select("file", "block", "first_id", "first_doc", "doc_ids", "counts", "data").mapInArrow(run, schema)
 
 
-def read_token_blocks(spark: SparkSession, path: str, lanes: int = LANES // 2) -> DataFrame:
+def read_token_blocks(spark: SparkSession, path: str, lanes: int = LANES) -> DataFrame:
     """(doc_id, file, doc_no, first_id, block, ids): the documents' parts in the blocks of the folder, decoded.
 
     A document that lies in one block has one row; doc_no and first_id count from the file's begin.
@@ -468,7 +518,7 @@ def joined_crc(parts: list[dict]) -> int:
     return out
 
 
-def block_digest(spark: SparkSession, path: str, lanes: int = LANES // 2) -> DataFrame:
+def block_digest(spark: SparkSession, path: str, lanes: int = LANES) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of all documents in the blocks of the folder, from the decoded ids.
 
     start counts the ids of all documents before, over the files in order. Parts of one document meet by

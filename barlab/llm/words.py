@@ -7,6 +7,7 @@ keeps while its memory lasts. Features of words are ragged arrays by number.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -64,21 +65,17 @@ class Words:
             self.number.clear()
             self.passing = 0
         coded = parts.flatten().dictionary_encode()
-        known, new, numbers = self.number, [], []
+        known, words = self.number, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = len(known) + self.passing
-        for word in coded.dictionary.to_pylist():
-            at = known.get(word)
-            if at is None:
-                at = first + len(new)
-                new.append(word)
-            numbers.append(at)
-        for i, word in enumerate(new, first):
-            if len(word) <= LONG:
-                known[word] = i
-            else:
-                self.passing += 1
+        numbers = np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(numbers < 0)
+        numbers[fresh] = np.arange(first, first + len(fresh))
+        new = [words[i] for i in fresh.tolist()]
+        short = [(word, i) for i, word in enumerate(new, first) if len(word) <= LONG]
+        known.update(short)
+        self.passing += len(new) - len(short)
         count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-        return np.array(numbers, np.int64)[coded.indices.to_numpy()], count, new, afresh
+        return numbers[coded.indices.to_numpy()], count, new, afresh
 
 
 def tokens_of_words(tokenizer, words: list[str], lead: str = "", together: int = 64) -> tuple[np.ndarray, np.ndarray]:
