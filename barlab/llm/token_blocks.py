@@ -43,6 +43,8 @@ FILE_BYTES = 28 << 20
 END = 1
 #: Slots of the tables of orders 1 and 2, as a power of 2; confidences go up to TOP.
 SLOT_BITS, TOP = 13, 7
+#: The largest alphabet: ids stand above 7 bits in 31.
+MOST_IDS = 1 << 24
 #: Weight of one event in the mixture, and of the first chance that each order has.
 STEP, CHANCE = 24, 20
 #: Order 0 takes up new counts after so many ids, and then whenever a quarter more are coded.
@@ -146,7 +148,9 @@ def passes(n: int, lanes: int) -> Iterator[slice]:
 
 
 def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
-    """Each block of ids (at least one, below `alphabet`) as bytes."""
+    """Each block of ids (at least one, below `alphabet`, which is MOST_IDS at most) as bytes."""
+    if alphabet > MOST_IDS:
+        raise ValueError("too many ids for the tables of a block")
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     n, longest = len(blocks), len(blocks[order[0]])
     lengths = np.array([len(blocks[i]) for i in order])
@@ -226,7 +230,7 @@ def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block that is damaged raises ValueError."""
     heads = [HEADER.unpack_from(c) if len(c) >= HEADER.size else (b"", 0, 0, 0) for c in coded]
-    if any(h[0] != MARK or not h[1] or not h[2] for h in heads):
+    if any(h[0] != MARK or not 0 < h[1] <= MOST_IDS or not h[2] for h in heads):
         raise ValueError("not a block of token ids")
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(coded)
     for alphabet in sorted({h[1] for h in heads}):

@@ -112,6 +112,24 @@ def test_damaged_blocks_are_found():
         token_blocks.decode_blocks([good[:200]])
 
 
+def test_ids_that_cost_many_digits_and_large_alphabets():
+    # Every id new: each costs more digits than the coder first has room for.
+    most = token_blocks.MOST_IDS
+    blocks = [np.random.default_rng(2).permutation(most)[:600], np.array([most - 1, 0, most - 1] * 50)]
+    coded = token_blocks.encode_blocks(blocks, most)
+    assert all(np.array_equal(x, y) for x, y in zip(blocks, token_blocks.decode_blocks(coded), strict=True))
+    with pytest.raises(ValueError):
+        token_blocks.encode_blocks(blocks, most + 1)
+    with pytest.raises(ValueError):
+        token_blocks.decode_blocks([token_blocks.HEADER.pack(token_blocks.MARK, most + 1, 5, 0) + bytes(20)])
+
+
+@pytest.mark.parametrize("n", [1, 4, 5, 6, 10, 11, 999])
+def test_passes_take_even_shares(n):
+    shares = [s.stop - s.start for s in token_blocks.passes(n, 4)]
+    assert sum(shares) == n and max(shares) <= 6 and (len(shares) == 1 or min(shares) >= max(shares) - len(shares))
+
+
 def test_crc_of_parts():
     data = np.arange(1000, dtype="<u4")
     cuts = [0, 1, 400, 400, 999, 1000]
