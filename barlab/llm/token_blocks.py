@@ -31,211 +31,321 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import give_back, remembered, scratch
-from .words import GROUPS, Ragged, Words, slices, tokens_of_words
+from .words import Ragged, Words, slices, tokens_of_words
 
 #: Ids of a block, and blocks coded side by side (up to half as many more, so that no few are left over).
 BLOCK_IDS, LANES = 8192, 640
 #: Distinct words that a worker remembers.
 REMEMBER = 400_000
+#: Bytes of texts tokenized together.
+SLICE = 1 << 23
 #: Bytes of text of a file.
 FILE_BYTES = 28 << 20
 #: The id after each document.
 END = 1
-#: Slots of the tables of orders 1 and 2, as a power of 2; confidences go up to TOP.
-SLOT_BITS, TOP = 13, 7
-#: The largest alphabet: ids stand above 7 bits in 31.
+#: Slots of the tables of orders 1 and 2, as a power of 2.
+SLOT_BITS = 13
+#: The largest alphabet that a block may have.
 MOST_IDS = 1 << 24
-#: Weight of one event in the mixture, and of the first chance that each order has.
-STEP, CHANCE = 24, 20
-#: Order 0 takes up new counts after so many ids, and then whenever a quarter more are coded.
-RENEWAL = 32
-#: A block's header: mark, size of the alphabet, ids, crc32 of the ids.
-HEADER = struct.Struct("<4sIII")
-MARK = b"TKB2"
-U = np.uint64
-#: The coder's reach has 62 bits and is kept above _LEAST; a digit has 16 bits.
-_LEAST, _FULL = 1 << 46, (1 << 62) - 1
-_FIELD = 20  # bits of a weight in a packed context
-#: The least and the highest confidence of orders 1 and 2 where they stand in a table.
-_ONE = np.array([[1 << 1], [1 << 4]], np.int32)
-_TOP = TOP * _ONE
-
-
-class _Models:
-    """The adaptive state of many blocks; coder and decoder keep it alike."""
-
-    def __init__(self, n: int, alphabet: int, search: bool = False):
-        self.n, self.search = n, search
-        lane = np.arange(n)
-        rng = np.random.default_rng(alphabet)  # fixed hashes of ids
-        self.hash1, self.hash2, self.hash3 = (rng.integers(0, 1 << SLOT_BITS, alphabet) for _ in range(3))
-        self.base_mix = lane << 7
-        # The tables of order 1 and of order 2, each with a part for each block. An id in them stands above 7 bits, of
-        # which order 1 has its confidence in bits 1 to 3, order 2 in bits 4 to 6.
-        self.base = (lane << SLOT_BITS) + np.array([[0], [n << SLOT_BITS]])
-        self.table = np.zeros(2 * n << SLOT_BITS, np.int32)
-        # A context of the mixture: confidences of orders 2 and 1, and whether they agree. It packs the weights of
-        # order 2, order 1 and order 0; an order that cannot be right has none.
-        at = np.arange(128)
-        sure2, sure1, agree = (at >> 4) > 0, ((at >> 1) & 7) > 0, (at & 1) > 0
-        self.mix = np.tile(np.where(sure2, CHANCE << 2 * _FIELD, 0) + np.where(sure1 & ~(sure2 & agree), CHANCE << _FIELD, 0) + CHANCE, n)
-        self.older = np.zeros(n, np.int64)
-        self.i = self.base + np.array([[self.hash1[0]], [self.hash2[0] ^ self.hash3[0]]])
-        # Order 0: a row of counts for the distinct ids of each block, in order of appearance, after one for new ids.
-        # Cells not in use count 1, so that a new id finds its cell ready.
-        self.room, self.used, self.done, self.next = 4 * RENEWAL, np.ones(n, np.int64), 0, 0
-        self.count, self.names = np.ones((n, self.room), np.int32), np.zeros((n, self.room), np.int32)
-
-    def renew(self) -> None:
-        """Where it is time, running sums of the counts; rows get room for what may come until the next time."""
-        if self.done == self.next:
-            self.next = self.done + max(RENEWAL, self.done // 4)
-            if (need := int(self.used.max()) + self.next - self.done + 1) > self.room:
-                more, self.room = 2 * need - self.room, 2 * need
-                self.count, self.names = (np.pad(x, ((0, 0), (0, more)), constant_values=fill) for x, fill in ((self.count, 1), (self.names, 0)))
-            # Blocks lie one after another in one running sum.
-            self.upto = np.zeros(self.n * self.room + 1, np.int32)
-            np.cumsum(self.count, dtype=np.int32, out=self.upto[1:])
-            self.row = np.arange(self.n) * self.room
-            self.begin = self.upto[self.row].astype(np.int64)
-            self.total = self.upto[self.row + self.used] - self.begin
-            self.flat_count, self.flat_names = self.count.reshape(-1), self.names.reshape(-1)
-            if self.search:  # the cell at each place of the running sum
-                self.cell_at = np.repeat(np.arange(len(self.flat_count), dtype=np.int32), self.flat_count)
-        self.done += 1
-
-    def predict(self, m: int) -> None:
-        """What the contexts of the first m blocks say."""
-        self.e = self.table.take(self.i[:, :m])
-        self.e1, self.e2 = self.e
-        both = self.e1 ^ self.e2
-        self.at = self.base_mix[:m] + ((both & 126) + (both < 128))
-        packed = self.mix.take(self.at)
-        self.f2, self.f1, self.f0 = packed >> 2 * _FIELD, (packed >> _FIELD) & ((1 << _FIELD) - 1), packed & ((1 << _FIELD) - 1)
-        self.f21 = self.f2 + self.f1
-
-    def learn(self, m: int, ids: np.ndarray, right2: np.ndarray, right1: np.ndarray, missed: np.ndarray, cell: np.ndarray, fresh: np.ndarray) -> None:
-        """Take in one id of each block. right2, right1, missed: whether order 2, order 1 or neither had it; cell: its place in order 0, or
-        that of new ids where it is one of `fresh`."""
-        self.mix[self.at] += STEP << (_FIELD * (right1 + 2 * right2))
-        name, e = (ids << 7).astype(np.int32), self.e
-        sure = e & _TOP
-        self.table[self.i[:, :m]] = np.where((e ^ name) < 128, np.minimum(sure + _ONE, _TOP) + name, np.where(sure > _ONE, e - _ONE, name + _ONE))
-        self.flat_count[cell] += missed
-        if len(fresh):
-            self.flat_names[self.row[fresh] + self.used[fresh]] = ids[fresh]
-            self.total[fresh] += 1
-            self.used[fresh] += 1
-        self.i[0, :m] = self.base[0, :m] + self.hash1.take(ids)
-        self.i[1, :m] = self.base[1, :m] + (self.hash2.take(ids) ^ self.hash3.take(self.older[:m]))
-        self.older[:m] = ids
-
-
-def _cells(block: np.ndarray, where: np.ndarray) -> np.ndarray:
-    """The places of a block's ids in order 0 when all that came before are known, 0 for new ones. `where` is room for
-    an integer for each id of the alphabet."""
-    at = np.arange(len(block))
-    where[block[::-1]] = at[::-1]
-    first = where[block]
-    fresh = first == at
-    return np.where(fresh, 0, np.cumsum(fresh)[first])
+#: Streams of a block at most, and blocks whose streams are coded side by side.
+STREAMS, TOGETHER = 8, 128
+#: Counts are renewed after so many steps, and then whenever this part more are coded.
+RENEWAL, GROWTH = 2, 4
+#: Weight of one event among the orders; each has 1 at first.
+ORDERS_STEP = 6
+#: A block's header: mark, size of the alphabet, ids, crc32 of the ids; then the crc32 of all else.
+HEADER, SEAL = struct.Struct("<4sIII"), struct.Struct("<I")
+MARK = b"TKB3"
+#: The coder's reach, a whole number in double precision, has 48 bits and is kept above _LEAST; a digit has 16 bits.
+_LEAST, _FULL = float(1 << 32), float(1 << 48)
+#: Up to this total a symbol costs one digit at most; up to so many ids a stream's digits are counted in 16 bits.
+_EASY, _SHORT = 1 << 15, 1 << 14
+#: Which orders are right about three ids, from their number.
+_THREE = np.array([[i % 3, i // 3 % 3, i // 9] for i in range(27)], np.uint8)
+_MASK = (1 << SLOT_BITS) - 1
+
+
+def _slots(alphabet: int) -> np.ndarray:
+    """Fixed hashes of ids for the tables of orders 1 and 2, a slot in the upper and one in the lower bits."""
+    return np.random.default_rng(alphabet).integers(0, 1 << 2 * SLOT_BITS, alphabet)
+
+
+def _right(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The highest order that is right about each id of a block, 0 for none. Orders 1 and 2 say the id that last followed
+    the last id, or the last two; contexts of the same slot count as the same, and at first id 0 follows."""
+    n, out = len(ids), np.zeros(len(ids), np.uint8)
+    hashed = hashes.take(ids)
+    low, bits = hashed & _MASK, max(1, (n - 1).bit_length())
+    first = hashes[0] & _MASK
+    slots = np.empty((2, n), np.int32 if bits + SLOT_BITS < 32 else np.int64)
+    slots[0, 0], slots[0, 1:] = first, low[:-1]
+    slots[1, 0], slots[1, 1:] = hashes[0] >> SLOT_BITS, hashed[:-1] >> SLOT_BITS
+    slots[1, :1] ^= first
+    slots[1, 1:2] ^= first
+    slots[1, 2:] ^= low[:-2]
+    place = np.arange(n, dtype=slots.dtype)
+    for order in (1, 2):
+        # In order of slots and places, the id that last followed stands before each.
+        both = np.sort((slots[order - 1] << bits) + place)
+        at = both & ((1 << bits) - 1)
+        follows = ids.take(at)
+        slot = both >> bits
+        said = np.zeros(n, ids.dtype)
+        said[1:] = np.where(slot[1:] == slot[:-1], follows[:-1], 0)
+        out[at[said == follows]] = order
+    return out
 
 
-def passes(n: int, lanes: int) -> Iterator[slice]:
-    """n blocks in even shares, of about as many as go side by side."""
-    share = -(-n // max(1, round(n / lanes))) if n else 1
-    return (slice(at, min(n, at + share)) for at in range(0, n, share))
+def _fill(ids: np.ndarray, right: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> None:
+    """Put in the ids about which an order is right; the others are there. Blocks stand side by side, longest first."""
+    n = len(lengths)
+    # The tables of order 1 and of order 2, each with a part for each block.
+    base = np.arange(2 * n).reshape(2, -1) << SLOT_BITS
+    table = np.zeros(2 * n << SLOT_BITS, np.uint16 if len(hashes) <= 1 << 16 else np.int32)
+    active = np.searchsorted(-lengths, -np.arange(len(ids)), side="left").tolist()
+    place, lane = np.nonzero(right)
+    which = lane + n * (right[place, lane].astype(np.int64) - 1)
+    upto = np.searchsorted(place, np.arange(len(ids) + 1)).tolist()
+    first = hashes[0] & _MASK
+    at = base + np.array([[first], [(hashes[0] >> SLOT_BITS) ^ first]])
+    flat, older, hashed, low, last = at.reshape(-1), np.full(n, first), *np.empty((3, n), np.int64)
+    m = 0
+    for t, blocks in enumerate(active):
+        if blocks != m:
+            m = blocks
+            base1, base2, at1, at2, low, hashed, older, last = *base[:, :m], *at[:, :m], low[:m], hashed[:m], older[:m], last[:m]
+        row = ids[t, :m]
+        a, b = upto[t], upto[t + 1]
+        if a < b:
+            row[lane[a:b]] = table.take(flat.take(which[a:b]))
+        table[at1] = row
+        table[at2] = row
+        np.copyto(last, row)
+        hashes.take(last, mode="clip", out=hashed)
+        np.add(base1, np.bitwise_and(hashed, _MASK, out=low), out=at1)
+        np.right_shift(hashed, SLOT_BITS, out=hashed)
+        np.add(base2, np.bitwise_xor(hashed, older, out=hashed), out=at2)
+        older, low = low, older
+
+
+class _Counts:
+    """Adaptive counts of symbols in rows of cells. What was coded since is taken up when renewed."""
+
+    def __init__(self, rows: int, cells: int, step: int, grows: bool):
+        self.rows, self.room, self.step, self.grows = rows, cells, step, grows
+        self.count, self.used = np.ones((rows, cells)), np.full(rows, cells)
+
+    def renew(self, search: bool) -> None:
+        if self.grows and (need := int(self.used.max())) > self.room:
+            more = need + need // 4 - self.room
+            self.count, self.room = np.pad(self.count, ((0, 0), (0, more)), constant_values=1), self.room + more
+        upto = np.cumsum(self.count, axis=1)
+        self.total = upto[np.arange(self.rows), self.used - 1]
+        self.width, self.low = self.count.reshape(-1), (upto - self.count).reshape(-1)
+        if search:  # the cell at each place of a row
+            self.begin = np.cumsum(upto[:, -1].astype(np.int64)) - upto[:, -1].astype(np.int64)
+            self.cell_at = np.repeat(np.arange(self.rows * self.room, dtype=np.int32), self.width.astype(np.int64))
+
+    def learn(self, at: np.ndarray) -> None:
+        """Take up symbols, given as places in the flat table. Where rows grow, each cell 0 opens a new cell."""
+        new = np.bincount(at, minlength=self.rows * self.room).reshape(self.rows, self.room)
+        self.count += new * self.step
+        if self.grows:
+            self.used = self.used + new[:, 0]
+
+
+def _renewals(steps: int) -> list[int]:
+    """The steps before which counts are renewed, and the last."""
+    out = [0]
+    while out[-1] < steps:
+        out.append(out[-1] + max(RENEWAL, out[-1] // GROWTH))
+    return [*out[:-1], steps] if steps else [0]
+
+
+def _streams(n: int) -> int:
+    """Among how many streams the symbols of a block of n ids are dealt, so that they can be coded side by side. As each costs some bytes,
+    short blocks have few."""
+    return max(1, min(STREAMS, (n - 1024) // 896))
+
+
+def _encode(counts: _Counts, cells: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code cells[step, stream] of rows[step, stream] (or of rows[0, stream] throughout): the streams' digits end to
+    end, and how many each has. size: symbols of each stream, the rest is left out."""
+    n, bounds = len(size), _renewals(len(cells))
+    low, reach, at = np.zeros(n), np.full(n, _FULL), np.arange(n)
+    digits = np.zeros((len(cells) + 8, n), np.int32)
+    flat = digits.reshape(-1)
+    part, room, is_short = np.empty(n), np.empty(n), np.empty(n, bool)  # new arrays at each step would take most of the time
+    for a, b in zip(bounds, bounds[1:]):
+        counts.renew(False)
+        row = rows[a:b] if len(rows) > 1 else rows
+        cell = row * counts.room + cells[a:b]
+        live = np.arange(a, b)[:, None] < size
+        # A symbol of the whole width changes nothing.
+        lows, widths = np.where(live, counts.low.take(cell), 0), np.where(live, counts.width.take(cell), 1)
+        totals = np.where(live, counts.total.take(row), 1)
+        turns = 1 if totals.max() <= _EASY else 2
+        if int(at.max()) + (turns * (b - a) + 8) * n > len(flat):
+            digits = np.concatenate((digits, np.zeros((turns * (b - a) + 8, n), np.int32)))
+            flat = digits.reshape(-1)
+        for k in range(b - a):
+            np.floor(np.divide(reach, totals[k], out=part), out=part)
+            np.add(low, np.multiply(part, lows[k], out=room), out=low)
+            np.multiply(part, widths[k], out=reach)
+            for _ in range(turns):
+                short = np.less(reach, _LEAST, out=is_short).nonzero()[0]
+                x, here = low.take(short), at.take(short)
+                digit = np.floor(x * (1 / _LEAST))
+                flat[here] = digit
+                at[short] = here + n
+                low[short] = (x - digit * _LEAST) * 65536
+                reach[short] = reach.take(short) * 65536
+        counts.learn(cell[live])
+    flat[at] = np.ceil(low * (1 / _LEAST))  # the one digit that leads into what is left, before zeros
+    over = np.flatnonzero(flat >> 16)
+    while len(over):  # carries
+        flat[over] &= 0xFFFF
+        flat[over - n] += 1
+        over = (over - n)[flat[over - n] >> 16 > 0]
+    many = at // n + 1
+    return digits.T.astype("<u2")[np.arange(len(digits)) < many[:, None]], many
+
+
+def _decode(counts: _Counts, digits: np.ndarray, many: np.ndarray, rows: np.ndarray, size: np.ndarray, memory: bool = False) -> np.ndarray:
+    """The cells that _encode was given, as [step, stream]; beyond a stream's symbols they mean nothing. With a memory, rows[stream] is the row
+    after cell 0, and those after other cells follow."""
+    n, steps = len(size), int(size.max(initial=0))
+    bounds, out = _renewals(steps), np.zeros((steps, n), np.uint8 if memory else np.int32)
+    data = np.zeros(len(digits) + 2 * n + 2 * steps + 8)
+    data[np.arange(len(digits)) + 2 * np.repeat(np.arange(n), many)] = digits
+    at = np.cumsum(many + 2) - (many + 2)
+    value = (data[at] * 65536 + data[at + 1]) * 65536 + data[at + 2]
+    at += 3
+    reach, row = np.full(n, _FULL), rows.copy()
+    part, room, is_short, place, found = np.empty(n), np.empty(n), np.empty(n, bool), np.empty(n, np.int64), np.empty(n, np.int32)
+    for a, b in zip(bounds, bounds[1:]):
+        counts.renew(True)
+        turns = 1 if counts.total.max() <= _EASY else 2
+        total, begin = counts.total.take(row), counts.begin.take(row)
+        cells = np.zeros((b - a, n), np.int64)
+        for k in range(b - a):
+            cell = cells[k]
+            np.floor(np.divide(reach, total, out=part), out=part)
+            np.subtract(np.multiply(part, total, out=room), 1, out=room)
+            np.minimum(value, room, out=value)  # only where a stream is over or damaged
+            np.copyto(place, np.divide(value, part, out=room), casting="unsafe")
+            np.copyto(cell, counts.cell_at.take(np.add(place, begin, out=place), mode="clip", out=found))
+            np.multiply(part, counts.low.take(cell, mode="clip", out=room), out=room)
+            np.subtract(value, room, out=value)
+            np.multiply(part, counts.width.take(cell, mode="clip", out=room), out=reach)
+            for _ in range(turns):
+                short = np.less(reach, _LEAST, out=is_short).nonzero()[0]
+                here = at.take(short)
+                value[short] = value.take(short) * 65536 + data.take(here)
+                reach[short] = reach.take(short) * 65536
+                at[short] = here + 1
+            if memory:
+                np.subtract(cell, np.multiply(row, counts.room, out=row), out=row)
+                np.add(row, rows, out=row)
+                counts.total.take(row, mode="clip", out=total)
+                counts.begin.take(row, mode="clip", out=begin)
+        counts.learn(cells[np.arange(a, b)[:, None] < size])
+        out[a:b] = cells % counts.room
+    return out
+
+
+def _cells(literals: np.ndarray, where: np.ndarray, streams: int, period: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a block's literals in order 0, and which of them are named in full. An id is named (cell 0) until counts are renewed;
+    each name opens a cell, and later the id has the first of its cells. `where` is room for an integer for each id of the alphabet."""
+    at = np.arange(len(literals), dtype=np.int32)
+    where[literals[::-1]] = at[::-1]
+    first = where[literals]
+    when = period[at // streams]
+    named = when[first] == when
+    return np.where(named, 0, np.cumsum(named)[first]), named
+
+
+def _layout(sizes: list[int]) -> tuple[list[int], np.ndarray]:
+    """Number of streams of blocks of so many ids, and the block of each stream."""
+    streams = [_streams(n) for n in sizes]
+    return streams, np.repeat(np.arange(len(sizes)), streams)
+
+
+def _shares(n: int, streams: int) -> list[int]:
+    """How many of n symbols each stream has: as many steps as it takes, the last streams fewer."""
+    steps = -(-n // streams)
+    return [max(0, min(steps, n - i * steps)) for i in range(streams)]
 
 
 def encode_blocks(blocks: list[np.ndarray], alphabet: int) -> list[bytes]:
     """Each block of ids (at least one, below `alphabet`, which is MOST_IDS at most) as bytes."""
     if alphabet > MOST_IDS:
         raise ValueError("too many ids for the tables of a block")
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    n, longest = len(blocks), len(blocks[order[0]])
-    lengths = np.array([len(blocks[i]) for i in order])
-    ids, cells = np.zeros((longest, n), np.int32), np.zeros((longest, n), np.int32)
-    where = np.zeros(alphabet, np.int64)
-    for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
-        cells[: len(blocks[i]), lane] = _cells(blocks[i], where)
-    models = _Models(n, alphabet)
-    low, reach = np.zeros(n, np.int64), np.full(n, _FULL)
-    digits = np.zeros((longest + 64, n), np.int32)
-    flat, at = digits.reshape(-1), np.arange(n)
-
-    def give(lanes: np.ndarray) -> None:
-        """Give out digits while the reach of the lanes is short."""
-        while len(lanes):
-            x, here = low[lanes], at[lanes]
-            flat[here] = x >> 46
-            at[lanes] = here + n
-            low[lanes] = (x & (_LEAST - 1)) << 16
-            short = reach[lanes] << 16
-            reach[lanes] = short
-            lanes = lanes[short < _LEAST]
-
-    active = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    for t in range(longest):
-        m = int(active[t])
-        if t % 8 == 0 and int(at.max()) + 48 * n > len(flat):  # an id has 5 digits at most
-            digits = np.concatenate((digits, np.zeros((longest // 2 + 64, n), np.int32)))
-            flat = digits.reshape(-1)
-        models.renew()
-        x = ids[t, :m]
-        models.predict(m)
-        total, row = models.total[:m], models.row[:m]
-        name = x << 7  # an entry without confidence is 0
-        off2, off1 = models.e2 ^ name, models.e1 ^ name
-        right2 = (off2 < 128) & (off2 > 0)
-        right1 = (off1 < 128) & (off1 > 0) & ~right2
-        missed = ~(right1 | right2)
-        cell = cells[t, :m] + row
-        bottom = models.upto.take(cell)
-        width = np.where(missed, models.upto.take(cell + 1) - bottom, total)
-        bottom = np.where(missed, bottom - models.begin[:m], 0)
-        weight = np.where(right2, models.f2, np.where(right1, models.f1, models.f0))
-        before = np.where(right2, 0, np.where(right1, models.f2, models.f21))
-        part = (reach[:m].view(U) // ((models.f21 + models.f0) * total).view(U)).view(np.int64)
-        low[:m] += part * (before * total + weight * bottom)
-        reach[:m] = part * (weight * width)
-        give(np.flatnonzero(reach[:m] < _LEAST))
-        fresh = np.flatnonzero(cell == row)
-        if len(fresh):
-            reach[fresh] //= alphabet
-            low[fresh] += reach[fresh] * x[fresh]
-            give(fresh[reach[fresh] < _LEAST])
-        models.learn(m, x, right2, right1, missed, cell, fresh)
-    for shift in (46, 30, 14):
-        flat[at] = (low >> shift) & (0x1FFFF if shift == 46 else 0xFFFF)
-        at += n
-    flat[at] = (low & 0x3FFF) << 2
-    size = at // n + 1
-    digits = digits[: size.max()]
-    while (over := digits >> 16).any():
-        digits &= 0xFFFF
-        digits[:-1] += over[1:]
-    digits = digits.T.astype("<u2", order="C")
-    out: list[bytes] = [b""] * n
-    for lane_no, i in enumerate(order):
-        data = digits[lane_no, : size[lane_no]]
-        used = len(data)
-        while used and not data[used - 1]:  # zeros at the end go without saying
-            used -= 1
-        plain = blocks[i].astype("<u4").tobytes()
-        out[i] = HEADER.pack(MARK, alphabet, len(blocks[i]), crc32(plain)) + data[:used].tobytes()
+    hashes, where = _slots(alphabet), np.zeros(alphabet, np.int32)
+    return [data for some in passes(len(blocks), TOGETHER) for data in _encoded(blocks[some], hashes, where)]
+
+
+def _encoded(blocks: list[np.ndarray], hashes: np.ndarray, where: np.ndarray) -> list[bytes]:
+    alphabet = len(hashes)
+    streams, block_of = _layout([len(x) for x in blocks])
+    lanes = np.cumsum(streams) - streams
+    # Orders, three ids at a time: a stream has a stretch of the block.
+    shares = [_shares(-(-len(x) // 3), n) for x, n in zip(blocks, streams, strict=True)]
+    steps = max(x[0] for x in shares)
+    orders = np.zeros((steps, len(block_of)), np.uint8)
+    literals = []
+    for lane, n, share, x in zip(lanes, streams, shares, blocks, strict=True):
+        right = np.zeros(3 * n * share[0], np.uint8)
+        right[: len(x)] = _right(x, hashes)
+        orders[: share[0], lane : lane + n] = (right[::3] + 3 * right[1::3] + 9 * right[2::3]).reshape(n, -1).T
+        literals.append(x[right[: len(x)] == 0])
+    rows = np.zeros((steps, len(block_of)), np.int64)
+    rows[1:] = orders[:-1]
+    rows += block_of * 27
+    order_digits, order_many = _encode(_Counts(27 * len(blocks), 27, ORDERS_STEP, False), orders, rows, np.concatenate(shares))
+    # Literals: streams take turns.
+    most = max(-(-len(x) // n) for x, n in zip(literals, streams, strict=True))
+    period = np.searchsorted(_renewals(most), np.arange(most), side="right")
+    cells, sizes, names = np.zeros((most, len(block_of)), np.int32), [], []
+    for lane, n, x in zip(lanes, streams, literals, strict=True):
+        cell, named = _cells(x, where, n, period)
+        turns = -(-len(x) // n)
+        padded = np.zeros(n * turns, np.int32)
+        padded[: len(x)] = cell
+        cells[:turns, lane : lane + n] = padded.reshape(-1, n)
+        sizes.append((len(x) - np.arange(n) + n - 1) // n)
+        names.append(x[named].astype(_name_type(alphabet)).tobytes())
+    digits, many = _encode(_Counts(len(blocks), 1, 1, True), cells, block_of[None], np.concatenate(sizes))
+    # Side by side, digits of the orders and of the literals.
+    ends, order_ends = np.cumsum(many), np.cumsum(order_many)
+    out = []
+    for lane, n, x, name in zip(lanes, streams, blocks, names, strict=True):
+        head = HEADER.pack(MARK, alphabet, len(x), crc32(x.astype("<u4").tobytes()))
+        body = [np.concatenate((order_many[lane : lane + n], many[lane : lane + n])).astype("<u4" if len(x) > _SHORT else "<u2").tobytes()]
+        for d, e, m in ((order_digits, order_ends, order_many), (digits, ends, many)):
+            body.append(d[e[lane] - m[lane] : e[lane + n - 1]].tobytes())
+        data = b"".join((*body, name))
+        out.append(head + SEAL.pack(crc32(data, crc32(head))) + data)
     return out
 
 
+def _name_type(alphabet: int) -> str:
+    return "<u1" if alphabet <= 1 << 8 else "<u2" if alphabet <= 1 << 16 else "<u4"
+
+
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a block that is damaged raises ValueError."""
-    heads = [HEADER.unpack_from(c) if len(c) >= HEADER.size else (b"", 0, 0, 0) for c in coded]
+    least = HEADER.size + SEAL.size
+    heads = [HEADER.unpack_from(c) if len(c) >= least else (b"", 0, 0, 0) for c in coded]
     if any(h[0] != MARK or not 0 < h[1] <= MOST_IDS or not h[2] for h in heads):
         raise ValueError("not a block of token ids")
+    for c in coded:
+        if SEAL.unpack_from(c, HEADER.size)[0] != crc32(memoryview(c)[least:], crc32(c[: HEADER.size])):
+            raise ValueError("the checksum of a coded block is wrong")
     out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(coded)
     for alphabet in sorted({h[1] for h in heads}):
-        mine = [i for i, h in enumerate(heads) if h[1] == alphabet]
-        for i, ids in zip(mine, _decoded([coded[i] for i in mine], [heads[i][2] for i in mine], alphabet), strict=True):
+        mine = sorted((i for i, h in enumerate(heads) if h[1] == alphabet), key=lambda i: -heads[i][2])
+        for i, ids in zip(mine, _decoded([memoryview(coded[i])[least:] for i in mine], [heads[i][2] for i in mine], alphabet), strict=True):
             out[i] = ids
     for ids, head in zip(out, heads, strict=True):
         if crc32(ids.astype("<u4").tobytes()) != head[3]:
@@ -243,70 +353,53 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _decoded(coded: list[bytes], sizes: list[int], alphabet: int) -> list[np.ndarray]:
-    order = sorted(range(len(coded)), key=lambda i: -sizes[i])
-    n, longest = len(coded), sizes[order[0]]
-    lengths = np.array([sizes[i] for i in order])
-    data = [np.frombuffer(coded[i], "<u2", (len(coded[i]) - HEADER.size) // 2, HEADER.size) for i in order]
-    most = max(map(len, data)) + 6
-    digits = np.zeros((most, n), np.uint16)
-    for lane_no, d in enumerate(data):
-        digits[: len(d), lane_no] = d
-    models = _Models(n, alphabet, search=True)
-    # The value lags the digits by 2 bits, as the reach has 62 of 64.
-    first = digits[:4].astype(np.int64)
-    value = (first[0] << 46) | (first[1] << 30) | (first[2] << 14) | (first[3] >> 2)
-    flat, at, last = digits.reshape(-1), np.arange(n) + 3 * n, (most - 1) * n
-    reach = np.full(n, _FULL)
-    ids = np.zeros((longest, n), np.int32)
-
-    def take(lanes: np.ndarray) -> None:
-        while len(lanes):
-            here = at[lanes]
-            new = ((flat.take(here) & 3).astype(np.int64) << 14) | (flat.take(here + n) >> 2)
-            value[lanes] = (value[lanes] << 16) | new
-            at[lanes] = np.where(here + 2 * n < last, here + n, here)
-            short = reach[lanes] << 16
-            reach[lanes] = short
-            lanes = lanes[short < _LEAST]
-
-    active = np.searchsorted(-lengths, -np.arange(longest), side="left")
-    with np.errstate(all="ignore"):  # damaged digits lead anywhere; the checksum tells
-        for t in range(longest):
-            m = int(active[t])
-            models.renew()
-            models.predict(m)
-            total, row = models.total[:m], models.row[:m]
-            whole = (models.f21 + models.f0) * total
-            part = (reach[:m].view(U) // whole.view(U)).view(np.int64)
-            v = np.minimum((value[:m].view(U) // part.view(U)).view(np.int64), whole - 1)
-            right2 = v < models.f2 * total
-            missed = v >= models.f21 * total
-            right1 = ~(right2 | missed)
-            weight = np.where(right2, models.f2, np.where(right1, models.f1, models.f0))
-            before = np.where(right2, 0, np.where(right1, models.f2, models.f21))
-            # Whole numbers below 2 ** 40: the quotient in double precision is exact when cut off.
-            inner = ((v - before * total) / weight).astype(np.int32) * missed
-            cell = models.cell_at.take(inner + models.begin[:m])
-            bottom = models.upto.take(cell)
-            width = np.where(missed, models.upto.take(cell + 1) - bottom, total)
-            bottom = np.where(missed, bottom - models.begin[:m], 0)
-            value[:m] -= part * (before * total + weight * bottom)
-            reach[:m] = part * (weight * width)
-            take(np.flatnonzero(reach[:m] < _LEAST))
-            x = np.where(right2, models.e2 >> 7, np.where(right1, models.e1 >> 7, models.flat_names.take(cell)))
-            fresh = np.flatnonzero(missed & (cell == row))
-            if len(fresh):
-                reach[fresh] //= alphabet
-                x[fresh] = np.minimum(np.maximum(value[fresh] // reach[fresh], 0), alphabet - 1)
-                value[fresh] -= reach[fresh] * x[fresh]
-                take(fresh[reach[fresh] < _LEAST])
-            ids[t, :m] = x
-            models.learn(m, x, right2, right1, missed, cell, fresh)
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
-    for lane_no, i in enumerate(order):
-        out[i] = ids[: sizes[i], lane_no].copy()
-    return out
+def _decoded(coded: list[memoryview], sizes: list[int], alphabet: int) -> list[np.ndarray]:
+    """The ids of blocks, longest first."""
+    ids, right = np.zeros((len(coded), sizes[0]), np.int32), np.zeros((len(coded), sizes[0]), np.uint8)
+    for a in range(0, len(coded), TOGETHER):
+        _literals(coded[a : a + TOGETHER], sizes[a : a + TOGETHER], alphabet, ids[a:], right[a:])
+    ids = np.ascontiguousarray(ids.T)
+    _fill(ids, np.ascontiguousarray(right.T), np.array(sizes), _slots(alphabet))
+    ids = np.ascontiguousarray(ids.T)
+    return [x[:n].copy() for x, n in zip(ids, sizes, strict=True)]
+
+
+def _literals(coded: list[memoryview], sizes: list[int], alphabet: int, ids: np.ndarray, right: np.ndarray) -> None:
+    """Decode which order is right about each id of the blocks, and the ids about which none is."""
+    streams, block_of = _layout(sizes)
+    lanes = np.cumsum(streams) - streams
+    parts: list[list[np.ndarray]] = [[], [], [], [], []]
+    for data, size, n in zip(coded, sizes, streams, strict=True):
+        kind = np.dtype("<u4" if size > _SHORT else "<u2")
+        many = np.frombuffer(data, kind, 2 * n).astype(np.int64)
+        first, both = int(many[:n].sum()), int(many.sum())
+        digits = np.frombuffer(data, "<u2", both, 2 * n * kind.itemsize)
+        names = np.frombuffer(data, _name_type(alphabet), offset=2 * n * kind.itemsize + 2 * both)
+        for part, x in zip(parts, (many[:n], many[n:], digits[:first], digits[first:], names), strict=True):
+            part.append(x)
+    order_many, many, order_digits, digits = map(np.concatenate, parts[:4])
+    shares = [_shares(-(-size // 3), n) for size, n in zip(sizes, streams, strict=True)]
+    orders = _decode(_Counts(27 * len(coded), 27, ORDERS_STEP, False), order_digits, order_many, block_of * 27, np.concatenate(shares), True)
+    counts = []
+    for lane, n, share, size, r in zip(lanes, streams, shares, sizes, right):
+        r[:size] = _THREE[orders[: share[0], lane : lane + n].T.reshape(-1)].reshape(-1)[:size]
+        counts.append(size - np.count_nonzero(r[:size]))
+    turns = [(x - np.arange(n) + n - 1) // n for x, n in zip(counts, streams, strict=True)]
+    cells = _decode(_Counts(len(coded), 1, 1, True), digits, many, block_of, np.concatenate(turns))
+    for lane, n, x, names, size, r, row in zip(lanes, streams, counts, parts[4], sizes, right, ids):
+        cell = cells[: -(-x // n), lane : lane + n].reshape(-1)[:x]
+        named = cell == 0
+        if np.count_nonzero(named) != len(names):
+            raise ValueError("a block of token ids lacks names")
+        which = cell - 1
+        which[named] = np.arange(len(names))
+        row[:size][r[:size] == 0] = names[which] if x else 0
+
+
+def passes(n: int, lanes: int) -> Iterator[slice]:
+    """n blocks in even shares, of about as many as go side by side."""
+    share = -(-n // max(1, round(n / lanes))) if n else 1
+    return (slice(at, min(n, at + share)) for at in range(0, n, share))
 
 
 #: The pattern of pre-tokens at which texts may be cut beyond white space.
@@ -347,10 +440,15 @@ def pieces_of(texts: pa.Array, whole: re.Pattern | None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pieces)
 
 
-#: Words of letters that normal forms and lower case leave single letters: one pre-token each, whose last token ends a word.
+#: Words of letters that normal forms and lower case leave single letters: one pre-token each.
 _SINGLE = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
 
 
+#: The characters by which tokenizers write bytes, from those of the same number.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
+
+
 class WordTokens:
     """Ids of texts as the tokenizer file at `path` gives them, one distinct word at a time.
 
@@ -364,24 +462,26 @@ class WordTokens:
         self.alphabet = self.tokenizer.get_vocab_size(True)
         self.words, self.ids = Words(REMEMBER), Ragged(np.int32)
         file = json.loads(self.tokenizer.to_str())
-        step, suffix = ((file["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0], file["model"].get("end_of_word_suffix")
-        lower = {"type": "Lowercase"} in (file["normalizer"] or {}).get("normalizers", [])
-        self.parted = bool(lower and suffix) and (step.get("pattern"), step.get("invert"), step.get("behavior")) == ({"Regex": PARTED}, True, "Removed")
-        self.last = np.zeros(self.alphabet, bool)
-        self.last[[i for t, i in self.tokenizer.get_vocab(False).items() if suffix and t.endswith(suffix)]] = True
+        steps, forms = (file["pre_tokenizer"] or {}).get("pretokenizers") or [{}], (file["normalizer"] or {}).get("normalizers", [])
+        self.parted = bool({"type": "Lowercase"} in forms and file["model"].get("end_of_word_suffix")) and tuple(map(steps[0].get, ("pattern", "invert", "behavior"))) == ({"Regex": PARTED}, True, "Removed")
+        # Whether words of letters reach the model whole, in lower case and byte by byte.
+        plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        self.direct = self.parted and [{k: v for k, v in x.items() if k != "trim_offsets"} for x in steps[1:]] == [plain] and all(
+            x["type"] in ("NFC", "Lowercase") or (x["type"], x.get("pattern")) == ("Replace", {"Regex": r"\s+"}) for x in forms
+        ) and not any(_SINGLE.fullmatch(t["content"]) for t in file["added_tokens"])
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile(b"|".join(map(re.escape, added))) if added else None
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word end to end, and how many each has. Single pre-tokens are told apart by their last tokens, others by places."""
-        single = np.fromiter((self.parted and _SINGLE.fullmatch(w) is not None for w in words), bool, len(words))
+        """Ids of each word end to end, and how many each has. Single pre-tokens go to the tokenizer's model as they are, spelled as it has them."""
+        single = np.fromiter((self.direct and _SINGLE.fullmatch(w) is not None for w in words), bool, len(words))
         some, rest = ([w for w, x in zip(words, single.tolist(), strict=True) if x is kind] for kind in (True, False))
-        groups = [" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]
-        found = (e.ids for i in range(0, len(groups), GROUPS) for e in self.tokenizer.encode_batch_fast(groups[i : i + GROUPS], add_special_tokens=False))
-        flat = np.array([i for ids in found for i in ids], np.int32)
-        lengths = np.diff(np.flatnonzero(self.last[flat]), prepend=-1)
-        if len(lengths) != len(some) or lengths.sum() != len(flat):
-            raise ValueError("the tokenizer parts words of letters")
+        spelled = (w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(_BYTE_LEVEL) for w in some)
+        ids, lengths = [], []
+        for found in map(self.tokenizer.model.tokenize, spelled):
+            ids += [t.id for t in found]
+            lengths.append(len(found))
+        flat = np.array(ids, np.int32)
         more, more_lengths = tokens_of_words(self.tokenizer, rest)
         length = np.zeros(len(words), np.int64)
         length[single], length[~single] = lengths, more_lengths
@@ -462,7 +562,7 @@ def write_token_blocks(docs: DataFrame, path: str, out: str, id_col: str = "doc_
         schema = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("first_id", pa.int64()), ("first_doc", pa.int64()), ("n_ids", pa.int64()), ("opens", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("data", pa.binary())])
         offset = base_doc = 0
         for batch in batches:
-            for at, texts in slices(batch.column(1)):
+            for at, texts in slices(batch.column(1), SLICE):
                 flat, count = model.encode(texts)
                 with_end = np.full(len(flat) + len(count), end, np.int32)
                 inner = np.ones(len(with_end), bool)

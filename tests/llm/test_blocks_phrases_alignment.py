@@ -124,6 +124,52 @@ def test_ids_that_cost_many_digits_and_large_alphabets():
         token_blocks.decode_blocks([token_blocks.HEADER.pack(token_blocks.MARK, most + 1, 5, 0) + bytes(20)])
 
 
+def test_symbols_of_a_block_are_dealt_over_streams():
+    # Whole blocks have several streams, which end at different steps; orders and literals alike come back.
+    rng = np.random.default_rng(6)
+    blocks = [np.minimum(rng.zipf(1.2, n), 5000) - 1 for n in (8192, 8191, 4097, 2817, 1, 3)] + [np.arange(8192) % 5000, np.tile(rng.integers(0, 5000, 100), 82)[:8190]]
+    assert [token_blocks._streams(len(b)) for b in blocks] == [8, 7, 3, 2, 1, 1, 8, 7]
+    for block, back in zip(blocks, token_blocks.decode_blocks(token_blocks.encode_blocks(blocks, 5000)), strict=True):
+        assert np.array_equal(block, back)
+    # Totals that take two digits a symbol.
+    long = [np.minimum(rng.zipf(1.2, 1_500_000), 70_000) - 1]
+    assert np.array_equal(long[0], token_blocks.decode_blocks(token_blocks.encode_blocks(long, 70_000))[0])
+
+
+def test_followers_are_those_of_plain_loops():
+    ids, hashes = np.random.default_rng(7).integers(0, 12, 3000), token_blocks._slots(12)
+    one, two, want = {}, {}, []
+    last, older = 0, 0
+    for x in ids.tolist():
+        at1, at2 = hashes[last] & token_blocks._MASK, (hashes[last] >> token_blocks.SLOT_BITS) ^ (hashes[older] & token_blocks._MASK)
+        want.append(2 if two.get(at2, 0) == x else 1 if one.get(at1, 0) == x else 0)
+        one[at1] = two[at2] = x
+        last, older = x, last
+    assert token_blocks._right(ids, hashes).tolist() == want
+
+
+def test_any_digits_under_a_good_checksum_end_in_an_error():
+    rng = np.random.default_rng(8)
+    least = token_blocks.HEADER.size + token_blocks.SEAL.size
+    good = token_blocks.encode_blocks([np.minimum(rng.zipf(1.3, 5000), 900) - 1], 900)[0]
+    head, sizes = good[: token_blocks.HEADER.size], 2 * 2 * token_blocks._streams(5000)
+    for cut in (0, 10, 11, 500, None):
+        body = good[least : least + sizes] + rng.bytes(len(good) - least - sizes)[:cut]
+        with pytest.raises(ValueError):
+            token_blocks.decode_blocks([head + token_blocks.SEAL.pack(zlib.crc32(body, zlib.crc32(head))) + body])
+
+
+def test_words_of_letters_have_the_library_s_tokens():
+    model, t, rng = token_blocks.WordTokens(WORD_BPE), Tokenizer.from_file(WORD_BPE), random.Random(9)
+    assert model.direct
+    letters = [c for c in map(chr, range(0x41, 0x180)) if token_blocks._SINGLE.fullmatch(c)]
+    words_ = [*letters, *["".join(rng.choices(letters if i % 2 else letters[:52], k=rng.randint(1, 20))) for i in range(3000)]]
+    flat, length = model.tokens(words_)
+    ends = np.cumsum(length)
+    for word, lo, hi in zip(words_, ends - length, ends):
+        assert flat[lo:hi].tolist() == t.encode(word, add_special_tokens=False).ids, word
+
+
 @pytest.mark.parametrize("n", [1, 4, 5, 6, 10, 11, 999])
 def test_passes_take_even_shares(n):
     shares = [s.stop - s.start for s in token_blocks.passes(n, 4)]
