@@ -36,7 +36,7 @@ from .words import Ragged, Words, slices, tokens_of_words
 #: Ids of a block, and blocks coded side by side (up to half as many more, so that no few are left over).
 BLOCK_IDS, LANES = 8192, 640
 #: Distinct words that a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 700_000
 #: Bytes of texts tokenized together.
 SLICE = 1 << 23
 #: Bytes of text of a file.
@@ -49,8 +49,8 @@ SLOT_BITS = 13
 MOST_IDS = 1 << 24
 #: Streams of a block at most, and blocks whose streams are coded side by side.
 STREAMS, TOGETHER = 8, 128
-#: Counts are renewed after so many steps, and then whenever this part more are coded.
-RENEWAL, GROWTH = 2, 4
+#: Counts are renewed after so many steps, and then whenever this part more are coded: of the literals, of the orders.
+RENEWAL, GROWTH, ORDERS_GROWTH = 2, 4, 2
 #: Weight of one event among the orders; each has 1 at first.
 ORDERS_STEP = 6
 #: A block's header: mark, size of the alphabet, ids, crc32 of the ids; then the crc32 of all else.
@@ -101,7 +101,7 @@ def _fill(ids: np.ndarray, right: np.ndarray, lengths: np.ndarray, hashes: np.nd
     n = len(lengths)
     # The tables of order 1 and of order 2, each with a part for each block.
     base = np.arange(2 * n).reshape(2, -1) << SLOT_BITS
-    table = np.zeros(2 * n << SLOT_BITS, np.uint16 if len(hashes) <= 1 << 16 else np.int32)
+    table = np.zeros(2 * n << SLOT_BITS, ids.dtype)
     active = np.searchsorted(-lengths, -np.arange(len(ids)), side="left").tolist()
     place, lane = np.nonzero(right)
     which = lane + n * (right[place, lane].astype(np.int64) - 1)
@@ -132,7 +132,7 @@ class _Counts:
     """Adaptive counts of symbols in rows of cells. What was coded since is taken up when renewed."""
 
     def __init__(self, rows: int, cells: int, step: int, grows: bool):
-        self.rows, self.room, self.step, self.grows = rows, cells, step, grows
+        self.rows, self.room, self.step, self.grows, self.growth = rows, cells, step, grows, GROWTH if grows else ORDERS_GROWTH
         self.count, self.used = np.ones((rows, cells)), np.full(rows, cells)
 
     def renew(self, search: bool) -> None:
@@ -154,11 +154,11 @@ class _Counts:
             self.used = self.used + new[:, 0]
 
 
-def _renewals(steps: int) -> list[int]:
+def _renewals(steps: int, growth: int) -> list[int]:
     """The steps before which counts are renewed, and the last."""
     out = [0]
     while out[-1] < steps:
-        out.append(out[-1] + max(RENEWAL, out[-1] // GROWTH))
+        out.append(out[-1] + max(RENEWAL, out[-1] // growth))
     return [*out[:-1], steps] if steps else [0]
 
 
@@ -171,7 +171,7 @@ def _streams(n: int) -> int:
 def _encode(counts: _Counts, cells: np.ndarray, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code cells[step, stream] of rows[step, stream] (or of rows[0, stream] throughout): the streams' digits end to
     end, and how many each has. size: symbols of each stream, the rest is left out."""
-    n, bounds = len(size), _renewals(len(cells))
+    n, bounds = len(size), _renewals(len(cells), counts.growth)
     low, reach, at = np.zeros(n), np.full(n, _FULL), np.arange(n)
     digits = np.zeros((len(cells) + 8, n), np.int32)
     flat = digits.reshape(-1)
@@ -181,9 +181,9 @@ def _encode(counts: _Counts, cells: np.ndarray, rows: np.ndarray, size: np.ndarr
         row = rows[a:b] if len(rows) > 1 else rows
         cell = row * counts.room + cells[a:b]
         live = np.arange(a, b)[:, None] < size
-        # A symbol of the whole width changes nothing.
-        lows, widths = np.where(live, counts.low.take(cell), 0), np.where(live, counts.width.take(cell), 1)
-        totals = np.where(live, counts.total.take(row), 1)
+        lows, widths, totals = counts.low.take(cell), counts.width.take(cell), np.broadcast_to(counts.total.take(row), cell.shape)
+        if not live.all():  # a symbol of the whole width changes nothing
+            lows, widths, totals = np.where(live, lows, 0), np.where(live, widths, 1), np.where(live, totals, 1)
         turns = 1 if totals.max() <= _EASY else 2
         if int(at.max()) + (turns * (b - a) + 8) * n > len(flat):
             digits = np.concatenate((digits, np.zeros((turns * (b - a) + 8, n), np.int32)))
@@ -200,7 +200,7 @@ def _encode(counts: _Counts, cells: np.ndarray, rows: np.ndarray, size: np.ndarr
                 at[short] = here + n
                 low[short] = (x - digit * _LEAST) * 65536
                 reach[short] = reach.take(short) * 65536
-        counts.learn(cell[live])
+        counts.learn(cell.reshape(-1) if live.all() else cell[live])
     flat[at] = np.ceil(low * (1 / _LEAST))  # the one digit that leads into what is left, before zeros
     over = np.flatnonzero(flat >> 16)
     while len(over):  # carries
@@ -215,7 +215,7 @@ def _decode(counts: _Counts, digits: np.ndarray, many: np.ndarray, rows: np.ndar
     """The cells that _encode was given, as [step, stream]; beyond a stream's symbols they mean nothing. With a memory, rows[stream] is the row
     after cell 0, and those after other cells follow."""
     n, steps = len(size), int(size.max(initial=0))
-    bounds, out = _renewals(steps), np.zeros((steps, n), np.uint8 if memory else np.int32)
+    bounds, out = _renewals(steps, counts.growth), np.zeros((steps, n), np.uint8 if memory else np.int32)
     data = np.zeros(len(digits) + 2 * n + 2 * steps + 8)
     data[np.arange(len(digits)) + 2 * np.repeat(np.arange(n), many)] = digits
     at = np.cumsum(many + 2) - (many + 2)
@@ -249,8 +249,10 @@ def _decode(counts: _Counts, digits: np.ndarray, many: np.ndarray, rows: np.ndar
                 np.add(row, rows, out=row)
                 counts.total.take(row, mode="clip", out=total)
                 counts.begin.take(row, mode="clip", out=begin)
-        counts.learn(cells[np.arange(a, b)[:, None] < size])
-        out[a:b] = cells % counts.room
+        live = np.arange(a, b)[:, None] < size
+        counts.learn(cells.reshape(-1) if live.all() else cells[live])
+        cells -= rows * counts.room
+        out[a:b] = (np.arange(counts.room**2) % counts.room).astype(np.uint8).take(cells) if memory else cells
     return out
 
 
@@ -305,7 +307,7 @@ def _encoded(blocks: list[np.ndarray], hashes: np.ndarray, where: np.ndarray) ->
     order_digits, order_many = _encode(_Counts(27 * len(blocks), 27, ORDERS_STEP, False), orders, rows, np.concatenate(shares))
     # Literals: streams take turns.
     most = max(-(-len(x) // n) for x, n in zip(literals, streams, strict=True))
-    period = np.searchsorted(_renewals(most), np.arange(most), side="right")
+    period = np.searchsorted(_renewals(most, GROWTH), np.arange(most), side="right")
     cells, sizes, names = np.zeros((most, len(block_of)), np.int32), [], []
     for lane, n, x in zip(lanes, streams, literals, strict=True):
         cell, named = _cells(x, where, n, period)
@@ -355,13 +357,14 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
 
 def _decoded(coded: list[memoryview], sizes: list[int], alphabet: int) -> list[np.ndarray]:
     """The ids of blocks, longest first."""
-    ids, right = np.zeros((len(coded), sizes[0]), np.int32), np.zeros((len(coded), sizes[0]), np.uint8)
+    ids = np.zeros((len(coded), sizes[0]), np.uint16 if alphabet <= 1 << 16 else np.int32)
+    right = np.zeros(ids.shape, np.uint8)
     for a in range(0, len(coded), TOGETHER):
         _literals(coded[a : a + TOGETHER], sizes[a : a + TOGETHER], alphabet, ids[a:], right[a:])
     ids = np.ascontiguousarray(ids.T)
     _fill(ids, np.ascontiguousarray(right.T), np.array(sizes), _slots(alphabet))
     ids = np.ascontiguousarray(ids.T)
-    return [x[:n].copy() for x, n in zip(ids, sizes, strict=True)]
+    return [x[:n].astype(np.int32) for x, n in zip(ids, sizes, strict=True)]
 
 
 def _literals(coded: list[memoryview], sizes: list[int], alphabet: int, ids: np.ndarray, right: np.ndarray) -> None:
@@ -406,15 +409,10 @@ def passes(n: int, lanes: int) -> Iterator[slice]:
 PARTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Classes of bytes (white space, letters, digits, the apostrophe, other ASCII, others), and whether a
 #: text is cut between two of them. An apostrophe may belong to the letters after it, a sign of other bytes to any.
-_CLASS = np.full(256, 5, np.uint8)
-_CLASS[:128] = 4
-for _no, _members in enumerate((b" \t\n\v\f\r", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"'")):
-    _CLASS[list(_members)] = _no
-_CUT = np.array([[1, 1, 1, 1, 1, 1], [1, 0, 1, 1, 1, 0], [1, 1, 1, 1, 1, 0], [1, 0, 1, 0, 0, 0], [1, 1, 1, 0, 0, 0], [1, 0, 0, 0, 0, 0]], bool).reshape(-1)
-
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_WHITE = b" \t\n\v\f\r"
+_CLASS = bytes(0 if b in _WHITE else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 if b == 39 else 4 for b in range(128)) + b"\5" * 128
+_CUT = bytes((1, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1, 0, 1, 1, 1, 1, 1, 0, 1, 0, 1, 0, 0, 0, 1, 1, 1, 0, 0, 0, 1, 0, 0, 0, 0, 0)).ljust(256)
+_LOWER = bytes(range(256)).lower()
 
 
 def pieces_of(texts: pa.Array, whole: re.Pattern | None) -> pa.ListArray:
@@ -425,18 +423,25 @@ def pieces_of(texts: pa.Array, whole: re.Pattern | None) -> pa.ListArray:
     ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
-    kind = _CLASS[data]
+    raw = data.tobytes()
+    kind = np.frombuffer(raw.translate(_CLASS), np.uint8)
+    pair = kind[:-1] * np.uint8(6) + kind[1:]
     cut = np.ones(len(data), bool)
-    cut[1:] = _CUT[kind[:-1] * np.uint8(6) + kind[1:]]
+    cut[1:] = np.frombuffer(pair.tobytes().translate(_CUT), bool)
     if whole is not None:
         for found in whole.finditer(data):
             cut[found.start() + 1 : found.end()] = False
     cut[ends[:-1][ends[:-1] < len(data)]] = True
-    inside = kind != 0
-    first = np.searchsorted(np.flatnonzero(cut & inside), ends)
-    begin = np.append(np.flatnonzero(cut[inside]), np.count_nonzero(inside)).astype(np.int32)
-    data = np.where(np.append(kind[1:] != 5, True), _LOWER[data], data) if len(data) else data
-    pieces = pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(data[inside]))
+    white = kind == 0
+    starts = cut & ~white
+    first = np.cumsum([0, *(np.count_nonzero(starts[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()))])
+    # Without white space, which has marks 2 and 3.
+    marks = np.frombuffer((cut + (white.view(np.uint8) << 1)).tobytes().translate(None, b"\2\3"), bool)
+    begin = np.append(np.flatnonzero(marks), len(marks)).astype(np.int32)
+    lower = bytearray(raw.translate(_LOWER))
+    before = np.flatnonzero(pair == 11)  # letters before other bytes
+    np.frombuffer(lower, np.uint8)[before] = data[before]
+    pieces = pa.StringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(bytes(lower).translate(None, _WHITE)))
     return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pieces)
 
 
@@ -446,7 +451,7 @@ _SINGLE = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017
 
 #: The characters by which tokenizers write bytes, from those of the same number.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-_BYTE_LEVEL = dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
+_BYTE_LEVEL = {b: b for b in _SHOWN} | dict(zip([b for b in range(256) if b not in _SHOWN], range(256, 512)))
 
 
 class WordTokens:
@@ -474,7 +479,7 @@ class WordTokens:
 
     def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each word end to end, and how many each has. Single pre-tokens go to the tokenizer's model as they are, spelled as it has them."""
-        single = np.fromiter((self.direct and _SINGLE.fullmatch(w) is not None for w in words), bool, len(words))
+        single = np.fromiter((self.direct and w.isalpha() and (w.isascii() or _SINGLE.fullmatch(w) is not None) for w in words), bool, len(words))
         some, rest = ([w for w, x in zip(words, single.tolist(), strict=True) if x is kind] for kind in (True, False))
         spelled = (w.lower() if w.isascii() else w.lower().encode().decode("latin-1").translate(_BYTE_LEVEL) for w in some)
         ids, lengths = [], []
