@@ -3,13 +3,14 @@
 Ids of all documents, in ascending order of doc_id and each document followed by an end id, are cut
 into blocks. A block is coded by itself: its models start afresh, and it carries a checksum.
 
-An id is predicted three ways. Order 2 and order 1 remember, for the last two ids and for the last
-one, the id that followed, with a confidence; order 0 is the frequency of ids so far. The
-distribution used is their mixture, whose weights adapt by the confidences at hand; an id that
-is new to its block is named in full.
-
-Blocks take the coder side by side: numpy arrays hold the state of hundreds of blocks, and one id
-of each is coded at a time. Carries are left in the digits and are added up at the end.
+An id is predicted three ways. Order 2 and order 1 say the id that last followed the last two ids, or the
+last one; order 0 is the frequency of the ids that those missed. The distribution used is their mixture,
+whose weights go by the orders that were right about the ids before; an id that is new to its block is
+named in full.
+
+The symbols of a block are dealt over streams, and numpy arrays hold the state of all streams of many
+blocks: one symbol of each is coded at a time. Counts are renewed in steps. Carries are left in the
+digits and are added up at the end.
 """
 
 from __future__ import annotations
