@@ -15,6 +15,15 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) < EPS, F.lit(0.0)).otherwise(a / b)
 
 
+def rounded_half(x: Column, digits: int) -> Column:
+    """x to digits, halves away from zero, as SQL does it: scaled, rounded and divided as a double.
+
+    F.round takes the decimal that a double is printed as, so it parts from SQL where that ends in 5.
+    """
+    scaled = x * 10.0**digits
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**digits).otherwise(x)
+
+
 def candle(o: Column, h: Column, lo: Column, c: Column) -> dict[str, Column]:
     """Range over close, and body and wicks as shares of the range."""
     rng = h - lo

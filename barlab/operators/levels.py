@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import session_name
+from ..functions.scalars import rounded_half, session_name
 from .features import by_time, gated, true_range, with_index
 
 
@@ -95,25 +95,30 @@ def horizontal_levels(pivots: DataFrame, eps_share: float = 0.05, eps: float = 0
     Points with min_samples neighbours within eps (themselves counted) are cores; cores within eps
     of each other share a cluster; a border point joins the cluster whose core was seen first. eps
     defaults to a share of the prices' population standard deviation. Only pivots are re-sorted.
+    Equal prices are ordered by kind and time wherever order counts: clusters are numbered and means
+    added up (cores first) in one fixed order, so neither depends on how rows are dealt out.
     """
     p = pivots.select("symbol", "kind", "ts", "price")
     scale = p.groupBy("symbol").agg((F.lit(eps) if eps > 0 else F.stddev_pop("price") * eps_share).alias("eps")).filter("eps > 0")
     p = p.join(scale, "symbol").withColumn("x", F.col("price") / F.col("eps"))
     p = p.withColumn("core", F.expr(f"count(*) OVER (PARTITION BY symbol ORDER BY x RANGE BETWEEN 1.0D PRECEDING AND 1.0D FOLLOWING) >= {min_samples}"))
-    cores = p.filter("core").withColumn("_new", F.coalesce((F.col("x") - F.lag("x").over(Window.partitionBy("symbol").orderBy("x")) > 1.0).cast("int"), F.lit(1)))
-    cores = cores.withColumn("cluster", F.sum("_new").over(Window.partitionBy("symbol").orderBy("x", "kind", "ts").rowsBetween(Window.unboundedPreceding, 0)))
+    upward = Window.partitionBy("symbol").orderBy("x", "kind", "ts")
+    cores = p.filter("core").withColumn("_new", F.coalesce((F.col("x") - F.lag("x").over(upward) > 1.0).cast("int"), F.lit(1)))
+    cores = cores.withColumn("cluster", F.sum("_new").over(upward.rowsBetween(Window.unboundedPreceding, 0)))
     seen = cores.groupBy("symbol", "cluster").agg(F.min(F.struct("kind", "ts")).alias("seen"))
     cores = cores.join(seen, ["symbol", "cluster"])
     # A border point lies within eps of at most the nearest core below and the nearest above.
-    everything = p.filter("NOT core").select("symbol", "x", "price", F.lit(None).cast("long").alias("cluster"), F.lit(None).cast(cores.schema["seen"].dataType).alias("seen")).unionByName(cores.select("symbol", "x", "price", F.col("cluster").cast("long"), "seen"))
+    everything = p.filter("NOT core").select("symbol", "kind", "ts", "x", "price", F.lit(None).cast("long").alias("cluster"), F.lit(None).cast(cores.schema["seen"].dataType).alias("seen")).unionByName(cores.select("symbol", "kind", "ts", "x", "price", F.col("cluster").cast("long"), "seen"))
     at = F.when(F.col("cluster").isNotNull(), F.struct("x", "cluster", "seen"))
     order = Window.partitionBy("symbol").orderBy("x")
     near = everything.withColumns({"_b": F.last(at, True).over(order.rangeBetween(Window.unboundedPreceding, 0)), "_a": F.first(at, True).over(order.rangeBetween(0, Window.unboundedFollowing))})
     below = F.when(F.col("x") - F.col("_b.x") <= 1.0, F.struct(F.col("_b.seen").alias("seen"), F.col("_b.cluster").alias("cluster")))
     above = F.when(F.col("_a.x") - F.col("x") <= 1.0, F.struct(F.col("_a.seen").alias("seen"), F.col("_a.cluster").alias("cluster")))
     joined = near.withColumn("_c", F.coalesce("cluster", F.least(below, above)["cluster"])).filter("_c IS NOT NULL")
-    mean = joined.groupBy("symbol", "_c").agg(F.avg("price").alias("level"), F.count("*").alias("members"))
-    level = F.round("level", digits) if digits is not None else F.col("level")
+    inward = Window.partitionBy("symbol", "_c").orderBy(F.col("cluster").isNull(), "x", "kind", "ts")
+    sums = joined.select("symbol", "_c", F.row_number().over(inward).alias("n"), F.sum("price").over(inward.rowsBetween(Window.unboundedPreceding, 0)).alias("_s"))
+    mean = sums.groupBy("symbol", "_c").agg((F.max_by("_s", "n") / F.max("n")).alias("level"), F.count("*").alias("members"))
+    level = rounded_half(F.col("level"), digits) + 0.0 if digits is not None else F.col("level")
     return mean.groupBy("symbol", level.alias("level")).agg(F.sum("members").alias("members"))
 
 
