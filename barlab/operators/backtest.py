@@ -115,10 +115,16 @@ def breakdown(trades: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "name").agg(F.count("*").alias("trades"), F.avg((F.col("ret_pips") > 0).cast("double")).alias("win_rate"), F.avg("ret_pips").alias("avg_pips"), F.stddev_samp("ret_pips").alias("std_pips"), F.avg("retest_index").alias("avg_retest"))
 
 
+def exact_mean(x: str) -> Column:
+    """Mean of a column by a sum of decimals with nine places, which no order of rows changes; where a value has none (NaN, 1e19 and more), the plain mean."""
+    exact = F.col(x).try_cast("decimal(28,9)")
+    return F.when(F.count(exact) == F.count(x), F.sum(exact).cast("double") / F.count(x)).otherwise(F.avg(x))
+
+
 def expected_pips(trades: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mean pips by level and direction, and by direction alone."""
-    by_level = trades.groupBy("symbol", F.col("level_or_val").alias("level"), "dir").agg(F.avg("ret_pips").alias("avg_pips"), F.count("*").alias("n"))
-    return by_level, trades.groupBy("symbol", "dir").agg(F.avg("ret_pips").alias("dir_pips"))
+    by_level = trades.groupBy("symbol", F.col("level_or_val").alias("level"), "dir").agg(exact_mean("ret_pips").alias("avg_pips"), F.count("*").alias("n"))
+    return by_level, trades.groupBy("symbol", "dir").agg(exact_mean("ret_pips").alias("dir_pips"))
 
 
 def lookup_pips(wanted: DataFrame, by_level: DataFrame, by_dir: DataFrame, least: int = 5) -> DataFrame:

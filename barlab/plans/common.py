@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import rounded_half
+
 #: Hourly bars of the events table with their position in the symbol.
 BARS_SQL = """
 bars AS (
@@ -46,8 +48,8 @@ def div(a: str, b: str) -> str:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """df with its doubles rounded; 0.0 is added so that no negative zero is left."""
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """df with its doubles rounded as the SQL rounds them; 0.0 is added so that no negative zero is left."""
+    return df.select(*[(rounded_half(F.col(c), digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r(x: str, name: str) -> str:
