@@ -299,7 +299,7 @@ def level_features(spark, d):
     """Features of the newest bars for each level and direction (P10)."""
     names = ("dist_to_level", "near", "touches", "above_level", "below_level", "recent_high", "recent_low", "atr_slope_dir", "rsi_div_dir", "atr_norm")
     r = M.level_rows(X.base_features(bars(spark, d)), _lv(spark, d), 20, 0.5)
-    return rounded(r.select("symbol", "ts", "level", "dir_sign", *[F.round(c, 3).alias(c) if c == "near" else F.col(c).cast("long").alias(c) if c == "touches" else F.col(c) for c in names]))
+    return rounded(r.select("symbol", "ts", "level", "dir_sign", *[S.rounded_half(F.col(c), 3).alias(c) if c == "near" else F.col(c).cast("long").alias(c) if c == "touches" else F.col(c) for c in names]))
 
 
 # --- rankings
