@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import measured_move, pattern_boundaries
+from ..functions.scalars import measured_move, pattern_boundaries, rounded_half
 from .features import by_time, regression_trend, with_index
 from .levels import centred_pivots, rolling_levels
 from .news import in_any_window
@@ -193,7 +193,7 @@ def rank_levels(levels: DataFrame, pips: DataFrame, cost: float = 0.0) -> DataFr
     j = levels.join(one("long"), ["symbol", "level"], "left").join(one("short"), ["symbol", "level"], "left")
     up, dn = F.col("p_up") * (F.coalesce("pips_long", F.lit(0.0)) - cost), F.col("p_dn") * (F.coalesce("pips_short", F.lit(0.0)) - cost)
     out = j.withColumns({"ev_buy": up, "ev_sell": dn}).withColumns({"action": F.when(up >= dn, "BUY").otherwise("SELL"), "ev": F.greatest("ev_buy", "ev_sell")})
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(F.round("ev", 9)), "level")))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc(rounded_half(F.col("ev"), 9)), "level")))
 
 
 #: What nearby news adds to the break buffer, and to the bars that a retest may take (fixed values).
