@@ -95,7 +95,7 @@ SELECT symbol, level, touches::BIGINT AS touches, round(session_ratio, 6) AS ses
 def level_scores(spark, d):
     """Scored levels (V2)."""
     s = V.level_scores(bars(spark, d), _lv(spark, d), 0.5)
-    return s.select("symbol", "level", F.col("touches").cast("long").alias("touches"), F.round("session_ratio", 6).alias("session_ratio"), F.round("atr_norm", 6).alias("atr_norm"), F.round("score", 5).alias("score"))
+    return s.select("symbol", "level", F.col("touches").cast("long").alias("touches"), S.rounded_half(F.col("session_ratio"), 6).alias("session_ratio"), S.rounded_half(F.col("atr_norm"), 6).alias("atr_norm"), S.rounded_half(F.col("score"), 5).alias("score"))
 
 
 @query(f"""WITH {BARS_SQL}, {_LEVELS} SELECT symbol, level, sum(t)::BIGINT AS total, max(t)::BIGINT AS most FROM (
