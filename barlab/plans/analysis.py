@@ -134,7 +134,7 @@ def static_backtest(spark, d):
 def backtest_summary(spark, d):
     """Trades by direction."""
     s = T.summary(_trades(spark, d), "symbol", "dir")
-    return s.select("symbol", "dir", "trades", F.round("win_rate", 6).alias("win_rate"), *[F.round(c, 5).alias(c) for c in ("avg_pips", "std_pips", "ratio")])
+    return s.select("symbol", "dir", "trades", S.rounded_half(F.col("win_rate"), 6).alias("win_rate"), *[S.rounded_half(F.col(c), 5).alias(c) for c in ("avg_pips", "std_pips", "ratio")])
 
 
 @query(f"""WITH {BARS_SQL}, {_LEVELS}, {_CROSS}, bl AS (SELECT symbol, level, dir, avg(pips) AS a, count(*) AS n FROM trades GROUP BY 1, 2, 3), bd AS (SELECT symbol, dir, avg(pips) AS a FROM trades GROUP BY 1, 2),
