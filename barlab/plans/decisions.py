@@ -104,7 +104,7 @@ def backtest_breakdown(spark, d):
     """Trades by mode, direction and retest, and of the channel alone."""
     b = bars(spark, d)
     trades = _trades(spark, d).unionByName(T.backtest_trend(b, 48, 12, 1.0, 10, 0.5, 0.01, 2.0, True, 2.0, None, True))
-    return rounded(T.breakdown(trades).select("kind", "name", "trades", "win_rate", *[F.round(c, 5).alias(c) for c in ("avg_pips", "std_pips", "avg_retest")]))
+    return rounded(T.breakdown(trades).select("kind", "name", "trades", "win_rate", *[S.rounded_half(F.col(c), 5).alias(c) for c in ("avg_pips", "std_pips", "avg_retest")]))
 
 
 def _alert(mode: str, long: str, short: str, target: str, source: str) -> str:
